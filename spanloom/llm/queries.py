@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, url_reputation
+from . import bpe, fertility, secrets, url_reputation, winnowing
 from .common import read_table
 
 #: Where the public vocabularies lie; a parameter of every operator that reads one.
@@ -17,6 +17,10 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -29,14 +33,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(read_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(read_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op1_winnowing": op1_winnowing,
         "op4_byte_bpe": op4_byte_bpe,
         "op7_url_filter": op7_url_filter,
+        "op8_tokeniser_fertility": op8_tokeniser_fertility,
         "op10_secret_scan": op10_secret_scan,
     }
 
