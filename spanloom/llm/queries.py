@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, secrets, url_reputation, winnowing
+from . import bpe, fertility, mixing, secrets, url_reputation, winnowing
 from .common import read_table
 
 #: Where the public vocabularies lie; a parameter of every operator that reads one.
@@ -25,6 +25,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.contract(read_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the labels whose doc_id is a page's id: toxic or of low quality is bad."""
     labels = read_table(spark, sf_dir, "labels")
@@ -45,6 +49,7 @@ def queries() -> dict:
     return {
         "op1_winnowing": op1_winnowing,
         "op4_byte_bpe": op4_byte_bpe,
+        "op6_mixing": op6_mixing,
         "op7_url_filter": op7_url_filter,
         "op8_tokeniser_fertility": op8_tokeniser_fertility,
         "op10_secret_scan": op10_secret_scan,
