@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, mixing, secrets, url_reputation, warc, winnowing
+from . import bpe, fertility, mixing, secrets, setsketch, url_reputation, warc, winnowing
 from .common import read_table
 
 #: Where the public vocabularies lie; a parameter of every operator that reads one.
@@ -45,6 +45,10 @@ def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(read_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op6_mixing": op6_mixing,
         "op7_url_filter": op7_url_filter,
         "op8_tokeniser_fertility": op8_tokeniser_fertility,
+        "op9_setsketch": op9_setsketch,
         "op10_secret_scan": op10_secret_scan,
     }
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .components import spread_join
 
 LEAST_REVISIT, ROLL, FEED = 1000, 4 << 20, 1 << 14
 #: Fixed values of the format.
@@ -154,9 +155,7 @@ def roles(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("length"))
     leaders = own.filter(F.col("length") >= LEAST_REVISIT).groupBy("sha1", "length").agg(F.max("page_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("leader")), F.col("leader"))
-    # `same` is in the join's keys besides the aggregate's: both sides are then dealt for the join, which may split a hot payload
-    leaders = leaders.withColumn("same", F.lit(0))
-    return own.withColumn("same", F.lit(0)).join(leaders, ["sha1", "length", "same"], "left").select("page_id", "url", "html", "sha1", "length", refers.alias("refers_to"))
+    return spread_join(own, leaders, ["sha1", "length"], "left").select("page_id", "url", "html", "sha1", "length", refers.alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, level: int = 1) -> None:
