@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, mixing, secrets, setsketch, url_reputation, warc, winnowing
+from . import bpe, bwt_dedup, fertility, mixing, secrets, setsketch, url_reputation, warc, winnowing
 from .common import read_table
 
 #: Where the public vocabularies lie; a parameter of every operator that reads one.
@@ -21,6 +21,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op2_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_winnowing": op1_winnowing,
+        "op2_bwt_dedup": op2_bwt_dedup,
         "op3_warc": op3_warc,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_mixing": op6_mixing,

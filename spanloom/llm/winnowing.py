@@ -53,16 +53,16 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return common.mix64((sums[k:] - sums[:-k]) * down[: n - k + 1] + np.uint64(k))
 
 
-def window_choice(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the rightmost minimum of every window, ascending, each once."""
+def least_positions(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For every window of consecutive hashes (one, if there are fewer) the position of its
+    minimum by the upper 40 bits, the rightmost of equal ones."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
     window = min(window, n)
     mask = np.uint64((1 << 24) - 1)
     # 40 hash bits, then the position reversed, so that the least value is the rightmost minimum
-    back = mask - (np.arange(n, dtype=np.uint64) & mask)
-    keys = (hashes & ~mask) | back
+    keys = (hashes & ~mask) | (mask - (np.arange(n, dtype=np.uint64) & mask))
     blocks = -(-n // window)
     padded = np.full(blocks * window, np.uint64(2**64 - 1))
     padded[:n] = keys
@@ -70,10 +70,15 @@ def window_choice(hashes: np.ndarray, window: int) -> np.ndarray:
     before = np.minimum.accumulate(grid, 1).ravel()
     after = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(after[: n - window + 1], before[window - 1 : n])
-    low = (mask - (least & mask)).astype(np.int64)
     starts = np.arange(len(least))
-    position = starts + ((low - starts) & int(mask))  # positions beyond 2**24 wrap, a window does not
-    return position[np.concatenate([[True], position[1:] != position[:-1]])]
+    low = (mask - (least & mask)).astype(np.int64)
+    return starts + ((low - starts) & int(mask))  # positions beyond 2**24 wrap, a window does not
+
+
+def window_choice(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the rightmost minimum of every window, ascending, each once."""
+    position = least_positions(hashes, window)
+    return position[np.concatenate([[True], position[1:] != position[:-1]])] if len(position) else position
 
 
 def fingerprint(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
