@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, fertility, mixing, secrets, setsketch, url_reputation, warc, winnowing
+from . import bpe, bwt_dedup, fertility, mixing, pitman_yor, secrets, setsketch, url_reputation, warc, winnowing
 from .common import read_table
 
 #: Where the public vocabularies lie; a parameter of every operator that reads one.
@@ -33,6 +33,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.contract(read_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict:
         "op2_bwt_dedup": op2_bwt_dedup,
         "op3_warc": op3_warc,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_pitman_yor": op5_pitman_yor,
         "op6_mixing": op6_mixing,
         "op7_url_filter": op7_url_filter,
         "op8_tokeniser_fertility": op8_tokeniser_fertility,
