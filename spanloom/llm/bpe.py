@@ -283,6 +283,22 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 
 
+def encoded(docs: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
+    """All columns but the text, with ids (array of int) and n_tokens in its place; map-only."""
+    others = [f for f in docs.schema.fields if f.name not in (text_column, "ids", "n_tokens")]
+    names = [f.name for f in others]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens bigint, ids array<int>"])
+
+    def run(batches):
+        own = encoder(path, pattern)
+        for rows in common.slices(batches, text_column, 2 << 20):
+            ids, counts = own.encode(common.strings_of(rows, text_column))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(rows.column(i + 1) for i in range(len(names))), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids))], [*names, "n_tokens", "ids"])
+
+    return docs.select(text_column, *names).mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256, decodes_back."""
     kind = dict(docs.dtypes)[id_column]

@@ -209,7 +209,7 @@ def filtered(docs: DataFrame, model: str, text_column: str = "text", lang_column
     names = [n for n, _ in MEASURE_FIELDS]
     inner = docs.select(F.struct(*columns).alias("row"), measured(F.col(text_column)).alias("m"), F.col(lang_column).alias("lang_"))
     _, kept = verdict("lang_")
-    return inner.select("row", "lang_", *(F.col(f"m.{n}").alias(n) for n in names)).filter(kept).select(*(F.col(f"row.{c}").alias(c) for c in columns))
+    return inner.select("row", "lang_", *(F.col(f"m.{n}").alias(n) for n in names)).filter(kept).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
 
 
 MEASURE_FIELDS = tuple(tuple(x.split()) for x in MEASURES.split(", "))

@@ -167,8 +167,9 @@ def copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
     # equal ids: a mean over their rows
     times = taken.filter("size > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("rate"))
     times = times.select(F.col("doc_id").alias("mixed_id"), (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("times"))
-    joined = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("mixed_id")).join(times.filter("times > 0"), "mixed_id")
-    return joined.select("row", F.explode(F.sequence(F.lit(1), "times"))).select(*(F.col(f"row.{c}").alias(c) for c in docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"))
+    joined = rows.join(times.filter("times > 0"), F.col("own_id").eqNullSafe(F.col("mixed_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "times"))).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def contract(docs: DataFrame) -> DataFrame:

@@ -249,3 +249,17 @@ def near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     joined = every.drop("sketch").join(whole, "class", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("c").cast(kind))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of docs, all columns, but one alone of each group of near duplicates: that of the
+    least doc_id. A row with a null doc_id stays only where no row of its group has an id, and
+    then one of equal texts; of rows with an equal doc_id one stays."""
+    text = F.coalesce("text", F.lit(""))
+    stand_in = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)  # above any real id
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), stand_in).alias("doc_id"), text.alias("text"))
+    found = common.staged(near_duplicates(rows.select("doc_id", "text"), k, percent), "near-duplicates")
+    repeated = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    kept = rows.select("row", "doc_id").join(found.filter("kept").select("doc_id").distinct(), "doc_id")
+    kept = kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
