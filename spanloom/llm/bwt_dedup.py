@@ -45,7 +45,6 @@ LENGTH, GRAM, GRID = 400, 32, 185
 CORE = LENGTH - GRID + 1
 STRIDE, DEPTH = 200, 2
 HOT, BIN = 1000, 400_000
-ROW = ["place", "rid"]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -89,19 +88,22 @@ def cells_of(data: np.ndarray, lengths: np.ndarray):
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """place and rid name a row: its id, and a hash of id and text; equal rows share them."""
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("place"), F.xxhash64("doc_id", "text").alias("rid"))
+    """doc_id, text and row, a name for the row: its id where ids are whole numbers, none null and
+    none repeated; else a hash of id and text, which equal rows share."""
+    ids = docs.groupBy("doc_id").count()
+    plain = dict(docs.dtypes)["doc_id"] in ("int", "bigint") and ids.filter("doc_id is null or count > 1").isEmpty()
+    row = F.col("doc_id").cast("bigint") if plain else F.xxhash64("doc_id", "text")
+    return docs.select("doc_id", "text", row.alias("row"))
 
 
 def find_cells(rows: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in common.slices(batches, "text", 3 << 20):
+        for batch in common.slices(batches, "text", 3 << 19):
             texts = common.texts_of(batch)
             document, start, stop, key, context = cells_of(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64))
-            taken = pa.array(document)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(taken), batch.column(2).take(taken), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], [*ROW, "start", "stop", "key", "context"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(document)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], ["row", "start", "stop", "key", "context"])
 
-    return rows.select("text", *ROW).mapInArrow(run, "place bigint, rid bigint, start int, stop int, key bigint, context bigint")
+    return rows.select("text", "row").mapInArrow(run, "row bigint, start int, stop int, key bigint, context bigint")
 
 
 class Shard:
@@ -184,18 +186,17 @@ def repeated_runs(repeat: np.ndarray, counts: np.ndarray):
 
 
 def merge_contexts(contexts: DataFrame) -> DataFrame:
-    """place, rid, start, stop of repeated windows. contexts: key, place, rid, start, weight, bytes,
-    all of a key in one partition, in order of key."""
+    """row, start, stop of repeated windows. contexts: key, row, start, weight, bytes; all of a
+    key go to one task, which takes them in order of key and judges whole keys at a time."""
 
     def judged(rows: list[tuple]):
-        counts, symbols = windows_of([r[5] for r in rows])
-        weights = np.repeat(np.array([r[4] for r in rows], np.int64), counts)
+        counts, symbols = windows_of([r[4] for r in rows])
+        weights = np.repeat(np.array([r[3] for r in rows], np.int64), counts)
         group = merged_groups(symbols)
         repeat = np.bincount(group, weights)[group] >= 2
         which, a, b = repeated_runs(repeat, counts)
-        base = np.array([r[3] for r in rows], np.int64)[which]
-        pick = lambda i: pa.array([rows[w][i] for w in which], pa.int64())
-        return pa.RecordBatch.from_arrays([pick(1), pick(2), pa.array((base + a).astype(np.int32)), pa.array((base + b).astype(np.int32))], [*ROW, "start", "stop"])
+        base = np.array([r[2] for r in rows], np.int64)[which]
+        return pa.RecordBatch.from_arrays([pa.array([rows[w][1] for w in which], pa.int64()), pa.array((base + a).astype(np.int32)), pa.array((base + b).astype(np.int32))], ["row", "start", "stop"])
 
     def run(batches):
         held, size = [], 0
@@ -205,12 +206,13 @@ def merge_contexts(contexts: DataFrame) -> DataFrame:
                     yield judged(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5]) - LENGTH + 1
+                size += len(row[4]) - LENGTH + 1
         if held:
             yield judged(held)
 
     n = common.parts(contexts)
-    return contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "place bigint, rid bigint, start int, stop int")
+    dealt = contexts.select("key", "row", "start", "weight", "bytes").repartition(n, "key")
+    return dealt.sortWithinPartitions("key").mapInArrow(run, "row bigint, start int, stop int")
 
 
 def count_windows(contexts: DataFrame) -> DataFrame:
@@ -221,76 +223,102 @@ def count_windows(contexts: DataFrame) -> DataFrame:
             rows = batch.to_pydict()
             counts, symbols = windows_of(rows["bytes"])
             hashes = common.mix64(symbols[:, 0] * np.uint64(0x9E3779B97F4A7C15) + symbols[:, 1])
-            take = lambda n, kind: pa.array(np.repeat(np.array(rows[n], kind), counts))
+            take = lambda n: pa.array(np.repeat(np.array(rows[n], np.int64), counts))
             at = np.repeat(np.array(rows["start"], np.int64), counts) + common.ranges(np.zeros(len(counts), np.int64), counts)
-            yield pa.RecordBatch.from_arrays([take("place", np.int64), take("rid", np.int64), pa.array(at.astype(np.int32)), take("weight", np.int64), pa.array(hashes.view(np.int64))], [*ROW, "start", "weight", "window"])
+            yield pa.RecordBatch.from_arrays([take("row"), pa.array(at.astype(np.int32)), take("weight"), pa.array(hashes.view(np.int64))], ["row", "start", "weight", "window"])
 
-    windows = contexts.mapInArrow(run, "place bigint, rid bigint, start int, weight bigint, window bigint")
+    windows = contexts.select("row", "start", "weight", "bytes").mapInArrow(run, "row bigint, start int, weight bigint, window bigint")
     twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window")
-    return spread_join(windows, twice, ["window"]).select(*ROW, "start", (F.col("start") + 1).alias("stop"))
+    return spread_join(windows, twice, ["window"]).select("row", "start", (F.col("start") + 1).alias("stop"))
 
 
-def with_bytes(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds the bytes of each cell's context, from whole texts."""
-    by_row = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("key", "start", "stop", "weight")).alias("cells"))
-
-    def run(batches):
-        for batch in common.slices(batches):
-            out = []
-            for text, place, rid, cells in zip(common.texts_of(batch), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                out += [(c["key"], place, rid, c["start"], c["weight"], text[c["start"] : c["stop"] + LENGTH - 1]) for c in cells]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", *ROW, "start", "weight", "bytes"])
-
-    return rows.select("text", *ROW).join(by_row, ROW).select("text", *ROW, "cells").mapInArrow(run, "key bigint, place bigint, rid bigint, start int, weight bigint, bytes binary")
-
-
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """place, rid, start, stop: runs of windows that start anywhere else too; runs may touch."""
+def candidates(rows: DataFrame) -> DataFrame:
+    """row, start, stop, key, weight, hot of the cells that matter, staged. key null: all windows of
+    the cell are repeated. Else its windows are to be merged with those of the key's other
+    cells (counted one by one, if hot)."""
     cells = common.staged(find_cells(rows), "cells")
     keys = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("n > 1").select("key", (F.col("c0") == F.col("c1")).alias("alike"))
     found = common.staged(spread_join(cells, keys, ["key"]), "repeated-cells")
-    same = found.filter("alike").select(*ROW, "start", "stop")
+    common.discard(cells)
     mixed = found.filter("not alike")
-    first = F.min(F.struct(*ROW, "start", "stop")).alias("cell")
+    first = F.min(F.struct("row", "start", "stop")).alias("cell")
     contexts = common.staged(mixed.groupBy("key", "context").agg(F.count(F.lit(1)).alias("weight"), first), "contexts")
     per_key = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least"))
-    equal = spread_join(mixed, contexts.filter("weight > 1").select("key", "context"), ["key", "context"]).select(*ROW, "start", "stop")
-    # a context found once asks; the others of its key answer
-    asked = spread_join(contexts, per_key.filter("least = 1").select("key", "n"), ["key"]).select("key", "weight", "n", "cell.*")
-    loaded = common.staged(with_bytes(asked.filter(F.col("n") <= HOT), rows), "merge")
-    merged = merge_contexts(loaded)
-    hot = asked.filter(F.col("n") > HOT)
-    out = same.unionByName(equal).unionByName(merged)
-    return out if hot.isEmpty() else out.unionByName(count_windows(with_bytes(hot, rows)))
-
-
-def strip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary, what remains) of every row."""
+    equal = spread_join(mixed, contexts.filter("weight > 1").select("key", "context"), ["key", "context"])
+    sure = found.filter("alike").select("row", "start", "stop").unionByName(equal.select("row", "start", "stop"))
+    sure = sure.select("row", "start", "stop", F.lit(None).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("weight"), F.lit(False).alias("hot"))
+    # a context found once asks; one of each of the others of its key answers
+    asked = spread_join(contexts, per_key.filter("least = 1").select("key", "n"), ["key"]).select("cell.*", "key", "weight", (F.col("n") > HOT).alias("hot"))
+    out = common.staged(sure.unionByName(asked), "candidates")
+    common.discard(found), common.discard(contexts)
+    return out
+
+
+def removed_spans(runs, n: int) -> list[list[int]]:
+    """Byte spans that runs of windows cover, joined where they touch."""
+    spans: list[list[int]] = []
+    for start, stop in sorted((r["start"], r["stop"]) for r in runs or ()):
+        a, b = start, min(n, stop + LENGTH - 1)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    return spans
+
+
+RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def strip(docs: DataFrame, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary, what remains; null if not
+    wanted) of every row.
+
+    The texts are dealt by row once: a text none of whose cells is to be merged is finished
+    there; only those that wait for a merge are kept and dealt again."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = rows_of(docs)
-    runs = repeated_windows(rows).groupBy(*ROW).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("runs"))
-
-    def run(batches):
-        for batch in common.slices(batches):
-            out = []
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), common.texts_of(batch), batch.column(2).to_pylist(), strict=True):
-                spans: list[list[int]] = []
-                for r in found or ():
-                    a, b = r["start"], r["stop"] + LENGTH - 1
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(b, spans[-1][1])
-                    else:
-                        spans.append([a, b])
-                edges = [0, *(x for s in spans for x in s), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True))[1:], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    joined = rows.join(runs, ROW, "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    by_row = candidates(rows).groupBy("row").agg(F.collect_list(F.struct("start", "stop", "key", "weight", "hot")).alias("cells"))
+    result = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
+    def finished(doc_id, text: bytes, runs) -> tuple:
+        spans = removed_spans(runs, len(text))
+        edges = [0, *(x for s in spans for x in s), len(text)]
+        kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        return doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None
+
+    def first(batches):
+        for batch in common.slices(batches, "text", 2 << 20):
+            out, id_type = [], batch.column(0).type
+            for doc_id, text, row, cells in zip(batch.column(0).to_pylist(), common.texts_of(batch), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                sure = [{"start": c["start"], "stop": c["stop"]} for c in cells or () if c["key"] is None]
+                asked = [c for c in cells or () if c["key"] is not None]
+                none = (None,) * 5
+                if not asked:
+                    out.append((*finished(doc_id, text, sure), None, None, None, *none[:4], None))
+                    continue
+                out.append((doc_id, *none, row, text, sure, *none[:4], None))
+                out += [(None, *none, row, None, None, c["key"], c["start"], c["weight"], c["hot"], text[c["start"] : c["stop"] + LENGTH - 1]) for c in asked]
+            types = (id_type, *kinds, pa.int64(), pa.binary(), RUNS, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], [*RESULT, "row", "text", "runs", "key", "start", "weight", "hot", "bytes"])
+
+    def second(batches):
+        for batch in common.slices(batches, "text", 2 << 20):
+            out = [finished(d, t, [*(a or ()), *(b or ())]) for d, t, a, b in zip(batch.column(0).to_pylist(), common.texts_of(batch), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True))[1:], kinds, strict=True))], list(RESULT))
+
+    passed = rows.join(by_row, "row", "left").select("doc_id", "text", "row", "cells").mapInArrow(first, f"{result}, row bigint, text binary, runs array<struct<start: int, stop: int>>, key bigint, start int, weight bigint, hot boolean, bytes binary")
+    passed = common.staged(passed, "first-pass")
+    contexts = passed.filter("key is not null").select("key", "row", "start", "weight", "hot", "bytes")
+    merged = merge_contexts(contexts.filter("not hot"))
+    if not (hot := contexts.filter("hot")).isEmpty():
+        merged = merged.unionByName(count_windows(hot))
+    more = merged.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("more"))
+    waiting = passed.filter("text is not null").select("doc_id", "text", "row", "runs")
+    late = waiting.join(more, "row", "left").select("doc_id", "text", "runs", "more").mapInArrow(second, result)
+    return passed.filter("row is null").select(*RESULT).unionByName(late)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return strip(docs).drop("kept")
+    return strip(docs, with_kept=False).drop("kept")

@@ -42,6 +42,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        at = context._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parts(df: DataFrame, least: int = 8) -> int:
     """Partitions for a shuffle by key: the session's setting, at least `least`."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
