@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import lifecycle, retrieval, structure
+
+ALL = {**retrieval.QUERIES, **structure.QUERIES, **lifecycle.QUERIES}
+FLAGSHIP = retrieval.keyword_search
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
