@@ -28,7 +28,7 @@ from . import common
 
 LONGEST = 512
 #: Distinct pieces a task remembers; beyond it, it forgets all and goes on (bounds memory only).
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 NONE = np.int32(2**31 - 1)
 
 #: Characters over which PLAIN and the public pattern agree: ASCII but for control characters
@@ -279,6 +279,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
             ids, counts = own.encode(common.strings_of(rows, text_column))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(own.decode(ids, counts), pa.binary())], [id_column, "ids", "decoded"])
+        own.forget()
+        common.release()
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 
@@ -295,6 +297,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, text_column: str = "text")
             ids, counts = own.encode(common.strings_of(rows, text_column))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(rows.column(i + 1) for i in range(len(names))), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids))], [*names, "n_tokens", "ids"])
+        own.forget()
+        common.release()
 
     return docs.select(text_column, *names).mapInArrow(run, schema)
 
@@ -317,5 +321,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
                 [rows.column(0), pa.array(counts, pa.int64()), pa.array([sha(ids[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)], pa.string()), pa.array([sha(b) for b in back], pa.string()), pa.array([b == t.encode() for b, t in zip(back, texts, strict=True)], pa.bool_())],
                 [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "decodes_back"],
             )
+        own.forget()
+        common.release()
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)

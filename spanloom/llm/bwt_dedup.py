@@ -157,7 +157,7 @@ def merge(a: Shard, b: Shard, depth: int) -> Shard:
 
 def merged_groups(symbols: np.ndarray, shards: int = 2) -> np.ndarray:
     """A number for each read, equal for equal reads: shards are built and merged pairwise."""
-    level = [Shard.build(x) for x in np.array_split(symbols, min(shards, max(2, len(symbols))))]
+    level = [Shard.build(x) for x in np.array_split(symbols, max(2, shards))]
     while len(level) > 1:
         level = [merge(level[i], level[i + 1], symbols.shape[1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     whole = level[0]

@@ -6,6 +6,7 @@ names in its input never reach its plan.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release() -> None:
+    """Give memory back at a task's end: Python workers live on and serve other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     context = df.sparkSession.sparkContext

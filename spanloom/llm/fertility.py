@@ -15,7 +15,6 @@ results; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -44,7 +43,7 @@ FULL_ENTROPY_TOKENS = 256
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Distinct words a task remembers; beyond it, it forgets all and goes on (bounds memory only).
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _class = np.zeros(256, np.uint8)  # 0 first byte of a character, 1 a further byte, 2 white space, 3 symbol, 4-7 first bytes of other scripts
 _class[0x80:0xC0] = 1
@@ -158,6 +157,8 @@ def measures(docs: DataFrame, model: str, id_column: str = "doc_id", text_column
             m["script"] = np.array(SCRIPTS)[m["script"]]
             names = [x.split()[0] for x in MEASURES.split(", ")]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *(pa.array(m[n]) for n in names)], [id_column, lang_column, *names])
+        own.forget()
+        common.release()
 
     return docs.select(id_column, text_column, lang_column).mapInArrow(run, f"`{id_column}` {kinds[id_column]}, `{lang_column}` {kinds[lang_column]}, {MEASURES}")
 
@@ -193,23 +194,19 @@ def judge(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: s
 
 def filtered(docs: DataFrame, model: str, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The rows that the rules keep, all columns; the verdict is computed beside each text, without a join."""
-    schema = ", ".join(f"`{n}` {k}" for n, k in MEASURE_FIELDS)
-
-    @F.pandas_udf(f"struct<{schema}>")
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        own, out = fertility(model), []
-        values = [(t or "").encode() for t in texts]
-        for i in range(0, len(values), 500):
-            m = own.measure(values[i : i + 500])
-            m["script"] = np.array(SCRIPTS)[m["script"]]
-            out.append(pd.DataFrame({n: m[n] for n, _ in MEASURE_FIELDS}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({n: [] for n, _ in MEASURE_FIELDS})
-
     columns = docs.columns
-    names = [n for n, _ in MEASURE_FIELDS]
-    inner = docs.select(F.struct(*columns).alias("row"), measured(F.col(text_column)).alias("m"), F.col(lang_column).alias("lang_"))
-    _, kept = verdict("lang_")
-    return inner.select("row", "lang_", *(F.col(f"m.{n}").alias(n) for n in names)).filter(kept).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+    names = [f"_m_{x.split()[0]}" for x in MEASURES.split(", ")]
 
+    def run(batches):
+        own = fertility(model)
+        for rows in common.slices(batches, text_column, 2 << 20):
+            m = own.measure(common.texts_of(rows, text_column))
+            m["script"] = np.array(SCRIPTS)[m["script"]]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(m[n.removeprefix("_m_")]) for n in names)], [*columns, *names])
+        own.forget()
+        common.release()
 
-MEASURE_FIELDS = tuple(tuple(x.split()) for x in MEASURES.split(", "))
+    out = docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"_m_{x}" for x in MEASURES.split(", "))]))
+    measured = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{lang_column}`").alias("lang_"), *(F.col(n).alias(n.removeprefix("_m_")) for n in names))
+    _, kept = verdict("lang_")
+    return measured.filter(kept).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))

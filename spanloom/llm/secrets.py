@@ -19,7 +19,6 @@ import hashlib
 import math
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,12 +130,17 @@ def redact(text: str | None, mark: str = "<secret>") -> str | None:
 
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """All columns, with secrets of text_column replaced by a mark; rows all stay."""
+    place = docs.columns.index(text_column)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(redact, na_action="ignore")
+    def run(batches):
+        for rows in common.slices(batches, text_column):
+            columns = list(rows.columns)
+            columns[place] = pa.array([redact(t) for t in columns[place].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, docs_columns)
 
-    return docs.withColumn(text_column, clean(F.col(text_column)))
+    docs_columns = docs.columns
+    return docs.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ B, RATE = 1.001, 64.0
 MARGIN, BLOCK = 0.12, 256
 #: (rows of a band, bands) by threshold in percent.
 BANDS = {85: (6, 32), 80: (5, 40)}
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _known: dict[bytes, int] = {}
 
 
@@ -118,11 +118,13 @@ def sketches(docs: DataFrame, k: int, registers: int) -> DataFrame:
 
     def run(batches):
         a, c = multipliers(registers)
-        for rows in common.slices(batches):
+        for rows in common.slices(batches, "text", 2 << 20):
             sets = [shingle_set(t, k) for t in common.texts_of(rows)]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             own = [sketch(s, a, c).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(own, pa.binary())], ["doc_id", "n_shingles", "class", "sketch"])
+        _known.clear()
+        common.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, class binary, sketch binary")
 
@@ -154,6 +156,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, registers: int) -> DataFr
         for rows in common.slices(batches):
             sets = [shingle_set(t, k) for t in common.texts_of(rows)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([sketch(s, a, c).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "sketch", "hashes"])
+        _known.clear()
+        common.release()
 
     found = docs.select(F.col("doc_id").cast("bigint").alias("v"), "text").join(nodes, "v", "left_semi")
     return found.mapInArrow(run, "v bigint, sketch binary, hashes binary")
