@@ -1,0 +1,186 @@
+"""Map-only operators and those over whole texts, against brute force."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from spanloom.llm import bpe, bwt_dedup, fertility, secrets, winnowing
+from spanloom.llm.queries import BYTE_BPE, PIECES
+
+from . import fixtures
+
+PATTERN = public_tokenizers.PATTERN
+RANKS = bpe.load_ranks(BYTE_BPE)
+TIK = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
+ENCODER = bpe.Encoder(RANKS, PATTERN)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=80), max_size=5))
+def test_bpe_equals_the_library(texts):
+    ids, counts = ENCODER.encode(texts)
+    edges = np.concatenate([[0], np.cumsum(counts)]).astype(int)
+    for text, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
+        assert ids[a:b].tolist() == TIK.encode_ordinary(text)
+    assert ENCODER.decode(ids, counts) == [t.encode() for t in texts]
+
+
+def test_bpe_long_pieces():
+    for text in ("a" * 3000, "ab" * 900, "x" * 512, "x" * 513, "the" * 400):
+        assert ENCODER.encode([text])[0].tolist() == TIK.encode_ordinary(text)
+
+
+def test_bpe_query(spark):
+    got = {(r["doc_id"], r["ids_sha256"]) for r in rows(bpe.digests(fixtures.full(spark), BYTE_BPE, PATTERN))}
+    sha = lambda t: hashlib.sha256(np.array(TIK.encode_ordinary(t), "<u4").tobytes()).hexdigest()
+    assert got == {(d, sha(t)) for d, t in fixtures.texts()}
+    assert all(r["decodes_back"] for r in rows(bpe.digests(fixtures.full(spark), BYTE_BPE, PATTERN)))
+    assert rows(bpe.digests(fixtures.empty(spark), BYTE_BPE, PATTERN)) == []
+    kept = bpe.encoded(fixtures.full(spark).drop("ids"), BYTE_BPE, PATTERN).collect()
+    assert len(kept) == len(fixtures.ROWS) and all(r["n_tokens"] == len(r["ids"]) for r in kept)
+
+
+def brute_winnow(text, k, window):
+    hashes = winnowing.gram_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), k).tolist()
+    w, chosen = min(window, len(hashes)), set()
+    top = [h >> 24 for h in hashes]
+    for i in range(len(hashes) - w + 1 if hashes else 0):
+        least = min(top[i : i + w])
+        chosen.add(max(j for j in range(i, i + w) if top[j] == least))
+    return sorted(chosen)
+
+
+def test_winnowing_choice():
+    for text in ("", "a", "abc", "ab" * 100, "x" * 300, fixtures.BASE, fixtures.ROWS[14][1]):
+        at, hashes = winnowing.fingerprint(text, 8, 16)
+        assert at.tolist() == brute_winnow(text, 8, 16)
+    a, b = winnowing.fingerprint("q" * 7 + fixtures.PASSAGE)[1], winnowing.fingerprint(fixtures.PASSAGE + "zz")[1]
+    assert set(a.tolist()) & set(b.tolist())  # a shared run of K + WINDOW - 1
+    same = winnowing.gram_hashes(np.frombuffer("abcabc".encode("utf-32-le"), np.uint32), 3)
+    assert same[0] == same[3] and len(set(same.tolist())) == 3
+
+
+def test_winnowing_query(spark):
+    docs = fixtures.full(spark)
+    got, want = Counter(), Counter()
+    for r in rows(winnowing.compare_with_next(docs)):
+        got[(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"])] += 1
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    order = sorted(fixtures.texts(), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    for i, (d, t) in enumerate(order):
+        nxt, half = order[(i + 1) % len(order)][1], len(t) // 2
+        new = t[: len(t) - half] + nxt[:half]
+        want[(d, len(t), hashlib.sha256(new.encode()).hexdigest(), winnowing.render(*winnowing.fingerprint(t)), winnowing.render(*winnowing.fingerprint(new)))] += 1
+    assert got == want
+    assert rows(winnowing.compare_with_next(fixtures.empty(spark))) == []
+    assert len(rows(winnowing.fingerprints(docs))) == len(fixtures.ROWS)
+
+
+def brute_removed(texts, length):
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        cover = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                cover[i : i + length] = b"\1" * length
+        out.append(cover)
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_bwt_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(bwt_dedup, "HOT", hot)
+    texts = [(d, t.encode()) for d, t in fixtures.texts()]
+    want = Counter()
+    for (d, t), cover in zip(texts, brute_removed([t for _, t in texts], 400), strict=True):
+        kept = bytes(b for b, c in zip(t, cover, strict=True) if not c)
+        spans = len(re.findall(b"\1+", bytes(cover)))
+        want[(d, len(t), sum(cover), spans, hashlib.sha256(kept).hexdigest())] += 1
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(bwt_dedup.digest(fixtures.full(spark))))
+    assert got == want
+    assert rows(bwt_dedup.digest(fixtures.empty(spark))) == []
+
+
+def test_bwt_merge_orders_suffixes():
+    rng = np.random.default_rng(3)
+    for shards in (1, 2, 3, 5):
+        symbols = rng.integers(0, 3, (60, 4)).astype(np.uint64)
+        groups = bwt_dedup.merged_groups(symbols, shards)
+        for i in range(60):
+            for j in range(60):
+                assert (groups[i] == groups[j]) == (symbols[i].tolist() == symbols[j].tolist())
+        assert [tuple(symbols[i]) for i in np.argsort(groups, kind="stable")] == sorted(map(tuple, symbols))  # intervals in order of suffixes
+
+
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = Counter(zip(words, words[1:], words[2:], strict=False))
+    cover = set()
+    for i in range(len(words) - 2):
+        if grams[tuple(words[i : i + 3])] > 1:
+            cover |= {i, i + 1, i + 2}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover), len(words) < 50 or 100 * len(cover) > 50 * len(words)
+
+
+def test_fertility(spark):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = rows(fertility.judge(fixtures.full(spark), PIECES))
+    assert Counter((r["doc_id"], *(r[n] for n in names)) for r in got) == Counter((d, *brute_quality(t)) for d, t in fixtures.texts())
+    assert not any(r["kept"] and r["base_failed"] for r in got)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert kept[1] and kept[4] and not kept[6] and not kept[13]
+    assert rows(fertility.judge(fixtures.empty(spark), PIECES)) == []
+    stay = rows(fertility.filtered(fixtures.full(spark), PIECES))
+    assert Counter(r["doc_id"] for r in stay) == Counter(r["doc_id"] for r in got if r["kept"]) and set(stay[0]) == set(fixtures.full(spark).columns)
+
+
+def test_fertility_bands(spark):
+    good, noise = fixtures.prose(100, 9), "".join(chr(0x2400 + i % 40) + " " for i in range(200))
+    got = {r["doc_id"]: r for r in rows(fertility.judge(spark.createDataFrame([(1, good, "en"), (2, noise, "en"), (3, "aa bb cc dd " * 2 + "ee " * 60, "en")], "doc_id long, text string, lang string"), PIECES))}
+    assert got[1]["kept"] and got[2]["byte_share"] > 0.5
+    assert not got[3]["kept"]
+
+
+def brute_secrets(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        out += [(m.start(), 0, "assign", m.end())] * (len(m[2]) >= 12)
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
+
+
+def test_secrets(spark):
+    got = rows(secrets.digest(fixtures.full(spark)))
+    want = Counter((d, hashlib.sha256(",".join(brute_secrets(t)).encode()).hexdigest()) for d, t in fixtures.texts())
+    assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == want
+    by = {r["doc_id"]: r for r in got}
+    assert by[15]["n_assign"] == 1 and by[15]["n_access"] == 1 and by[15]["n_hex"] == 1
+    assert by[16]["n_entropy"] == 1 and by[1]["n_entropy"] == 0 and by[17]["n_entropy"] == 0
+    assert rows(secrets.digest(fixtures.empty(spark))) == []
+    clean = {r["doc_id"]: r["text"] for r in rows(secrets.redacted(fixtures.full(spark)))}
+    assert "hunter2hunter2" not in clean[15] and "x7Kq9ZpL2mVt8RwB4nYs6JdF" not in clean[16] and clean[1] == fixtures.BASE and clean[6] is None
+
+
+def test_entropy_counts_follow_the_window():
+    value = "x7Kq9ZpL2mVt8RwB4nYs6JdFaaaaaaaaaaaaaaaaaaaaaaaaa"
+    spans = secrets.entropy_spans(value)
+    assert spans and spans[0][0] == 0 and spans[0][1] < len(value) - 10
+    assert secrets.entropy_spans("a1" * 30) == [] and secrets.entropy_spans("short1A") == []
