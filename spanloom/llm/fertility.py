@@ -26,8 +26,8 @@ from .bpe import Flat
 #: Least and most characters per token, most byte-fallback share, least entropy in bits. The bands are
 #: wide: they are to catch wrong encodings, wrong languages, noise and repetition, not rare vocabulary.
 LANGUAGE_BANDS = {
-    "en": (1.6, 9.0, 0.10, 4.6),
-    "de": (1.5, 9.0, 0.10, 4.6),
+    "en": (1.5, 9.0, 0.10, 4.6),
+    "de": (1.4, 9.0, 0.10, 4.6),
     "fr": (1.4, 9.0, 0.10, 4.6),
     "es": (1.4, 9.0, 0.10, 4.6),
 }
