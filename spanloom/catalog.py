@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import lifecycle, retrieval, structure
+from .plans import lifecycle, retrieval, sources, structure
 
-ALL = {**retrieval.QUERIES, **structure.QUERIES, **lifecycle.QUERIES}
+ALL = {**retrieval.QUERIES, **structure.QUERIES, **lifecycle.QUERIES, **sources.QUERIES}
 FLAGSHIP = retrieval.keyword_search
 
 
