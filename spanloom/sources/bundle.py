@@ -11,7 +11,7 @@ SKIPPED_NAMES, SKIPPED_FOLDERS = ("index.md", "log.md"), (".obsidian", ".staging
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, front (text or null), body, error: every document file of a bundle; malformed ones are marked, not fatal."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     rows = files.select(F.input_file_name().alias("path"), F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")).alias("value"))
     name = F.element_at(F.split("path", "/"), -1)
     rows = rows.filter(~name.isin(*SKIPPED_NAMES) & ~F.col("path").rlike("/(" + "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS) + ")/"))
@@ -39,7 +39,7 @@ def front_fields(front):
 
 def paragraphs(rows: DataFrame, key: str, body: str = "body") -> DataFrame:
     """key, number (P1, P2, ...), heading, text: blocks between blank lines under their last heading."""
-    blocks = rows.select(key, F.posexplode(F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda b: F.trim(b)), lambda b: b != "")).alias("at", "block"))
+    blocks = rows.select(key, F.posexplode(F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda b: F.regexp_replace(b, r"\A\s+|\s+\z", "")), lambda b: b != "")).alias("at", "block"))
     w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     is_heading = F.col("block").rlike("^#+ ")
     with_heading = blocks.withColumn("heading", F.last(F.when(is_heading, F.regexp_replace("block", r"(?s)^#+ +([^\n]*).*", "$1")), ignorenulls=True).over(w))
