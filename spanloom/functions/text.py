@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Markers of a question about structure, in order of tests.
-STRUCTURE_WORDS = ("chapter", "section", "page", "heading", "table of contents", "overview")
+#: Phrases that mark a question about structure.
+STRUCTURE_PHRASES = ("section structure", "document outline", "table of contents", "chapter hierarchy")
 
 
 def collapsed(text: Column) -> Column:
@@ -53,15 +53,16 @@ def term_jaccard(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), F.when(shared > 1, plain * 1.2).otherwise(plain))
 
 
-def query_kind(text: Column) -> Column:
-    """keyword, vector or tree: the first rule that fits decides."""
-    clean = collapsed(text)
-    words = F.size(F.filter(F.split(clean, " "), lambda w: w != ""))
+def query_kind(column: Column) -> Column:
+    """keyword, vector or tree: the first rule that fits decides; an empty query is vector."""
+    clean = F.regexp_replace(F.coalesce(column, F.lit("")), r"\A\s+|\s+\z", "")
+    words = F.size(F.filter(F.split(clean, r"\s+"), lambda w: w != ""))
     return (
-        F.when(F.lower(clean).rlike("|".join(STRUCTURE_WORDS)), "tree")
+        F.when(clean == "", "vector")
+        .when(F.lower(clean).rlike("|".join(STRUCTURE_PHRASES)), "tree")
         .when(words >= 6, "vector")
-        .when((words == 1) & clean.rlike(r"^[\x{4E00}-\x{9FFF}]{6,}$"), "vector")
-        .when(clean.rlike(r"\p{Nd}"), "keyword")
+        .when((words <= 1) & clean.rlike(r"([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}].*){6}"), "vector")
+        .when(clean.rlike(r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}-\x{2089}]"), "keyword")
         .when(clean.rlike(r"[-/_.]"), "keyword")
         .when(F.length(clean) <= 16, "keyword")
         .otherwise("vector")

@@ -48,15 +48,21 @@ def node_stats(members: DataFrame, key: str, vector: str = "embedding") -> DataF
     return sums.select(key, "support", "centroid", "dispersion", F.coalesce(entropy, F.lit(0.0)).alias("entropy"))
 
 
-def branch_policy(least_support: int = 2, most_dispersion: float = 1.0, most_entropy: float = 3.0):
-    """drill where a node has enough members that lie close together, else keep it."""
-    return F.when((F.col("support") >= least_support) & (F.col("dispersion") <= most_dispersion) & (F.col("entropy") <= most_entropy), "drill").otherwise("keep_parent")
-
-
-def hiro_policy(parent, child, selection: float = 0.5, delta: float = 0.05):
-    """By distances: drill where the child lies beyond `selection` and farther than its parent by `delta`."""
+def branch_policy(least_support: int = 2, dispersion: float = 1.0, entropy: float = 3.0, route=None):
+    """Prune nodes of too little support; route nodes are drilled; else drill where distances are both
+    wide and even, keep the parent where neither, prune between."""
+    wide, even = F.col("dispersion") > dispersion, F.col("entropy") > entropy
+    rest = F.when(wide & even, "drill_down").when(~wide & ~even, "keep_parent").otherwise("prune")
+    rest = rest if route is None else F.when(route, "drill_down").otherwise(rest)
+    return F.when(F.col("support") < least_support, "prune").otherwise(rest)
+
+
+def hiro_policy(parent, child, selection: float = 0.5, delta: float = 0.05, support=None, least_support: int = 1):
+    """By distances to the query: drill where the child lies beyond `selection` and farther than its
+    parent by `delta`; a nearer child keeps the parent; else prune, as with too little support."""
     gain = child - parent
-    return F.when(gain < 0, "keep_parent").when((child > selection) & (gain > delta), "drill").otherwise("keep_parent")
+    out = F.when((gain > delta) & (child > selection), "drill_down").when(gain < 0, "keep_parent").otherwise("prune")
+    return out if support is None else F.when((support > 0) & (support < least_support), "prune").otherwise(out)
 
 
 def hotspot_score(similarity, route, depth, support, is_root):

@@ -64,8 +64,13 @@ def triage(score: Column, auto: float = 0.95, review: float = 0.87) -> Column:
     return F.when(score >= auto, "AUTO").when(score >= review, "REVIEW").otherwise("NEW")
 
 
-def trial_route(coverage: Column, types: Column, samples: Column) -> Column:
-    return F.when(samples < 3, "insufficient").when((coverage >= 0.90) & (types == 1), "rules").when(coverage >= 0.90, "mixed").otherwise("model")
+#: Routes of a batch after its trial.
+ROUTES = ("pure_uie", "llm_then_uie", "llm_primary_uie_assist")
+
+
+def trial_route(coverage: Column, similar: Column, samples: Column) -> Column:
+    """The route of a batch: by likeness of its samples and coverage; null for fewer than three samples."""
+    return F.when(samples < 3, None).when(~similar, ROUTES[2]).when(coverage >= 0.90, ROUTES[0]).otherwise(ROUTES[1])
 
 
 def dictionary_candidates(texts: DataFrame, names: DataFrame, key: str, column: str) -> DataFrame:

@@ -121,10 +121,10 @@ REJECTED_SQL = "SELECT CASE WHEN l_partkey % 11 = 0 THEN 'no part' WHEN l_quanti
 
 def trial_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg((F.col("l_discount") < 0.09).cast("int")).alias("coverage"), F.countDistinct("l_returnflag").alias("types"), F.count(F.lit(1)).alias("samples"))
-    return sums.select("l_suppkey", F.round("coverage", 6).alias("coverage"), entity.trial_route(F.col("coverage"), F.col("types"), F.col("samples")).alias("route"))
+    return sums.select("l_suppkey", F.round("coverage", 6).alias("coverage"), F.coalesce(entity.trial_route(F.col("coverage"), F.col("types") < 3, F.col("samples")), F.lit("rejected")).alias("route"))
 
 
-TRIAL_SQL = """SELECT l_suppkey, round(c, 6) AS coverage, CASE WHEN n < 3 THEN 'insufficient' WHEN c >= 0.9 AND t = 1 THEN 'rules' WHEN c >= 0.9 THEN 'mixed' ELSE 'model' END AS route
+TRIAL_SQL = """SELECT l_suppkey, round(c, 6) AS coverage, CASE WHEN n < 3 THEN 'rejected' WHEN t >= 3 THEN 'llm_primary_uie_assist' WHEN c >= 0.9 THEN 'pure_uie' ELSE 'llm_then_uie' END AS route
 FROM (SELECT l_suppkey, avg((l_discount < 0.09)::INTEGER) AS c, count(DISTINCT l_returnflag) AS t, count(*) AS n FROM lineitem GROUP BY 1)"""
 
 

@@ -122,7 +122,7 @@ SELECT nodes, round(cv, 6) AS cv, round(entropy, 6) AS entropy, round(max_entrop
 
 def node_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = distribution.node_stats(table(spark, sf_dir, "embeddings"), "label")
-    return out.withColumn("policy", distribution.branch_policy(2, 8.0, 12.0)).select("label", "support", F.round("dispersion", 6).alias("dispersion"), F.round("entropy", 6).alias("entropy"), F.round(F.element_at("centroid", 1), 6).alias("first_value"), "policy")
+    return out.withColumn("policy", distribution.branch_policy(2, 8.0, 5.6)).select("label", "support", F.round("dispersion", 6).alias("dispersion"), F.round("entropy", 6).alias("entropy"), F.round(F.element_at("centroid", 1), 6).alias("first_value"), "policy")
 
 
 NODE_STATS_SQL = """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
@@ -130,7 +130,7 @@ c AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2),
 d AS (SELECT vec_id, label, sqrt(sum((x - m) ** 2)) AS d FROM x JOIN c USING (label, i) GROUP BY 1, 2),
 s AS (SELECT label, count(*) AS support, avg(d) AS dispersion, log2(sum(d)) - sum(CASE WHEN d > 0 THEN d * log2(d) END) / sum(d) AS entropy FROM d GROUP BY 1)
 SELECT label, support, round(dispersion, 6) AS dispersion, round(entropy, 6) AS entropy, round(m, 6) AS first_value,
- CASE WHEN support >= 2 AND dispersion <= 8 AND entropy <= 12 THEN 'drill' ELSE 'keep_parent' END AS policy FROM s JOIN c USING (label) WHERE i = 0"""
+ CASE WHEN support < 2 THEN 'prune' WHEN dispersion > 8 AND entropy > 5.6 THEN 'drill_down' WHEN dispersion <= 8 AND entropy <= 5.6 THEN 'keep_parent' ELSE 'prune' END AS policy FROM s JOIN c USING (label) WHERE i = 0"""
 
 
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +149,10 @@ def query_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY_ROUTER_SQL = """WITH q AS (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:turn % 7 + 1], ' ') AS query FROM conversations WHERE role = 'user'),
-c AS (SELECT *, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS clean FROM q), n AS (SELECT *, len(list_filter(string_split(clean, ' '), lambda x: x <> '')) AS words FROM c)
-SELECT conv_id, turn, CASE WHEN regexp_matches(lower(clean), 'chapter|section|page|heading|table of contents|overview') THEN 'tree' WHEN words >= 6 THEN 'vector'
- WHEN words = 1 AND regexp_full_match(clean, '[\\x{4E00}-\\x{9FFF}]{6,}') THEN 'vector' WHEN regexp_matches(clean, '\\p{Nd}') THEN 'keyword' WHEN regexp_matches(clean, '[-/_.]') THEN 'keyword' WHEN length(clean) <= 16 THEN 'keyword' ELSE 'vector' END AS kind,
- words::INTEGER AS words FROM n"""
+c AS (SELECT *, regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS clean, len(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '')) AS words FROM q)
+SELECT conv_id, turn, CASE WHEN clean = '' THEN 'vector' WHEN regexp_matches(lower(clean), 'section structure|document outline|table of contents|chapter hierarchy') THEN 'tree' WHEN words >= 6 THEN 'vector'
+ WHEN words <= 1 AND regexp_matches(clean, '([\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}].*){6}') THEN 'vector' WHEN regexp_matches(clean, '\\p{Nd}') THEN 'keyword' WHEN regexp_matches(clean, '[-/_.]') THEN 'keyword' WHEN length(clean) <= 16 THEN 'keyword' ELSE 'vector' END AS kind,
+ words::INTEGER AS words FROM c"""
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_trigrams(spark):
 
 def test_scalars(spark):
     assert one(spark, text.page_list(F.lit("5-7, 3,6")), text.keyword_list(F.lit(" a,;b；c，")), text.slug(F.lit("Über Ärzte 2!")), text.heading_parts(F.lit("A > B > C")), text.prefixes(F.lit("A > B > C"))) == [[3, 5, 6, 7], ["a", "b", "c"], "berrzte2", ["A", "B", "C"], ["A", "A > B", "A > B > C"]]
-    assert one(spark, *(text.query_kind(F.lit(q)) for q in ("chapter two", "why is the sky so blue", "人工智能的历史", "error 404", "a/b", "cat", "what is machine learning?"))) == ["tree", "vector", "vector", "keyword", "keyword", "keyword", "vector"]
+    assert one(spark, *(text.query_kind(F.lit(q)) for q in (" Table of contents", "why is the sky so blue", "人工智能的历史", "error 404", "a/b", "cat", "what is machine learning?", " "))) == ["tree", "vector", "vector", "keyword", "keyword", "keyword", "vector", "vector"]
     with pytest.raises(Exception, match="reversed"):
         one(spark, text.page_list(F.lit("9-2")))
 
@@ -77,7 +77,7 @@ def test_search_terms(spark):
 def test_decisions(spark):
     df = spark.createDataFrame([(1.2, 0.1, 2.0), (0.0, 0.0, 0.0), (0.7, 1.0, 2.0), (0.7, 1.9, 2.0)], "cv double, entropy double, max_entropy double")
     assert [r["d"] for r in rows(df.select(distribution.decision().alias("d")))] == ["high_concentration", "high_dispersion", "moderate", "high_dispersion"]
-    assert one(spark, *(distribution.hiro_policy(F.lit(p), F.lit(c)) for p, c in ((0.4, 0.6), (0.6, 0.4), (0.55, 0.58)))) == ["drill", "keep_parent", "keep_parent"]
+    assert one(spark, *(distribution.hiro_policy(F.lit(p), F.lit(c)) for p, c in ((0.4, 0.6), (0.6, 0.4), (0.55, 0.58)))) == ["drill_down", "keep_parent", "prune"]
 
 
 def test_greedy_hotspots(spark):
