@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED)
     blocks = [math.ceil(n / BLOCK) for n in own]
     quotas = [(i, min(MOST_PASSES * b, round(t * b / n)), b) for i, (n, t, b) in enumerate(zip(own, wanted, blocks, strict=True)) if n]
     sources = spark.createDataFrame([(i, r["source"], n, t, b) for i, (r, n, t, b) in enumerate(zip(found, own, wanted, blocks, strict=True))], "number int, name string, source_size bigint, target double, blocks bigint")
-    chunks = max(16, sum(r["rows"] for r in found) // 500)
+    chunks = max(16, math.isqrt(sum(r["rows"] for r in found)))  # as many chunks as rows in one: neither level grows faster
     rows = sizes.join(F.broadcast(sources), sizes["source"].eqNullSafe(sources["name"])).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     laid = running_start(rows, "number", "chunk", ["doc_id", "row"], "size")
     length = F.lit(BLOCK).cast("bigint")

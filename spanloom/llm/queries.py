@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, fertility, mixing, pitman_yor, secrets, setsketch, url_reputation, warc, winnowing
+from . import bpe, bwt_dedup, common, fertility, mixing, pitman_yor, secrets, setsketch, url_reputation, warc, winnowing
 from .common import read_table
 
 #: Where the public vocabularies lie; a parameter of every operator that reads one.
@@ -46,7 +46,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
     outcomes = labels.filter(F.col("toxic").isNotNull() | F.col("quality").isNotNull()).select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return url_reputation.judge(read_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    judged = url_reputation.judge(read_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    return judged.withColumns({c: F.round(c, 9) for c in ("bad_rate", "lower_bound")})
 
 
 def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +77,39 @@ def queries() -> dict:
     }
 
 
+WARC_SQL = """WITH q AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+l AS (SELECT payload_digest, payload_bytes, max(page_id) AS leader FROM q WHERE payload_bytes >= 1000 GROUP BY ALL HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> leader THEN leader END AS refers_to,
+ CASE WHEN page_id <> leader THEN NULL ELSE true END AS digest_ok FROM q LEFT JOIN l USING (payload_digest, payload_bytes)"""
+
+_TWO = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
+_STRENGTH = """(SELECT least(greatest(CASE WHEN p > 0 AND p < 1 AND k / n < 1 AND ((bb - b * p) / n / (p * (1 - p)) - k / n) / (1 - k / n) > 0 THEN 1 / (((bb - b * p) / n / (p * (1 - p)) - k / n) / (1 - k / n)) - 1 ELSE 1000 END, 1), 1000)
+ FROM (SELECT sum(bad) / sum(n) AS p, count(*) AS k, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS b, sum(bad * bad / n) AS bb FROM {} WHERE n > 0))"""
+URL_SQL = f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+t AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, regexp_extract(rest, '^[^?#]*') AS hp FROM r),
+parts AS (SELECT page_id, translate(h, '{common.UPPER}', '{common.LOWER}') AS host, substr(hp, length(h) + 1) AS path FROM t),
+seen AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY 1),
+hosts AS (SELECT *, CASE WHEN two IN ({_TWO}) THEN two ELSE labels[-1] END AS suffix, CASE WHEN regexp_matches(host, '^[0-9.]+$|:') THEN host WHEN two IN ({_TWO}) THEN array_to_string(labels[-3:], '.') ELSE two END AS domain FROM
+ (SELECT host, string_split(host, '.') AS labels, array_to_string(string_split(host, '.')[-2:], '.') AS two, sum(coalesce(n, 0)) AS n, sum(coalesce(bad, 0)) AS bad FROM parts LEFT JOIN seen USING (page_id) GROUP BY 1)),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
+ws AS (SELECT coalesce({_STRENGTH.format("suffixes")}, 1000) AS s), wd AS (SELECT coalesce({_STRENGTH.format("domains")}, 1000) AS s), wh AS (SELECT coalesce({_STRENGTH.format("hosts")}, 1000) AS s),
+ms AS (SELECT suffix, (bad + s * m) / (n + s) AS mean FROM suffixes, ws, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS m FROM suffixes)),
+md AS (SELECT domain, bad + s * mean AS alpha, n + s AS total FROM domains JOIN ms USING (suffix), wd),
+mh AS (SELECT host, CASE WHEN n = 0 THEN alpha ELSE bad + s * alpha / total END AS a, CASE WHEN n = 0 THEN total ELSE n + s END AS z FROM hosts JOIN md USING (domain), wh),
+j AS (SELECT page_id, host, path, a / z AS mean, a / z - {url_reputation.Z} * sqrt(a / z * (1 - a / z) / (z + 1)) AS low,
+ CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts JOIN mh USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN host <> '' AND low > {url_reputation.LIMIT} THEN 'block' ELSE 'allow' END AS verdict, round(mean, 9) AS bad_rate, round(low, 9) AS lower_bound FROM j"""
+
+NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 85 * (p.n + q.n - c)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, y FROM reach JOIN e ON r = x),
+c AS (SELECT d AS doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, documents.doc_id = component_id AS kept FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the operators whose whole result SQL can express."""
+    return {"op3_warc": WARC_SQL, "op7_url_filter": URL_SQL, "op9_setsketch": NEAR_SQL}

@@ -79,8 +79,8 @@ def _strength(counts: DataFrame, parent: list[str]) -> DataFrame:
     )
     spread = (F.col("bb") - F.col("b") * F.col("p")) / F.col("nn")
     noise = F.col("members") / F.col("nn")
-    rho = (spread / (F.col("p") * (1 - F.col("p"))) - noise) / (1 - noise)
-    fitted = F.when((F.col("p") > 0) & (F.col("p") < 1) & (noise < 1) & (rho > 0), 1 / rho - 1).otherwise(MOST_STRENGTH)
+    rho = F.try_divide(F.try_divide(spread, F.col("p") * (1 - F.col("p"))) - noise, 1 - noise)
+    fitted = F.when((F.col("p") > 0) & (F.col("p") < 1) & (noise < 1) & (rho > 0), F.try_divide(F.lit(1.0), rho) - 1).otherwise(MOST_STRENGTH)
     return sums.select(*parent, F.least(F.greatest(fitted, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)).alias("strength"))
 
 
