@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import lifecycle, more, retrieval, sources, structure
+from .plans import contracts, lifecycle, more, retrieval, sources, structure
 
-ALL = {**retrieval.QUERIES, **structure.QUERIES, **lifecycle.QUERIES, **sources.QUERIES, **more.QUERIES}
+ALL = {**retrieval.QUERIES, **structure.QUERIES, **lifecycle.QUERIES, **sources.QUERIES, **more.QUERIES, **contracts.QUERIES}
 FLAGSHIP = retrieval.keyword_search
 
 
