@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import distribution, entity, fuse, retrieve, tree
+from ..operators import distribution, entity, fuse, hotspots, retrieve, tree
 from ..sources import bundle, pages
 from .model import HIERARCHY_SQL, SPANS_SQL, hierarchy, spans, table
 
@@ -206,3 +206,29 @@ QUERIES = {
     "hybrid_search": (hybrid_search, None),
     "hit_distribution": (hit_distribution, None),
 }
+
+
+def hybrid_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each market segment, places by mean balance (vectors) and by their orders' priorities (terms)."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    node = F.concat(F.lit("n"), "c_nationkey")
+    vector = customer.groupBy(F.col("c_mktsegment").alias("query_id"), node.alias("node_id")).agg(F.avg("c_acctbal").alias("similarity"))
+    words = customer.join(orders, F.col("c_custkey") == F.col("o_custkey")).filter("o_totalprice > 300000")
+    keyword = words.groupBy(F.col("c_mktsegment").alias("query_id"), node.alias("node_id"), F.col("o_orderpriority").alias("term")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return hotspots.hybrid(vector, keyword, hierarchy(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+HYBRID_HOTSPOTS_SQL = f"""WITH {HIERARCHY_SQL},
+vec AS (SELECT c_mktsegment AS q, 'n' || c_nationkey AS node_id, avg(c_acctbal) AS s FROM customer GROUP BY 1, 2), v AS (SELECT q, node_id, coalesce((s - min(s) OVER p) / nullif(max(s) OVER p - min(s) OVER p, 0), 0.5) AS v FROM vec WINDOW p AS (PARTITION BY q)),
+hit AS (SELECT c_mktsegment AS q, 'n' || c_nationkey AS node_id, o_orderpriority AS term, count(*)::DOUBLE AS s FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000 GROUP BY 1, 2, 3),
+al AS (SELECT q, count(DISTINCT term) AS a FROM hit GROUP BY 1),
+k AS (SELECT q, node_id, greatest(max(s), count(DISTINCT term)::DOUBLE / any_value(a)) AS k, count(DISTINCT term) AS t, any_value(a) > 1 AND count(DISTINCT term) = any_value(a) AS exact FROM (SELECT q, node_id, term, coalesce((s - min(s) OVER p) / nullif(max(s) OVER p - min(s) OVER p, 0), 0.5) AS s FROM hit WINDOW p AS (PARTITION BY q)) JOIN al USING (q) GROUP BY 1, 2),
+b AS (SELECT q, node_id, v, coalesce(k, 0) AS k, coalesce(exact, false) AS exact, coalesce(v >= 0.5, false) AND coalesce(t, 0) >= 1 AS hot FROM v FULL JOIN k USING (q, node_id)),
+sz AS (SELECT parent_node_id AS p, count(*) AS c FROM tree WHERE parent_node_id IS NOT NULL GROUP BY 1),
+par AS (SELECT q, p AS node_id, n / c * 0.5 + av * 0.3 + least(n / 5.0::DOUBLE, 1) * 0.2 AS score, 'cluster_coverage' AS reason FROM (SELECT q, parent_node_id AS p, count(*)::DOUBLE AS n, avg(v) AS av FROM b JOIN tree USING (node_id) WHERE hot AND parent_node_id IS NOT NULL GROUP BY 1, 2) JOIN sz USING (p)
+ WHERE c <= 8 AND n >= 2 AND n / c >= 0.5 AND p IN (SELECT node_id FROM tree WHERE parent_node_id IS NOT NULL)),
+leaf AS (SELECT q, node_id, CASE WHEN exact THEN coalesce(v, 0) * 0.15 + k * 0.85 ELSE coalesce(v, 0) * 0.5 + k * 0.5 END AS score, 'leaf_fallback' AS reason FROM b WHERE (exact OR hot) AND q NOT IN (SELECT q FROM par) AND node_id IN (SELECT node_id FROM tree WHERE parent_node_id IS NOT NULL)),
+near AS (SELECT q, arg_max(node_id, v) AS node_id, max(v) AS score, 'leaf_fallback' AS reason FROM b WHERE v IS NOT NULL AND q NOT IN (SELECT q FROM par UNION ALL SELECT q FROM leaf) GROUP BY 1)
+SELECT q AS query_id, node_id, round(score, 6) AS score, reason, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id)::INTEGER AS place FROM (SELECT * FROM par UNION ALL SELECT * FROM leaf UNION ALL SELECT * FROM near) QUALIFY place <= 3"""
+
+QUERIES["hybrid_hotspots"] = (hybrid_hotspots, HYBRID_HOTSPOTS_SQL)
