@@ -41,7 +41,7 @@ from . import common
 from .components import components, spread_join
 
 B, RATE = 1.001, 64.0
-MARGIN, BLOCK = 0.12, 256
+MARGIN, BLOCK, BLOCK_SHINGLES = 0.12, 256, 2_000_000
 #: (rows of a band, bands) by threshold in percent.
 BANDS = {85: (6, 32), 80: (5, 40)}
 REMEMBERED = 150_000
@@ -184,10 +184,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def within_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join different components of a bucket. members: key, v, c (component)."""
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("sum"))
+    """Links that join different components of a bucket. members: key, v, c (component), size (of the set).
+
+    A bucket has as many blocks as keep one under BLOCK members and BLOCK_SHINGLES shingles."""
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("sum"))
     # buckets of the same members are compared once
-    once = several.filter("c0 < c1").groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    once = several.filter("c0 < c1").withColumn("blocks", blocks).groupBy("n", "sum").agg(F.min("key").alias("key"), F.first("blocks").alias("blocks")).select("key", "blocks")
     placed = spread_join(members, once, ["key"]).withColumn("block", F.pmod(F.xxhash64("v", "key"), F.col("blocks")).cast("int"))
     paired = placed.select("key", "v", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = spread_join(paired.select("key", "v", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), sets, ["v"])
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     every = common.staged(sketches(docs, k, rows * bands), "sketches")
     some = every.filter("class is not null and doc_id is not null")
-    reps = common.staged(some.groupBy("class").agg(F.min("doc_id").cast("bigint").alias("v"), F.first("sketch").alias("sketch")), "classes")
+    reps = common.staged(some.groupBy("class").agg(F.min("doc_id").cast("bigint").alias("v"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")), "classes")
     keys = band_keys(reps, rows, bands)
     hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("hub")).filter("n > 1").select("key", "hub")
     members = common.staged(spread_join(keys, hubs, ["key"]), "members")
@@ -247,7 +250,8 @@ def near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     stars = members.filter("v != hub").select(F.col("hub").alias("u"), "v").distinct()
     links = common.staged(confirm(stars, sets, percent), "links")
     first = components(links)
-    inner = common.staged(within_buckets(with_components(members.select("key", "v"), first), sets, percent), "links")
+    sized = spread_join(members.select("key", "v"), reps.groupBy("v").agg(F.max("size").alias("size")), ["v"])
+    inner = common.staged(within_buckets(with_components(sized, first), sets, percent), "links")
     last = components(first.unionByName(inner)) if not inner.isEmpty() else first
     whole = common.staged(with_components(reps.select("class", "v"), last).groupBy("class").agg(F.min("c").alias("c")), "found")
     joined = every.drop("sketch").join(whole, "class", "left")
