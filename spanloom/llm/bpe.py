@@ -39,6 +39,20 @@ PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|
 SPACE = "\t-\r \x85\xa0  -     　"
 
 
+#: A blank between letters: no piece spans it, so a long text can be cut before it.
+SAFE = re.compile("[A-Za-z](?= [A-Za-z])")
+PART = 1 << 20
+
+
+def parts_of(text: str):
+    """The text in parts of about PART characters, cut where the pattern cuts anyway."""
+    start = 0
+    while len(text) - start > 2 * PART and (m := SAFE.search(text, start + PART)):
+        yield text[start : m.end()]
+        start = m.end()
+    yield text[start:] if start else text
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a .tiktoken file: a base64 token and its rank on each line."""
     with open(path, "rb") as lines:
@@ -238,9 +252,11 @@ class Encoder:
             self.forget()
         index, cuts = [], []
         for text in texts:
-            pieces = (PLAIN if PLAIN_TEXT.fullmatch(text) else self.cut).findall(text)
-            index.append(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
-            cuts.append(len(pieces))
+            cuts.append(0)
+            for part in parts_of(text):
+                pieces = (PLAIN if PLAIN_TEXT.fullmatch(part) else self.cut).findall(part)
+                index.append(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
+                cuts[-1] += len(pieces)
         if self.new:
             self.pieces.extend(*self.merger.encode([p.encode() for p in self.new]))
             self.new.clear()

@@ -44,7 +44,7 @@ from .winnowing import least_positions, powers
 LENGTH, GRAM, GRID = 400, 32, 185
 CORE = LENGTH - GRID + 1
 STRIDE, DEPTH = 200, 2
-HOT, BIN = 1000, 400_000
+HOT, BIN, PIECE = 1000, 400_000, 1 << 21
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -100,7 +100,12 @@ def find_cells(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in common.slices(batches, "text", 3 << 19):
             texts = common.texts_of(batch)
-            document, start, stop, key, context = cells_of(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64))
+            # long texts are cut into pieces that share LENGTH - 1 bytes: a window lies in one piece, and a cell may be cut anywhere
+            pieces = [(i, a, t[a : a + PIECE + LENGTH - 1]) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - LENGTH + 1), PIECE)]
+            first = np.array([a for _, a, _ in pieces], np.int64)
+            piece, start, stop, key, context = cells_of(np.frombuffer(b"".join(p for *_, p in pieces), np.uint8), np.array([len(p) for *_, p in pieces], np.int64))
+            document = np.array([i for i, *_ in pieces], np.int64)[piece]
+            start, stop = start + first[piece], stop + first[piece]
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(document)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], ["row", "start", "stop", "key", "context"])
 
     return rows.select("text", "row").mapInArrow(run, "row bigint, start int, stop int, key bigint, context bigint")

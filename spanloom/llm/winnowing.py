@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, WINDOW = 24, 64
+K, WINDOW, PIECE = 24, 64, 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -82,10 +82,17 @@ def window_choice(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def fingerprint(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen positions and their hashes."""
-    hashes = gram_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), k)
-    at = window_choice(hashes, window)
-    return at, hashes[at]
+    """Chosen positions and their hashes. Long texts go in pieces of PIECE windows, each with the
+    k-grams of its last window; a position that two pieces choose is kept once."""
+    found_at, found = [], []
+    for start in range(0, max(1, len(text) - k - window + 2), PIECE):
+        hashes = gram_hashes(np.frombuffer(text[start : start + PIECE + k + window - 2].encode("utf-32-le"), np.uint32), k)
+        at = window_choice(hashes, window)
+        if found_at and len(at) and found_at[-1][-1] == at[0] + start:
+            at = at[1:]
+        if len(at):
+            found_at.append(at + start), found.append(hashes[at])
+    return (np.concatenate(found_at), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -41,6 +41,17 @@ def test_bpe_long_pieces():
         assert ENCODER.encode([text])[0].tolist() == TIK.encode_ordinary(text)
 
 
+def test_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 50)
+    for text in (fixtures.BASE, "x" * 500, fixtures.ROWS[14][1] * 20, "a b\n\n c  d " * 60):
+        assert list(bpe.parts_of(text)) == [text] or len(list(bpe.parts_of(text))) > 1
+        assert "".join(bpe.parts_of(text)) == text and ENCODER.encode([text])[0].tolist() == TIK.encode_ordinary(text)
+    whole = {t: winnowing.fingerprint(t, 8, 16) for t in (fixtures.BASE, "ab" * 300, "x" * 300, "", "abc")}
+    monkeypatch.setattr(winnowing, "PIECE", 37)
+    for t, (at, hashes) in whole.items():
+        assert [x.tolist() for x in winnowing.fingerprint(t, 8, 16)] == [at.tolist(), hashes.tolist()]
+
+
 def test_bpe_query(spark):
     got = {(r["doc_id"], r["ids_sha256"]) for r in rows(bpe.digests(fixtures.full(spark), BYTE_BPE, PATTERN))}
     sha = lambda t: hashlib.sha256(np.array(TIK.encode_ordinary(t), "<u4").tobytes()).hexdigest()
@@ -99,9 +110,10 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_bwt_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,piece", [(1000, 1 << 21), (1, 700)])
+def test_bwt_dedup(spark, monkeypatch, hot, piece):
     monkeypatch.setattr(bwt_dedup, "HOT", hot)
+    monkeypatch.setattr(bwt_dedup, "PIECE", piece)
     texts = [(d, t.encode()) for d, t in fixtures.texts()]
     want = Counter()
     for (d, t), cover in zip(texts, brute_removed([t for _, t in texts], 400), strict=True):
@@ -172,7 +184,7 @@ def test_secrets(spark):
     want = Counter((d, hashlib.sha256(",".join(brute_secrets(t)).encode()).hexdigest()) for d, t in fixtures.texts())
     assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == want
     by = {r["doc_id"]: r for r in got}
-    assert by[15]["n_assign"] == 1 and by[15]["n_access"] == 1 and by[15]["n_hex"] == 1
+    assert by[15]["n_assign"] == 1 and by[15]["n_access"] == 1 and by[15]["n_hex"] == 2
     assert by[16]["n_entropy"] == 1 and by[1]["n_entropy"] == 0 and by[17]["n_entropy"] == 0
     assert rows(secrets.digest(fixtures.empty(spark))) == []
     clean = {r["doc_id"]: r["text"] for r in rows(secrets.redacted(fixtures.full(spark)))}
