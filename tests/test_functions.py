@@ -166,3 +166,40 @@ def test_bundle(spark, tmp_path):
     bundle.write_collection(vectors_, str(tmp_path / "v"), "c2")
     bundle.write_collection(vectors_.limit(0).union(vectors_), str(tmp_path / "v"), "c1")
     assert len(rows(bundle.read_collection(spark, str(tmp_path / "v"), "c1"))) == 1
+
+
+def test_content(spark):
+    from spanloom.operators import content
+
+    pages_ = spark.createDataFrame([(i, f"p{i}") for i in range(1, 9)], "page_no int, t string")
+    assert [r["page_no"] for r in rows(content.of_pages(pages_, "2-3,7"))] == [2, 3, 7]
+    assert [r["page_no"] for r in rows(content.of_lines(pages_, "7,2", "page_no"))] == [2, 3, 4, 5, 6, 7]
+    leaves = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "p"), ("d", "q"), ("e", "q"), ("p", None), ("q", None)], "chunk_id string, parent_id string")
+    hits_ = spark.createDataFrame([("a", 1.0), ("b", 0.5), ("d", 0.25)], "chunk_id string, score double")
+    assert {(r["chunk_id"], r["score"]) for r in rows(content.merged_leaves(hits_, leaves))} == {("p", 0.75), ("d", 0.25)}
+    df = spark.createDataFrame([('{"a": 1, "text": "x", "c": [{"text": 2, "d": 3}]}',), ("no",), (None,)], "j string")
+    assert [r["j"] for r in rows(df.select(content.without_fields(F.col("j"), ("text",)).alias("j")))] == ['{"a": 1, "c": [{"d": 3}]}', None, None]
+    versions = spark.createDataFrame([("a", "registered"), ("b", "parsed"), ("c", "complete"), ("d", "failed")], "version_id string, status string")
+    after = content.advanced(versions, spark.createDataFrame([("b",), ("c",)], "version_id string"))
+    assert {r["version_id"]: r["status"] for r in rows(after)} == {"a": "parsed", "b": "failed", "c": "complete", "d": "failed"}
+    assert rows(content.counters(after)) == [{"processed": 1, "failed": 1, "total": 4}]
+
+
+def test_contracts(spark):
+    from spanloom.operators import contracts
+
+    fields = lambda **k: F.map_from_arrays(F.array(*(F.lit(x) for x in k)), F.array(*(F.lit(x) for x in k.values())))
+    good = "6be8cbc7-44ce-5f89-a468-5a883a3fcb75"
+    assert one(spark, contracts.front_breach(fields(type="note")), contracts.front_breach(fields(title="x")), contracts.front_breach(fields(type="concept", title="t", timestamp="2024-01-02")), contracts.front_breach(fields(type="entity", title="t", timestamp="2024-13-02", canonical_entity_id=good, entity_type="P")))[:3] == [None, "type is required", None]
+    manifest = lambda md, sc: F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("a.md").alias("markdown_file"), F.sha2(F.lit(md), 256).alias("markdown_sha256"), F.lit("a.json").alias("sidecar_file"), F.sha2(F.lit(sc), 256).alias("sidecar_sha256"), F.lit("h").alias("canonical_hash")))
+    assert one(spark, contracts.manifest_breach(F.lit("m"), F.lit("s"), manifest("m", "s")), contracts.manifest_breach(F.lit("m2"), F.lit("s"), manifest("m", "s")), contracts.manifest_breach(F.lit("m"), F.lit("s"), F.lit("{}"))) == [None, "markdown changed", "manifest has other fields"]
+
+
+def test_hotspots(spark):
+    from spanloom.operators import hotspots
+
+    tree_ = spark.createDataFrame([("r", None), ("p", "r"), ("q", "r"), ("a", "p"), ("b", "p"), ("c", "q")], "node_id string, parent_node_id string")
+    vector = spark.createDataFrame([("x", "a", 0.9), ("x", "b", 0.8), ("x", "c", 0.1), ("y", "c", 0.5), ("z", "a", 0.3), ("z", "c", 0.1)], "query_id string, node_id string, similarity double")
+    keyword = spark.createDataFrame([("x", "a", 1.0, "t"), ("x", "b", 1.0, "t"), ("y", "c", 1.0, "t"), ("y", "c", 1.0, "u")], "query_id string, node_id string, score double, term string")
+    got = {(r["query_id"], r["place"]): (r["node_id"], r["reason"]) for r in rows(hotspots.hybrid(vector, keyword, tree_))}
+    assert got == {("x", 1): ("p", "cluster_coverage"), ("y", 1): ("c", "leaf_fallback"), ("z", 1): ("a", "leaf_fallback")}
