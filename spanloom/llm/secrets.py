@@ -36,6 +36,9 @@ WINDOW = 20
 #: the mean is about 3.3, 3.8 and 4.0 bits.
 BOUNDS = {"hex": 2.9, "base36": 3.5, "base64": 3.7}
 CLASSES = {"hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
+#: Least digits of a window; a base 64 window needs letters of both cases besides, so that names of words
+#: joined by hyphens, paths and dates don't count.
+LEAST_DIGITS = {"hex": 2, "base36": 3, "base64": 2}
 #: Text just before, or the value itself, that marks something public.
 ALLOW_BEFORE = re.compile(r"(sha1|sha256|sha512|md5|sha|digest|checksum|etag|integrity|commit|rev)[:=\s\"'-]{1,4}\Z", re.I | re.A)
 ALLOW_VALUE = re.compile(r"(?i)example|placeholder|changeme|your[_-]|xxxx|0{8}|\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z")
@@ -48,10 +51,10 @@ def entropy_spans(value: str) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     for name, letters in CLASSES.items():
         inside, counts, run, total = set(letters), {}, 0, 0.0
-        digits = alphas = 0
+        digits = uppers = lowers = 0
         for i, c in enumerate(value):
             if c not in inside:
-                counts, run, total, digits, alphas = {}, 0, 0.0, 0, 0
+                counts, run, total, digits, uppers, lowers = {}, 0, 0.0, 0, 0, 0
                 continue
             if run == WINDOW:
                 old = value[i - WINDOW]
@@ -59,15 +62,17 @@ def entropy_spans(value: str) -> list[tuple[int, int]]:
                 counts[old] = n - 1
                 total += _step[n - 1] - _step[n]
                 digits -= old.isdigit()
-                alphas -= old.isalpha()
+                uppers -= old.isupper()
+                lowers -= old.islower()
             else:
                 run += 1
             n = counts.get(c, 0)
             counts[c] = n + 1
             total += _step[n + 1] - _step[n]
             digits += c.isdigit()
-            alphas += c.isalpha()
-            if run == WINDOW and digits >= 2 and alphas >= 2 and math.log2(WINDOW) - total / WINDOW >= BOUNDS[name]:
+            uppers += c.isupper()
+            lowers += c.islower()
+            if run == WINDOW and digits >= LEAST_DIGITS[name] and lowers and (uppers or name != "base64") and math.log2(WINDOW) - total / WINDOW >= BOUNDS[name]:
                 start = i + 1 - WINDOW
                 if found and found[-1][0] <= start <= found[-1][1]:
                     found[-1] = (found[-1][0], max(found[-1][1], i + 1))

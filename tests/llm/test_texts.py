@@ -195,4 +195,5 @@ def test_entropy_counts_follow_the_window():
     value = "x7Kq9ZpL2mVt8RwB4nYs6JdFaaaaaaaaaaaaaaaaaaaaaaaaa"
     spans = secrets.entropy_spans(value)
     assert spans and spans[0][0] == 0 and spans[0][1] < len(value) - 10
+    assert secrets.entropy_spans("well-known-2024-paper/of-many-names") == [] and secrets.entropy_spans("q8zk3vt9xw2mb7jr4hfy") == [(0, 20)]
     assert secrets.entropy_spans("a1" * 30) == [] and secrets.entropy_spans("short1A") == []
