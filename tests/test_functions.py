@@ -203,3 +203,22 @@ def test_hotspots(spark):
     keyword = spark.createDataFrame([("x", "a", 1.0, "t"), ("x", "b", 1.0, "t"), ("y", "c", 1.0, "t"), ("y", "c", 1.0, "u")], "query_id string, node_id string, score double, term string")
     got = {(r["query_id"], r["place"]): (r["node_id"], r["reason"]) for r in rows(hotspots.hybrid(vector, keyword, tree_))}
     assert got == {("x", 1): ("p", "cluster_coverage"), ("y", 1): ("c", "leaf_fallback"), ("z", 1): ("a", "leaf_fallback")}
+
+
+def test_engine(spark):
+    from spanloom.engine import Engine
+
+    spans = spark.createDataFrame([("s1", "the red fox", "a > b", 0, 1, 0), ("s2", "a blue fox", "a > c", 0, 2, 0), ("s3", "green", "a", 0, 3, 0)], "span_id string, raw_text string, heading_path string, start_offset int, doc_id int, ordinal int")
+    nodes = spark.createDataFrame([("n1", 1, "a > b", "the red fox")], "node_id string, level_no int, heading_path string, summary_text string")
+    vectors_ = spark.createDataFrame([(1, [1.0, 0.0], "east", "e"), (2, [0.0, 1.0], "north", "n")], "vec_id int, embedding array<double>, text string, heading_path string")
+    engine = Engine(spans, nodes, vectors_, lambda q: [0.0, 2.0])
+    assert [r["key"] for r in rows(engine.query("fox", "keyword"))] == ["s1", "s2"]
+    assert [(r["key"], r["ordinal"]) for r in rows(engine.query("what does lie to the north", "auto", 1))] == [("2", 1)]
+    top = rows(engine.query("red fox", "hybrid"))[0]
+    assert top["text"] == "the red fox" and top["path"] == "keyword,tree" and top["ordinal"] == 1
+    assert engine.answer("fox")[:2] == ("keyword", "a blue fox") or engine.answer("fox")[:2] == ("keyword", "the red fox")
+    assert engine.answer("nothing", "keyword")[1] == ""
+    for bad in (("x", "odd", 5), (" ", "keyword", 5), ("x", "keyword", 0)):
+        with pytest.raises(ValueError):
+            engine.query(*bad)
+    assert Engine(spans).route("what does lie to the north") == "keyword"
