@@ -83,7 +83,7 @@ def dictionary_candidates(texts: DataFrame, names: DataFrame, key: str, column:
 def linked_nodes(mentions: DataFrame, node_spans: DataFrame, ledger: DataFrame, version_id: str) -> DataFrame:
     """node_id, entity_id, mention_text, action for a version's mentions: `claim` new pairs, `rewrite` its own,
     `preserve` pairs that nobody or another version owns. The mention of the smallest id gives the text."""
-    pairs = mentions.join(node_spans, "span_id").groupBy("node_id", "entity_id").agg(F.min_by("mention_text", "mention_id").alias("mention_text"))
+    pairs = mentions.join(node_spans, "span_id").groupBy("node_id", "entity_id").agg(F.min(F.struct("mention_id", "mention_text"))["mention_text"].alias("mention_text"))
     owners = ledger.groupBy("node_id", "entity_id").agg(F.array_sort(F.collect_set("owner_version")).alias("owners"))
     own = F.col("owners") == F.array(F.lit(version_id))
     return pairs.join(owners, ["node_id", "entity_id"], "left").withColumn("action", F.when(F.col("owners").isNull(), "claim").when(own, "rewrite").otherwise("preserve")).drop("owners")

@@ -97,7 +97,7 @@ def link_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.linked_nodes(mentions, node_spans, ledger, "v1")
 
 
-OWNERSHIP_SQL = """WITH p AS (SELECT p_type AS node_id, l_suppkey AS entity_id, strftime(arg_min(l_shipdate, l_orderkey * 8 + l_linenumber), '%Y-%m-%d %H:%M:%S') AS mention_text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+OWNERSHIP_SQL = """WITH p AS (SELECT p_type AS node_id, l_suppkey AS entity_id, strftime((min({'a': l_orderkey * 8 + l_linenumber, 'b': l_shipdate})).b, '%Y-%m-%d %H:%M:%S') AS mention_text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
 SELECT *, CASE WHEN node_id NOT IN ('LARGE', 'SMALL', 'PROMO') OR entity_id % 2 = 1 THEN 'claim' WHEN entity_id % 4 = 0 THEN 'rewrite' ELSE 'preserve' END AS action FROM p"""
 
 
