@@ -15,13 +15,18 @@ most. Tasks exchange packed arrays, not a row a token:
 2. Buckets add up the training counts of pairs and ask the words' services for what lies
    in other buckets: the word's count, its number of contexts (its customers at the
    parent, one table a context at first), and the number of words seen after it.
-3. Gibbs: every sweep seats the customers of each pair anew by the Chinese-restaurant rule
-   (an old table by size less discount, a new one by the strength of the restaurant and
-   the parent's probability), all restaurants side by side given the counts of the last
-   exchange. The tables of SWEEPS sweeps are averaged; services add them up and seat the
-   parent's customers in the same way.
-4. With the averaged tables of all levels, which sum to a proper distribution, buckets
-   score their pairs and add them up by document.
+3. Gibbs: the state is the sizes of the tables of every pair (at its bucket) and of every
+   word (at its service), carried from sweep to sweep in the exchanged tables; it starts
+   with one table each. A sweep takes the customers of each pair away one after the other
+   and seats them again given all others of the pair (an old table by size less discount,
+   a new one by the strength of the restaurant, its tables and the parent's probability).
+   Pairs go side by side: tables of other pairs and the parent are those of the last
+   exchange, which follows every sweep. Services then let the customers of lost tables
+   go, seat those of new ones and do a sweep of their own. A pair (word) of over GROUPS
+   customers takes them away in GROUPS groups, each seated side by side given the rest.
+4. BURN_IN sweeps are left out. After each of the SWEEPS sweeps that follow, the tables of
+   all levels give predictive probabilities, which sum to 1; buckets score their pairs with
+   the mean over these sweeps and add them up by document.
 
 Draws come from counters hashed with the words, so a pair is seated alike wherever and
 however often a task computes it; reruns and lost executors change nothing. Discounts
@@ -40,14 +45,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
-BATCH, SERVICES, SWEEPS, BURN_IN = 8 << 20, 512, 3, 1
+BATCH, SERVICES, SWEEPS, BURN_IN = 8 << 20, 512, 3, 2
+#: Most steps of a sweep, and customers that are expanded at once (one pair or word of more goes alone).
+GROUPS, EXPANDED = 256, 1 << 20
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 END = 0x5851F42D4C957F2D
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -97,35 +106,114 @@ def is_held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 1
 
 
-def seated(customers: np.ndarray, mass: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of one word each when its customers are seated in turn: a new table with the odds
-    mass : (seated - discount * tables). From the ninth customer on, an eighth as many as sit
-    are seated at once, with a binomial number of new tables by its normal limit or, for few,
-    by chance of one."""
-    tables = np.minimum(customers, 1).astype(np.float64)
-    live = np.flatnonzero(customers > 1)
-    n, c, t, m, k = np.ones(len(live)), customers[live].astype(np.float64), np.ones(len(live)), mass[live], key[live]
-    step = 0
-    while len(live):
-        group = np.minimum(np.maximum(1.0, np.floor(n / 8)), c - n)
-        p = m / (np.maximum(n - discount * t, 1e-9) + m)
-        draw = common.mix64(k + np.uint64(int(GOLD) * ((sweep << 16) + step + 1) % (1 << 64)))
-        u = (draw >> np.uint64(11)).astype(np.float64) / 2.0**53
-        mean = group * p
-        whole = np.floor(mean)
-        t = np.minimum(t + whole + (u < mean - whole), n + group)
-        n = n + group
-        step += 1
-        done = n >= c
-        if done.any():
-            tables[live[done]] = t[done]
-            live, n, c, t, m, k = (x[~done] for x in (live, n, c, t, m, k))
-    return tables
-
-
-def seatings(customers, mass, discount, key) -> np.ndarray:
-    """Tables summed over the sweeps after the first ones: whole numbers, that pack well and add up exactly."""
-    return sum(seated(customers, mass, discount, key, s) for s in range(BURN_IN, BURN_IN + SWEEPS))
+def uniform(key: np.ndarray, sweep: int, turn: int, place: np.ndarray) -> np.ndarray:
+    """64 random bits for each (key, sweep, turn, place)."""
+    return common.mix64(common.mix64(key + np.uint64(int(GOLD) * ((sweep << 12) + turn + 1) % (1 << 64))) + place.astype(np.uint64) * GOLD)
+
+
+def thinned(tables: np.ndarray, sizes: np.ndarray, lost: np.ndarray, key: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and sizes after `lost` customers of each item, drawn alike, are gone."""
+    item = np.repeat(np.arange(len(tables)), tables)
+    hit = np.flatnonzero(lost[item] > 0)
+    if len(hit):
+        slot = np.repeat(hit, sizes[hit])
+        own = item[slot]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        counts = np.diff(np.append(first, len(own)))
+        draw = uniform(key[own], sweep, 4095, np.arange(len(own)) - np.repeat(first, counts))
+        order = np.lexsort((draw, own))
+        rank = np.arange(len(own)) - np.repeat(first, counts)
+        sizes = sizes - np.bincount(slot[order][rank < lost[own]], minlength=len(sizes)).astype(np.int64)
+    return np.bincount(item[sizes > 0], minlength=len(tables)).astype(np.int64), sizes[sizes > 0]
+
+
+def reseated(tables, sizes, fresh, outside, strength: float, discount: float, base, key, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """A Gibbs sweep over the customers of items (pairs or words). Each item has `tables`
+    tables of the given sizes, one item's after the other's, and `fresh` customers not
+    seated yet, that go first; `outside` tables of its restaurant belong to other items.
+    A new table has the mass (strength + discount * all tables) * base. Tables and sizes after it."""
+    tables, sizes = tables.astype(np.int64), sizes.astype(np.int64)
+    ends = np.cumsum(tables)
+    seated = np.bincount(np.repeat(np.arange(len(tables)), tables), sizes, minlength=len(tables)).astype(np.int64)
+    total = np.cumsum(seated + fresh)
+    out, at = [], 0
+    while at < len(tables):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + EXPANDED, side="right")))
+        cut = slice(at, stop)
+        out.append(_swept(tables[cut], sizes[ends[at] - tables[at] : ends[stop - 1]], fresh[cut].astype(np.int64), seated[cut], outside[cut], strength, discount, base[cut], key[cut], sweep))
+        at = stop
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*(x[0] for x in out), none]), np.concatenate([*(x[1] for x in out), none])
+
+
+def _swept(tables, sizes, fresh, seated, outside, strength, discount, base, key, sweep):
+    items, slots = len(tables), len(sizes)
+    owner = np.repeat(np.arange(items), tables)
+    customers = seated + fresh
+    start = np.cumsum(customers) - customers
+    # the table of each customer, -1 before it has one; a customer at x that opens one gives it the slot slots + x
+    order = np.argsort(np.concatenate([np.arange(items), owner]), kind="stable")
+    table = np.repeat(np.concatenate([np.full(items, -1), np.arange(slots)])[order], np.concatenate([fresh, sizes])[order])
+    # in random order: one that followed the tables would favour some
+    of = np.repeat(np.arange(items), customers)
+    bits = np.uint64(items.bit_length() + 1)
+    draw = uniform(key[of], sweep, 4094, np.arange(len(of)) - start[of]) >> bits
+    high = (of.astype(np.uint64) << np.uint64(1)) | (table >= 0).astype(np.uint64)
+    table = table[np.argsort(high << (np.uint64(64) - bits) | draw)]
+    size = np.concatenate([sizes, np.zeros(len(table), np.int64)])
+    t, seated = tables.copy(), seated.copy()
+    group = -(-customers // GROUPS)
+    steps = np.where(customers > 1, -(-customers // group), 0)
+    by_steps = np.argsort(-steps, kind="stable")
+    live_at = np.searchsorted(-steps[by_steps], -np.arange(1, int(steps.max(initial=0)) + 1), side="right")
+    for step, live in enumerate(live_at):
+        own = by_steps[:live]
+        begin = group[own] * step
+        length = np.minimum(group[own], customers[own] - begin)
+        single = int(length.max()) == 1
+        it, place = (own, begin) if single else (np.repeat(own, length), common.ranges(begin, length))
+        x = start[it] + place
+        old = table[x]
+        had = old >= 0
+        left, of = old[had], it[had]
+        if single:
+            size[left] -= 1
+            t[of] -= size[left] == 0
+            seated[of] -= 1
+        else:
+            np.subtract.at(size, left, 1)
+            left, first = np.unique(left, return_index=True)
+            np.subtract.at(t, of[first], (size[left] == 0).astype(np.int64))
+            np.subtract.at(seated, of, 1)
+        table[x] = -1
+        mass = (strength + discount * (outside[own] + t[own])) * base[own]
+        chance = mass / (seated[own] - discount * t[own] + mass)
+        new = (uniform(key[it], sweep, 0, place) >> np.uint64(11)).astype(np.float64) / 2.0**53 < (chance if single else np.repeat(chance, length))
+        chosen = slots + x
+        todo, turn = np.flatnonzero(~new), 1
+        after, rest = begin + length, customers[own] - length
+        if not single:
+            after, rest = np.repeat(after, length), np.repeat(rest, length)
+        while len(todo):
+            # a table by size is that of any other customer; it is kept by the odds size - discount : discount
+            draw = uniform(key[it[todo]], sweep, turn, place[todo])
+            ahead = ((draw >> np.uint64(24)).astype(np.float64) / 2.0**40 * rest[todo]).astype(np.int64)
+            pick = table[start[it[todo]] + (after[todo] + ahead) % customers[it[todo]]]
+            keep = (pick >= 0) & ((draw & np.uint64(0xFFFFFF)).astype(np.float64) / 2.0**24 * size[pick] < size[pick] - discount)
+            chosen[todo[keep]] = pick[keep]
+            todo, turn = todo[~keep], turn + 1
+        table[x] = chosen
+        if single:
+            size[chosen] += 1
+            t[it] += new
+            seated[it] += 1
+        else:
+            np.add.at(size, chosen, 1)
+            np.add.at(t, it, new.astype(np.int64))
+            np.add.at(seated, it, 1)
+    held = np.flatnonzero(size > 0)
+    owner = np.concatenate([owner, np.repeat(np.arange(items), customers)])[held]
+    return t, size[held[np.argsort(owner, kind="stable")]]
 
 
 def discount_of(once: float, twice: float) -> float:
@@ -167,32 +255,32 @@ class Bucket:
         order = np.argsort(self.service, kind="stable")
         return np.split(order, np.searchsorted(self.service[order], np.arange(1, services)))
 
-    def placed(self, answers: dict[int, list[np.ndarray]], services: int, i: int) -> np.ndarray:
-        out = np.zeros(len(self.words))
-        for s, at in enumerate(self.shares(services)):
-            out[at] = answers[s][i]
-        return out
 
+def settings_of(totals: np.ndarray) -> np.ndarray:
+    """Training tokens, vocabulary and the discounts of parent and restaurants."""
+    n, v, m1, m2, n1, n2 = totals.astype(np.float64)
+    return np.array([n, v, discount_of(m1, m2), discount_of(n1, n2)])
 
-def answers_of(table: pa.Table, kind: int) -> dict[int, list[np.ndarray]]:
-    return {s: unpack(b) for s, k, b in zip(table.column("service").to_pylist(), table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True) if k == kind}
 
-
-def first_state(bucket: Bucket, answers: pa.Table, services: int):
-    """Counts of the first exchange, hyperparameters, and each pair's tables over all sweeps."""
-    got = answers_of(answers, 1)
-    n, v, tables0, m1, m2, n1, n2 = np.sum([x[3] for x in got.values()], 0).astype(np.float64)
-    count, contexts, follow = (bucket.placed(got, services, i) for i in range(3))
-    d1, d0 = discount_of(n1, n2), discount_of(m1, m2)
-    # at first every word has one table at the parent
-    parent = (contexts - d0 * (contexts > 0) + (PARENT_STRENGTH + d0 * v) / (v + 1)) / (PARENT_STRENGTH + tables0)
-    mass = (STRENGTH + d1 * follow[bucket.u]) * parent[bucket.w]
-    return n, v, d0, d1, count, seatings(bucket.count, mass, d1, bucket.key)
+def parent_of(contexts, tables, customers, all_tables, v: float, d0: float) -> np.ndarray:
+    return (contexts - d0 * tables + (PARENT_STRENGTH + d0 * all_tables) / (v + 1)) / (PARENT_STRENGTH + customers)
 
 
 E_SCHEMA = "bucket int, batch bigint, header boolean, blob binary"
-ASK_SCHEMA = "service int, bucket int, blob binary"
-ANSWER_SCHEMA = "bucket int, service int, kind int, blob binary"
+#: Keys below the number of services are services, the others buckets.
+ROW_SCHEMA = "key int, kind int, origin int, sweep int, blob binary"
+ASK_FIRST, MODEL, ANSWER_FIRST, STATE, PARENT, ASK, ANSWER = range(7)
+
+
+def table_of(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table({n: pa.array(c, pa.binary() if n == "blob" else pa.int32()) for n, c in zip(("key", "kind", "origin", "sweep", "blob"), columns, strict=True)})
+
+
+def blobs_of(table: pa.Table, kind: int, sweep: int | None = None) -> dict[int, list[np.ndarray]]:
+    """Arrays by origin, in its order."""
+    rows = zip(*(table.column(c).to_pylist() for c in ("origin", "kind", "sweep")), table.column("blob"), strict=True)
+    return dict(sorted((o, unpack(b.as_py())) for o, k, s, b in rows if k == kind and sweep in (None, s)))
 
 
 def pairs_of(texts: list[bytes], doc_ids: list, grid: tuple[int, int]):
@@ -271,68 +359,103 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         number = table.column("bucket")[0].as_py()
         b = Bucket(table, services)
-        seen = (b.count > 0).astype(np.int64)
+        seen, many = (b.count > 0).astype(np.int64), b.count > 1
         count, contexts, follow = (b.by_word(*x).astype(np.int64) for x in ((b.w, b.count), (b.w, seen), (b.u, seen)))
         own = np.array([(b.count == 1).sum(), (b.count == 2).sum()])
-        blobs = [pack(pack_words(b.words[at]), count[at], contexts[at], follow[at], own * (s == number % services)) for s, at in enumerate(b.shares(services))]
-        return pa.table({"service": pa.array(range(services), pa.int32()), "bucket": pa.array([number] * services, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    def summed(table: pa.Table, columns: int):
-        asked = [unpack(x) for x in table.column("blob").to_pylist()]
-        words = [np.cumsum(x[0], dtype=np.uint64) for x in asked]
-        every, place = np.unique(np.concatenate(words), return_inverse=True)
-        sums = [np.bincount(place, np.concatenate([x[i] for x in asked]), minlength=len(every)) for i in range(1, columns + 1)]
-        ends = np.cumsum([0, *(len(w) for w in words)])
-        return asked, every, sums, [place[a:z] for a, z in zip(ends, ends[1:], strict=False)]
-
-    def answered(table: pa.Table, number: int, blobs: list[bytes]) -> pa.Table:
-        n = table.num_rows
-        return pa.table({"bucket": table.column("bucket"), "service": table.column("service"), "kind": pa.array([number] * n, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        shares = b.shares(services)
+        rows = [(s, ASK_FIRST, number, 0, pack(pack_words(b.words[at]), count[at], contexts[at], follow[at], own * (s == number % services))) for s, at in enumerate(shares)]
+        # the pairs of over one customer, with words by service; a pair of one has one table for ever
+        order = np.concatenate(shares)
+        rank = np.zeros(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        lone = [x[order] - np.bincount(y[many], minlength=len(order))[order] for x, y in ((contexts, b.w), (follow, b.u))]
+        rows.append((services + number, MODEL, number, 0, pack(np.array([len(x) for x in shares]), rank[b.u[many]], rank[b.w[many]], b.count[many], b.key[many] >> np.uint64(32), *lone)))
+        return table_of(rows)
 
     def serve_first(table: pa.Table) -> pa.Table:
-        asked, every, (count, contexts, follow), places = summed(table, 3)
-        n1, n2 = np.sum([x[4] for x in asked], 0)
-        totals = np.array([count.sum(), (count > 0).sum(), contexts.sum(), (contexts == 1).sum(), (contexts == 2).sum(), n1, n2]).astype(np.int64)
-        count, contexts, follow = (x.astype(np.int64) for x in (count, contexts, follow))
-        return answered(table, 1, [pack(count[p], contexts[p], follow[p], totals) for p in places])
-
-    def seat(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        number = table.column("key")[0].as_py()
+        if number >= services:
+            return table_of([])
+        asked = blobs_of(table, ASK_FIRST)
+        every, place = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked.values()]), return_inverse=True)
+        count, contexts, follow = (np.bincount(place, np.concatenate([x[i] for x in asked.values()]), minlength=len(every)).astype(np.int64) for i in (1, 2, 3))
+        n1, n2 = np.sum([x[4] for x in asked.values()], 0)
+        totals = np.array([count.sum(), (count > 0).sum(), (contexts == 1).sum(), (contexts == 2).sum(), n1, n2]).astype(np.int64)
+        tables = (contexts > 0).astype(np.int64)
+        sums = np.array([contexts.sum(), tables.sum()])
+        places = np.split(place, np.cumsum([len(x[0]) for x in asked.values()])[:-1])
+        rows = [(services + b, ANSWER_FIRST, number, 0, pack(count[p], contexts[p], tables[p], follow[p], sums, totals)) for b, p in zip(asked, places, strict=True)]
+        return table_of([*rows, (number, PARENT, number, 0, pack(tables, contexts[contexts > 0]))])
+
+    def seat(key, left: pa.Table, right: pa.Table, sweep: int) -> pa.Table:
         number = key[0].as_py()
-        b = Bucket(left, services)
-        _, v, d0, _, _, tables = first_state(b, right, services)
-        contexts, follow = b.by_word(b.w, tables), b.by_word(b.u, tables)
-        contexts, follow = (x.astype(np.int64) for x in (contexts, follow))
-        blobs = [pack(contexts[at], follow[at], np.array([v, d0])) for at in b.shares(services)]
-        return pa.table({"service": pa.array(range(services), pa.int32()), "bucket": pa.array([number] * services, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    def serve_second(key, first: pa.Table, table: pa.Table) -> pa.Table:
-        # the words are those of the first question of the same bucket
-        words = dict(zip(first.column("bucket").to_pylist(), (np.cumsum(unpack(x)[0], dtype=np.uint64) for x in first.column("blob").to_pylist()), strict=True))
-        asked = [unpack(x) for x in table.column("blob").to_pylist()]
-        own = [words[b] for b in table.column("bucket").to_pylist()]
-        every, place = np.unique(np.concatenate(own), return_inverse=True)
-        contexts, follow = (np.bincount(place, np.concatenate([x[i] for x in asked]), minlength=len(every)).astype(np.int64) for i in (0, 1))
-        v, d0 = asked[0][2]
-        mass = np.full(len(every), (PARENT_STRENGTH + d0 * v) / (v + 1))
-        tables = seatings(np.round(contexts / SWEEPS).astype(np.int64), mass, d0, common.mix64(every)).astype(np.int64)
-        totals = np.array([contexts.sum(), tables.sum()])
-        ends = np.cumsum([0, *(len(w) for w in own)])
-        return answered(table, 2, [pack(contexts[p], tables[p], follow[p], totals) for p in (place[a:z] for a, z in zip(ends, ends[1:], strict=False))])
+        if number < services:
+            return right.filter(pa.compute.equal(right.column("kind"), PARENT))
+        lengths, u, w, customers, draws, lone_contexts, lone_follow = blobs_of(left, MODEL)[number - services]
+        u, w, draws = u.astype(np.int64), w.astype(np.int64), common.mix64(draws)
+        if sweep == 0:
+            got = list(blobs_of(right, ANSWER_FIRST).values())
+            settings = settings_of(np.sum([x[5] for x in got], 0))
+            got = [x[1:5] for x in got]
+            tables, sizes = np.ones(len(u), np.int64), customers
+        else:
+            got = list(blobs_of(right, ANSWER).values())
+            settings, tables, sizes = blobs_of(right, STATE)[number - services]
+        _, v, d0, d1 = settings
+        contexts, parent_tables, follow = (np.concatenate([x[i] for x in got]).astype(np.float64) for i in range(3))
+        sums = np.sum([x[3] for x in got], 0)
+        parent = parent_of(contexts, parent_tables, *sums.astype(np.float64), v, d0)
+        tables, sizes = reseated(tables, sizes, np.zeros(len(u), np.int64), follow[u] - tables, STRENGTH, d1, parent[w], draws, sweep)
+        words = int(lengths.sum())
+        contexts, follow = (a.astype(np.int64) + np.bincount(i, tables, minlength=words).astype(np.int64) for a, i in ((lone_contexts, w), (lone_follow, u)))
+        cuts = np.cumsum(lengths)[:-1].astype(np.int64)
+        rows = [(s, ASK, number - services, sweep, pack(c, f, settings, sums)) for s, (c, f) in enumerate(zip(np.split(contexts, cuts), np.split(follow, cuts), strict=True))]
+        return table_of([*rows, (number, STATE, number - services, sweep, pack(settings, tables, sizes))])
+
+    def serve(key, left: pa.Table, right: pa.Table, sweep: int) -> pa.Table:
+        number = key[0].as_py()
+        if number >= services:
+            return right
+        words = [np.cumsum(x[0], dtype=np.uint64) for x in blobs_of(left, ASK_FIRST).values()]
+        asked = blobs_of(right, ASK)
+        every, place = np.unique(np.concatenate(words), return_inverse=True)
+        contexts, follow = (np.bincount(place, np.concatenate([x[i] for x in asked.values()]), minlength=len(every)).astype(np.int64) for i in (0, 1))
+        _, v, d0, _ = next(iter(asked.values()))[2]
+        all_tables = int(next(iter(asked.values()))[3][1])
+        tables, sizes = (x.astype(np.int64) for x in blobs_of(right, PARENT)[number])
+        before = np.bincount(np.repeat(np.arange(len(every)), tables), sizes, minlength=len(every)).astype(np.int64)
+        draws = common.mix64(every)
+        tables, sizes = thinned(tables, sizes, before - contexts, draws, sweep)
+        tables, sizes = reseated(tables, sizes, np.maximum(contexts - before, 0), np.maximum(all_tables - tables, 0), PARENT_STRENGTH, d0, np.full(len(every), 1 / (v + 1)), draws, sweep)
+        sums = np.array([contexts.sum(), tables.sum()])
+        places = np.split(place, np.cumsum([len(x) for x in words])[:-1])
+        rows = [(services + b, ANSWER, number, sweep, pack(contexts[p], tables[p], follow[p], sums)) for b, p in zip(asked, places, strict=True)]
+        return table_of([*rows, (number, PARENT, number, sweep, pack(tables, sizes))])
 
     def judge(key, left: pa.Table, right: pa.Table) -> pa.Table:
         b = Bucket(left, services)
         out = []
         if len(b.pair):
-            n, v, d0, d1, count, tables = first_state(b, right, services)
-            got = answers_of(right, 2)
-            contexts, parent_tables, follow = (b.placed(got, services, i) / SWEEPS for i in range(3))
-            customers, all_tables = np.sum([x[3] for x in got.values()], 0) / SWEEPS
-            tables = tables / SWEEPS
-            parent = (contexts - d0 * parent_tables + (PARENT_STRENGTH + d0 * all_tables) / (v + 1)) / (PARENT_STRENGTH + customers)
-            p = (b.count - d1 * tables + (STRENGTH + d1 * follow[b.u]) * parent[b.w]) / (STRENGTH + count[b.u])
+            order = np.concatenate(b.shares(services))
+
+            def placed(got, i):
+                values = np.zeros(len(order))
+                values[order] = np.concatenate([x[i] for x in got])
+                return values
+
+            got = list(blobs_of(right, ANSWER_FIRST).values())
+            n, v, d0, d1 = settings_of(np.sum([x[5] for x in got], 0))
+            count, tables, p = placed(got, 0), (b.count > 0).astype(np.float64), np.zeros(len(b.count))
+            for sweep in range(BURN_IN, BURN_IN + SWEEPS):
+                got = list(blobs_of(right, ANSWER, sweep).values())
+                contexts, parent_tables, follow = (placed(got, i) for i in range(3))
+                parent = parent_of(contexts, parent_tables, *np.sum([x[3] for x in got], 0).astype(np.float64), v, d0)
+                tables[b.count > 1] = next(iter(blobs_of(right, STATE, sweep).values()))[1]
+                backed = (b.count - d1 * tables + (STRENGTH + d1 * follow[b.u]) * parent[b.w]) / (STRENGTH + count[b.u])
+                p += np.where(count[b.u] > 0, backed, parent[b.w]) / SWEEPS
             base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[b.w]
             known = (count > 0)[b.w]
-            own = np.log10(np.where(count[b.u] > 0, p, parent[b.w]))
+            own = np.log10(p)
             first = np.cumsum([0, *b.docs])
             at = first[b.batch] + b.doc
             sums = [np.bincount(at, b.times * x[b.pair], minlength=int(first[-1])) for x in (own, base, known)]
@@ -353,10 +476,14 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         return pa.table(out)
 
     sent = docs.select("doc_id", "text").mapInArrow(spread, E_SCHEMA)
-    grouped = lambda df: df.groupBy("bucket")
-    asked = grouped(sent).applyInArrow(ask, ASK_SCHEMA)
-    first = asked.groupBy("service").applyInArrow(serve_first, ANSWER_SCHEMA)
-    seats = grouped(sent).cogroup(grouped(first)).applyInArrow(seat, ASK_SCHEMA)
-    second = asked.groupBy("service").cogroup(seats.groupBy("service")).applyInArrow(serve_second, ANSWER_SCHEMA)
-    parts = grouped(sent).cogroup(grouped(first.unionByName(second))).applyInArrow(judge, "batch bigint, header boolean, blob binary")
+    asked = sent.groupBy("bucket").applyInArrow(ask, ROW_SCHEMA)
+    first = asked.groupBy("key").applyInArrow(serve_first, ROW_SCHEMA)
+    step = lambda before, run, sweep: asked.groupBy("key").cogroup(before.groupBy("key")).applyInArrow(lambda key, left, right: run(key, left, right, sweep), ROW_SCHEMA)
+    served, heard = first, first
+    for sweep in range(BURN_IN + SWEEPS):
+        served = step(step(served, seat, sweep), serve, sweep)
+        if sweep >= BURN_IN:
+            heard = heard.unionByName(served)
+    heard = heard.filter(F.col("key") >= services).select((F.col("key") - services).alias("bucket"), "kind", "origin", "sweep", "blob")
+    parts = sent.groupBy("bucket").cogroup(heard.groupBy("bucket")).applyInArrow(judge, "batch bigint, header boolean, blob binary")
     return parts.groupBy("batch").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

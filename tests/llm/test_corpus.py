@@ -206,6 +206,43 @@ def test_pitman_yor_beats_the_base(spark):
     assert sum(r["score"] for r in got) / tokens > sum(r["base_score"] for r in got) / tokens + 0.5
 
 
+@pytest.mark.parametrize("fresh", [0, 3])
+def test_pitman_yor_sweeps_reach_the_posterior(fresh):
+    """Chains of many alike items: tables after burn-in are spread as the exact conditional says."""
+    n, c, d, strength, base, outside = 20_000, 6, 0.6, 1.0, 0.3, 2
+    stirling = np.zeros((c + 1, c + 2))
+    stirling[0, 0] = 1
+    for i in range(c):
+        for t in range(1, c + 1):
+            stirling[i + 1, t] = stirling[i, t - 1] + (i - d * t) * stirling[i, t]
+    weight = np.array([stirling[c, t] * np.prod([(strength + d * (outside + j)) * base for j in range(t)]) for t in range(1, c + 1)])
+    tables, sizes = np.ones(n, np.int64), np.full(n, c - fresh)
+    key = np.arange(n, dtype=np.uint64)
+    for sweep in range(12):
+        tables, sizes = pitman_yor.reseated(tables, sizes, np.full(n, fresh if sweep == 0 else 0), np.full(n, outside), strength, d, np.full(n, base), key, sweep)
+        assert tables.sum() == len(sizes) and sizes.sum() == n * c and sizes.min() == 1
+    assert np.abs(np.bincount(tables, minlength=c + 1)[1:] / n - weight / weight.sum()).max() < 0.02
+
+
+def test_pitman_yor_large_items_and_thinning(monkeypatch):
+    """Groups, chunks and lost customers keep the counts, and sweeps go on from the state they get."""
+    rng = np.random.default_rng(3)
+    customers = np.array([1, 2, 5, 300, 4000, 1, 700])
+    key = rng.integers(0, 2**63, len(customers)).astype(np.uint64)
+    of = lambda t, x: np.bincount(np.repeat(np.arange(len(t)), t), x, minlength=len(t)).tolist()
+    args = (np.zeros(len(customers)), 1.0, 0.7, np.full(len(customers), 0.4), key)
+    first = pitman_yor.reseated(np.ones(len(customers), np.int64), customers, 0 * customers, *args, 0)
+    assert of(*first) == customers.tolist() and first[0][4] > 1
+    monkeypatch.setattr(pitman_yor, "EXPANDED", 10)
+    again = pitman_yor.reseated(np.ones(len(customers), np.int64), customers, 0 * customers, *args, 0)
+    assert all(a.tolist() == b.tolist() for a, b in zip(first, again, strict=True))
+    lost = np.array([0, 1, 2, 100, 3999, 0, -5])
+    tables, sizes = pitman_yor.thinned(*first, lost, key, 1)
+    assert of(tables, sizes) == [1, 1, 3, 200, 1, 1, 700]
+    tables, sizes = pitman_yor.reseated(tables, sizes, np.maximum(-lost, 0), *args, 1)
+    assert of(tables, sizes) == [1, 1, 3, 200, 1, 1, 705]
+
+
 def test_packing():
     arrays = [np.arange(5), np.array([2**63], np.uint64), np.zeros(0, np.int64), np.array([0.5, -2.25]), np.array([1.5], np.float32)]
     for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True):
