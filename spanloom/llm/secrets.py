@@ -3,10 +3,11 @@
 Candidates of the entropy rule are maximal runs of token characters with a digit and a
 letter. Over each, a window of fixed length slides; the Shannon entropy of the window is
 kept up by incremental counts (one character enters, one leaves) for the classes hex
-(0-9a-f), lower-case base 36 and base 64. A window whose class holds all its characters
+and base 36 in lower and in upper case, base 32 and base 64. A window whose class holds all its characters
 and whose entropy reaches the class's bound is a secret; touching windows join. Spans on
 the allow list (digests named as such, UUIDs, placeholders, repeated fillers) are
-suppressed; spans of the fixed-form rules always stay.
+suppressed, each by itself; spans of the fixed-form rules always stay, and an entropy span
+keeps what they leave of it.
 
 Defined results: null and empty texts have no spans; spans are code-point offsets, end
 exclusive; repeated rows get equal results; an empty table gives an empty result; other
@@ -33,15 +34,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so the length can stand
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Least entropy of a window in bits a character, by class; for random strings of WINDOW characters
-#: the mean is about 3.3, 3.8 and 4.0 bits.
-BOUNDS = {"hex": 2.9, "base36": 3.5, "base64": 3.7}
-CLASSES = {"hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
+#: the mean is about 3.3 (hex), 3.7 (base 32), 3.8 (base 36) and 4.0 bits (base 64).
+BOUNDS = {"hex": 2.9, "HEX": 2.9, "base36": 3.5, "BASE36": 3.5, "base32": 3.4, "base64": 3.7}
+UPPER, LOWER = common.UPPER, common.LOWER
+CLASSES = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base36": "0123456789" + LOWER, "BASE36": "0123456789" + UPPER, "base32": UPPER + "234567", "base64": UPPER + LOWER + "0123456789+/_=-"}
 #: Least digits of a window; a base 64 window needs letters of both cases besides, so that names of words
-#: joined by hyphens, paths and dates don't count.
-LEAST_DIGITS = {"hex": 2, "base36": 3, "base64": 2}
+#: joined by hyphens, paths and dates don't count, the others a letter.
+LEAST_DIGITS = {"hex": 2, "HEX": 2, "base36": 3, "BASE36": 3, "base32": 2, "base64": 2}
 #: Text just before, or the value itself, that marks something public.
-ALLOW_BEFORE = re.compile(r"(sha1|sha256|sha512|md5|sha|digest|checksum|etag|integrity|commit|rev)[:=\s\"'-]{1,4}\Z", re.I | re.A)
-ALLOW_VALUE = re.compile(r"(?i)example|placeholder|changeme|your[_-]|xxxx|0{8}|\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z")
+ALLOW_BEFORE = re.compile(r"(?<![A-Za-z0-9])(sha1|sha256|sha512|md5|sha|digest|checksum|etag|integrity|commit|rev)[:=\s\"'-]{1,4}\Z", re.I | re.A)
+FILLER = re.compile(r"(?i)example|placeholder|changeme|your[_-]|xxxx|0{8}")
+UUID = re.compile(r"(?i)(?<![0-9a-z])[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])")
 
 _step = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -72,7 +75,7 @@ def entropy_spans(value: str) -> list[tuple[int, int]]:
             digits += c.isdigit()
             uppers += c.isupper()
             lowers += c.islower()
-            if run == WINDOW and digits >= LEAST_DIGITS[name] and lowers and (uppers or name != "base64") and math.log2(WINDOW) - total / WINDOW >= BOUNDS[name]:
+            if run == WINDOW and digits >= LEAST_DIGITS[name] and (lowers and uppers if name == "base64" else lowers or uppers) and math.log2(WINDOW) - total / WINDOW >= BOUNDS[name]:
                 start = i + 1 - WINDOW
                 if found and found[-1][0] <= start <= found[-1][1]:
                     found[-1] = (found[-1][0], max(found[-1][1], i + 1))
@@ -87,21 +90,29 @@ def entropy_spans(value: str) -> list[tuple[int, int]]:
     return merged
 
 
+def allowed(text: str, start: int, end: int) -> bool:
+    """A span is public by what it holds or, for whole values, by what stands before it."""
+    uuid = text[max(0, start - 36) : end + 36]
+    return bool(FILLER.search(text, start, end) or ALLOW_BEFORE.search(text, max(0, start - 16), start) or any(m.start() <= start - max(0, start - 36) and end - max(0, start - 36) <= m.end() for m in UUID.finditer(uuid)))
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of all spans, sorted."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] if "=" in text or ":" in text else []
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(spans)
+    base = sorted((a, b) for a, _, b in spans)
     for m in CANDIDATE.finditer(text):
         value = m[0]
-        if not any(c.isdigit() for c in value) or ALLOW_VALUE.search(value) or ALLOW_BEFORE.search(text, max(0, m.start() - 16), m.start()):
+        if not any(c.isdigit() for c in value):
             continue
         for a, b in entropy_spans(value):
             a, b = m.start() + a, m.start() + b
-            if not any(x < b and a < y for x, _, y in base):
-                spans.append((a, 3, b))
+            for x, y in [*(s for s in base if s[0] < b and a < s[1]), (b, b)]:
+                if a < x and not allowed(text, a, x):
+                    spans.append((a, 3, x))
+                a = max(a, y)
     return sorted(spans)
 
 
