@@ -7,10 +7,14 @@ folder that all tasks share; an archive appears under its final name only when i
 complete, and a task that runs again writes the same bytes to the same names.
 
 Reading: every archive is walked member by member (or record by record where it is not
-compressed). A member must inflate with a right checksum, start with a version line, hold
-exactly the length it states, and match its block digest. After a failed check the reader
-searches for the next place where a valid member or record starts, logs the bytes between
-as a quarantined gap with the reason, and goes on; so no damage hides a later record.
+compressed). A record must start with a version line, hold exactly the length it states, and
+match its block digest. After a failed check the reader searches for the next place where a
+valid member or record starts, logs the bytes between as a quarantined gap with the reason,
+and goes on; within a member it searches the inflated body for version lines in the same way.
+Of a member of several records that is cut short, damaged or fails its checksum, records that
+inflated whole and pass their checks stay (unless cut short, with a block digest), and the member
+is logged as a gap from its start; a member of one record is quarantined whole. What follows
+damage within one deflate stream can't be inflated.
 
 Defined results: null html is an empty payload, and short payloads are always responses;
 a null url is written as an empty one; pages with equal ids are records of their own, and
@@ -94,31 +98,49 @@ def parse_record(data: bytes, start: int = 0) -> tuple[dict, bytes, int]:
     return headers, block, end + 4
 
 
-def parse_member(data: bytes, start: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """Records of the gzip member at start, and its end. Fed in small pieces, so that what
-    follows the member is never copied whole."""
+def inflated(data: bytes, start: int) -> tuple[bytes, int, str]:
+    """What the gzip member at start holds as far as it inflates, its end (that of the input
+    read, if it breaks off) and what is wrong with it, empty if nothing. Fed in small pieces,
+    so that what follows the member is never copied whole."""
     inflate, view, parts, at = zlib.decompressobj(31), memoryview(data), [], start
-    try:
-        while not inflate.eof and at < len(data):
+    while not inflate.eof and at < len(data):
+        before = inflate.copy()
+        try:
             parts.append(inflate.decompress(view[at : at + FEED]))
-            at += FEED
-    except zlib.error as e:
-        raise ValueError(f"member: {e}") from e
+        except zlib.error as e:
+            # a bad piece again, byte by byte, for what comes out before the damage
+            for i in range(at, min(at + FEED, len(data))):
+                try:
+                    parts.append(before.decompress(view[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(parts), at, f"member: {e}"
+        at += FEED
     if not inflate.eof:
-        raise ValueError("member cut short")
-    end = min(at, len(data)) - len(inflate.unused_data)
-    body, found, at = b"".join(parts), [], 0
-    while at < len(body):
-        headers, block, at = parse_record(body, at)
-        found.append((headers, block))
-    return found, end
+        return b"".join(parts), len(data), "member cut short"
+    return b"".join(parts), min(at, len(data)) - len(inflate.unused_data), ""
 
 
-def parse_at(data: bytes, start: int) -> tuple[list[tuple[dict, bytes]], int]:
-    if data.startswith(MEMBER, start):
-        return parse_member(data, start)
-    headers, block, end = parse_record(data, start)
-    return [(headers, block)], end
+def parse_plain(data: bytes):
+    """('record', start, end, headers, block) and ('gap', start, end, reason, None) of the body
+    of a member, in order of its bytes."""
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        try:
+            headers, block, end = parse_record(data, at)
+        except ValueError as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            line = VERSION_LINE.search(data, at + 1)
+            at = line.start() if line else len(data)
+            continue
+        if gap is not None:
+            yield "gap", gap, at, reason, None
+            gap = None
+        yield "record", at, end, headers, block
+        at = end
+    if gap is not None:
+        yield "gap", gap, len(data), reason, None
 
 
 def next_candidate(data: bytes, start: int) -> int:
@@ -129,21 +151,48 @@ def next_candidate(data: bytes, start: int) -> int:
 
 
 def salvage(data: bytes):
-    """('record', start, end, headers, block) and ('gap', start, end, reason, None), in order of bytes."""
+    """('record', start, end, headers, block) and ('gap', start, end, reason, None), in order of
+    bytes. Places are those of the file; what lies in a member has the member's, and the reason of
+    a gap within a member says where in its body it is. Of a member that breaks off, records that
+    inflated whole come with the member's start and the place where the search goes on."""
     at, gap, reason = 0, None, ""
     while at < len(data):
-        try:
-            found, end = parse_at(data, at)
-        except ValueError as e:
+        wrong, records, lost = "", [], []
+        if data.startswith(MEMBER, at):
+            body, end, wrong = inflated(data, at)
+            if not wrong and not body:
+                records = None  # an empty member is whole
+            else:
+                for row in parse_plain(body):
+                    (records if row[0] == "record" else lost).append(row)
+            if not wrong and lost and not records:
+                wrong = lost[0][3]
+            if wrong and not lost and len(records) == 1:
+                records = []  # a member of one record stands or falls with its checks
+            if wrong.startswith("member:"):  # where the damage began is open, so only digests vouch for a record
+                records = [x for x in records if x[3].get("warc-block-digest", "").startswith("sha1:")]
+        else:
+            try:
+                headers, block, end = parse_record(data, at)
+                records = [("record", at, end, headers, block)]
+            except ValueError as e:
+                wrong = str(e)
+        if wrong and not records:
             if gap is None:
-                gap, reason = at, str(e)
+                gap, reason = at, wrong
             at = next_candidate(data, at + 1)
             continue
         if gap is not None:
             yield "gap", gap, at, reason, None
             gap = None
-        for headers, block in found:
+        if wrong:
+            end = next_candidate(data, at + 1)
+        for _, a, b, headers, block in records or []:
             yield "record", at, end, headers, block
+        for _, a, b, why, _ in lost if not wrong else []:
+            yield "gap", at, end, f"{why} (bytes {a} to {b} of the member's {len(body)})", None
+        if wrong:
+            gap, reason = at, wrong
         at = end
     if gap is not None:
         yield "gap", gap, len(data), reason, None

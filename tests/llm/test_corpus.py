@@ -295,6 +295,34 @@ def test_salvage(packed):
     assert found(b"") == ([], []) and found(b"no archive") == ([], [(0, 10)])
 
 
+def test_salvage_within_a_member():
+    parts = members()
+    bad = list(parts)
+    bad[3] = parts[3].replace(b"payload 3", b"payload X", 1)
+    data = warc.gzip_member(b"".join(bad))
+    ids, gaps = found(data)
+    assert ids == [0, 1, 2, 4, 5, 6, 7] and gaps == [(0, len(data))]
+    reason = next(x[3] for x in warc.salvage(data) if x[0] == "gap")
+    edges = np.cumsum([0, *map(len, bad)]).tolist()
+    assert "block digest differs" in reason and f"bytes {edges[3]} to {edges[4]} " in reason
+    # the members around it are whole
+    assert found(warc.gzip_member(parts[0]) + data + warc.gzip_member(parts[1]))[0] == [0, 0, 1, 2, 4, 5, 6, 7, 1]
+
+
+def test_salvage_of_broken_members():
+    rng = np.random.default_rng(2)
+    parts = [warc.record_bytes(i, "u", b := rng.bytes(9000), hashlib.sha1(b).digest(), None) for i in range(6)]
+    whole, after = warc.gzip_member(b"".join(parts)), warc.gzip_member(members()[7])
+    ids, gaps = found(whole[: len(whole) * 3 // 4])
+    assert ids == [0, 1, 2, 3] and gaps == [(0, len(whole) * 3 // 4)]
+    checksum = bytearray(whole)
+    checksum[-6] ^= 1
+    ids, gaps = found(bytes(checksum) + after)
+    assert ids == [0, 1, 2, 3, 4, 5, 7] and gaps == [(0, len(whole))]
+    assert found(whole[: len(whole) // 2] + after)[0][-1] == 7
+    assert found(warc.gzip_member(b"") + after) == ([7], [])
+
+
 # URL filter
 
 
