@@ -35,8 +35,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix of its source takes it."""
-    return mixing.copies(docs)
+    """The blocks of the mix, cut into the pieces of its documents: a row has the words that one slot
+    takes of one document; n_chars follows. Documents without words, null or empty, have none."""
+    return mixing.mixed(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

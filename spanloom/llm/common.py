@@ -6,6 +6,8 @@ names in its input never reach its plan.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import gc
 import tempfile
 import uuid
@@ -26,11 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where
-    that is unset (local tests) a new temporary folder, set on the session's context."""
+    that is unset on a local master (tests) a new temporary folder, set on the session's context."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -44,9 +48,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def release() -> None:
-    """Give memory back at a task's end: Python workers live on and serve other operators."""
+    """Give memory back at a task's end: Python workers live on and serve other operators.
+    The C library keeps what arrays and texts have freed, unless it is asked to trim."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def discard(df: DataFrame) -> None:

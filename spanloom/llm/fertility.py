@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 from . import common
 from .bpe import Flat
 
-#: Least and most characters per token, most byte-fallback share, least entropy in bits. The bands are
-#: wide: they are to catch wrong encodings, wrong languages, noise and repetition, not rare vocabulary.
+#: Least and most characters per token, most byte-fallback share, least entropy in bits, script. Fitted
+#: to `piece_bpe_32k` by language: least characters 3 to 6% under the least of 8,884 clean texts (1.80 en,
+#: 1.77 de, 1.65 fr, 1.76 es; random letters have 1.41 to 1.61), least entropy 5% under theirs (5.16 to
+#: 5.42); no more characters than half as many again as plain prose (4.5 en, 3.4 de, 2.9 fr, 2.8 es).
+#: A language that is known is held to its own band and script whatever the text is written in.
 LANGUAGE_BANDS = {
-    "en": (1.5, 9.0, 0.10, 4.6),
-    "de": (1.4, 9.0, 0.10, 4.6),
-    "fr": (1.4, 9.0, 0.10, 4.6),
-    "es": (1.4, 9.0, 0.10, 4.6),
+    "en": (1.70, 6.8, 0.05, 4.9, "latin"),
+    "de": (1.68, 5.4, 0.05, 4.9, "latin"),
+    "fr": (1.60, 4.8, 0.05, 4.9, "latin"),
+    "es": (1.65, 4.8, 0.05, 4.9, "latin"),
 }
 SCRIPT_BANDS = {
     "latin": (1.2, 9.0, 0.15, 4.4),
@@ -169,7 +172,7 @@ def verdict(lang: str, language_bands=None, script_bands=None):
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
     def inside(band):
-        least, most, bytes_most, bits = band
+        least, most, bytes_most, bits = band[:4]
         per_token = F.col("word_chars") / F.col("n_tokens")
         scale = F.least(F.lit(1.0), F.log2(F.greatest(F.col("n_tokens"), F.lit(2))) / float(np.log2(FULL_ENTROPY_TOKENS)))
         return per_token.between(least, most) & (F.col("n_byte_tokens") <= bytes_most * F.col("n_tokens")) & (F.col("entropy") >= bits * scale)
@@ -178,7 +181,7 @@ def verdict(lang: str, language_bands=None, script_bands=None):
     for name, band in scripts.items():
         fits = F.when(F.col("script") == name, inside(band)).otherwise(fits)
     for name, band in languages.items():
-        fits = F.when(F.col(lang).eqNullSafe(name) & (F.col("script") == "latin"), inside(band)).otherwise(fits)
+        fits = F.when(F.col(lang).eqNullSafe(name), inside(band) & (F.col("script") == band[4])).otherwise(fits)
     return base_failed, ~base_failed & (F.col("n_tokens") > 0) & F.coalesce(fits, F.lit(False))
 
 
@@ -195,18 +198,21 @@ def judge(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: s
 def filtered(docs: DataFrame, model: str, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The rows that the rules keep, all columns; the verdict is computed beside each text, without a join."""
     columns = docs.columns
-    names = [f"_m_{x.split()[0]}" for x in MEASURES.split(", ")]
+    mark = "_m_"
+    while any(c.startswith(mark) for c in columns):
+        mark = "_" + mark
+    names = [mark + x.split()[0] for x in MEASURES.split(", ")]
 
     def run(batches):
         own = fertility(model)
         for rows in common.slices(batches, text_column, 2 << 20):
             m = own.measure(common.texts_of(rows, text_column))
             m["script"] = np.array(SCRIPTS)[m["script"]]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(m[n.removeprefix("_m_")]) for n in names)], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(m[n.removeprefix(mark)]) for n in names)], [*columns, *names])
         own.forget()
         common.release()
 
-    out = docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"_m_{x}" for x in MEASURES.split(", "))]))
-    measured = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{lang_column}`").alias("lang_"), *(F.col(n).alias(n.removeprefix("_m_")) for n in names))
+    out = docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(mark + x for x in MEASURES.split(", "))]))
+    measured = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{lang_column}`").alias("lang_"), *(F.col(n).alias(n.removeprefix(mark)) for n in names))
     _, kept = verdict("lang_")
     return measured.filter(kept).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))

@@ -162,7 +162,7 @@ def _swept(tables, sizes, fresh, seated, outside, strength, discount, base, key,
     table = table[np.argsort(high << (np.uint64(64) - bits) | draw)]
     size = np.concatenate([sizes, np.zeros(len(table), np.int64)])
     t, seated = tables.copy(), seated.copy()
-    group = -(-customers // GROUPS)
+    group = np.maximum(1, -(-customers // GROUPS))
     steps = np.where(customers > 1, -(-customers // group), 0)
     by_steps = np.argsort(-steps, kind="stable")
     live_at = np.searchsorted(-steps[by_steps], -np.arange(1, int(steps.max(initial=0)) + 1), side="right")
@@ -266,6 +266,12 @@ def parent_of(contexts, tables, customers, all_tables, v: float, d0: float) -> n
     return (contexts - d0 * tables + (PARENT_STRENGTH + d0 * all_tables) / (v + 1)) / (PARENT_STRENGTH + customers)
 
 
+def predictive(counts, tables, customers, all_tables, parent, d1: float):
+    """P(word | context) by pair: its customers and tables, the context's customers and tables, the parent's P(word)."""
+    backed = (counts - d1 * tables + (STRENGTH + d1 * all_tables) * parent) / (STRENGTH + customers)
+    return np.where(customers > 0, backed, parent)
+
+
 E_SCHEMA = "bucket int, batch bigint, header boolean, blob binary"
 #: Keys below the number of services are services, the others buckets.
 ROW_SCHEMA = "key int, kind int, origin int, sweep int, blob binary"
@@ -335,7 +341,7 @@ def pairs_of(texts: list[bytes], doc_ids: list, grid: tuple[int, int]):
 
 
 def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row."""
     buckets = buckets or common.parts(docs)
     grid = (int(buckets**0.5), -(-buckets // int(buckets**0.5)))
     buckets = grid[0] * grid[1]
@@ -451,8 +457,7 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                 contexts, parent_tables, follow = (placed(got, i) for i in range(3))
                 parent = parent_of(contexts, parent_tables, *np.sum([x[3] for x in got], 0).astype(np.float64), v, d0)
                 tables[b.count > 1] = next(iter(blobs_of(right, STATE, sweep).values()))[1]
-                backed = (b.count - d1 * tables + (STRENGTH + d1 * follow[b.u]) * parent[b.w]) / (STRENGTH + count[b.u])
-                p += np.where(count[b.u] > 0, backed, parent[b.w]) / SWEEPS
+                p += predictive(b.count, tables, count[b.u], follow[b.u], parent[b.w], d1) / SWEEPS
             base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[b.w]
             known = (count > 0)[b.w]
             own = np.log10(p)
@@ -472,7 +477,7 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         head = pa.ipc.open_stream(next(x for x, h in zip(blobs, heads, strict=True) if h)).read_all()
         ids, tokens = head.column("doc_id"), head.column("n_tokens")
         total, base, known = (sum(p[i].astype(np.float64) for p in parts) for i in range(3))
-        out = {"doc_id": ids.combine_chunks(), "held_out": pa.array([is_held_out(d) for d in ids.to_pylist()]), "n_tokens": tokens.combine_chunks(), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), int(parts[0][3][0]), np.int64)), "base_score": pa.array(base), "score": pa.array(total)}
+        out = {"doc_id": ids.combine_chunks(), "held_out": pa.array([is_held_out(d) for d in ids.to_pylist()]), "n_tokens": tokens.combine_chunks(), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), int(parts[0][3][0]), np.int64)), "base_score": pa.array(base), "score": pa.array(total), "perplexity": pa.array(10.0 ** (-total / tokens.to_numpy()))}
         return pa.table(out)
 
     sent = docs.select("doc_id", "text").mapInArrow(spread, E_SCHEMA)
@@ -486,4 +491,4 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             heard = heard.unionByName(served)
     heard = heard.filter(F.col("key") >= services).select((F.col("key") - services).alias("bucket"), "kind", "origin", "sweep", "blob")
     parts = sent.groupBy("bucket").cogroup(heard.groupBy("bucket")).applyInArrow(judge, "batch bigint, header boolean, blob binary")
-    return parts.groupBy("batch").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return parts.groupBy("batch").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")

@@ -47,7 +47,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
     outcomes = labels.filter(F.col("toxic").isNotNull() | F.col("quality").isNotNull()).select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     judged = url_reputation.judge(read_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
-    return judged.withColumns({c: F.round(c, 9) for c in ("bad_rate", "lower_bound")})
+    return judged.withColumns({c: F.round(c, 9) for c in ("bad_rate", "bad_chance")})
 
 
 def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,20 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> leader THEN
 _TWO = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
 _STRENGTH = """(SELECT least(greatest(CASE WHEN p > 0 AND p < 1 AND k / n < 1 AND ((bb - b * p) / n / (p * (1 - p)) - k / n) / (1 - k / n) > 0 THEN 1 / (((bb - b * p) / n / (p * (1 - p)) - k / n) / (1 - k / n)) - 1 ELSE 1000 END, 1), 1000)
  FROM (SELECT sum(bad) / sum(n) AS p, count(*) AS k, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS b, sum(bad * bad / n) AS bb FROM {} WHERE n > 0))"""
+_MODE, _SD = "ln(a / (z - a))", "sqrt(z / (a * (z - a)))"
+_CUT = f"least(greatest(asinh((ln({url_reputation.LIMIT} / (1 - {url_reputation.LIMIT})) - {_MODE}) / {_SD}), -{url_reputation.REACH}), {url_reputation.REACH})"
+_DENSITY = "(a * (least({0}, 0.0::DOUBLE) - ln(1 + exp(-abs({0})))) + (z - a) * (least(-({0}), 0.0::DOUBLE) - ln(1 + exp(-abs({0})))))"
+
+
+def _integral(low: str, high: str) -> str:
+    """Simpson's rule as a sum over a list."""
+    v = f"({low} + ({high} - ({low})) / {url_reputation.STEPS} * i)"
+    term = f"(CASE WHEN i = 0 OR i = {url_reputation.STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp({_DENSITY.format(f'({_MODE} + {_SD} * sinh({v}))')} - {_DENSITY.format(_MODE)}) * cosh({v}))"
+    return f"(list_sum(list_transform(range(0, {url_reputation.STEPS + 1}), lambda i: {term})) * ({high} - ({low})) / {url_reputation.STEPS})"
+
+
+_BELOW, _ABOVE = _integral(f"-{url_reputation.REACH}", _CUT), _integral(_CUT, str(url_reputation.REACH))
+_CHANCE = f"({_ABOVE} / ({_BELOW} + {_ABOVE}))"
 URL_SQL = f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 t AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, regexp_extract(rest, '^[^?#]*') AS hp FROM r),
 parts AS (SELECT page_id, translate(h, '{common.UPPER}', '{common.LOWER}') AS host, substr(hp, length(h) + 1) AS path FROM t),
@@ -93,13 +107,14 @@ hosts AS (SELECT *, CASE WHEN two IN ({_TWO}) THEN two ELSE labels[-1] END AS su
  (SELECT host, string_split(host, '.') AS labels, array_to_string(string_split(host, '.')[-2:], '.') AS two, sum(coalesce(n, 0)) AS n, sum(coalesce(bad, 0)) AS bad FROM parts LEFT JOIN seen USING (page_id) GROUP BY 1)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
 ws AS (SELECT coalesce({_STRENGTH.format("suffixes")}, 1000) AS s), wd AS (SELECT coalesce({_STRENGTH.format("domains")}, 1000) AS s), wh AS (SELECT coalesce({_STRENGTH.format("hosts")}, 1000) AS s),
-ms AS (SELECT suffix, (bad + s * m) / (n + s) AS mean FROM suffixes, ws, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS m FROM suffixes)),
-md AS (SELECT domain, bad + s * mean AS alpha, n + s AS total FROM domains JOIN ms USING (suffix), wd),
-mh AS (SELECT host, CASE WHEN n = 0 THEN alpha ELSE bad + s * alpha / total END AS a, CASE WHEN n = 0 THEN total ELSE n + s END AS z FROM hosts JOIN md USING (domain), wh),
-j AS (SELECT page_id, host, path, a / z AS mean, a / z - {url_reputation.Z} * sqrt(a / z * (1 - a / z) / (z + 1)) AS low,
+ms AS (SELECT suffix, n, bad, s AS st, s * (sum(bad) OVER () - bad + 0.5) / (sum(n) OVER () - n + 1) AS prior FROM suffixes, ws),
+md AS (SELECT domain, domains.n, domains.bad, s AS st, s * (ms.bad - domains.bad + prior) / (ms.n - domains.n + st) AS prior FROM domains JOIN ms USING (suffix), wd),
+mh AS (SELECT host, CASE WHEN hosts.n = 0 THEN md.bad + prior ELSE hosts.bad + s * (md.bad - hosts.bad + prior) / (md.n - hosts.n + st) END AS a, CASE WHEN hosts.n = 0 THEN md.n + st ELSE hosts.n + s END AS z FROM hosts JOIN md USING (domain), wh),
+p AS (SELECT host, a / z AS mean, CASE WHEN a / z >= {url_reputation.CONFIDENCE * url_reputation.LIMIT} THEN {_CHANCE} END AS chance FROM mh),
+j AS (SELECT page_id, host, path, mean, chance,
  CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
-  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts JOIN mh USING (host))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN host <> '' AND low > {url_reputation.LIMIT} THEN 'block' ELSE 'allow' END AS verdict, round(mean, 9) AS bad_rate, round(low, 9) AS lower_bound FROM j"""
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts JOIN p USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN host <> '' AND chance >= {url_reputation.CONFIDENCE} THEN 'block' ELSE 'allow' END AS verdict, round(mean, 9) AS bad_rate, round(chance, 9) AS bad_chance FROM j"""
 
 NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),

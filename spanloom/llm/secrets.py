@@ -16,7 +16,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 
@@ -103,13 +105,16 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted((a, b) for a, _, b in spans)
+    reach = list(itertools.accumulate((b for _, b in base), max))  # ascending: the ends so far
     for m in CANDIDATE.finditer(text):
         value = m[0]
         if not any(c.isdigit() for c in value):
             continue
         for a, b in entropy_spans(value):
             a, b = m.start() + a, m.start() + b
-            for x, y in [*(s for s in base if s[0] < b and a < s[1]), (b, b)]:
+            near = base[bisect.bisect_right(reach, a) : bisect.bisect_left(base, (b,))]
+            for x, y in [*near, (b, b)]:
+                x = min(x, b)
                 if a < x and not allowed(text, a, x):
                     spans.append((a, 3, x))
                 a = max(a, y)
@@ -128,6 +133,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for rows in common.slices(batches, text_column):
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t)] for t in common.strings_of(rows, text_column)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [id_column, "spans"])
+        common.release()
 
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
@@ -154,6 +160,7 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
             columns = list(rows.columns)
             columns[place] = pa.array([redact(t) for t in columns[place].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, docs_columns)
+        common.release()
 
     docs_columns = docs.columns
     return docs.mapInArrow(run, schema)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 rng = random.Random(5)
-WORDS = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+SYLLABLES = "the er on an re he in ed and ha at en es of or nt ea ti to it st ion le is ou ar as de ment ve ing able".split()
+WORDS = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(300)]
 
 
 def prose(n, seed):

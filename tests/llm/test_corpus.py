@@ -1,16 +1,23 @@
 """Operators over the corpus as a whole, against brute force, and the pipeline."""
 
 import hashlib
+import itertools
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+import public_tokenizers
+import sentencepiece
+import tiktoken
 from pyspark.sql import functions as F
 
-from spanloom.llm import components, mixing, pitman_yor, setsketch, url_reputation, warc
+import corpus_pipeline
+from spanloom.llm import bpe, components, fertility, mixing, pitman_yor, secrets, setsketch, url_reputation, warc
 from spanloom.llm.queries import URL_RULES
 
 from . import fixtures
@@ -141,15 +148,87 @@ def test_mixing(spark):
     assert rows(mixing.contract(fixtures.empty(spark))) == []
 
 
-def test_mix_meets_targets(spark):
-    docs = [(i, fixtures.prose(30 + i % 90, i), None, ["big", "mid", "small", None][min(3, i % 11 // 3)], 1) for i in range(900)]
-    taken, slots = mixing.mix(spark.createDataFrame(docs, fixtures.SCHEMA))
-    by = rows(taken.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")))
-    assert all(abs(r["taken"] / r["target"] - 1) < 0.02 for r in by)
-    assert rows(slots.groupBy("source_number", "j").count().filter("count > 1")) == []
-    mixed = rows(mixing.copies(spark.createDataFrame(docs, fixtures.SCHEMA)))
-    assert max(Counter(r["doc_id"] for r in mixed).values()) <= 3
-    assert rows(mixing.copies(fixtures.empty(spark))) == []
+def brute_mix(docs, chunks):
+    """(taken by row, pieces of all slots) from the texts alone: docs as (doc_id, text, source)."""
+    size = lambda t: len((t or "").encode().split())
+    totals = Counter()
+    for _, t, source in docs:
+        totals[source] += size(t)
+    order = sorted(totals, key=lambda s: (s is None, (s or "").encode()))
+    wanted = mixing.targets([totals[s] for s in order], [1 + i % 3 for i in range(len(order))])
+    blocks = [math.ceil(totals[s] / mixing.BLOCK) for s in order]
+    quotas = [min(3 * b, round(w * b / totals[s])) if totals[s] else 0 for s, w, b in zip(order, wanted, blocks, strict=True)]
+    some = [i for i, q in enumerate(quotas) if q]
+    shards = math.ceil(sum(quotas) / mixing.SHARD_SLOTS)
+    numbers = [[] for _ in order]  # block of each slot
+    for _, counts, starts in mixing.shard_counts(np.array([quotas[i] for i in some]), range(shards), mixing.SEED, mixing.SHARD_SLOTS):
+        for i, n, start in zip(some, counts.tolist(), starts.tolist(), strict=True):
+            assert len(numbers[i]) == start
+            j = np.arange(start, start + n)
+            numbers[i] += mixing.permuted(j % blocks[i], np.full(n, blocks[i]), (i + mixing.SEED) * 3 + j // blocks[i]).tolist()
+    assert [len(x) for x in numbers] == quotas
+    place = lambda d: (xxhash.xxh64_intdigest(struct.pack("<q", d), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    taken, pieces = {}, Counter()
+    for i, source in enumerate(order):
+        laid = []  # (row, word) of the source, texts end to end
+        for _, row in sorted((place(d) % chunks, row) for row, (d, t, s) in enumerate(docs) if s == source):
+            laid += [(row, w) for w in docs[row][1].split()] if docs[row][1] else []
+        for block in numbers[i]:
+            part = laid[block * mixing.BLOCK : (block + 1) * mixing.BLOCK]
+            for row, words in itertools.groupby(part, key=lambda x: x[0]):
+                words = [w for _, w in words]
+                taken[row] = taken.get(row, 0) + len(words)
+                pieces[docs[row][0], tuple(words)] += 1
+    return taken, pieces
+
+
+def test_mixing_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    docs = [(i, fixtures.prose(i % 90, i) if i % 13 else None, ["big", "mid", "small", None][min(3, i % 11 // 3)]) for i in range(700)]
+    df = spark.createDataFrame([(d, t, None, s, 1) for d, t, s in docs], fixtures.SCHEMA).coalesce(1)
+    taken, pieces = brute_mix(docs, max(16, math.isqrt(len(docs))))
+    assert {r["doc_id"]: r["taken"] for r in rows(mixing.contract(df))} == {d: taken.get(d, 0) for d, *_ in docs}
+    # the form that carries texts leaves out those without words before it counts rows
+    some = [x for x in docs if x[1] and x[1].split()]
+    taken, pieces = brute_mix(some, max(16, math.isqrt(len(some))))
+    got = rows(mixing.mixed(df))
+    assert Counter((r["doc_id"], tuple(r["text"].split())) for r in got) == pieces
+    by = Counter()
+    for r in got:
+        by[r["source"]] += len(r["text"].split())
+    targets = {r["source"]: r["target"] for r in rows(mixing.mix(df)[0].select("source", "target").distinct())}
+    assert all(abs(by[s] / t - 1) < 0.03 for s, t in targets.items())
+    assert rows(mixing.mixed(fixtures.empty(spark))) == [] and set(rows(mixing.mixed(fixtures.full(spark)))[0]) == set(fixtures.full(spark).columns)
+
+
+def test_pieces_are_the_text():
+    for _, text in fixtures.texts():
+        for start in (0, 1, 127, 128, 1000):
+            cuts = mixing.cut_at_blocks(text.encode(), start)
+            assert b"".join(text.encode()[a:b] for _, a, b in cuts) == (text.encode() if text.split() and cuts else b"")
+            at = start
+            for block, a, b in cuts:
+                n = len(text.encode()[a:b].split())
+                assert n and at // mixing.BLOCK == block == (at + n - 1) // mixing.BLOCK
+                at += n
+
+
+def test_shard_counts_are_multinomial_draws():
+    """Sums are the quotas, tasks agree on any cut, and counts vary as draws without putting back do."""
+    quotas = np.array([40_000, 9_000, 800, 200])
+    seen = []
+    for seed in range(60):
+        every = {s: (c, a) for s, c, a in mixing.shard_counts(quotas, range(7), seed)}
+        assert (sum(c for c, _ in every.values()) == quotas).all() and all(c.sum() == (8192 if s < 6 else 50_000 - 6 * 8192) for s, (c, _) in every.items())
+        for s, c, a in mixing.shard_counts(quotas, range(2, 5), seed):
+            assert (c == every[s][0]).all() and (a == every[s][1]).all() and (a == sum((every[x][0] for x in range(s)), np.zeros(4, int))).all()
+        seen += [c for s, (c, _) in every.items() if s < 6]
+    p, seen = quotas / quotas.sum(), np.array(seen)
+    assert (np.abs(seen.mean(0) / (8192 * p) - 1) < 0.02).all()
+    variance = 8192 * p * (1 - p) * (50_000 - 8192) / 49_999
+    assert (np.abs(seen.var(0) / variance - 1) < 0.35).all()
+    large = mixing.split(np.array([2 * 10**9, 10**9, 5]), 10**9, np.random.default_rng(1))
+    assert large.sum() == 10**9 and abs(large[1] / 333_333_332 - 1) < 1e-3 and 0 <= large[2] <= 5
 
 
 def test_permutation():
@@ -175,19 +254,94 @@ def test_pitman_yor(spark):
     assert rows(pitman_yor.score(fixtures.empty(spark), 4)) == []
 
 
-def test_pitman_yor_is_a_distribution(spark):
-    """Probabilities after a context sum to 1 over the vocabulary and one unknown word."""
-    train = [(i, " ".join(f"t{x}" for x in np.random.default_rng(i).zipf(1.6, 40) % 30)) for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
-    vocabulary = sorted({w for _, t in train for w in t.split()}) + ["unseen"]
-    probes = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 5 == 1]
-    one, two = probes[: len(vocabulary)], probes[len(vocabulary) : 2 * len(vocabulary)]
-    # log P(t1 x end) - log P(x end | x first) isolates nothing; so score pairs through whole texts: sum over x of P(x | start) P(end | x)
-    docs = spark.createDataFrame([*train, *zip(one, vocabulary, strict=True), (probes[-1], "")], "doc_id bigint, text string")
-    score = {r["doc_id"]: r["score"] for r in rows(pitman_yor.score(docs, 5))}
-    ends = spark.createDataFrame([*train, *((d, f"{w} {w}") for d, w in zip(two, vocabulary, strict=True))], "doc_id bigint, text string")
-    assert len(rows(pitman_yor.score(ends, 5))) == len(train) + len(two)
-    total = 10 ** score[probes[-1]] + sum(10 ** score[d] for d in one)
-    assert 0 < total < 1  # texts of at most one word are part of all texts
+def test_pitman_yor_is_a_distribution():
+    """After any seating the probabilities of all words and the unknown one sum to 1, in every context."""
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.7, (12, 20)) * rng.integers(1, 9, (12, 20))
+    counts[3] = 0  # a context that training does not know
+    key, base = np.arange(240, dtype=np.uint64), np.full(240, 0.05)
+    start = (counts.ravel() > 0).astype(np.int64)
+    tables, _ = pitman_yor.reseated(start, counts.ravel()[counts.ravel() > 0], np.zeros(240, np.int64), np.full(240, 3), 1.0, 0.6, base, key, 0)
+    tables = tables.reshape(12, 20)
+    assert (tables <= counts).all() and ((tables > 0) == (counts > 0)).all() and (tables > 1).any()
+    customers = tables.sum(0)
+    parent_tables, _ = pitman_yor.reseated((customers > 0).astype(np.int64), customers[customers > 0], np.zeros(20, np.int64), np.full(20, 9), 1.0, 0.4, np.full(20, 1 / 21), key[:20], 0)
+    v = int((customers > 0).sum())
+    of = lambda c, t: pitman_yor.parent_of(c, t, customers.sum(), parent_tables.sum(), v, 0.4)
+    parent, unknown = of(customers, parent_tables)[customers > 0], of(0.0, 0.0)
+    assert abs(parent.sum() + unknown - 1) < 1e-12
+    for u in range(12):
+        p = pitman_yor.predictive(counts[u][customers > 0], tables[u][customers > 0], counts[u].sum(), tables[u].sum(), parent, 0.6)
+        rest = pitman_yor.predictive(np.zeros(1), np.zeros(1), counts[u].sum(), tables[u].sum(), np.array([unknown]), 0.6)
+        assert (p > 0).all() and abs(p.sum() + rest[0] - 1) < 1e-12
+
+
+def sequential_scores(docs, sweeps, burn_in, seed=0):
+    """The same model sampled one customer at a time by a plain Gibbs sampler: log10 probabilities by doc."""
+    rng = np.random.default_rng(seed)
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    pairs = [(a, b) for d, t in docs if not held(d) for w in [["", *t.split(), ""]] for a, b in itertools.pairwise(w)]
+    count, context = Counter(pairs), Counter(a for a, _ in pairs)
+    words = {b for _, b in pairs}
+    v = len(words)
+    ones = lambda c: pitman_yor.discount_of(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    d1, d0 = ones(count), ones(Counter(b for _, b in count))
+    seats = {p: [n] for p, n in count.items()}
+    top = {w: [n] for w, n in Counter(b for _, b in count).items()}
+
+    def parent(w):
+        t, c = sum(map(len, top.values())), sum(map(sum, top.values()))
+        return (sum(top.get(w, ())) - d0 * len(top.get(w, ())) + (1 + d0 * t) / (v + 1)) / (1 + c)
+
+    def leave(tables, d):
+        i = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[i] -= 1
+        return tables.pop(i) == 0 if not tables[i] else False
+
+    def sit(tables, d, mass):
+        weights = np.array([x - d for x in tables] + [mass])
+        i = rng.choice(len(weights), p=weights / weights.sum())
+        if i == len(tables):
+            tables.append(1)
+            return True
+        tables[i] += 1
+        return False
+
+    def enter(w):
+        sit(top.setdefault(w, []), d0, (1 + d0 * sum(map(len, top.values()))) / (v + 1))
+
+    total = Counter()
+    texts = {d: ["", *t.split(), ""] for d, t in docs}
+    by_context = Counter(a for a, _ in seats)
+    for sweep in range(burn_in + sweeps):
+        for a, b in pairs:
+            if leave(seats[a, b], d1):
+                by_context[a] -= 1
+                leave(top[b], d0)
+            if sit(seats[a, b], d1, (1 + d1 * by_context[a]) * parent(b)):
+                by_context[a] += 1
+                enter(b)
+        if sweep >= burn_in:
+            for d, w in texts.items():
+                for p in itertools.pairwise(w):
+                    q = parent(p[1])
+                    total[d, p] = total[d, p] + ((count[p] - d1 * len(seats.get(p, ())) + (1 + d1 * by_context[p[0]]) * q) / (1 + context[p[0]]) if context[p[0]] else q) / sweeps
+    scores = {}
+    for d, w in texts.items():
+        n = Counter(itertools.pairwise(w))
+        scores[d] = sum(math.log10(total[d, p] / n[p]) * n[p] for p in n)
+    return scores
+
+
+def test_pitman_yor_agrees_with_a_sequential_sampler(spark):
+    docs = [(i, " ".join(f"t{x}" for x in np.minimum(np.random.default_rng(i).zipf(1.5, 18), 25))) for i in range(40)]
+    want = sequential_scores(docs, sweeps=6, burn_in=3)
+    got = {r["doc_id"]: r for r in rows(pitman_yor.score(spark.createDataFrame(docs, "doc_id bigint, text string"), 4))}
+    for held in (True, False):
+        a, b, n = (sum(x) for x in zip(*((r["score"], want[d], r["n_tokens"]) for d, r in got.items() if r["held_out"] == held), strict=True))
+        assert abs(10 ** (-a / n) / 10 ** (-b / n) - 1) < 0.03  # perplexities
+    assert all(abs(r["score"] / want[d] - 1) < 0.05 for d, r in got.items())
+    assert all(abs(r["perplexity"] - 10 ** (-r["score"] / r["n_tokens"])) < 1e-9 * r["perplexity"] for r in got.values())
 
 
 def test_pitman_yor_beats_the_base(spark):
@@ -344,33 +498,128 @@ def test_url_parts_and_rules(spark):
 
 
 def test_reputation_shrinks(spark):
-    pages = [(i, f"http://{h}/") for i, h in enumerate(["bad.spam.net"] * 60 + ["ok.fine.net"] * 60 + ["new.spam.net", "one.fine.net", None])]
-    outcomes = [(i, 1) for i in range(58)] + [(i, 0) for i in range(58, 120)] + [(121, 1), (None, 1)]
+    """Planted: 9 bad hosts of two domains, 40 good ones, and hosts too little known to judge."""
+    pages, outcomes = [], []
+    for h in range(9):
+        for i in range(30):
+            outcomes.append((len(pages), int(i % 10 > 0)))
+            pages.append((len(pages), f"http://h{h}.{'spam' if h < 6 else 'junk'}.net/{i}"))
+    for h in range(40):
+        for i in range(30):
+            outcomes.append((len(pages), int(i % 10 == 0)))
+            pages.append((len(pages), f"http://h{h}.fine.org.uk/{i}"))
+    single = len(pages)
+    pages += [(single, "http://one.fine.org.uk/"), (single + 1, "http://new.spam.net/"), (single + 2, "http://lone.example/"), (single + 3, None)]
+    outcomes += [(single, 1), (single + 2, 1), (None, 1)]
     got = rows(url_reputation.judge(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(outcomes, "page_id bigint, bad int"), {}))
-    by = {r["host"]: r for r in got}
-    assert by["bad.spam.net"]["verdict"] == "block" and by["ok.fine.net"]["verdict"] == "allow"
-    assert by["one.fine.net"]["verdict"] == "allow" and by["one.fine.net"]["bad_rate"] < 1
-    assert by["new.spam.net"]["bad_rate"] > by["one.fine.net"]["lower_bound"]
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {*range(270), single + 1}  # the new host by its domain; one bad page is not enough
+    by = {r["page_id"]: r for r in got}
+    assert by[single]["bad_rate"] < 0.6 and by[single + 2]["bad_rate"] < 1 and by[0]["bad_chance"] > 0.99
 
 
-# pipeline
+def test_posterior_bound(spark):
+    """The integral against sums of the binomial distribution: P(Beta(a, b) > x) = P(Bin(a + b - 1, x) < a)."""
+    cases = [(a, b, x) for a, b in ((1, 1), (2, 5), (40, 3), (300, 290), (1, 900), (4000, 4100)) for x in (0.05, 0.3, 0.5, 0.9)]
+    for x in {c[2] for c in cases}:
+        own = [c for c in cases if c[2] == x]
+        got = rows(spark.createDataFrame([(float(a), float(b)) for a, b, _ in own], "a double, b double").withColumn("p", url_reputation.chance_above(x, F.col("a"), F.col("b"))))
+        for r in got:
+            n, a = int(r["a"] + r["b"]) - 1, int(r["a"])
+            terms = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(x) + (n - k) * math.log(1 - x) for k in range(a)]
+            assert abs(r["p"] - math.fsum(map(math.exp, terms))) < 1e-6
+    tiny = spark.createDataFrame([(0.001, 3.0), (3.0, 0.001)], "a double, b double").withColumn("p", url_reputation.chance_above(0.5, F.col("a"), F.col("b")))
+    assert [round(r["p"], 2) for r in rows(tiny)] == [0.0, 1.0]
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
+def test_suffix_rules(spark):
+    rules = url_reputation.Suffixes(["// remark", "com", "co.uk", "*.ck", "!www.ck", "city.kobe.jp", ""])
+    hosts = {"a.b.com": "b.com", "x.y.co.uk": "y.co.uk", "co.uk": "co.uk", "a.b.c.ck": "b.c.ck", "a.www.ck": "www.ck", "a.b.city.kobe.jp": "b.city.kobe.jp", "q.kobe.jp": "kobe.jp", "10.0.0.1": "10.0.0.1", "single": "single", "": ""}
+    got = rows(spark.createDataFrame([(h,) for h in hosts], "host string").select("host", rules.domain(F.col("host")).alias("domain"), rules.suffix(F.col("host")).alias("suffix")))
+    assert {r["host"]: r["domain"] for r in got} == hosts
+    assert {r["host"]: r["suffix"] for r in got if r["host"].endswith("ck")} == {"a.b.c.ck": "c.ck", "a.www.ck": "ck"}
+
 
-    docs = [(d, t, lang, s, n) for d, t, lang, s, n in fixtures.ROWS] + [(100 + i, fixtures.prose(60 + i, 50 + i), "en", "ab"[i % 2], 1) for i in range(40)]
-    spark.createDataFrame(docs, fixtures.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+# pipeline
+
+
+def brute_entropy(text):
+    """Covered by a window that reaches its class's bound, each window counted anew; less fixed-form and public spans."""
+    cover = bytearray(len(text))
+    for m in secrets.CANDIDATE.finditer(text):
+        v = m[0]
+        for name, letters in secrets.CLASSES.items():
+            for i in range(len(v) - secrets.WINDOW + 1):
+                w = v[i : i + secrets.WINDOW]
+                lower, upper = any(c.islower() for c in w), any(c.isupper() for c in w)
+                h = -sum(n / len(w) * math.log2(n / len(w)) for n in Counter(w).values())
+                if set(w) <= set(letters) and sum(c.isdigit() for c in w) >= secrets.LEAST_DIGITS[name] and (lower and upper if name == "base64" else lower or upper) and h >= secrets.BOUNDS[name] - 1e-9:
+                    cover[m.start() + i : m.start() + i + len(w)] = b"\1" * len(w)
+    base = [(a, b) for a, k, b in secrets.scan(text) if k != 3]
+    for a, b in base:
+        cover[a:b] = bytes(b - a)
+    return base, [m.span() for m in re.finditer(b"\1+", bytes(cover)) if not secrets.allowed(text, *m.span())]
+
+
+def brute_pipeline(docs):
+    """The five stages in plain Python; docs in rows of documents. Returns (doc_id, ids) with their number."""
+    model = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.PIECES)
+    kept = []
+    for d, t, lang, source, _ in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = Counter(zip(words, words[1:], words[2:], strict=False))
+        repeated = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+            continue
+        tokens = Counter(x for w in words for x in model.encode(w))
+        n = sum(tokens.values())
+        entropy = -sum(c / n * math.log2(c / n) for c in tokens.values())
+        low, high, share, bits = (fertility.LANGUAGE_BANDS.get(lang) or fertility.SCRIPT_BANDS["latin"])[:4]  # all the test's texts are Latin
+        if low <= sum(map(len, words)) / n <= high and sum(c for x, c in tokens.items() if model.is_byte(x)) <= share * n and entropy >= bits * min(1.0, math.log2(n) / 8):
+            kept.append((d, t, source))
+    least = brute_components([(d, t) for d, t, _ in kept if d is not None], 5, 80)
+    kept = [(d, t, s) for d, t, s in kept if d is None or least[d] == d]
+    masked = []
+    for d, t, s in kept:
+        base, more = brute_entropy(t)
+        out, at = "", 0
+        for a, b in sorted([*base, *more]):
+            out, at = (out + t[at:a] + "<secret>", max(at, b)) if a >= at else (out, max(at, b))
+        masked.append((d, out + t[at:], s))
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(corpus_pipeline.BYTE_BPE), special_tokens={})
+    return brute_mix(masked, max(16, math.isqrt(len(masked)))), masked, tik
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    docs = [r for r in fixtures.ROWS if r[0] is not None and r[0] not in (12, 14)] + [(100 + i, fixtures.prose(60 + i, 50 + i) + (" key x7Kq9ZpL2mVt8RwB4nYs6JdF" if i % 9 == 0 else "") + (" zq" * 9 if i % 7 == 0 else ""), "en", "ab"[i % 2], 1) for i in range(60)]
+    docs += [(300, "".join(np.random.default_rng(1).choice(list("qwxzjkvb \u0439"), 900)), "en", "a", 1)]
+    fixtures.with_clashes(spark.createDataFrame(docs, fixtures.SCHEMA)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    (_, pieces), masked, tik = brute_pipeline(docs)
     got = rows(corpus_pipeline.run(spark, str(tmp_path)))
-    assert {"doc_id", "n_tokens", "ids"} <= set(got[0])
-    kept = {r["doc_id"] for r in got}
-    assert 2 not in kept and 3 not in kept and 6 not in kept and 13 not in kept
+    assert 300 not in {d for d, *_ in masked} and {d for d, *_ in masked} >= set(range(100, 160))
+    words = Counter((r["doc_id"], tuple(tik.decode(r["ids"]).split())) for r in got)
+    assert words == pieces
+    texts = {d: t for d, t, _ in masked}
+    for r in got:  # ids are the library's, of a piece of the masked text
+        piece = tik.decode(r["ids"])
+        assert piece in texts[r["doc_id"]] and r["ids"] == tik.encode_ordinary(piece) and r["n_tokens"] == len(r["ids"]) and r["n_chars"] == len(piece)
+
+
+def test_pipeline(spark, tmp_path):
+    """Rows of nulls, empty texts, ties, repeated rows and clashing columns go through every stage."""
+    docs = [*fixtures.ROWS, *((100 + i, fixtures.prose(60 + i, 50 + i), "en", "ab"[i % 2], 1) for i in range(40))]
+    fixtures.with_clashes(spark.createDataFrame(docs, fixtures.SCHEMA)).write.parquet(f"{tmp_path}/documents.parquet")
     steps = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, hard = steps.columns, steps
     for name, stage in corpus_pipeline.STAGES[:-1]:
         steps = stage(spark, steps, str(tmp_path))
-        assert steps.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        if name != "mixing":  # filters keep all clean documents
-            assert set(range(100, 140)) <= {r["doc_id"] for r in rows(steps)}
+        assert steps.columns == columns
+        ids = {r["doc_id"] for r in rows(steps)}
+        assert ids >= set(range(100, 140)) if name != "mixing" else ids <= {r[0] for r in docs}  # filters keep all clean documents
+        alone = stage(spark, hard, str(tmp_path))  # every stage also takes what a stage before it would drop
+        assert alone.columns == columns and rows(alone)
+        assert rows(stage(spark, fixtures.empty(spark), str(tmp_path))) == []
+    kept = {r["doc_id"] for r in rows(corpus_pipeline.encode(spark, steps, str(tmp_path)))}
+    assert not kept & {2, 3, 6, 7, 8, 13}
     assert len(corpus_pipeline.STAGES) == 5
     spark.createDataFrame([], fixtures.SCHEMA).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert rows(corpus_pipeline.run(spark, f"{tmp_path}/empty")) == []

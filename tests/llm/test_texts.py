@@ -1,7 +1,10 @@
 """Map-only operators and those over whole texts, against brute force."""
 
+import base64
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -164,10 +167,29 @@ def test_fertility(spark):
 
 
 def test_fertility_bands(spark):
-    good, noise = fixtures.prose(100, 9), "".join(chr(0x2400 + i % 40) + " " for i in range(200))
-    got = {r["doc_id"]: r for r in rows(fertility.judge(spark.createDataFrame([(1, good, "en"), (2, noise, "en"), (3, "aa bb cc dd " * 2 + "ee " * 60, "en")], "doc_id long, text string, lang string"), PIECES))}
-    assert got[1]["kept"] and got[2]["byte_share"] > 0.5
-    assert not got[3]["kept"]
+    """Planted: the bands alone reject wrong encodings, scripts, noise and poor vocabulary; clean texts stay."""
+    rng = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    clean = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang").collect()
+    clean = [r for r in clean if r["text"] and not brute_quality(r["text"])[5]]
+    to_cyrillic = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстуввхыз")
+    spoilt = {
+        "letters": lambda t: " ".join("".join(rng.choice(letters, len(w))) for w in t.split()),
+        "base64": lambda t: " ".join(base64.b64encode(w.encode() * 3).decode() for w in t.split()),
+        "script": lambda t: t.lower().translate(to_cyrillic),
+        "bytes": lambda t: "".join(chr(0x1F300 + ord(c) % 200) if c.isalpha() else c for c in t),
+        "digits": lambda t: "".join(str(ord(c) % 10) if c.isalpha() else c for c in t),
+    }
+    docs = [("clean", r["text"], r["lang"]) for r in clean] + [(name, f(r["text"]), r["lang"]) for name, f in spoilt.items() for r in clean[:40]]
+    got = rows(fertility.judge(spark.createDataFrame(docs, "doc_id string, text string, lang string"), PIECES))
+    past_base = Counter(r["doc_id"] for r in got if not r["base_failed"])
+    kept = Counter(r["doc_id"] for r in got if r["kept"])
+    assert kept["clean"] == past_base["clean"] == len(clean) > 100
+    assert {name: kept[name] for name in spoilt} == dict.fromkeys(spoilt, 0) and all(past_base[name] > 20 for name in ("letters", "base64", "script"))
+    # a language without a band falls to its script's
+    other = [(1, fixtures.prose(100, 9), "xx"), (2, "".join(chr(0x2400 + i % 40) + " " for i in range(200)), None), (3, spoilt["script"](clean[0]["text"]), "ru")]
+    got = {r["doc_id"]: r for r in rows(fertility.judge(spark.createDataFrame(other, "doc_id long, text string, lang string"), PIECES))}
+    assert got[1]["kept"] and got[2]["byte_share"] > 0.5 and not got[2]["kept"] and got[3]["kept"]
 
 
 def brute_secrets(text):
@@ -220,3 +242,21 @@ def test_entropy_allow_list_is_by_span():
     assert any(secret in x for x in found_by_entropy(f"example/aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa/{secret}"))
     assert found_by_entropy(f"prev: {secret}") == [secret] and found_by_entropy(f"rev: {secret}") == []
     assert found_by_entropy("id 3f2b8c1d-9a4e-4c7b-8d2f-6e5a1b0c9d7e end") == []
+
+
+def test_entropy_of_planted_secrets():
+    """Of random keys without any fixed form nearly all are found; names, dates, paths and prose are left alone."""
+    rng = random.Random(3)
+    sets = {"base64": string.ascii_letters + string.digits + "+/", "base36": string.ascii_lowercase + string.digits, "base32": string.ascii_uppercase + "234567", "HEX": string.digits + "ABCDEF"}
+    for name, letters in sets.items():
+        keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(200)]
+        caught = sum(bool(found_by_entropy(f"see {k} here")) for k in keys)
+        assert caught >= 190, (name, caught)
+    clean = ["src/main/java/org/example2024/util/StringHelper17.java", "report-of-the-year-2023-final-version-2", "https-www-site-com-2021-05-17-a-long-title", "CamelCaseNamesAreLongEnough2Fool", "1234567890123456789012345", "AAAA-BBBB-2222-CCCC-3333", fixtures.PASSAGE]
+    assert [x for x in clean if found_by_entropy(x)] == []
+
+
+def test_many_spans_are_linear():
+    text = 'token="abcdefghijkl01" x7Kq9ZpL2mVt8RwB4nYs6JdF ' * 4000
+    spans = secrets.scan(text)
+    assert len(spans) == 8000 and [k for _, k, _ in spans[:2]] == [0, 3]
