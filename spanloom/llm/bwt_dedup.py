@@ -8,17 +8,18 @@ repeat; the bytes of all repeated windows are removed.
    at distance GRID, form a cell. All windows of a cell contain the same CORE bytes, whose
    hash is the cell's key: equal windows lie in cells of equal keys, and a cell whose key
    is found once holds no repeat. Cells cost a row for each hundred bytes or so, not texts.
-2. Cells of a repeated key with equal contexts (all bytes of their windows, by hash) are
+2. Cells of a repeated key with equal contexts (all bytes of their windows, by a digest of 128 bits) are
    repeats of each other, window by window; they are counted before anything is moved.
    One of them goes on, with its multiplicity, where the key has other contexts.
-3. The contexts go to tasks by key. A window is read as DEPTH symbols of STRIDE bytes. A
+3. The contexts go to tasks by key. A window is read as DEPTH symbols (hashes of 64 bits). A
    task cuts its windows into shards and builds each shard's transform: the suffixes'
    order and the symbol before each. Shards are merged pairwise by refining an interleave:
    it starts with all of one before all of the other; a pass reads the preceding symbols
    in the interleave's order and deals them out stably by symbol, which orders the
    suffixes of both by one symbol more, without comparing a suffix; boundaries between
    unequal neighbours are carried along and are the common prefixes. After DEPTH passes
-   the intervals without a boundary are the windows that are equal.
+   the intervals without a boundary are the windows that are equal; a second hash of 64 bits
+   over the whole window must agree.
 4. Keys of more than HOT contexts (a passage shorter than LENGTH in very many documents)
    would be too much for a task: their windows are counted one by one, by hash, with
    partial sums.
@@ -31,9 +32,11 @@ ones too; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +44,30 @@ from . import common
 from .components import spread_join
 from .winnowing import least_positions, powers
 
-LENGTH, GRAM, GRID = 400, 32, 185
-CORE = LENGTH - GRID + 1
-STRIDE, DEPTH = 200, 2
+LENGTH, GRAM, DEPTH = 400, 32, 2
+#: Least bytes of a repeat that `digest` reports besides: passages of over 50 words are often shorter than LENGTH.
+PASSAGE = 240
 HOT, BIN, PIECE = 1000, 400_000, 1 << 21
+SECOND = np.random.default_rng(11).permutation(256).astype(np.uint8)
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of a window, of a cell's span of distances, of the core all its windows share, of a symbol."""
+
+    length: int
+
+    @property
+    def grid(self) -> int:
+        return (self.length - GRAM) // 2 + 1
+
+    @property
+    def core(self) -> int:
+        return self.length - self.grid + 1
+
+    @property
+    def stride(self) -> int:
+        return self.length // DEPTH
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -61,30 +84,27 @@ def hashes_at(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return common.mix64((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
-def cells_of(data: np.ndarray, lengths: np.ndarray):
-    """(document number, start, stop, key, context hash) of all cells of texts laid end to end;
-    start and stop count windows of the document."""
+def cells_of(data: np.ndarray, lengths: np.ndarray, sizes: Sizes):
+    """(document number, start, stop, key, place of the anchor) of all cells of texts laid end to
+    end; start and stop count windows from the first text's first."""
     n = len(data)
     none = np.zeros(0, np.int64)
-    if n < LENGTH:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    if n < sizes.length:
+        return none, none, none, none.astype(np.uint64), none
     sums = prefix_sums(data)
     _, down = powers(n + 1)
     grams = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1] * np.uint64(0xD6E8FEB86659FD93)
-    position = least_positions(grams, LENGTH - GRAM + 1)
+    position = least_positions(grams, sizes.length - GRAM + 1)
     ends = np.cumsum(lengths)
-    code = position * 2 + (position - np.arange(len(position)) >= GRID)
+    code = position * 2 + (position - np.arange(len(position)) >= sizes.grid)
     for end in ends[:-1]:  # windows across two documents
-        code[max(0, end - LENGTH + 1) : end] = -1
+        code[max(0, end - sizes.length + 1) : end] = -1
     edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
     start, stop, code = edge[:-1], edge[1:], code[edge[:-1]]
     start, stop, code = (x[code >= 0] for x in (start, stop, code))
-    core = (code >> 1) - GRID * (code & 1)
-    key = hashes_at(sums, core, core + CORE) ^ (code & 1).astype(np.uint64)
-    context = common.mix64(hashes_at(sums, start, stop + LENGTH - 1) + ((code >> 1) - start).astype(np.uint64))
-    document = np.searchsorted(ends, start, side="right")
-    base = (ends - lengths)[document]
-    return document, start - base, stop - base, key, context
+    core = (code >> 1) - sizes.grid * (code & 1)
+    key = hashes_at(sums, core, core + sizes.core) ^ (code & 1).astype(np.uint64)
+    return np.searchsorted(ends, start, side="right"), start, stop, key, code >> 1
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -96,19 +116,26 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", row.alias("row"))
 
 
-def find_cells(rows: DataFrame) -> DataFrame:
+def find_cells(rows: DataFrame, sizes: Sizes) -> DataFrame:
+    """row, start, stop, key, context (128-bit digest of the bytes of all windows) of all cells."""
+    size = PIECE
+
     def run(batches):
         for batch in common.slices(batches, "text", 3 << 19):
             texts = common.texts_of(batch)
             # long texts are cut into pieces that share LENGTH - 1 bytes: a window lies in one piece, and a cell may be cut anywhere
-            pieces = [(i, a, t[a : a + PIECE + LENGTH - 1]) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - LENGTH + 1), PIECE)]
-            first = np.array([a for _, a, _ in pieces], np.int64)
-            piece, start, stop, key, context = cells_of(np.frombuffer(b"".join(p for *_, p in pieces), np.uint8), np.array([len(p) for *_, p in pieces], np.int64))
+            pieces = [(i, a, t[a : a + size + sizes.length - 1]) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - sizes.length + 1), size)]
+            data, lengths = b"".join(p for *_, p in pieces), np.array([len(p) for *_, p in pieces], np.int64)
+            piece, start, stop, key, anchor = cells_of(np.frombuffer(data, np.uint8), lengths, sizes)
+            view, tail = memoryview(data), sizes.length - 1
+            context = [xxhash.xxh3_128_digest(view[a : b + tail], c) for a, b, c in zip(start.tolist(), stop.tolist(), (anchor - start).tolist(), strict=True)]
             document = np.array([i for i, *_ in pieces], np.int64)[piece]
-            start, stop = start + first[piece], stop + first[piece]
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(document)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], ["row", "start", "stop", "key", "context"])
+            shift = np.array([a for _, a, _ in pieces], np.int64)[piece] - (np.cumsum(lengths) - lengths)[piece]
+            start, stop = start + shift, stop + shift
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(document)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context, pa.binary())], ["row", "start", "stop", "key", "context"])
+        common.release()
 
-    return rows.select("text", "row").mapInArrow(run, "row bigint, start int, stop int, key bigint, context bigint")
+    return rows.select("text", "row").mapInArrow(run, "row bigint, start int, stop int, key bigint, context binary")
 
 
 class Shard:
@@ -172,13 +199,26 @@ def merged_groups(symbols: np.ndarray, shards: int = 2) -> np.ndarray:
     return out
 
 
-def windows_of(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of windows of each context, and the symbols of all windows."""
+def windows_of(contexts: list[bytes], sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of windows of each context, the symbols of all windows, and a second hash of each
+    window, of other bytes: those of the context under a permutation."""
     lengths = np.array([len(c) for c in contexts], np.int64)
-    sums = prefix_sums(np.frombuffer(b"".join(contexts), np.uint8))
-    counts = lengths - LENGTH + 1
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    counts = lengths - sizes.length + 1
     at = common.ranges(np.cumsum(lengths) - lengths, counts)
-    return counts, np.stack([hashes_at(sums, at + t * STRIDE, at + (t + 1) * STRIDE) for t in range(DEPTH)], 1)
+    sums, other = prefix_sums(data), prefix_sums(SECOND[data])
+    symbols = np.stack([hashes_at(sums, at + t * sizes.stride, at + (t + 1) * sizes.stride) for t in range(DEPTH)], 1)
+    return counts, symbols, hashes_at(other, at, at + sizes.length)
+
+
+def confirmed(group: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Groups of windows that are equal by the second hash too."""
+    order = np.lexsort((check, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (check[order][1:] != check[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def repeated_runs(repeat: np.ndarray, counts: np.ndarray):
@@ -190,14 +230,14 @@ def repeated_runs(repeat: np.ndarray, counts: np.ndarray):
     return owner[starts], number[starts], number[ends] + 1
 
 
-def merge_contexts(contexts: DataFrame) -> DataFrame:
+def merge_contexts(contexts: DataFrame, sizes: Sizes) -> DataFrame:
     """row, start, stop of repeated windows. contexts: key, row, start, weight, bytes; all of a
     key go to one task, which takes them in order of key and judges whole keys at a time."""
 
     def judged(rows: list[tuple]):
-        counts, symbols = windows_of([r[4] for r in rows])
+        counts, symbols, check = windows_of([r[4] for r in rows], sizes)
         weights = np.repeat(np.array([r[3] for r in rows], np.int64), counts)
-        group = merged_groups(symbols)
+        group = confirmed(merged_groups(symbols), check)
         repeat = np.bincount(group, weights)[group] >= 2
         which, a, b = repeated_runs(repeat, counts)
         base = np.array([r[2] for r in rows], np.int64)[which]
@@ -211,37 +251,38 @@ def merge_contexts(contexts: DataFrame) -> DataFrame:
                     yield judged(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) - LENGTH + 1
+                size += len(row[4]) - sizes.length + 1
         if held:
             yield judged(held)
+        common.release()
 
     n = common.parts(contexts)
     dealt = contexts.select("key", "row", "start", "weight", "bytes").repartition(n, "key")
     return dealt.sortWithinPartitions("key").mapInArrow(run, "row bigint, start int, stop int")
 
 
-def count_windows(contexts: DataFrame) -> DataFrame:
-    """The same for keys of too many contexts: windows are counted by hash, one by one."""
+def count_windows(contexts: DataFrame, sizes: Sizes) -> DataFrame:
+    """The same for keys of too many contexts: windows are counted one by one, by two hashes of 64 bits."""
 
     def run(batches):
         for batch in common.slices(batches, "bytes", 1 << 20):
             rows = batch.to_pydict()
-            counts, symbols = windows_of(rows["bytes"])
+            counts, symbols, check = windows_of(rows["bytes"], sizes)
             hashes = common.mix64(symbols[:, 0] * np.uint64(0x9E3779B97F4A7C15) + symbols[:, 1])
             take = lambda n: pa.array(np.repeat(np.array(rows[n], np.int64), counts))
             at = np.repeat(np.array(rows["start"], np.int64), counts) + common.ranges(np.zeros(len(counts), np.int64), counts)
-            yield pa.RecordBatch.from_arrays([take("row"), pa.array(at.astype(np.int32)), take("weight"), pa.array(hashes.view(np.int64))], ["row", "start", "weight", "window"])
+            yield pa.RecordBatch.from_arrays([take("row"), pa.array(at.astype(np.int32)), take("weight"), pa.array(hashes.view(np.int64)), pa.array(check.view(np.int64))], ["row", "start", "weight", "window", "check"])
 
-    windows = contexts.select("row", "start", "weight", "bytes").mapInArrow(run, "row bigint, start int, weight bigint, window bigint")
-    twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window")
-    return spread_join(windows, twice, ["window"]).select("row", "start", (F.col("start") + 1).alias("stop"))
+    windows = contexts.select("row", "start", "weight", "bytes").mapInArrow(run, "row bigint, start int, weight bigint, window bigint, check bigint")
+    twice = windows.groupBy("window", "check").agg(F.sum("weight").alias("n")).filter("n > 1").select("window", "check")
+    return spread_join(windows, twice, ["window", "check"]).select("row", "start", (F.col("start") + 1).alias("stop"))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, sizes: Sizes) -> DataFrame:
     """row, start, stop, key, weight, hot of the cells that matter, staged. key null: all windows of
     the cell are repeated. Else its windows are to be merged with those of the key's other
     cells (counted one by one, if hot)."""
-    cells = common.staged(find_cells(rows), "cells")
+    cells = common.staged(find_cells(rows, sizes), "cells")
     keys = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("n > 1").select("key", (F.col("c0") == F.col("c1")).alias("alike"))
     found = common.staged(spread_join(cells, keys, ["key"]), "repeated-cells")
     common.discard(cells)
@@ -259,11 +300,11 @@ def candidates(rows: DataFrame) -> DataFrame:
     return out
 
 
-def removed_spans(runs, n: int) -> list[list[int]]:
+def removed_spans(runs, n: int, length: int = LENGTH) -> list[list[int]]:
     """Byte spans that runs of windows cover, joined where they touch."""
     spans: list[list[int]] = []
     for start, stop in sorted((r["start"], r["stop"]) for r in runs or ()):
-        a, b = start, min(n, stop + LENGTH - 1)
+        a, b = start, min(n, stop + length - 1)
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(b, spans[-1][1])
         else:
@@ -275,23 +316,27 @@ RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def strip(docs: DataFrame, with_kept: bool = True) -> DataFrame:
+def strip(docs: DataFrame, with_kept: bool = True, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary, what remains; null if not
-    wanted) of every row.
+    wanted) of every row. length: bytes of a repeat.
 
     The texts are dealt by row once: a text none of whose cells is to be merged is finished
     there; only those that wait for a merge are kept and dealt again."""
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = rows_of(docs)
-    by_row = candidates(rows).groupBy("row").agg(F.collect_list(F.struct("start", "stop", "key", "weight", "hot")).alias("cells"))
+    return stripped(rows_of(docs), dict(docs.dtypes)["doc_id"], with_kept, Sizes(length)).drop("row")
+
+
+def stripped(rows: DataFrame, kind: str, with_kept: bool, sizes: Sizes) -> DataFrame:
+    """The columns of `strip`, and row."""
+    by_row = candidates(rows, sizes).groupBy("row").agg(F.collect_list(F.struct("start", "stop", "key", "weight", "hot")).alias("cells"))
+    names = (*RESULT, "row")
     result = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 
-    def finished(doc_id, text: bytes, runs) -> tuple:
-        spans = removed_spans(runs, len(text))
+    def finished(doc_id, text: bytes, runs, row) -> tuple:
+        spans = removed_spans(runs, len(text), sizes.length)
         edges = [0, *(x for s in spans for x in s), len(text)]
         kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-        return doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None
+        return doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None, row
 
     def first(batches):
         for batch in common.slices(batches, "text", 2 << 20):
@@ -301,29 +346,36 @@ def strip(docs: DataFrame, with_kept: bool = True) -> DataFrame:
                 asked = [c for c in cells or () if c["key"] is not None]
                 none = (None,) * 5
                 if not asked:
-                    out.append((*finished(doc_id, text, sure), None, None, None, *none[:4], None))
+                    out.append((*finished(doc_id, text, sure, row), None, None, *none[:4], None))
                     continue
                 out.append((doc_id, *none, row, text, sure, *none[:4], None))
-                out += [(None, *none, row, None, None, c["key"], c["start"], c["weight"], c["hot"], text[c["start"] : c["stop"] + LENGTH - 1]) for c in asked]
+                out += [(None, *none, row, None, None, c["key"], c["start"], c["weight"], c["hot"], text[c["start"] : c["stop"] + sizes.length - 1]) for c in asked]
             types = (id_type, *kinds, pa.int64(), pa.binary(), RUNS, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], [*RESULT, "row", "text", "runs", "key", "start", "weight", "hot", "bytes"])
+        common.release()
 
     def second(batches):
         for batch in common.slices(batches, "text", 2 << 20):
-            out = [finished(d, t, [*(a or ()), *(b or ())]) for d, t, a, b in zip(batch.column(0).to_pylist(), common.texts_of(batch), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True))[1:], kinds, strict=True))], list(RESULT))
+            out = [finished(d, t, [*(a or ()), *(b or ())], r) for d, t, a, b, r in zip(batch.column(0).to_pylist(), common.texts_of(batch), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True))[1:], (*kinds, pa.int64()), strict=True))], list(names))
+        common.release()
 
     passed = rows.join(by_row, "row", "left").select("doc_id", "text", "row", "cells").mapInArrow(first, f"{result}, row bigint, text binary, runs array<struct<start: int, stop: int>>, key bigint, start int, weight bigint, hot boolean, bytes binary")
     passed = common.staged(passed, "first-pass")
     contexts = passed.filter("key is not null").select("key", "row", "start", "weight", "hot", "bytes")
-    merged = merge_contexts(contexts.filter("not hot"))
+    merged = merge_contexts(contexts.filter("not hot"), sizes)
     if not (hot := contexts.filter("hot")).isEmpty():
-        merged = merged.unionByName(count_windows(hot))
+        merged = merged.unionByName(count_windows(hot, sizes))
     more = merged.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("more"))
     waiting = passed.filter("text is not null").select("doc_id", "text", "row", "runs")
-    late = waiting.join(more, "row", "left").select("doc_id", "text", "runs", "more").mapInArrow(second, result)
-    return passed.filter("row is null").select(*RESULT).unionByName(late)
+    late = waiting.join(more, "row", "left").select("doc_id", "text", "runs", "more", "row").mapInArrow(second, f"{result}, row bigint")
+    return passed.filter("n_bytes is not null").select(*names).unionByName(late)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return strip(docs, with_kept=False).drop("kept")
+    """The columns of `strip` but for what is kept, and n_passage_bytes: the bytes covered by strings
+    of PASSAGE bytes that also start elsewhere. They are reported, not removed."""
+    rows, kind = rows_of(docs), dict(docs.dtypes)["doc_id"]
+    own = stripped(rows, kind, False, Sizes(LENGTH))
+    shorter = stripped(rows, kind, False, Sizes(PASSAGE)).groupBy("row").agg(F.max("n_removed").alias("n_passage_bytes"))
+    return own.join(shorter, "row").drop("row", "kept")

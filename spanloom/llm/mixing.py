@@ -135,7 +135,8 @@ def shard_counts(quotas: np.ndarray, wanted: range, seed: int, shard_slots: int
 
 
 def plan_slots(spark, quotas: list[tuple[int, int, int]], seed: int = SEED) -> DataFrame:
-    """shard, number (of the source), j, block, place: every slot of the output. quotas: (number, slots, blocks)."""
+    """shard, number (of the source), j, block, place: every slot of the output. quotas: (number, slots, blocks).
+    Its size is unknown to the planner, which would broadcast it: joins name their way."""
     quotas = [q for q in quotas if q[1]]
     if not quotas:
         return spark.createDataFrame([], "shard bigint, number int, j bigint, block bigint, place bigint")
@@ -191,7 +192,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED)
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * length) - F.greatest(F.col("start"), F.col("block") * length)
     times = slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
-        pieces.join(times, ["number", "block"], "left")
+        pieces.join(times.hint("merge"), ["number", "block"], "left")
         .groupBy("row", "doc_id", "source", "size", "source_size", "target")
         .agg(F.sum(F.coalesce(overlap * F.col("times"), F.lit(0))).cast("bigint").alias("taken"))
     )
@@ -234,7 +235,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEE
         common.release()
 
     pieces = staged.select("row", "text", "whole").join(laid.select("row", "number", "start"), "row").select("text", "number", "start", "whole").mapInArrow(cut, f"number int, block bigint, start bigint, piece string, whole {whole}")
-    filled = pieces.join(slots, ["number", "block"])
+    filled = pieces.join(slots.hint("merge"), ["number", "block"])
     ordered = filled.repartition(common.parts(docs), "shard", F.expr(f"place div {RUN}")).sortWithinPartitions("shard", "place", "start")
     back = [F.col("piece").cast(k).alias(c) if c == text_column else F.col(f"whole.c{i}").alias(c) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))]
     return ordered.select(*back)

@@ -119,15 +119,22 @@ def test_bwt_dedup(spark, monkeypatch, hot, piece):
     monkeypatch.setattr(bwt_dedup, "PIECE", piece)
     texts = [(d, t.encode()) for d, t in fixtures.texts()]
     want = Counter()
-    for (d, t), cover in zip(texts, brute_removed([t for _, t in texts], 400), strict=True):
+    whole = [t for _, t in texts]
+    for (d, t), cover, passages in zip(texts, brute_removed(whole, 400), brute_removed(whole, bwt_dedup.PASSAGE), strict=True):
         kept = bytes(b for b, c in zip(t, cover, strict=True) if not c)
         spans = len(re.findall(b"\1+", bytes(cover)))
-        want[(d, len(t), sum(cover), spans, hashlib.sha256(kept).hexdigest())] += 1
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(bwt_dedup.digest(fixtures.full(spark))))
+        want[(d, len(t), sum(cover), spans, hashlib.sha256(kept).hexdigest(), sum(passages))] += 1
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage_bytes"]) for r in rows(bwt_dedup.digest(fixtures.full(spark))))
     assert got == want
     assert rows(bwt_dedup.digest(fixtures.empty(spark))) == []
 
 
+def test_equal_windows_pass_a_second_hash():
+    group, check = np.array([5, 5, 5, 2, 2, 9]), np.array([1, 1, 7, 3, 3, 1], np.uint64)
+    found = bwt_dedup.confirmed(group, check)
+    assert found[0] == found[1] != found[2] and found[3] == found[4] and len(set(found.tolist())) == 4
+
+
 def test_bwt_merge_orders_suffixes():
     rng = np.random.default_rng(3)
     for shards in (1, 2, 3, 5):
