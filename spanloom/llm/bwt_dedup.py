@@ -117,7 +117,8 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 
 def find_cells(rows: DataFrame, sizes: Sizes) -> DataFrame:
-    """row, start, stop, key, context (128-bit digest of the bytes of all windows) of all cells."""
+    """row, start, stop, key, context (128-bit digest of the bytes of all windows) of all cells.
+    rows: text, row, at (where the text starts in the row's whole one)."""
     size = PIECE
 
     def run(batches):
@@ -131,11 +132,12 @@ def find_cells(rows: DataFrame, sizes: Sizes) -> DataFrame:
             context = [xxhash.xxh3_128_digest(view[a : b + tail], c) for a, b, c in zip(start.tolist(), stop.tolist(), (anchor - start).tolist(), strict=True)]
             document = np.array([i for i, *_ in pieces], np.int64)[piece]
             shift = np.array([a for _, a, _ in pieces], np.int64)[piece] - (np.cumsum(lengths) - lengths)[piece]
+            shift += np.array(batch.column(2).to_pylist(), np.int64)[document]
             start, stop = start + shift, stop + shift
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(document)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context, pa.binary())], ["row", "start", "stop", "key", "context"])
         common.release()
 
-    return rows.select("text", "row").mapInArrow(run, "row bigint, start int, stop int, key bigint, context binary")
+    return rows.select("text", "row", "at").mapInArrow(run, "row bigint, start int, stop int, key bigint, context binary")
 
 
 class Shard:
@@ -312,7 +314,8 @@ def removed_spans(runs, n: int, length: int = LENGTH) -> list[list[int]]:
     return spans
 
 
-RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "regions", "row")
+REGIONS = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.binary())]))
 RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -322,21 +325,25 @@ def strip(docs: DataFrame, with_kept: bool = True, length: int = LENGTH) -> Data
 
     The texts are dealt by row once: a text none of whose cells is to be merged is finished
     there; only those that wait for a merge are kept and dealt again."""
-    return stripped(rows_of(docs), dict(docs.dtypes)["doc_id"], with_kept, Sizes(length)).drop("row")
+    rows = rows_of(docs)
+    return stripped(rows, rows, dict(docs.dtypes)["doc_id"], Sizes(length), with_kept).drop("regions", "row")
 
 
-def stripped(rows: DataFrame, kind: str, with_kept: bool, sizes: Sizes) -> DataFrame:
-    """The columns of `strip`, and row."""
-    by_row = candidates(rows, sizes).groupBy("row").agg(F.collect_list(F.struct("start", "stop", "key", "weight", "hot")).alias("cells"))
-    names = (*RESULT, "row")
-    result = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+def stripped(rows: DataFrame, places: DataFrame, kind: str, sizes: Sizes, with_kept: bool = False, regions: int | None = None) -> DataFrame:
+    """The columns of RESULT. places: text, row, at of all that may hold repeats. regions: the length
+    from which repeated spans are returned with their bytes, in place of the digest."""
+    by_row = candidates(places if "at" in places.columns else places.withColumn("at", F.lit(0)), sizes).groupBy("row").agg(F.collect_list(F.struct("start", "stop", "key", "weight", "hot")).alias("cells"))
+    result = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, regions array<struct<at: int, text: binary>>, row bigint"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), REGIONS, pa.int64())
 
     def finished(doc_id, text: bytes, runs, row) -> tuple:
         spans = removed_spans(runs, len(text), sizes.length)
+        removed = sum(b - a for a, b in spans)
+        if regions is not None:
+            return doc_id, len(text), removed, len(spans), None, None, [{"at": a, "text": text[a:b]} for a, b in spans if b - a >= regions], row
         edges = [0, *(x for s in spans for x in s), len(text)]
         kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-        return doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None, row
+        return doc_id, len(text), removed, len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None, None, row
 
     def first(batches):
         for batch in common.slices(batches, "text", 2 << 20):
@@ -344,23 +351,23 @@ def stripped(rows: DataFrame, kind: str, with_kept: bool, sizes: Sizes) -> DataF
             for doc_id, text, row, cells in zip(batch.column(0).to_pylist(), common.texts_of(batch), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
                 sure = [{"start": c["start"], "stop": c["stop"]} for c in cells or () if c["key"] is None]
                 asked = [c for c in cells or () if c["key"] is not None]
-                none = (None,) * 5
+                none = (None,) * 6
                 if not asked:
-                    out.append((*finished(doc_id, text, sure, row), None, None, *none[:4], None))
+                    out.append((*finished(doc_id, text, sure, row), *none, None))
                     continue
                 out.append((doc_id, *none, row, text, sure, *none[:4], None))
                 out += [(None, *none, row, None, None, c["key"], c["start"], c["weight"], c["hot"], text[c["start"] : c["stop"] + sizes.length - 1]) for c in asked]
-            types = (id_type, *kinds, pa.int64(), pa.binary(), RUNS, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], [*RESULT, "row", "text", "runs", "key", "start", "weight", "hot", "bytes"])
+            types = (id_type, *kinds, pa.binary(), RUNS, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], [*RESULT, "text", "runs", "key", "start", "weight", "hot", "bytes"])
         common.release()
 
     def second(batches):
         for batch in common.slices(batches, "text", 2 << 20):
             out = [finished(d, t, [*(a or ()), *(b or ())], r) for d, t, a, b, r in zip(batch.column(0).to_pylist(), common.texts_of(batch), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True))[1:], (*kinds, pa.int64()), strict=True))], list(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True))[1:], kinds, strict=True))], list(RESULT))
         common.release()
 
-    passed = rows.join(by_row, "row", "left").select("doc_id", "text", "row", "cells").mapInArrow(first, f"{result}, row bigint, text binary, runs array<struct<start: int, stop: int>>, key bigint, start int, weight bigint, hot boolean, bytes binary")
+    passed = rows.join(by_row, "row", "left").select("doc_id", "text", "row", "cells").mapInArrow(first, f"{result}, text binary, runs array<struct<start: int, stop: int>>, key bigint, start int, weight bigint, hot boolean, bytes binary")
     passed = common.staged(passed, "first-pass")
     contexts = passed.filter("key is not null").select("key", "row", "start", "weight", "hot", "bytes")
     merged = merge_contexts(contexts.filter("not hot"), sizes)
@@ -368,14 +375,17 @@ def stripped(rows: DataFrame, kind: str, with_kept: bool, sizes: Sizes) -> DataF
         merged = merged.unionByName(count_windows(hot, sizes))
     more = merged.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("more"))
     waiting = passed.filter("text is not null").select("doc_id", "text", "row", "runs")
-    late = waiting.join(more, "row", "left").select("doc_id", "text", "runs", "more", "row").mapInArrow(second, f"{result}, row bigint")
-    return passed.filter("n_bytes is not null").select(*names).unionByName(late)
+    late = waiting.join(more, "row", "left").select("doc_id", "text", "runs", "more", "row").mapInArrow(second, result)
+    return passed.filter("n_bytes is not null").select(*RESULT).unionByName(late)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The columns of `strip` but for what is kept, and n_passage_bytes: the bytes covered by strings
-    of PASSAGE bytes that also start elsewhere. They are reported, not removed."""
+    of PASSAGE bytes that also start elsewhere. They are reported, not removed. A string of LENGTH
+    that repeats lies within such spans, wherever it starts, so only those are searched for it."""
     rows, kind = rows_of(docs), dict(docs.dtypes)["doc_id"]
-    own = stripped(rows, kind, False, Sizes(LENGTH))
-    shorter = stripped(rows, kind, False, Sizes(PASSAGE)).groupBy("row").agg(F.max("n_removed").alias("n_passage_bytes"))
-    return own.join(shorter, "row").drop("row", "kept")
+    passages = common.staged(stripped(rows, rows.select("text", "row"), kind, Sizes(PASSAGE), regions=LENGTH).select("row", "n_removed", "regions"), "passages")
+    places = passages.select("row", F.explode("regions").alias("r")).select("row", "r.text", "r.at")
+    own = stripped(rows, places, kind, Sizes(LENGTH))
+    shorter = passages.groupBy("row").agg(F.max("n_removed").alias("n_passage_bytes"))
+    return own.join(shorter, "row").drop("row", "kept", "regions")
