@@ -39,6 +39,14 @@ def centroids(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
     return parts.groupBy(key).agg(F.transform(ordered, lambda s: s["x"]).alias("centroid"))
 
 
+def embedding_tokens(text: Column) -> Column:
+    """The text without white space, its letters and its pairs of letters."""
+    compact = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", "")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(compact) - (n - 1)), lambda i: F.substr(compact, i, F.lit(n)))
+    pairs = F.when(F.length(compact) > 1, cut(2)).otherwise(F.array().cast("array<string>"))
+    return F.when(compact == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(compact), cut(1), pairs))
+
+
 def hashed_embedding(tokens: Column, dimensions: int = 16) -> Column:
     """Each token adds the bytes of its SHA-256, over 255; the sum is brought to length 1."""
     byte = lambda token, i: F.conv(F.substr(F.sha2(token, 256), F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("double") / 255.0

@@ -35,22 +35,23 @@ def is_time(value: Column) -> Column:
 
 
 def front_breach(fields: Column) -> Column:
-    """The first breach of a front matter's contract (a map of its fields), or null."""
+    """The first breach of a front matter's contract as field:rule, or null. fields: a map column, not
+    an expression, which every check would compute anew."""
     kind = fields["type"]
-    checks = [("type is required", F.coalesce(kind, F.lit("")) != "")]
+    checks = [("type:missing", F.coalesce(kind, F.lit("")) != "")]
     for name, required in REQUIRED.items():
         own = kind != name
         for field in required:
             value = fields[field]
-            checks.append((f"{field} is required", own | (F.coalesce(value, F.lit("")) != "")))
+            checks.append((f"{field}:missing", own | (F.coalesce(value, F.lit("")) != "")))
         for field in required:
             value = fields[field]
             if field in ID_FIELDS:
-                checks.append((f"{field} must be a UUID", own | value.rlike(UUID)))
+                checks.append((f"{field}:id", own | value.rlike(UUID)))
             if field == "timestamp":
-                checks.append(("timestamp must be an ISO-8601 string", own | is_time(value)))
+                checks.append(("timestamp:time", own | is_time(value)))
             if field == "source_checksum":
-                checks.append(("source_checksum must be a lowercase SHA256 hex string", own | value.rlike("^[0-9a-f]{64}$")))
+                checks.append(("source_checksum:digest", own | value.rlike("^[0-9a-f]{64}$")))
     return first_rejection(checks)
 
 
@@ -65,9 +66,9 @@ def event_breach(event: str = "event_type", proposal: str = "proposal_id", actor
     known = F.col(reason).isin(*REASONS)
     fits = F.when(F.col(event) == "rejected", F.coalesce(known, F.lit(False))).when(F.col(event) == "discarded", F.col(reason).isNull() | known).otherwise(F.col(reason).isNull())
     return first_rejection([
-        ("unknown event type", F.col(event).isin(*EVENTS)), ("proposal_id must be a UUID", F.col(proposal).rlike(UUID)), ("actor must not be blank", F.trim(F.col(actor)) != ""),
-        ("at must be a time", F.col(at).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$") & F.try_to_timestamp(F.col(at)).isNotNull()),
-        ("payload_digest must be a digest", F.col(digest).rlike("^[0-9a-f]{64}$")), ("reason does not fit", fits),
+        ("event_type:unknown", F.col(event).isin(*EVENTS)), ("proposal_id:id", F.col(proposal).rlike(UUID)), ("actor:missing", F.trim(F.col(actor)) != ""),
+        ("at:time", F.col(at).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$") & F.try_to_timestamp(F.col(at)).isNotNull()),
+        ("payload_digest:digest", F.col(digest).rlike("^[0-9a-f]{64}$")), ("rejected_reason:unfit", fits),
     ])
 
 

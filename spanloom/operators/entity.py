@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text
 
@@ -42,10 +44,21 @@ def codes_in(column: Column) -> Column:
 
 
 def coreference(mentions: DataFrame, keys: list[str], member: str) -> DataFrame:
-    """Clusters of mentions with equal keys, two at least; members in order. A repeated member is an error in the data."""
-    out = mentions.groupBy(*keys).agg(F.array_sort(F.collect_list(member)).alias("members"), F.countDistinct(member).alias("distinct"))
-    checked = F.when(F.size("members") != F.col("distinct"), F.raise_error(F.lit("a mention is twice in a cluster")).cast("int")).otherwise(F.size("members"))
-    return out.withColumn("n", checked).filter("n >= 2").drop("distinct")
+    """Mentions in clusters of equal keys, two at least, a row a member with n, the cluster's size: a
+    cluster may be of any size, so none is an array. A repeated member is an error in the data."""
+    once = mentions.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("times"))
+    checked = F.when(F.max("times") > 1, F.raise_error(F.lit("a mention is twice in a cluster")).cast("bigint")).otherwise(F.count(F.lit(1)))
+    sizes = once.groupBy(*keys).agg(checked.alias("n")).filter("n >= 2")
+    return mentions.select(*keys, member).join(sizes, keys)
+
+
+def tombstoned(clusters: DataFrame, cluster_ids: list[str], key: str = "cluster_id") -> DataFrame:
+    """The named clusters flagged, all rows kept; an unknown id raises. The ids are a caller's few."""
+    named = F.col(key).isin(*cluster_ids) if cluster_ids else F.lit(False)
+    found = {r[0] for r in clusters.filter(named).select(key).distinct().collect()}  # at most the ids asked for
+    if missing := sorted(set(cluster_ids) - found):
+        raise KeyError(f"unknown clusters: {missing}")
+    return clusters.withColumn("tombstoned", F.coalesce(F.col("tombstoned"), F.lit(False)) | named)
 
 
 def winners(mentions: DataFrame, occurrence: list[str]) -> DataFrame:
@@ -60,6 +73,37 @@ def merge_decision(same_type: Column, left_code: Column, right_code: Column, sam
     return F.when(~same_type, "veto_type").when(both & (left_code != right_code), "veto_code").when(both, "merge_code").when(same_name, "merge_name").otherwise("deferred")
 
 
+def merge_links(identities: DataFrame) -> DataFrame:
+    """left_id, right_id, decision: every identity (identity_id, entity_type, code, name) against the least
+    one of its code and, without a code of its own, the least one of its name. A row an identity and
+    block, not a pair of any two; blocks are summed up before the join, so none is one group."""
+    first = lambda block: identities.filter(F.col(block).isNotNull()).groupBy(block).agg(F.min(F.struct("identity_id", "entity_type", F.col("code").alias("c"), F.col("name").alias("n"))).alias("left"))
+    by_code = identities.join(first("code"), "code")
+    by_name = identities.filter("code is null").join(first("name"), "name")
+    columns = ["left", "identity_id", "entity_type", "code", "name"]
+    linked = by_code.select(*columns).unionByName(by_name.select(*columns)).filter(F.col("left.identity_id") != F.col("identity_id"))
+    decision = merge_decision(F.col("left.entity_type") == F.col("entity_type"), F.col("left.c"), F.col("code"), F.col("left.n") == F.col("name"))
+    return linked.select(F.col("left.identity_id").alias("left_id"), F.col("identity_id").alias("right_id"), decision.alias("decision"))
+
+
+def basket(pairs: DataFrame, auto: float = 0.95, review: float = 0.87) -> DataFrame:
+    """Pairs that a person must judge, as pending items."""
+    return pairs.withColumn("triage", triage(F.col("score"), auto, review)).filter("triage = 'REVIEW'").withColumn("status", F.lit("pending"))
+
+
+def adjudicated(items: DataFrame, verdicts: DataFrame, key: str = "item_id") -> DataFrame:
+    """Items (key, status) after verdicts (key, verdict: accepted or rejected); outcome says what became
+    of each verdict: applied, unknown item, invalid verdict, already adjudicated, repeated (a second verdict
+    in the batch; the first by `ordinal` counts). Items are never dropped."""
+    w = Window.partitionBy(key).orderBy("ordinal")
+    joined = items.select(key, "status").join(verdicts.withColumn("_n", F.row_number().over(w)), key, "full")
+    outcome = (
+        F.when(F.col("verdict").isNull(), None).when(F.col("status").isNull(), "unknown item").when(~F.col("verdict").isin("accepted", "rejected"), "invalid verdict")
+        .when(F.col("status") != "pending", "already adjudicated").when(F.col("_n") > 1, "repeated").otherwise("applied")
+    )
+    return joined.withColumn("outcome", outcome).withColumn("status", F.when(F.col("outcome") == "applied", F.col("verdict")).otherwise(F.col("status"))).drop("_n", "verdict")
+
+
 def triage(score: Column, auto: float = 0.95, review: float = 0.87) -> Column:
     return F.when(score >= auto, "AUTO").when(score >= review, "REVIEW").otherwise("NEW")
 
@@ -73,11 +117,25 @@ def trial_route(coverage: Column, similar: Column, samples: Column) -> Column:
     return F.when(samples < 3, None).when(~similar, ROUTES[2]).when(coverage >= 0.90, ROUTES[0]).otherwise(ROUTES[1])
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("name", StringType())])))
+def token_places(texts: pd.Series) -> pd.Series:
+    """Runs of letters and digits, lower-case, with their places; the engine has no function for the places of all matches."""
+    word = re.compile(r"[^\W_]+")
+    return texts.map(lambda t: [{"start": m.start(), "name": m[0].lower()} for m in word.finditer(t)], na_action="ignore")
+
+
 def dictionary_candidates(texts: DataFrame, names: DataFrame, key: str, column: str) -> DataFrame:
-    """key, name, entity_type, start: where the tokens of a text are a one-token name. Texts are exploded
-    into distinct tokens and joined by equality, not by search of each name in each text."""
-    found = texts.select(key, column, F.explode(F.array_distinct(text.tokens(F.col(column)))).alias("name"))
-    return found.join(names, "name").withColumn("start", F.instr(F.lower(column), F.col("name")) - 1).drop(column)
+    """key, name, entity_type, start: every place where a token of a text is a one-token name (in lower case).
+    Tokens are exploded with their places, without the text, and joined by equality; they are the large
+    side, so the join is by hash of the names or by merge, whatever their size."""
+    found = texts.select(key, F.explode(token_places(F.col(column))).alias("t")).select(key, "t.name", "t.start")
+    return found.hint("merge").join(names, "name")
+
+
+def exact_slices(candidates: DataFrame, texts: DataFrame, key: str, column: str, mention: str = "mention") -> DataFrame:
+    """Candidates with given places whose mention stands there exactly; others are dropped."""
+    joined = candidates.join(texts.select(key, column), key)
+    return joined.filter(F.substr(column, F.col("start") + 1, F.length(mention)) == F.col(mention)).drop(column)
 
 
 def linked_nodes(mentions: DataFrame, node_spans: DataFrame, ledger: DataFrame, version_id: str) -> DataFrame:

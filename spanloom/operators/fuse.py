@@ -4,18 +4,32 @@ Hits: path, ordinal (place in its list), text (or another merge key), score (nul
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def normalized(hits: DataFrame, clip: bool = True) -> DataFrame:
     """Adds norm: min-max of the score by path, to 10 digits. A single hit gets 1, equal
     scores stay as they are; both clipped to [0, 1]; null counts as 0."""
-    w = Window.partitionBy("path")
     score = F.coalesce("score", F.lit(0.0))
-    low, high, n = F.min(score).over(w), F.max(score).over(w), F.count(F.lit(1)).over(w)
-    norm = F.when(n == 1, 1.0).when(low == high, score).otherwise(F.round((score - low) / F.nullif(high - low, F.lit(0.0)), 10))
-    return hits.withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), norm)) if clip else norm)
+    ends = hits.groupBy("path").agg(F.min(score).alias("_low"), F.max(score).alias("_high"), F.count(F.lit(1)).alias("_n"))  # a row a path
+    low, high = F.col("_low"), F.col("_high")
+    norm = F.when(F.col("_n") == 1, 1.0).when(low == high, score).otherwise(F.round((score - low) / F.nullif(high - low, F.lit(0.0)), 10))
+    return hits.join(ends, "path").withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), norm)) if clip else norm).drop("_low", "_high", "_n")
+
+
+def ranked(hits: DataFrame, key: str, score: Column, order: list[Column], cells: int = 4096) -> DataFrame:
+    """Adds rank: the place within the key by `order`, which starts with the score, falling, null last. A list
+    may be long: its scores' range is cut into cells, rows are ranked within a cell and shifted by the
+    rows of the cells above, which are few numbers a key."""
+    marked = hits.withColumn("_s", score.cast("double"))
+    ends = marked.groupBy(key).agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"))
+    place = F.floor(F.coalesce((F.col("_high") - F.col("_s")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * cells, F.lit(0.0)))
+    in_cells = marked.join(ends, key).withColumn("_cell", F.when(F.col("_s").isNull(), cells + 1).otherwise(place))
+    sums = in_cells.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    above = sums.withColumn("_above", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(key, "_cell").orderBy(*order))
+    return in_cells.join(above, [key, "_cell"]).withColumn("rank", (F.col("_above") + within).cast("int")).drop("_s", "_low", "_high", "_cell", "_above")
 
 
 def best_of_path(hits: DataFrame, key: str) -> DataFrame:
@@ -27,8 +41,8 @@ def best_of_path(hits: DataFrame, key: str) -> DataFrame:
 def fuse(hits: DataFrame, key: str = "text", k: int = 60, bonus: float = 0.1, limit: int | None = None) -> DataFrame:
     """key, fused, score, source_paths: reciprocal ranks (from 1) summed over paths, more for
     keys found by several paths; ordered by fused score, raw score and key."""
-    ranked = best_of_path(normalized(hits), key).withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("norm"), "ordinal")))
-    merged = ranked.groupBy(key).agg(
+    placed = ranked(best_of_path(normalized(hits), key), "path", F.col("norm"), [F.desc("norm"), F.asc("ordinal")])
+    merged = placed.groupBy(key).agg(
         F.sum(1.0 / (k + F.col("rank"))).alias("sum"), F.count(F.lit(1)).alias("paths"), F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("path")), ",").alias("source_paths")
     )
     fused = merged.select(key, F.round(F.col("sum") * (1 + bonus * (F.col("paths") - 1)), 10).alias("fused"), F.round("score", 6).alias("score"), "source_paths")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,13 @@ def first_per_chunk(hits: DataFrame, nil: str = "") -> DataFrame:
 
 def reranked(hits: DataFrame, k: int = 60, bonus: float = 0.1) -> DataFrame:
     """Hits (key, path, ordinal, score) scored anew: normalized by path, reciprocal ranks, bonus; with ranks."""
-    fused = fuse.fuse(hits, "key", k, bonus)
-    return fused.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("fused"), F.desc_nulls_last("score"), "key")))
+    fused = fuse.fuse(hits, "key", k, bonus).withColumn("_all", F.lit(0))
+    return fuse.ranked(fused, "_all", F.col("fused"), [F.desc("fused"), F.desc_nulls_last("score"), F.asc("key")]).drop("_all")
 
 
 def fused_by_span(hits: DataFrame, k: int = 60) -> DataFrame:
     """Merge by span: ranks are given before duplicates go, and of duplicates the last rank counts."""
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.desc_nulls_last("score"), "ordinal")))
+    ranked = fuse.ranked(hits, "path", F.col("score"), [F.desc_nulls_last("score"), F.asc("ordinal")])
     last = ranked.groupBy("path", "span_id").agg(F.max("rank").alias("rank"), F.max("score").alias("score"))
     return last.groupBy("span_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 10).alias("fused"), F.max("score").alias("score"), F.count(F.lit(1)).alias("paths"))
 
@@ -66,10 +68,16 @@ def repaired(chunks: DataFrame, embed: Column, nodes: DataFrame) -> DataFrame:
     return whole.unionByName(fixed)
 
 
-def manifest_digest(files: DataFrame, keys: list[str]) -> DataFrame:
-    """One digest of a table of files: their rows as JSON in order, hashed; by group of files first, so
-    the last step gathers a digest for each of 256 groups, not the files."""
-    group = F.substr(F.sha2(F.concat_ws("|", *keys), 256), F.lit(1), F.lit(2))
-    ordered = F.array_sort(F.collect_list(F.to_json(F.struct(*sorted(files.columns)))))
-    by_group = files.withColumn("_g", group).groupBy("_g").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return by_group.agg(F.sum("n").alias("files"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_g", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+def manifest_digest(files: DataFrame, keys: list[str], fan_out: int = 256) -> DataFrame:
+    """files, digest: one digest of a table of files, by a tree. Files fall to groups by the first digits of
+    the digest of their keys, so many that a group has about `fan_out`; a group's rows as JSON, in order,
+    give its digest, and each level up hashes the sixteen digests below, down to one."""
+    count = files.count()
+    digits = max(1, math.ceil(math.log(max(count, 1) / fan_out, 16))) if count > fan_out else 1
+    own = lambda values: F.sha2(F.array_join(values, "\n"), 256)
+    group = F.substr(F.sha2(F.concat_ws("|", *keys), 256), F.lit(1), F.lit(digits))
+    level = files.withColumn("_g", group).groupBy("_g").agg(own(F.array_sort(F.collect_list(F.to_json(F.struct(*sorted(files.columns)))))).alias("d"))
+    for n in reversed(range(digits)):
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("_g", "d"))), lambda x: x["d"])
+        level = level.groupBy(F.substr("_g", F.lit(1), F.lit(n)).alias("_up")).agg(own(ordered).alias("d")).withColumnRenamed("_up", "_g")
+    return level.select(F.lit(count).cast("bigint").alias("files"), F.col("d").alias("digest"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def most_specific(hits: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """The deepest node whose pages hold a hit's page: by level, length of path, length of title."""
-    joined = hits.join(nodes, (F.col("page_no") >= F.col("page_start")) & (F.col("page_no") <= F.col("page_end")))
+def most_specific(hits: DataFrame, nodes: DataFrame, key: str, scope: str = "version_id") -> DataFrame:
+    """The deepest node of the hit's version whose pages hold its page: by level, length of path, length of
+    title. Nodes are dealt out by page, so the join is by equality."""
+    by_page = nodes.filter("page_start <= page_end").withColumn("page_no", F.explode(F.sequence("page_start", "page_end")))
+    joined = hits.join(by_page, [scope, "page_no"])
     w = Window.partitionBy(key).orderBy(F.desc("level_no"), F.desc(F.length("heading_path")), F.desc(F.length("title")), "node_id")
     return joined.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 

@@ -20,12 +20,12 @@ def front_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "canonical_entity_id": F.when(n % 3 != 0, ident.uuid5(n.cast("string"))).otherwise("x"), "entity_type": F.lit("Person"), "subject_entity_id": ident.uuid5(n.cast("string")), "object_entity_id": ident.uuid5(n.cast("string")), "predicate": F.when(n % 11 != 0, F.lit("knows")),
     }
     fields = F.map_from_arrays(F.array(*(F.lit(k) for k in made)), F.array(*made.values()))
-    return events.select(F.coalesce(contracts.front_breach(fields), F.lit("none")).alias("breach")).groupBy("breach").agg(F.count(F.lit(1)).alias("n"))
+    return events.select(fields.alias("fields")).select(F.coalesce(contracts.front_breach(F.col("fields")), F.lit("none")).alias("breach")).groupBy("breach").agg(F.count(F.lit(1)).alias("n"))
 
 
-FRONT_BREACHES_SQL = """SELECT CASE WHEN event_id % 19 = 0 THEN 'type is required' WHEN event_id % 4 = 3 THEN 'none'
- WHEN event_id % 4 IN (0, 1) AND event_id % 5 = 0 THEN 'title is required' WHEN event_id % 4 = 2 AND event_id % 11 = 0 THEN 'predicate is required'
- WHEN event_id % 7 = 0 THEN 'timestamp must be an ISO-8601 string' WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'canonical_entity_id must be a UUID' ELSE 'none' END AS breach, count(*) AS n FROM events GROUP BY 1"""
+FRONT_BREACHES_SQL = """SELECT CASE WHEN event_id % 19 = 0 THEN 'type:missing' WHEN event_id % 4 = 3 THEN 'none'
+ WHEN event_id % 4 IN (0, 1) AND event_id % 5 = 0 THEN 'title:missing' WHEN event_id % 4 = 2 AND event_id % 11 = 0 THEN 'predicate:missing'
+ WHEN event_id % 7 = 0 THEN 'timestamp:time' WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'canonical_entity_id:id' ELSE 'none' END AS breach, count(*) AS n FROM events GROUP BY 1"""
 
 
 def journal_appends(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import ident
 
@@ -12,23 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("start", LongType()), StructField("line", StringType())])))
+def lines_with_starts(texts: pd.Series) -> pd.Series:
+    """Lines of each text with their offsets: a running sum, which no built-in function of arrays gives in one pass."""
+
+    def of(text: str) -> list[dict]:
+        lines = text.split("\n")
+        starts = [0, *itertools.accumulate(len(x) + 1 for x in lines)]
+        return [{"start": a, "line": x} for a, x in zip(starts, lines, strict=False)]
+
+    return texts.map(of, na_action="ignore")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """Lines of documents as spans, with running offsets; blank lines are dropped but count.
 
     Explodes within a row: no shuffle. A window over the document would need one."""
-    lines = F.split("text", "\n")
-    starts = F.aggregate(
-        lines,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all")),
-        lambda s, line: F.struct((s["at"] + F.length(line) + 1).alias("at"), F.array_append(s["all"], s["at"]).alias("all")),
-        lambda s: s["all"],
-    )
-    exploded = docs.withColumn("start_", starts).select("doc_id", "lang", "source", "start_", F.posexplode(lines).alias("ordinal", "raw_text"))
-    start = F.element_at("start_", F.col("ordinal") + 1)
+    exploded = docs.select("doc_id", "lang", "source", F.posexplode(lines_with_starts(F.col("text"))).alias("ordinal", "s"))
     return (
-        exploded.filter(F.trim("raw_text") != "")
-        .select("doc_id", F.concat_ws(":", F.col("doc_id"), F.lit("v1")).alias("version_id"), "ordinal", start.alias("start_offset"), (start + F.length("raw_text")).alias("end_offset"),
-                F.concat_ws(" > ", "lang", "source").alias("heading_path"), "raw_text")
+        exploded.filter(F.trim("s.line") != "")
+        .select("doc_id", F.concat_ws(":", F.col("doc_id"), F.lit("v1")).alias("version_id"), "ordinal", F.col("s.start").alias("start_offset"), (F.col("s.start") + F.length("s.line")).alias("end_offset"),
+                F.concat_ws(" > ", "lang", "source").alias("heading_path"), F.col("s.line").alias("raw_text"))
     )
 
 

@@ -159,7 +159,8 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.manifest_digest(rows, ["path"])
 
 
-MANIFEST_SQL = """WITH r AS (SELECT substr(sha256('doc-' || doc_id), 1, 2) AS g, '{"path":"doc-' || doc_id || '","sha256":"' || sha256(text) || '"}' AS j FROM documents),
+#: One level of groups: for up to 4096 files.
+MANIFEST_SQL = """WITH r AS (SELECT substr(sha256('doc-' || doc_id), 1, 1) AS g, '{"path":"doc-' || doc_id || '","sha256":"' || sha256(text) || '"}' AS j FROM documents),
 d AS (SELECT g, sha256(string_agg(j, chr(10) ORDER BY j)) AS d, count(*) AS n FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS files, sha256(string_agg(d, chr(10) ORDER BY g)) AS digest FROM d"""
 
 

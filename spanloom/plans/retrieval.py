@@ -61,13 +61,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("keyword"), F.round(F.avg("l_extendedprice"), 4).alias("vector"), F.max("l_discount").alias("tree"))
     parts = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     long = parts.select("p_type", "l_partkey", F.expr("stack(3, 'keyword', keyword, 'vector', vector, 'tree', tree) AS (path, score)"))
-    w = Window.partitionBy("path").orderBy(F.desc("score"), "l_partkey")
-    return long.withColumn("ordinal", F.row_number().over(w)).filter("ordinal <= 200").select("path", "ordinal", F.col("p_type").alias("text"), "score")
+    placed = fuse.ranked(long, "path", F.col("score"), [F.desc("score"), F.asc("l_partkey")])
+    return placed.withColumnRenamed("rank", "ordinal").select("path", "ordinal", F.col("p_type").alias("text"), "score")
 
 
 HITS_SQL = """parts AS (SELECT l_partkey, sum(l_quantity) AS keyword, round(avg(l_extendedprice), 4) AS vector, max(l_discount) AS tree FROM lineitem GROUP BY 1),
 long AS (SELECT p_type AS text, l_partkey, path, score FROM (SELECT l_partkey, 'keyword' AS path, keyword AS score FROM parts UNION ALL SELECT l_partkey, 'vector', vector FROM parts UNION ALL SELECT l_partkey, 'tree', tree FROM parts) JOIN part ON l_partkey = p_partkey),
-hits AS (SELECT path, ordinal, text, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, l_partkey) AS ordinal FROM long) WHERE ordinal <= 200)"""
+hits AS (SELECT path, ordinal, text, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, l_partkey) AS ordinal FROM long))"""
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,13 +142,22 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.greedy_hotspots(pool, "c_mktsegment", 3)
 
 
+#: No place of a segment lies within one chosen before it: the rule is replayed over each segment's places, best first.
+HOTSPOTS_SQL = """WITH RECURSIVE rows AS (SELECT c_mktsegment, unnest(['world', 'world > ' || r_name, 'world > ' || r_name || ' > ' || n_name]) AS p, c_acctbal AS s FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+g AS (SELECT c_mktsegment, p, round(avg(s), 6) AS s FROM rows GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY s DESC, p) AS n FROM g QUALIFY n <= 20),
+f AS (SELECT DISTINCT c_mktsegment, 0::BIGINT AS n, []::VARCHAR[] AS kept FROM o
+ UNION ALL SELECT f.c_mktsegment, o.n, CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda k: starts_with(k || ' > ', p || ' > ') OR starts_with(p || ' > ', k || ' > '))) = 0 THEN list_append(kept, p) ELSE kept END FROM f JOIN o ON o.c_mktsegment = f.c_mktsegment AND o.n = f.n + 1),
+k AS (SELECT c_mktsegment, arg_max(kept, n) AS kept FROM f GROUP BY 1), u AS (SELECT c_mktsegment, unnest(kept) AS p, unnest(range(len(kept))) AS place FROM k)
+SELECT c_mktsegment, place::INTEGER AS place, p AS node_id, p AS heading_path, s AS score FROM u JOIN g USING (c_mktsegment, p)"""
+
+
 def query_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    short = F.array_join(F.slice(F.split("text", " "), 1, F.col("turn").cast("int") % 7 + 1), " ")
-    return rows.select("conv_id", "turn", short.alias("query")).select("conv_id", "turn", text.query_kind(F.col("query")).alias("kind"), text.word_count(F.col("query")).alias("words"))
+    parts = F.explode(F.split("text", r"[.?!]\s*"))  # every sentence of every question
+    return rows.select("conv_id", "turn", parts.alias("query")).select("conv_id", "turn", text.query_kind(F.col("query")).alias("kind"), text.word_count(F.col("query")).alias("words"))
 
 
-QUERY_ROUTER_SQL = """WITH q AS (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:turn % 7 + 1], ' ') AS query FROM conversations WHERE role = 'user'),
+QUERY_ROUTER_SQL = """WITH q AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[.?!]\\s*')) AS query FROM conversations WHERE role = 'user'),
 c AS (SELECT *, regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS clean, len(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '')) AS words FROM q)
 SELECT conv_id, turn, CASE WHEN clean = '' THEN 'vector' WHEN regexp_matches(lower(clean), 'section structure|document outline|table of contents|chapter hierarchy') THEN 'tree' WHEN words >= 6 THEN 'vector'
  WHEN words <= 1 AND regexp_matches(clean, '([\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}].*){6}') THEN 'vector' WHEN regexp_matches(clean, '\\p{Nd}') THEN 'keyword' WHEN regexp_matches(clean, '[-/_.]') THEN 'keyword' WHEN length(clean) <= 16 THEN 'keyword' ELSE 'vector' END AS kind,
@@ -167,9 +176,17 @@ RELEVANCE_SQL = """SELECT *, CASE WHEN hit_rate >= 0.8 AND top1 >= 0.9 THEN 'pas
 
 
 def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic embeddings of the benchmark's texts."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.slice(text.keywords(F.col("text")), 1, 12).alias("t"))
-    return rows.select("item_id", F.size("t").alias("n"), F.transform(vectors.hashed_embedding(F.col("t"), 4), lambda x: F.round(x, 6)).alias("v")).select("item_id", "n", *(F.element_at("v", i + 1).alias(f"v{i}") for i in range(4)))
+    """Deterministic embeddings of the benchmark's whole texts: the text, its letters and pairs, in 16 dimensions."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", vectors.embedding_tokens(F.col("text")).alias("t"))
+    vector = rows.select("item_id", F.size("t").alias("n"), vectors.hashed_embedding(F.col("t"), 16).alias("v"))
+    return vector.select("item_id", "n", *(F.round(F.element_at("v", i + 1), 6).alias(f"v{i:02d}") for i in range(16)))
+
+
+EMBEDDINGS_SQL = f"""WITH c AS (SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS c FROM benchmark),
+t AS (SELECT item_id, unnest([c] || list_transform(range(1, length(c) + 1), lambda i: substr(c, i, 1)) || list_transform(range(1, length(c)), lambda i: substr(c, i, 2))) AS t FROM c WHERE c <> ''),
+b AS (SELECT item_id, i, sum(('0x' || substr(h, 2 * i + 1, 2))::INTEGER / 255.0::DOUBLE) AS x, count(*)::INTEGER AS n FROM (SELECT item_id, sha256(t) AS h, unnest(range(16)) AS i FROM t) GROUP BY 1, 2),
+v AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS y FROM b)
+SELECT item_id, n, {", ".join(f"round(max(CASE WHEN i = {i} THEN y END), 6) AS v{i:02d}" for i in range(16))} FROM v GROUP BY 1, 2"""
 
 
 QUERIES = {
@@ -181,8 +198,8 @@ QUERIES = {
     "hit_roll_up": (hit_roll_up, ROLL_UP_SQL),
     "hit_spread": (hit_spread, SPREAD_SQL),
     "node_statistics": (node_statistics, NODE_STATS_SQL),
-    "hotspots": (hotspots, None),
+    "hotspots": (hotspots, HOTSPOTS_SQL),
     "query_router": (query_router, QUERY_ROUTER_SQL),
     "relevance_levels": (relevance, RELEVANCE_SQL),
-    "hashed_embeddings": (chunk_embeddings, None),
+    "hashed_embeddings": (chunk_embeddings, EMBEDDINGS_SQL),
 }

@@ -49,10 +49,10 @@ def coref_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders of equal date and priority as mentions of one thing."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey") % 50, "o_orderpriority", "o_orderstatus", "o_orderkey").toDF("doc_id", "mention", "type", "mention_id")
     out = entity.coreference(rows, ["doc_id", "mention", "type"], "mention_id")
-    return out.select("doc_id", "mention", "type", "n", F.element_at("members", 1).alias("first_member"), F.element_at("members", -1).alias("last_member"))
+    return out.groupBy("doc_id", "mention", "type").agg(F.max("n").alias("n"), F.min("mention_id").alias("first_member"), F.max("mention_id").alias("last_member"))
 
 
-COREF_SQL = "SELECT o_custkey % 50 AS doc_id, o_orderpriority AS mention, o_orderstatus AS type, count(*)::INTEGER AS n, min(o_orderkey) AS first_member, max(o_orderkey) AS last_member FROM orders GROUP BY 1, 2, 3 HAVING count(*) >= 2"
+COREF_SQL = "SELECT o_custkey % 50 AS doc_id, o_orderpriority AS mention, o_orderstatus AS type, count(*) AS n, min(o_orderkey) AS first_member, max(o_orderkey) AS last_member FROM orders GROUP BY 1, 2, 3 HAVING count(*) >= 2"
 
 
 def mention_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,27 +64,28 @@ WINNERS_SQL = "SELECT l_orderkey AS occurrence, l_linenumber AS mention_id, l_di
 
 
 def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of a nation with equal balances' whole parts, by rules for merging."""
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 1000).alias("bin"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_nationkey").cast("string")).alias("code"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.bin") == F.col("b.bin")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
-    decision = entity.merge_decision(F.col("a.s_nationkey") % 5 == F.col("b.s_nationkey") % 5, F.col("a.code"), F.col("b.code"), F.col("a.s_nationkey") == F.col("b.s_nationkey"))
-    return pairs.select(F.col("a.s_suppkey").alias("left_id"), F.col("b.s_suppkey").alias("right_id"), decision.alias("decision"))
+    """Suppliers as identities: some have a code, names are shared, types differ."""
+    n = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(n.alias("identity_id"), (F.col("s_nationkey") % 5).alias("entity_type"), F.when(n % 3 == 0, (n % 40).cast("string")).alias("code"), F.concat(F.lit("name"), n % 50).alias("name"))
+    return entity.merge_links(rows)
 
 
-MERGE_PLAN_SQL = """WITH r AS (SELECT s_suppkey, s_nationkey, floor(s_acctbal / 1000) AS bin, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey::VARCHAR END AS code FROM supplier)
-SELECT a.s_suppkey AS left_id, b.s_suppkey AS right_id, CASE WHEN a.s_nationkey % 5 <> b.s_nationkey % 5 THEN 'veto_type' WHEN a.code <> b.code THEN 'veto_code' WHEN a.code = b.code THEN 'merge_code' WHEN a.s_nationkey = b.s_nationkey THEN 'merge_name' ELSE 'deferred' END AS decision
-FROM r a JOIN r b ON a.bin = b.bin AND a.s_suppkey < b.s_suppkey"""
+MERGE_PLAN_SQL = """WITH r AS (SELECT s_suppkey AS id, s_nationkey % 5 AS t, CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 40)::VARCHAR END AS code, 'name' || s_suppkey % 50 AS name FROM supplier),
+c AS (SELECT min(id) AS id, code FROM r WHERE code IS NOT NULL GROUP BY 2), m AS (SELECT min(id) AS id, name FROM r GROUP BY 2),
+p AS (SELECT c.id AS a, r.id AS b FROM r JOIN c USING (code) UNION ALL SELECT m.id, r.id FROM r JOIN m USING (name) WHERE r.code IS NULL)
+SELECT a AS left_id, b AS right_id, CASE WHEN x.t <> y.t THEN 'veto_type' WHEN x.code <> y.code THEN 'veto_code' WHEN x.code = y.code THEN 'merge_code' WHEN x.name = y.name THEN 'merge_name' ELSE 'deferred' END AS decision
+FROM p JOIN r x ON a = x.id JOIN r y ON b = y.id WHERE a <> b"""
 
 
 def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First places of a few names in documents."""
+    """All places of a few names in documents."""
     names = spark.createDataFrame([("the", "article"), ("que", "article"), ("zzz", "none")], "name string, entity_type string")
     return entity.dictionary_candidates(table(spark, sf_dir, "documents"), names, "doc_id", "text")
 
 
-DICTIONARY_SQL = """SELECT doc_id, name, 'article' AS entity_type, (instr(lower(text), name) - 1)::INTEGER AS start FROM documents, (VALUES ('the'), ('que')) n(name)
-WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), name)"""
+DICTIONARY_SQL = """WITH p AS (SELECT doc_id, unnest(x) AS t, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS x FROM documents)),
+q AS (SELECT doc_id, lower(t) AS name, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start FROM p)
+SELECT doc_id, name, 'article' AS entity_type, start FROM q WHERE name IN ('the', 'que')"""
 
 
 def tree_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,12 +159,12 @@ JSON_VERDICTS_SQL = "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'uncertain
 
 
 def summary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents as summaries of nodes."""
-    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.lit(1).alias("level_no"), F.substring_index("text", "\n", 1).alias("summary_text"))
+    """Texts of documents as summaries of nodes."""
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.lit(1).alias("level_no"), F.col("text").alias("summary_text"))
     return retrieve.tree_fallback(nodes, "the and ing of that", 25).select("node_id", "score")
 
 
-SUMMARY_SQL = """WITH s AS (SELECT doc_id AS node_id, list_distinct(list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents),
+SUMMARY_SQL = """WITH s AS (SELECT doc_id AS node_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents),
 j AS (SELECT node_id, len(list_intersect(w, ['the','and','ing','of','that'])) AS n, len(w) AS m FROM s)
 SELECT node_id, round(least(1.0, CASE WHEN n > 1 THEN 1.2 ELSE 1.0 END * n / (m + 5 - n)), 6)::DOUBLE AS score FROM j WHERE n > 0 ORDER BY score DESC, node_id LIMIT 25"""
 

@@ -123,32 +123,41 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("entity_type"), F.explode(F.array_distinct(F.expr(r"regexp_extract_all(text, '(^|[^\\p{L}])([A-Z][a-z]{5,})($|[^\\p{L}])', 2)"))).alias("mention"))
     mentions = rows.select(F.col("doc_id").cast("string").alias("span_id"), "entity_type", "mention")
     groups = knowledge.identity_groups(mentions, F.lower(text.collapsed(F.col("mention"))), least=2)
-    return groups.select(ident.concept_id(F.col("entity_type"), F.col("name")).alias("identity_id"), "name", "entity_type", "n", F.sha2(F.array_join("members", ","), 256).alias("members_sha256"))
+    return groups.select(ident.concept_id(F.col("entity_type"), F.col("name")).alias("identity_id"), "name", "entity_type", "n", "span_id")
 
 
 IDENTITIES_SQL = """WITH m AS (SELECT DISTINCT doc_id::VARCHAR AS span_id, lang AS entity_type, lower(unnest(regexp_extract_all(text, '(^|[^\\p{L}])([A-Z][a-z]{5,})($|[^\\p{L}])', 2))) AS name FROM documents),
-g AS (SELECT name, entity_type, count(*)::INTEGER AS n, string_agg(span_id, ',' ORDER BY span_id) AS members FROM m GROUP BY 1, 2 HAVING count(*) >= 2),
+g AS (SELECT name, entity_type, span_id, count(*) OVER (PARTITION BY name, entity_type) AS n FROM m QUALIFY n >= 2),
 h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(entity_type || ':' || regexp_replace(name, '[^a-z0-9]', '', 'g'))) AS s FROM g)
-SELECT substr(s,1,8) || '-' || substr(s,9,4) || '-5' || substr(s,14,3) || '-' || substr('89ab', ('0x' || substr(s,17,1))::INTEGER % 4 + 1, 1) || substr(s,18,3) || '-' || substr(s,21,12) AS identity_id, name, entity_type, n, sha256(members) AS members_sha256 FROM h"""
+SELECT substr(s,1,8) || '-' || substr(s,9,4) || '-5' || substr(s,14,3) || '-' || substr('89ab', ('0x' || substr(s,17,1))::INTEGER % 4 + 1, 1) || substr(s,18,3) || '-' || substr(s,21,12) AS identity_id, name, entity_type, n, span_id FROM h"""
 
 
 def reviewed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a document's first line hold the words that lead its source and language?"""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("the").alias("subject"), F.lit("que").alias("object"), F.substring_index("text", "\n", 1).alias("quote"))
+    """Does a document's text hold two words? Some claims lack a subject, some a quote."""
+    n = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(n % 7 == 0, " ").otherwise(" The").alias("subject"), F.lit("QUE ").alias("object"), F.when(n % 11 != 0, F.col("text")).alias("quote"))
     return knowledge.review(rows).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-REVIEWED_SQL = """SELECT CASE WHEN contains(q, 'the') AND contains(q, 'que') THEN 'supported' WHEN NOT contains(q, 'the') AND NOT contains(q, 'que') THEN 'unsupported' ELSE 'uncertain' END AS verdict, count(*) AS n
-FROM (SELECT lower(split_part(text, chr(10), 1)) AS q FROM documents) GROUP BY 1"""
+REVIEWED_SQL = """SELECT CASE WHEN doc_id % 11 = 0 OR q IS NULL THEN 'pending' WHEN doc_id % 7 = 0 THEN 'uncertain' WHEN trim(q) = '' THEN 'unsupported' WHEN contains(q, 'the') AND contains(q, 'que') THEN 'supported' WHEN NOT contains(q, 'the') AND NOT contains(q, 'que') THEN 'unsupported' ELSE 'uncertain' END AS verdict, count(*) AS n
+FROM (SELECT doc_id, lower(text) AS q FROM documents) GROUP BY 1"""
 
 
 def merged_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as mentions of a customer: date as place, priority as source."""
     rows = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("mention_id"), (F.col("o_orderkey") % 97).alias("start"), (F.col("o_orderkey") % 97 + 5 + F.length("o_orderpriority")).alias("stop"), F.substr("o_orderpriority", F.lit(1), F.lit(1)).cast("int").alias("priority"))
+        F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("mention_id"), (F.col("o_orderkey") % 23).alias("start"), (F.col("o_orderkey") % 23 + 2 + F.col("o_orderkey") % 5).alias("stop"), F.substr("o_orderpriority", F.lit(1), F.lit(1)).cast("int").alias("priority"), F.col("o_orderstatus").alias("label"),
+        F.sha2(F.concat_ws("|", F.col("o_orderkey") % 23, F.col("o_orderkey") % 5, "o_orderstatus", "o_orderpriority"), 256).alias("fingerprint"))
     return knowledge.merge_mentions(rows, ["scope"])
 
 
+MERGED_SQL = """WITH RECURSIVE m AS (SELECT o_custkey AS scope, o_orderkey AS id, o_orderkey % 23 AS a, o_orderkey % 23 + 2 + o_orderkey % 5 AS b, o_orderstatus AS l, substr(o_orderpriority, 1, 1)::INTEGER AS p, sha256(concat_ws('|', o_orderkey % 23, o_orderkey % 5, o_orderstatus, o_orderpriority)) AS f FROM orders),
+o AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY p, f, id) AS n, {'id': id, 'a': a, 'b': b, 'l': l, 'f': f} AS x FROM m),
+k AS (SELECT scope, 1::BIGINT AS n, [x] AS kept FROM o WHERE n = 1 UNION ALL SELECT k.scope, o.n, CASE WHEN len(list_filter(kept, lambda y: o.a < y.b AND y.a < o.b)) = 0 THEN list_append(kept, o.x) ELSE kept END FROM k JOIN o ON o.scope = k.scope AND o.n = k.n + 1),
+w AS (SELECT scope, arg_max(kept, n) AS kept FROM k GROUP BY 1), r AS (SELECT o.*, list_filter(kept, lambda y: o.a < y.b AND y.a < o.b)[1] AS y FROM o JOIN w USING (scope))
+SELECT scope, id AS mention_id, CASE WHEN id = y.id THEN 'selected' WHEN f = y.f THEN 'duplicate' WHEN a = y.a AND b = y.b THEN CASE WHEN l = y.l THEN 'grouped' ELSE 'suppressed' END WHEN (y.a < a AND b < y.b) OR (a < y.a AND y.b < b) THEN 'nested' ELSE 'overlap' END AS outcome, CASE WHEN id <> y.id THEN y.id END AS winner FROM r"""
+
+
 QUERIES = {
     "heading_chunks": (heading_chunks, HEADING_CHUNKS_SQL),
     "turn_overlap": (turn_overlap, TURN_OVERLAP_SQL),
@@ -162,5 +171,5 @@ QUERIES = {
     "required_fields": (required, REQUIRED_SQL),
     "identity_groups": (identities, IDENTITIES_SQL),
     "reviewed_claims": (reviewed_claims, REVIEWED_SQL),
-    "merged_mentions": (merged_mentions, None),
+    "merged_mentions": (merged_mentions, MERGED_SQL),
 }
