@@ -47,9 +47,16 @@ def embedding_tokens(text: Column) -> Column:
     return F.when(compact == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(compact), cut(1), pairs))
 
 
+def bound(value: Column, of) -> Column:
+    """of(value), with value computed once: an expression that a lambda uses twice is computed twice."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def hashed_embedding(tokens: Column, dimensions: int = 16) -> Column:
     """Each token adds the bytes of its SHA-256, over 255; the sum is brought to length 1."""
-    byte = lambda token, i: F.conv(F.substr(F.sha2(token, 256), F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("double") / 255.0
+    byte = lambda digest, i: F.conv(F.substr(digest, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("double") / 255.0
     zero = F.array(*(F.lit(0.0) for _ in range(dimensions)))
-    total = F.aggregate(tokens, zero, lambda s, t: F.zip_with(s, F.array(*(byte(t, i) for i in range(dimensions))), lambda x, y: x + y))
-    return F.transform(total, lambda x: F.when(norm(total) > 0, x / norm(total)).otherwise(0.0))
+    digests = F.transform(tokens, lambda t: F.sha2(t, 256))
+    total = F.aggregate(digests, zero, lambda s, d: F.zip_with(s, F.array(*(byte(d, i) for i in range(dimensions))), lambda x, y: x + y))
+    unit = lambda v: bound(F.struct(v.alias("v"), norm(v).alias("n")), lambda x: F.transform(x["v"], lambda y: F.when(x["n"] > 0, y / x["n"]).otherwise(0.0)))
+    return bound(total, unit)

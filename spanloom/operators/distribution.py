@@ -48,6 +48,21 @@ def node_stats(members: DataFrame, key: str, vector: str = "embedding") -> DataF
     return sums.select(key, "support", "centroid", "dispersion", F.coalesce(entropy, F.lit(0.0)).alias("entropy"))
 
 
+def subtree_stats(members: DataFrame, ancestors: DataFrame, key: str = "node_id", vector: str = "embedding") -> DataFrame:
+    """node_stats of every node by its own vectors or, where it has none, by those of its subtree, with direct (own
+    vectors) and is_route (has only its subtree's). ancestors: node_id, ancestor_id, itself too."""
+    direct = members.groupBy(key).agg(F.count(F.lit(1)).alias("direct"))
+    below = members.join(ancestors.filter("node_id <> ancestor_id"), key).join(direct.select(F.col(key).alias("ancestor_id")), "ancestor_id", "left_anti")
+    used = members.select(key, vector).unionByName(below.select(F.col("ancestor_id").alias(key), vector))
+    return node_stats(used, key, vector).join(direct, key, "left").withColumn("direct", F.coalesce("direct", F.lit(0))).withColumn("is_route", F.col("direct") == 0)
+
+
+def tree_roll_up(hits: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """node_id, total, hits: every hit (node_id, score) counts for its node and all above it."""
+    own = hits.groupBy("node_id").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("s"), F.count(F.lit(1)).alias("n"))
+    return own.join(ancestors, "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.sum("s").alias("total"), F.sum("n").alias("hits"))
+
+
 def branch_policy(least_support: int = 2, dispersion: float = 1.0, entropy: float = 3.0, route=None):
     """Prune nodes of too little support; route nodes are drilled; else drill where distances are both
     wide and even, keep the parent where neither, prune between."""
@@ -65,13 +80,19 @@ def hiro_policy(parent, child, selection: float = 0.5, delta: float = 0.05, supp
     return out if support is None else F.when((support > 0) & (support < least_support), "prune").otherwise(out)
 
 
+#: Bonus of a route, of a level (four at most) and of a supporting chunk (ten at most), penalty of a root.
+ROUTE_BONUS, DEPTH_BONUS, SUPPORT_BONUS, ROOT_PENALTY = 0.08, 0.03, 0.003, 0.06
+#: Weights of a cluster's best and mean score, support and density.
+CLUSTER_WEIGHTS = (0.20, 0.35, 0.30, 0.15)
+
+
 def hotspot_score(similarity, route, depth, support, is_root):
     """Similarity with small bonuses for route nodes, depth and support, less a penalty for the root."""
-    return similarity + F.when(route, 0.08).otherwise(0.0) + 0.03 * F.least(depth, F.lit(4)) + 0.003 * F.least(support, F.lit(10)) - F.when(is_root, 0.06).otherwise(0.0)
+    return similarity + F.when(route, ROUTE_BONUS).otherwise(0.0) + DEPTH_BONUS * F.least(depth, F.lit(4)) + SUPPORT_BONUS * F.least(support, F.lit(10)) - F.when(is_root, ROOT_PENALTY).otherwise(0.0)
 
 
 def cluster_score(top, mean, support, density):
-    return 0.20 * top + 0.35 * mean + 0.30 * support + 0.15 * density
+    return CLUSTER_WEIGHTS[0] * top + CLUSTER_WEIGHTS[1] * mean + CLUSTER_WEIGHTS[2] * support + CLUSTER_WEIGHTS[3] * density
 
 
 def greedy_hotspots(candidates: DataFrame, group: str, limit: int) -> DataFrame:
