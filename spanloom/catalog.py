@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import contracts, lifecycle, more, registry, retrieval, sources, structure
+from .plans import building, contracts, lifecycle, more, registry, retrieval, sources, structure
 
-ALL = {**retrieval.QUERIES, **structure.QUERIES, **lifecycle.QUERIES, **sources.QUERIES, **more.QUERIES, **contracts.QUERIES, **registry.QUERIES}
+ALL = {**retrieval.QUERIES, **structure.QUERIES, **lifecycle.QUERIES, **sources.QUERIES, **more.QUERIES, **contracts.QUERIES, **registry.QUERIES, **building.QUERIES}
 FLAGSHIP = retrieval.keyword_search
 
 

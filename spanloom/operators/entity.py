@@ -133,9 +133,12 @@ def dictionary_candidates(texts: DataFrame, names: DataFrame, key: str, column:
 
 
 def exact_slices(candidates: DataFrame, texts: DataFrame, key: str, column: str, mention: str = "mention") -> DataFrame:
-    """Candidates with given places whose mention stands there exactly; others are dropped."""
+    """Candidates with given places whose mention stands there exactly, as whole words; others are dropped."""
     joined = candidates.join(texts.select(key, column), key)
-    return joined.filter(F.substr(column, F.col("start") + 1, F.length(mention)) == F.col(mention)).drop(column)
+    stop = F.col("start") + F.length(mention)
+    before = F.when(F.col("start") > 0, F.substr(column, F.col("start"), F.lit(1))).otherwise("")
+    inner = (before.rlike(r"[\p{L}\p{N}]") & F.col(mention).rlike(r"^[\p{L}\p{N}]")) | (F.substr(column, stop + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]") & F.col(mention).rlike(r"[\p{L}\p{N}]$"))
+    return joined.filter((F.substr(column, F.col("start") + 1, F.length(mention)) == F.col(mention)) & ~inner).drop(column)
 
 
 def linked_nodes(mentions: DataFrame, node_spans: DataFrame, ledger: DataFrame, version_id: str) -> DataFrame:

@@ -67,20 +67,26 @@ def generated(spans: DataFrame, domains: dict[str, tuple[str, ...]] = DOMAINS, d
     every = leaves.unionByName(parents)
     parent = F.when(F.size("parts") > 1, ident.uuid5(seed(F.array_join(F.slice("parts", F.lit(1), level), " > "), level - 1)))
     nodes = every.withColumns({"level_no": level, "parent_node_id": parent, "title": F.element_at("parts", -1), "heading_path": path, "node_type": F.when(level == 0, "chapter").otherwise("section")})
-    depth = nodes.agg(F.max("level_no")).first()[0] or 0  # one number
+    nodes = nodes.persist()  # a row a heading; every level reads it, and its plan would be repeated in each
+    depth = (rows.agg(F.max(F.size("parts"))).first()[0] or 1) - 1  # one number
     if depth > deepest:
         raise ValueError(f"deeper than {deepest}")
-    for n in reversed(range(depth)):
-        below = nodes.filter((F.col("level_no") == n + 1) & F.col("summary_text").isNotNull()).withColumn("cluster", F.coalesce("cluster", F.lit(2**31 - 1)))
-        up = _joined(below.withColumnRenamed("node_id", "_id").withColumnRenamed("parent_node_id", "node_id"), ["node_id"], ["parts", "cluster"], "summary_text").withColumnRenamed("summary_text", "_up")
-        nodes = nodes.join(up, "node_id", "left").withColumn("summary_text", F.coalesce("summary_text", "_up")).drop("_up")
-    return nodes.drop("parts"), node_spans
-
-
-def desired_state(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    done, below = None, None
+    for n in reversed(range(depth + 1)):  # a level needs the one below it, no other
+        here = nodes.filter(F.col("level_no") == n)
+        if below is not None:
+            some = below.filter("summary_text is not null").select(F.col("parent_node_id").alias("node_id"), "parts", F.coalesce("cluster", F.lit(2**31 - 1)).alias("cluster"), "summary_text")
+            up = _joined(some, ["node_id"], ["parts", "cluster"], "summary_text").withColumnRenamed("summary_text", "_up")
+            here = here.join(up, "node_id", "left").withColumn("summary_text", F.coalesce("summary_text", "_up")).drop("_up")
+        below = here
+        done = here if done is None else done.unionByName(here)
+    return done.drop("parts"), node_spans
+
+
+def desired_state(spans: DataFrame, domains: dict[str, tuple[str, ...]] = DOMAINS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, node_spans, chunks): a tree, and a chunk for each span under its node. A span that the
     tree does not cover is an error."""
-    nodes, node_spans = generated(spans)
+    nodes, node_spans = generated(spans, domains)
     joined = spans.join(node_spans.select("span_id", "version_id", "node_id"), ["span_id", "version_id"], "left")
     covered = F.when(F.col("node_id").isNull(), F.raise_error(F.concat(F.lit("no node covers span "), F.col("span_id"))).cast("string")).otherwise(F.col("node_id"))
     order = F.row_number().over(Window.partitionBy("version_id").orderBy("start_offset", "span_id")) - 1

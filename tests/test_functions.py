@@ -86,8 +86,62 @@ def test_greedy_hotspots(spark):
 
 
 def test_mention_sweep(spark):
-    df = spark.createDataFrame([(1, 1, 0, 5, 1), (1, 2, 0, 5, 2), (1, 3, 1, 3, 2), (1, 4, 4, 9, 2), (1, 5, 9, 12, 3)], "scope int, mention_id int, start int, stop int, priority int")
-    assert {r["mention_id"]: r["outcome"] for r in rows(knowledge.merge_mentions(df, ["scope"]))} == {1: "selected", 2: "duplicate", 3: "nested", 4: "overlap", 5: "selected"}
+    schema = "scope int, mention_id int, start int, stop int, priority int, label string, fingerprint string"
+    data = [(1, 1, 0, 5, 1, "P", "a"), (1, 2, 0, 5, 2, "P", "b"), (1, 3, 1, 3, 2, "P", "c"), (1, 4, 4, 9, 2, "P", "d"), (1, 5, 9, 12, 3, "P", "e"), (1, 6, 0, 5, 1, "P", "a"), (1, 7, 0, 5, 3, "Q", "f"), (2, 8, 0, 5, 4, "P", "g"), (1, 9, 8, 20, 4, "P", "h")]
+    got = {r["mention_id"]: (r["outcome"], r["winner"]) for r in rows(knowledge.merge_mentions(spark.createDataFrame(data, schema), ["scope"]))}
+    assert got == {1: ("selected", None), 2: ("grouped", 1), 3: ("nested", 1), 4: ("overlap", 1), 5: ("selected", None), 6: ("duplicate", 1), 7: ("suppressed", 1), 8: ("selected", None), 9: ("nested", 5)}
+
+
+def test_suggestions_against_brute_force(spark):
+    import difflib
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    data = [(i, "PQ"[i % 2], n) for i, n in enumerate(names)]
+    got = {(r["left_id"], r["right_id"]) for r in rows(knowledge.suggestions(spark.createDataFrame(data, "identity_id int, entity_type string, name string")))}
+    want = {(a[0], b[0]) for a, b in itertools.combinations(data, 2) if a[1] == b[1] and difflib.SequenceMatcher(None, a[2], b[2]).ratio() >= 0.87}
+    assert got == want
+
+
+def test_review_of_empty_claims(spark):
+    data = [("", "b", "a b"), ("a", None, "a b"), ("a", "b", " "), (" A ", "B", "x a  b"), ("a", "z", "a"), ("a", "b", None)]
+    got = [r["verdict"] for r in rows(knowledge.review(spark.createDataFrame(data, "subject string, object string, quote string")))]
+    assert got == ["uncertain", "uncertain", "unsupported", "supported", "uncertain", "pending"]
+
+
+def test_merged_text(spark):
+    from spanloom.operators import admission
+
+    front = "---\ntitle: t\n---\n"
+    got = one(spark, *(admission.merged_text(F.lit(a), F.lit(b)) for a, b in ((front + "old", "new"), (None, "new\n"), ("old", "new"), (front.rstrip("\n"), "new"))))
+    assert got == [front + "new\n", "new\n", "new\n", front + "new\n"]
+    with pytest.raises(Exception, match="not closed"):
+        one(spark, admission.merged_text(F.lit("---\ntitle: t\n"), F.lit("new")))
+
+
+def test_ranks_by_cells(spark):
+    data = [(f"p{i % 2}", i, None if i % 9 == 0 else float(i * 7919 % 50)) for i in range(400)]
+    df = spark.createDataFrame(data, "path string, ordinal int, score double")
+    got = {(r["path"], r["ordinal"]): r["rank"] for r in rows(fuse.ranked(df, "path", F.col("score"), [F.desc_nulls_last("score"), F.asc("ordinal")], cells=7))}
+    for path in ("p0", "p1"):
+        order = sorted((x for x in data if x[0] == path), key=lambda x: (x[2] is None, -(x[2] or 0), x[1]))
+        assert [got[path, x[1]] for x in order] == list(range(1, len(order) + 1))
+
+
+def test_token_places(spark):
+    texts = spark.createDataFrame([(1, "The other, the Théâtre"), (2, None), (3, "")], "k int, t string")
+    names = spark.createDataFrame([("the", "x"), ("théâtre", "y")], "name string, entity_type string")
+    assert sorted((r["k"], r["name"], r["start"]) for r in rows(entity.dictionary_candidates(texts, names, "k", "t"))) == [(1, "the", 0), (1, "the", 11), (1, "théâtre", 15)]
+    found = spark.createDataFrame([(1, "other", 4), (1, "the", 5)], "k int, mention string, start int")
+    assert [r["mention"] for r in rows(entity.exact_slices(found, texts, "k", "t"))] == ["other"]
+
+
+def test_unknown_tombstone(spark):
+    df = spark.createDataFrame([("a", False)], "cluster_id string, tombstoned boolean")
+    with pytest.raises(KeyError):
+        entity.tombstoned(df, ["b"])
 
 
 def test_codes(spark):
@@ -130,8 +184,8 @@ def test_tree(spark):
     assert len(rows(chunks.ancestors(df))) == 10
     with pytest.raises(ValueError, match="cycle"):
         chunks.ancestors(spark.createDataFrame([("a", "b"), ("b", "a")], "node_id string, parent_node_id string"))
-    hits = spark.createDataFrame([(1, 3), (2, 9)], "hit int, page_no int")
-    nodes = spark.createDataFrame([("r", 0, "r", "r", 1, 5), ("s", 1, "r > s", "s", 2, 3)], "node_id string, level_no int, heading_path string, title string, page_start int, page_end int")
+    hits = spark.createDataFrame([(1, "v", 3), (2, "v", 9), (3, "w", 3)], "hit int, version_id string, page_no int")
+    nodes = spark.createDataFrame([("r", "v", 0, "r", "r", 1, 5), ("s", "v", 1, "r > s", "s", 2, 3)], "node_id string, version_id string, level_no int, heading_path string, title string, page_start int, page_end int")
     assert [(r["hit"], r["node_id"]) for r in rows(tree.most_specific(hits, nodes, "hit"))] == [(1, "s")]
 
 
@@ -190,7 +244,7 @@ def test_contracts(spark):
 
     fields = lambda **k: F.map_from_arrays(F.array(*(F.lit(x) for x in k)), F.array(*(F.lit(x) for x in k.values())))
     good = "6be8cbc7-44ce-5f89-a468-5a883a3fcb75"
-    assert one(spark, contracts.front_breach(fields(type="note")), contracts.front_breach(fields(title="x")), contracts.front_breach(fields(type="concept", title="t", timestamp="2024-01-02")), contracts.front_breach(fields(type="entity", title="t", timestamp="2024-13-02", canonical_entity_id=good, entity_type="P")))[:3] == [None, "type is required", None]
+    assert one(spark, contracts.front_breach(fields(type="note")), contracts.front_breach(fields(title="x")), contracts.front_breach(fields(type="concept", title="t", timestamp="2024-01-02")), contracts.front_breach(fields(type="entity", title="t", timestamp="2024-13-02", canonical_entity_id=good, entity_type="P")))[:3] == [None, "type:missing", None]
     manifest = lambda md, sc: F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("a.md").alias("markdown_file"), F.sha2(F.lit(md), 256).alias("markdown_sha256"), F.lit("a.json").alias("sidecar_file"), F.sha2(F.lit(sc), 256).alias("sidecar_sha256"), F.lit("h").alias("canonical_hash")))
     assert one(spark, contracts.manifest_breach(F.lit("m"), F.lit("s"), manifest("m", "s")), contracts.manifest_breach(F.lit("m2"), F.lit("s"), manifest("m", "s")), contracts.manifest_breach(F.lit("m"), F.lit("s"), F.lit("{}"))) == [None, "markdown changed", "manifest has other fields"]
 
