@@ -345,7 +345,7 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or common.parts(docs)
     grid = (int(buckets**0.5), -(-buckets // int(buckets**0.5)))
     buckets = grid[0] * grid[1]
-    services = min(buckets, SERVICES)
+    services = min(2 * grid[1], SERVICES)  # every bucket talks to every service: rows grow by the square root of the buckets more than they
     kind = dict(docs.dtypes)["doc_id"]
 
     def spread(batches):
