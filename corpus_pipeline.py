@@ -4,6 +4,10 @@ Each stage is (name, function of (spark, docs, sf_dir)). A stage gets all rows t
 before it kept, in the columns of documents; only the last one returns others (token ids
 in place of the text). `run` writes each stage's rows as Parquet in the shared folder and
 reads them again.
+
+Defined results, for every stage: null and empty texts go in the first one (too few words); a later stage that meets one
+keeps it as it is, but for the mix, which takes no row of it; a null doc_id is carried, and never joins a group of near
+duplicates by its id; repeated rows are judged alike, and one stays of them; an empty table gives an empty result; other columns, whatever their names, are carried.
 """
 
 from __future__ import annotations
@@ -20,17 +24,17 @@ SHINGLE_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; a null language is judged by its script."""
     return fertility.filtered(docs, PIECES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least doc_id."""
+    """One document of each group stays, that of the least doc_id; rows with neither id nor copy stay."""
     return setsketch.deduplicated(docs, SHINGLE_WORDS, NEAR_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; n_chars follows; all documents stay."""
+    """Secrets are masked in the text, a null text stays null; n_chars follows; all documents stay."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
