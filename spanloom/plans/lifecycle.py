@@ -55,7 +55,10 @@ def _drained(spark: SparkSession, sf_dir: str, plan, mode: str, keys: list[str])
     Each micro-batch is written to a table of its own number in the shared folder, so a batch
     that runs twice is written once."""
     schema = table(spark, sf_dir, "events").schema
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"{shared or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
     def write(df: DataFrame, batch: int) -> None:
