@@ -208,7 +208,10 @@ def roles(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, level: int = 1) -> None:
-    """Write all pages as .warc.gz archives to a folder that driver and executors share."""
+    """Write all pages as .warc.gz archives to a folder that driver and executors share.
+
+    A task's pages are sorted by all that a record holds: rows come out of a shuffle in any order, and
+    a task that runs again must cut the same archives."""
 
     def run(batches):
         files, root = pa.fs.FileSystem.from_uri(folder)
@@ -234,7 +237,8 @@ def write(pages: DataFrame, folder: str, level: int = 1) -> None:
         roll()
         yield from ()
 
-    roles(pages).select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(run, "done int").write.format("noop").mode("overwrite").save()
+    ordered = roles(pages).select("page_id", "url", "html", "sha1", "refers_to").sortWithinPartitions("page_id", "sha1", "url")
+    ordered.mapInArrow(run, "done int").write.format("noop").mode("overwrite").save()
 
 
 LOG = "archive string, kind string, start bigint, stop bigint, reason string, record_type string, record_id string, url string, refers_to string, payload_bytes bigint, payload_digest string, digest_ok boolean, payload binary"
@@ -244,7 +248,8 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """Every record and every quarantined gap of the archives in a folder, one row each.
 
     payload_bytes and payload_digest (hex SHA-1) are of the full payload: of a response
-    computed, of a revisit as its headers state. digest_ok: the stated digest fits."""
+    computed, of a revisit as its headers state. digest_ok: the stated digest fits. An archive is one
+    value of a task: of 2 GiB at most, and several times its size in memory; `write` cuts at ROLL bytes."""
 
     def run(batches):
         for batch in batches:
