@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -302,21 +303,22 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
-    """All columns but the text, with ids (array of int) and n_tokens in its place; map-only."""
-    others = [f for f in docs.schema.fields if f.name not in (text_column, "ids", "n_tokens")]
-    names = [f.name for f in others]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens bigint, ids array<int>"])
+    """All columns but the text, with ids (array of int) and n_tokens in its place; map-only.
+    Columns of docs that have these two names give way to them."""
+    others = [c for c in docs.columns if c not in (text_column, "ids", "n_tokens")]
+    given, names, schema = common.by_place(docs.select(*(F.col(f"`{c}`") for c in (text_column, *others))))
 
     def run(batches):
         own = encoder(path, pattern)
-        for rows in common.slices(batches, text_column, 2 << 20):
-            ids, counts = own.encode(common.strings_of(rows, text_column))
+        for rows in common.slices(batches, names[0], 2 << 20):
+            ids, counts = own.encode(common.strings_of(rows, names[0]))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(rows.column(i + 1) for i in range(len(names))), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids))], [*names, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids))], [*names[1:], "n_tokens", "ids"])
         own.forget()
         common.release()
 
-    return docs.select(text_column, *names).mapInArrow(run, schema)
+    kept = schema.partition(", ")[2]
+    return given.mapInArrow(run, f"{kept}, n_tokens bigint, ids array<int>" if kept else "n_tokens bigint, ids array<int>").toDF(*others, "n_tokens", "ids")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

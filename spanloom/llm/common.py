@@ -47,6 +47,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def by_place(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """docs with columns named c0, c1, ... by place, these names, and their types as a schema: a
+    function over all columns then meets neither clashing names nor names with dots."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+
+
 def release() -> None:
     """Give memory back at a task's end: Python workers live on and serve other operators.
     The C library keeps what arrays and texts have freed, unless it is asked to trim."""

@@ -197,22 +197,18 @@ def judge(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: s
 
 def filtered(docs: DataFrame, model: str, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The rows that the rules keep, all columns; the verdict is computed beside each text, without a join."""
-    columns = docs.columns
-    mark = "_m_"
-    while any(c.startswith(mark) for c in columns):
-        mark = "_" + mark
-    names = [mark + x.split()[0] for x in MEASURES.split(", ")]
+    given, names, schema = common.by_place(docs)
+    text, lang = (names[docs.columns.index(c)] for c in (text_column, lang_column))
+    measured = [x.split()[0] for x in MEASURES.split(", ")]
 
     def run(batches):
         own = fertility(model)
-        for rows in common.slices(batches, text_column, 2 << 20):
-            m = own.measure(common.texts_of(rows, text_column))
+        for rows in common.slices(batches, text, 2 << 20):
+            m = own.measure(common.texts_of(rows, text))
             m["script"] = np.array(SCRIPTS)[m["script"]]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(m[n.removeprefix(mark)]) for n in names)], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(m[n]) for n in measured)], [*names, *measured])
         own.forget()
         common.release()
 
-    out = docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(mark + x for x in MEASURES.split(", "))]))
-    measured = out.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{lang_column}`").alias("lang_"), *(F.col(n).alias(n.removeprefix(mark)) for n in names))
-    _, kept = verdict("lang_")
-    return measured.filter(kept).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+    _, kept = verdict(lang)
+    return given.mapInArrow(run, f"{schema}, {MEASURES}").filter(kept).select(*names).toDF(*docs.columns)

@@ -152,18 +152,17 @@ def redact(text: str | None, mark: str = "<secret>") -> str | None:
 
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """All columns, with secrets of text_column replaced by a mark; rows all stay."""
+    given, names, schema = common.by_place(docs)
     place = docs.columns.index(text_column)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
-        for rows in common.slices(batches, text_column):
+        for rows in common.slices(batches, names[place]):
             columns = list(rows.columns)
             columns[place] = pa.array([redact(t) for t in columns[place].to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
         common.release()
 
-    docs_columns = docs.columns
-    return docs.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ Defined results: A-Z are lower-cased; words are runs without ASCII white space;
 fewer words than a shingle is one shingle; without words the set is empty and linked with
 nothing; rows of equal doc_id are one document (linked); a null doc_id takes the component
 of its class, or null and kept where no other document has one; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored; ids are whole numbers, or texts of such (an error else).
 """
 
 from __future__ import annotations
@@ -265,7 +265,7 @@ def deduplicated(docs: DataFrame, k: int, percent: int) -> DataFrame:
     then one of equal texts; of rows with an equal doc_id one stays."""
     text = F.coalesce("text", F.lit(""))
     stand_in = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)  # above any real id
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), stand_in).alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), stand_in).alias("doc_id"), text.alias("text"))
     found = common.staged(near_duplicates(rows.select("doc_id", "text"), k, percent), "near-duplicates")
     repeated = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
     kept = rows.select("row", "doc_id").join(found.filter("kept").select("doc_id").distinct(), "doc_id")

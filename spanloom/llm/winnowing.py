@@ -151,7 +151,8 @@ def edited(text: str, following: str) -> str:
 def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Each document's fingerprint, that of its text edited with the next document's, and
     likenesses; next by ascending doc_id, the first after the last. Rows with a null doc_id
-    sort first; of equal ids the lesser text comes first. One shuffle of the texts."""
+    sort first; of equal ids the lesser text comes first. Ids are whole numbers, or texts of such (an
+    error else). One shuffle of the texts."""
     kind = dict(docs.dtypes)["doc_id"]
     n = common.parts(docs)
     dealt = with_next(docs, n).repartition(n, "range").sortWithinPartitions("range", F.col("own").desc(), "place", "text")

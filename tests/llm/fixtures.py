@@ -43,7 +43,7 @@ ROWS = [
 
 
 def with_clashes(df):
-    return df.withColumns({c: F.lit(1) for c in ("row", "key", "v", "class", "sketch", "start", "ids", "spans", "number", "bucket", "size", "kept")})
+    return df.withColumns({c: F.lit(1) for c in ("row", "key", "v", "class", "sketch", "start", "ids", "spans", "number", "bucket", "size", "kept", "a.b", "_m_n_words")})
 
 
 def full(spark):
