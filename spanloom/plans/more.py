@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import distribution, entity, hits, knowledge, reconcile, retrieve, tree
 from .model import SPANS_SQL, spans, table
-from .retrieval import HITS_SQL
+from .retrieval import HITS_SQL, KEYWORD_SQL
 from .retrieval import hits as ranked_hits
 
 
@@ -136,6 +136,12 @@ def expanded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.expanded(found, rolled, rows, 1)
 
 
+EXPANDED_SQL = f"""WITH {SPANS_SQL}, k AS ({KEYWORD_SQL.replace("LIMIT 50", "LIMIT 20")}),
+best AS (SELECT heading_path FROM k WHERE contains(heading_path, ' > ') GROUP BY 1 ORDER BY sum(score) DESC, 1 LIMIT 1)
+SELECT doc_id || '#' || ordinal AS span_id, heading_path, score FROM k
+UNION ALL SELECT doc_id || '#' || ordinal, heading_path, 0.0::DOUBLE FROM spans JOIN best USING (heading_path) ANTI JOIN k USING (doc_id, ordinal)"""
+
+
 def scope_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return tree.inventory(customer.filter("c_mktsegment = 'BUILDING'"), customer.filter("c_custkey % 10 = 0"), "c_custkey")
@@ -194,7 +200,7 @@ QUERIES = {
     "repaired_chunks": (repaired_chunks, REPAIRED_SQL),
     "rejected_rows": (rejected_rows, REJECTED_SQL),
     "trial_routes": (trial_routes, TRIAL_SQL),
-    "expanded_hits": (expanded_hits, None),
+    "expanded_hits": (expanded_hits, EXPANDED_SQL),
     "scope_inventory": (scope_inventory, INVENTORY_SQL),
     "ignored_inserts": (ignored_inserts, IGNORED_SQL),
     "corpus_manifest": (corpus_manifest, MANIFEST_SQL),

@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import distribution, entity, fuse, hotspots, retrieve, tree
 from ..sources import bundle, pages
 from .model import HIERARCHY_SQL, SPANS_SQL, hierarchy, spans, table
+from .retrieval import KEYWORD_SQL
 
 
 def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,12 +184,27 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.fuse(keyword.unionByName(ranked(words, "tree")), key="key", limit=20)
 
 
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+HYBRID_SQL = f"""WITH {SPANS_SQL}, k AS ({KEYWORD_SQL}),
+t AS (SELECT doc_id, ordinal, {_TOKENS.format("raw_text")} AS a, ['ing', 'that', 'the'] AS b FROM spans),
+j AS (SELECT doc_id || '#' || ordinal AS key, round(least(1, CASE WHEN n > 1 THEN 1.2 ELSE 1 END::DOUBLE * n / (len(a) + 3 - n)), 6) AS score FROM (SELECT *, len(list_intersect(a, b))::DOUBLE AS n FROM t)),
+hits AS (SELECT 'keyword' AS path, doc_id || '#' || ordinal AS key, score FROM k UNION ALL SELECT 'tree', key, score FROM (FROM j WHERE score > 0 ORDER BY score DESC, key LIMIT 50)),
+n AS (SELECT *, CASE WHEN count(*) OVER p = 1 THEN 1.0 WHEN min(score) OVER p = max(score) OVER p THEN score ELSE round((score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p), 10) END AS norm FROM hits WINDOW p AS (PARTITION BY path)),
+r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY greatest(0, least(1, norm)) DESC, score DESC, key) AS rank FROM n)
+SELECT key, round(sum(1.0::DOUBLE / (60 + rank)) * (1 + 0.1 * (count(*) - 1)), 10) AS fused, round(max(score), 6) AS score, array_to_string(list_sort(list(path)), ',') AS source_paths
+FROM r GROUP BY 1 ORDER BY fused DESC, score DESC, key LIMIT 20"""
+
+
 def hit_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where keyword hits lie: roll-up by language and source."""
     found = retrieve.keyword_search(spans(table(spark, sf_dir, "documents")), "ing that the", 50)
     return distribution.roll_up(found.withColumnRenamed("raw_text", "text")).select("node", F.round("total", 6).alias("total"), "hits")
 
 
+DISTRIBUTION_SQL = f"""WITH k AS ({KEYWORD_SQL}), p AS (SELECT score, unnest(list_transform(range(1, len(h) + 1), lambda i: array_to_string(h[1:i], ' > '))) AS node FROM (SELECT score, string_split(heading_path, ' > ') AS h FROM k))
+SELECT node, round(sum(score), 6) AS total, count(*) AS hits FROM p GROUP BY 1"""
+
+
 QUERIES = {
     "page_spans": (page_spans, PAGE_SPANS_SQL),
     "front_matter": (front_matter, FRONT_MATTER_SQL),
@@ -204,8 +220,8 @@ QUERIES = {
     "heading_stacks": (heading_stacks, HEADING_STACKS_SQL),
     "json_verdicts": (json_verdicts, JSON_VERDICTS_SQL),
     "summary_overlap": (summary_search, SUMMARY_SQL),
-    "hybrid_search": (hybrid_search, None),
-    "hit_distribution": (hit_distribution, None),
+    "hybrid_search": (hybrid_search, HYBRID_SQL),
+    "hit_distribution": (hit_distribution, DISTRIBUTION_SQL),
 }
 
 
