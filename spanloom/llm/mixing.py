@@ -11,7 +11,8 @@ the range. So a task walks down to its own shards alone, and finds on the way ho
 slots of each source lie in front. Slot j of a source takes the block at position j mod n
 of a pseudorandom permutation (a keyed Feistel network, walked until it falls below n) of
 the source's n blocks, with a new key for each pass j div n; another such permutation
-gives each slot its place in the shard. Slots and texts then join by (source, block).
+gives each slot its place in the shard. Slots join the blocks of the texts by (source, block), as numbers;
+each text then travels once to the list of its slots, and once to its places in the output.
 
 Running sums over texts are two-level (sums of hashed chunks of rows, then within a chunk), so a
 source with a third of all rows is no single group. Weights, targets and quotas are
@@ -225,18 +226,36 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEE
 
     def cut(batches):
         for batch in common.slices(batches, "text", 2 << 20):
-            texts, out = common.texts_of(batch), []
-            for i, (text, start) in enumerate(zip(texts, batch.column(2).to_pylist(), strict=True)):
-                out += [(i, block, start, text[a:b]) for block, a, b in cut_at_blocks(text, start)]
-            if out:
-                at, block, start, piece = zip(*out, strict=True)
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), pa.array(block, pa.int64()), pa.array(start, pa.int64()), pa.array([p.decode() for p in piece], pa.string()), batch.column(3).take(take)], ["number", "block", "start", "piece", "whole"])
+            slots_of = batch.column(2)
+            block, shard, place = slots_of.flatten().flatten()
+            ends, blocks = np.cumsum(slots_of.value_lengths().to_numpy()).tolist(), block.to_pylist()
+            starts, owner, slot, piece, held = batch.column(1).to_pylist(), [], [], [], 0
+
+            def rows(owner, slot, piece):
+                own, at = pa.array(owner, pa.int64()), pa.array(slot, pa.int64())
+                return pa.RecordBatch.from_arrays([shard.take(at), place.take(at), batch.column(1).take(own), pa.array(piece, pa.string()), batch.column(3).take(own)], ["shard", "place", "start", "piece", "whole"])
+
+            for i, (text, begin, end) in enumerate(zip(common.texts_of(batch), [0, *ends], ends, strict=False)):
+                edges = {number: (low, high) for number, low, high in cut_at_blocks(text, starts[i])}
+                for k in range(begin, end):
+                    low, high = edges[blocks[k]]
+                    owner.append(i)
+                    slot.append(k)
+                    piece.append(text[low:high].decode())
+                    held += high - low
+                    if held > 2 << 20:  # a long text taken more than once
+                        yield rows(owner, slot, piece)
+                        owner, slot, piece, held = [], [], [], 0
+            if owner:
+                yield rows(owner, slot, piece)
         common.release()
 
-    pieces = staged.select("row", "text", "whole").join(laid.select("row", "number", "start"), "row").select("text", "number", "start", "whole").mapInArrow(cut, f"number int, block bigint, start bigint, piece string, whole {whole}")
-    filled = pieces.join(slots.hint("merge"), ["number", "block"])
-    ordered = filled.repartition(common.parts(docs), "shard", F.expr(f"place div {RUN}")).sortWithinPartitions("shard", "place", "start")
+    span = F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))
+    met = laid.select("row", "number", "start", F.explode(span).alias("block")).join(slots.hint("merge"), ["number", "block"])
+    # A row's list has an entry for each block it meets and each time it is taken: it is far shorter than the row's text.
+    places = met.groupBy("row").agg(F.min("start").alias("start"), F.collect_list(F.struct("block", "shard", "place")).alias("slots"))
+    pieces = staged.select("row", "text", "whole").join(places.hint("merge"), "row").select("text", "start", "slots", "whole").mapInArrow(cut, f"shard bigint, place bigint, start bigint, piece string, whole {whole}")
+    ordered = pieces.repartition(common.parts(docs), "shard", F.expr(f"place div {RUN}")).sortWithinPartitions("shard", "place", "start")
     back = [F.col("piece").cast(k).alias(c) if c == text_column else F.col(f"whole.c{i}").alias(c) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))]
     return ordered.select(*back)
 
