@@ -201,6 +201,18 @@ def test_mixing_against_brute_force(spark, monkeypatch):
     assert rows(mixing.mixed(fixtures.empty(spark))) == [] and set(rows(mixing.mixed(fixtures.full(spark)))[0]) == set(fixtures.full(spark).columns)
 
 
+def test_mix_of_a_long_text_taken_more_than_once(spark):
+    """A text of several MB leaves its task in parts; each word comes as often as `mix` says."""
+    long, short = " ".join(f"w{i:07d}" for i in range(300_000)), " ".join(f"v{i}" for i in range(900_000))
+    df = spark.createDataFrame([(1, "b", long), (2, "a", short)], "doc_id long, source string, text string")
+    taken = {r["doc_id"]: r["taken"] for r in rows(mixing.contract(df))}
+    assert taken[1] > 300_000
+    got = mixing.mixed(df).groupBy("doc_id").agg(F.sum(mixing.word_count("text")).alias("n"), F.count(F.lit(1)).alias("pieces"))
+    assert {r["doc_id"]: r["n"] for r in rows(got)} == taken
+    words = mixing.mixed(df).filter("doc_id = 1").select(F.explode(F.split(F.trim("text"), " ")).alias("w")).groupBy("w").count()
+    assert words.agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).first().asDict() == {"n": 300_000, "most": 3}  # a target of 800,000 words of 300,000
+
+
 def test_pieces_are_the_text():
     for _, text in fixtures.texts():
         for start in (0, 1, 127, 128, 1000):
