@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, common, fertility, mixing, pitman_yor, secrets, setsketch, url_reputation, warc, winnowing
+from . import bpe, bwt_dedup, common, fertility, mixing, pitman_yor, secrets, setsketch, url_reputation, warc, whitening, winnowing
 from .common import read_table
 
 #: Where the public vocabularies lie; a parameter of every operator that reads one.
@@ -62,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_winnowing": op1_winnowing,
@@ -74,6 +78,7 @@ def queries() -> dict:
         "op8_tokeniser_fertility": op8_tokeniser_fertility,
         "op9_setsketch": op9_setsketch,
         "op10_secret_scan": op10_secret_scan,
+        "op13_whitening": op13_whitening,
     }
 
 
