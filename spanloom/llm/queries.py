@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, common, fertility, mixing, pitman_yor, secrets, setsketch, url_reputation, warc, whitening, winnowing
+from . import bpe, bwt_dedup, common, fertility, licenses, mixing, pitman_yor, secrets, setsketch, url_reputation, warc, whitening, winnowing
 from .common import read_table
 
 #: Where the public vocabularies lie; a parameter of every operator that reads one.
@@ -62,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(read_table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op8_tokeniser_fertility": op8_tokeniser_fertility,
         "op9_setsketch": op9_setsketch,
         "op10_secret_scan": op10_secret_scan,
+        "op12_license_scan": op12_license_scan,
         "op13_whitening": op13_whitening,
     }
 
@@ -130,6 +135,29 @@ c AS (SELECT d AS doc_id, min(r) AS component_id FROM reach GROUP BY 1)
 SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, documents.doc_id = component_id AS kept FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
+_QUOTED = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(licenses.TEMPLATES))
+_LIST = rf"regexp_extract_all(translate({{}}, '{common.UPPER}', '{common.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_GRAM = " || ' ' || ".join(f"ws[i + {j}]" for j in range(licenses.K))
+_PLACES = " UNION ALL ".join(
+    f"SELECT r, i - 1 AS place, '{label}' AS label FROM (SELECT r, ws, unnest(range(1, len(ws) - {len(p.split()) - 2})) AS i FROM d) WHERE " + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(p.split()))
+    for p, label in licenses.PHRASES.items()
+)
+LICENSE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LIST.format("coalesce(text, '')")} AS ws FROM documents),
+tw AS (SELECT t, label, {_LIST.format("body")} AS ws FROM (VALUES {_QUOTED}) v(t, label, body)),
+tg AS (SELECT t, label, len(ws) AS size, i - 1 AS ta, {_GRAM} AS g FROM (SELECT *, unnest(range(1, len(ws) - {licenses.K - 2})) AS i FROM tw)),
+dg AS (SELECT r, i - 1 AS pos, {_GRAM} AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - {licenses.K - 2})) AS i FROM d)),
+m AS (SELECT r, t, label, size, pos, ta, pos - ta AS diagonal FROM dg JOIN tg USING (g)),
+n AS (SELECT r, t, diagonal, sum(fresh) OVER (PARTITION BY r, t ORDER BY diagonal) AS span FROM
+ (SELECT r, t, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) > {licenses.SLACK} THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT r, t, diagonal FROM m))),
+c AS (SELECT r, t, label, span, count(DISTINCT ta + j)::DOUBLE AS covered, any_value(size) AS size, max(pos) + {licenses.K} - min(pos) AS width FROM m JOIN n USING (r, t, diagonal), range(0, {licenses.K}) x(j) GROUP BY ALL),
+s AS (SELECT r, max(covered / size) AS score, count(*) FILTER (covered / size >= {licenses.LEAST} AND covered / width >= {licenses.DENSE}) AS n_spans,
+ list(label) FILTER (covered / size >= {licenses.LEAST} AND covered / width >= {licenses.DENSE}) AS own FROM c GROUP BY 1),
+p AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(label) AS base FROM ({_PLACES}) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(list_distinct(base)), ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ','), '') AS labels, round(coalesce(score, 0.0), 9) AS score, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN s USING (r) LEFT JOIN p USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the operators whose whole result SQL can express."""
-    return {"op3_warc": WARC_SQL, "op7_url_filter": URL_SQL, "op9_setsketch": NEAR_SQL}
+    return {"op3_warc": WARC_SQL, "op7_url_filter": URL_SQL, "op9_setsketch": NEAR_SQL, "op12_license_scan": LICENSE_SQL}
