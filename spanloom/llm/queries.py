@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, common, fertility, licenses, mixing, pitman_yor, secrets, setsketch, url_reputation, warc, whitening, winnowing
+from . import bpe, bwt_dedup, common, fertility, lexical, licenses, mixing, pitman_yor, secrets, setsketch, url_reputation, warc, whitening, winnowing
 from .common import read_table
 
 #: Where the public vocabularies lie; a parameter of every operator that reads one.
@@ -62,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 50)
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(read_table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict:
         "op8_tokeniser_fertility": op8_tokeniser_fertility,
         "op9_setsketch": op9_setsketch,
         "op10_secret_scan": op10_secret_scan,
+        "op11_lexical_search": op11_lexical_search,
         "op12_license_scan": op12_license_scan,
         "op13_whitening": op13_whitening,
     }
@@ -157,7 +162,14 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, la
  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ','), '') AS labels, round(coalesce(score, 0.0), 9) AS score, coalesce(n_spans, 0) AS n_spans
 FROM d LEFT JOIN s USING (r) LEFT JOIN p USING (r)"""
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents), c AS (SELECT count(*) FILTER (len(ws) > 0) AS n, sum(len(ws))::BIGINT AS l FROM d),
+p AS (SELECT r, doc_id, len(ws)::BIGINT AS n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, ws, unnest(ws) AS t FROM d) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark), w AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM f, c),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * p.n * c.n) // l))))::BIGINT AS score FROM q JOIN w USING (t) JOIN p USING (t), c GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 50"""
+
 
 def oracle_sql() -> dict[str, str]:
     """For the operators whose whole result SQL can express."""
-    return {"op3_warc": WARC_SQL, "op7_url_filter": URL_SQL, "op9_setsketch": NEAR_SQL, "op12_license_scan": LICENSE_SQL}
+    return {"op3_warc": WARC_SQL, "op7_url_filter": URL_SQL, "op9_setsketch": NEAR_SQL, "op11_lexical_search": SEARCH_SQL, "op12_license_scan": LICENSE_SQL}
