@@ -56,7 +56,7 @@ class Block:
 
     def add(self, doc_id, text: bytes) -> None:
         words = terms_of(text)
-        for w in set(words) - self.terms.keys():
+        for w in [w for w in set(words) if w not in self.terms]:
             self.terms[w] = len(self.terms)
         self.ids.append(doc_id)
         self.lengths.append(len(words))

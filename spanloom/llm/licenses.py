@@ -46,7 +46,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     try:
         return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        _known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words) - _known.keys())
+        _known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words) if w not in _known)
         return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
