@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import text
 
@@ -96,30 +94,6 @@ def merge_mentions(mentions: DataFrame, scope: list[str]) -> DataFrame:
     return rows.select(*scope, F.col("x.mention_id").alias("mention_id"), outcome.alias("outcome"), winner.alias("winner"))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Likeness of two strings by matching blocks, 0 to 1."""
-    import difflib
-
-    @F.pandas_udf(DoubleType())
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    return of(a, b)
-
-
-def suggestions(identities: DataFrame, least: float = 0.87) -> DataFrame:
-    """Pairs of different identities of a type that may be one, by name. Two names of lengths m and n
-    match in 2*min(m, n)/(m + n) at most, and by a letter they share, so pairs are only formed
-    within a type among lengths that can reach the bound and a shared pair of letters."""
-    reach = (2 - least) / least  # longest over shortest
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda i: F.substr(F.col("name"), i, F.lit(2))))
-    keyed = identities.select("identity_id", "entity_type", "name", F.explode(grams).alias("gram"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.entity_type") == F.col("b.entity_type")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.identity_id") < F.col("b.identity_id")) & (F.length("b.name") <= F.length("a.name") * reach) & (F.length("a.name") <= F.length("b.name") * reach))
-    once = pairs.select(F.col("a.identity_id").alias("left_id"), F.col("b.identity_id").alias("right_id"), F.col("a.name").alias("left_name"), F.col("b.name").alias("right_name"), "a.entity_type").distinct()
-    return once.withColumn("score", ratio(F.col("left_name"), F.col("right_name"))).filter(F.col("score") >= least)
-
-
 def review(claims: DataFrame, form=None) -> DataFrame:
     """supported where the quote holds subject and object, unsupported where it holds neither or is empty,
     else uncertain, as with an empty subject or object; null without a quote is pending. All three are

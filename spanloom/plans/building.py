@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ident
-from ..operators import admission, chunks, distribution, entity, fuse, hits, hotspots, knowledge, mapping, tree, trees
+from ..operators import admission, chunks, distribution, entity, fuse, hits, hotspots, knowledge, mapping, similar, tree, trees
 from .model import HIERARCHY_SQL, SPANS_SQL, hierarchy, spans, table
 
 DOMAINS = {"a": ("ing the", "tion"), "b": ("ción",)}
@@ -389,16 +389,29 @@ def dangling_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 DANGLING_SQL = "SELECT DISTINCT 's' || l_suppkey AS source_id, 'p' || l_partkey AS target_id FROM lineitem WHERE l_suppkey % 9 = 0 OR l_partkey % 8 = 0"
 
 
+def page_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of pages as identities of their language."""
+    pages = table(spark, sf_dir, "pages")
+    cut = lambda pattern: F.regexp_extract("html", pattern, 1)
+    return pages.select(F.col("page_id").alias("identity_id"), F.lower(cut("<title>([^<]*)</title>")).alias("name"), cut('<html lang="([^"]*)"').alias("entity_type")).filter("name <> ''")
+
+
 def fuzzy_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations' names with a letter changed, as identities of one kind; no SQL has the ratio, so it is tested by brute force."""
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    twice = rows.select(F.concat(F.lit("a"), "n_nationkey").alias("identity_id"), F.lower("n_name").alias("name")).unionByName(rows.select(F.concat(F.lit("b"), "n_nationkey"), F.concat(F.substr(F.lower("n_name"), F.lit(2)), F.lit("x"))).toDF("identity_id", "name"))
-    return entity_suggestions(twice.withColumn("entity_type", F.lit("place")))
+    """Titles of pages that may mean the same, at 0.8; no SQL has the ratio, so it is tested by brute force."""
+    return entity_suggestions(page_identities(spark, sf_dir))
+
+
+def name_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.members(page_identities(spark, sf_dir))
+
+
+NAME_MEMBERS_SQL = """WITH i AS (SELECT page_id AS identity_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS name, regexp_extract(html, '<html lang="([^"]*)"', 1) AS kind FROM pages)
+SELECT identity_id, min(identity_id) OVER (PARTITION BY kind, name) AS representative FROM i WHERE name <> ''"""
 
 
 def entity_suggestions(identities: DataFrame) -> DataFrame:
     """Suggestions with their triage, best first."""
-    found = knowledge.suggestions(identities, 0.8).withColumn("triage", entity.triage(F.col("score")))
+    found = similar.suggestions(identities, 0.8).withColumn("triage", entity.triage(F.col("score")))
     return found.select("left_id", "right_id", F.round("score", 6).alias("score"), "triage").orderBy(F.desc("score"), "left_id", "right_id")
 
 
@@ -444,5 +457,6 @@ QUERIES = {
     "ranked_evidence": (ranked_evidence, RANKED_EVIDENCE_SQL),
     "dangling_relations": (dangling_relations, DANGLING_SQL),
     "fuzzy_suggestions": (fuzzy_suggestions, None),
+    "name_members": (name_members, NAME_MEMBERS_SQL),
     "code_checks": (code_checks, CODE_CHECKS_SQL),
 }

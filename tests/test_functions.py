@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spanloom.functions import ident, text, vectors
-from spanloom.operators import chunks, distribution, entity, fuse, knowledge, reconcile, retrieve, tree
+from spanloom.operators import chunks, distribution, entity, fuse, knowledge, reconcile, retrieve, similar, tree
 from spanloom.sources import bundle, pages
 
 
@@ -92,19 +92,6 @@ def test_mention_sweep(spark):
     assert got == {1: ("selected", None), 2: ("grouped", 1), 3: ("nested", 1), 4: ("overlap", 1), 5: ("selected", None), 6: ("duplicate", 1), 7: ("suppressed", 1), 8: ("selected", None), 9: ("nested", 5)}
 
 
-def test_suggestions_against_brute_force(spark):
-    import difflib
-    import itertools
-    import random
-
-    rng = random.Random(2)
-    names = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(40)]
-    data = [(i, "PQ"[i % 2], n) for i, n in enumerate(names)]
-    got = {(r["left_id"], r["right_id"]) for r in rows(knowledge.suggestions(spark.createDataFrame(data, "identity_id int, entity_type string, name string")))}
-    want = {(a[0], b[0]) for a, b in itertools.combinations(data, 2) if a[1] == b[1] and difflib.SequenceMatcher(None, a[2], b[2]).ratio() >= 0.87}
-    assert got == want
-
-
 def test_review_of_empty_claims(spark):
     data = [("", "b", "a b"), ("a", None, "a b"), ("a", "b", " "), (" A ", "B", "x a  b"), ("a", "z", "a"), ("a", "b", None)]
     got = [r["verdict"] for r in rows(knowledge.review(spark.createDataFrame(data, "subject string, object string, quote string")))]
@@ -153,7 +140,7 @@ def test_names(spark):
     df = spark.createDataFrame([("  Ｆｏｏ​  BAR",), (None,)], "n string")
     assert [r["n"] for r in rows(df.select(entity.normal_name(F.col("n")).alias("n")))] == ["foo bar", None]
     people = spark.createDataFrame([(1, "P", "jonathan smith"), (2, "P", "jonathon smith"), (3, "Q", "jonathan smith"), (4, "P", "mary")], "identity_id int, entity_type string, name string")
-    assert [(r["left_id"], r["right_id"]) for r in rows(knowledge.suggestions(people))] == [(1, 2)]
+    assert [(r["left_id"], r["right_id"]) for r in rows(similar.suggestions(people))] == [(1, 2)]
 
 
 def test_coreference_rejects_repeats(spark):
