@@ -61,7 +61,7 @@ def length_pairs(names: DataFrame, least: Fraction) -> DataFrame:
 
 
 def prefixes(names: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, entity_type, n, q, gram, place: the rarest grams of each name, as many as its closest partners call for."""
+    """id, entity_type, n, q, gram, place, rank: the rarest grams of each name, as many as its closest partners call for."""
     sides = pairs.select(F.col("short").alias("n"), "q", "shared").unionByName(pairs.select(F.col("long").alias("n"), "q", "shared"))
     fewest = sides.groupBy("n", "q").agg(F.min("shared").alias("shared"))
     sized = names.select("id", "entity_type", "name", F.length("name").alias("n")).join(_small(fewest), "n")
@@ -70,7 +70,7 @@ def prefixes(names: DataFrame, pairs: DataFrame) -> DataFrame:
     often = grams.groupBy("entity_type", "q", "gram").agg(F.count(F.lit(1)).alias("often"))
     rank = F.row_number().over(Window.partitionBy("id", "q").orderBy("often", "gram", "place"))
     ordered = grams.join(often, ["entity_type", "q", "gram"]).withColumn("rank", rank)
-    return ordered.filter(F.col("rank") <= F.col("n") - F.col("q") + 2 - F.col("shared")).select("id", "entity_type", "n", "q", "gram", "place")
+    return ordered.filter(F.col("rank") <= F.col("n") - F.col("q") + 2 - F.col("shared")).select("id", "entity_type", "n", "q", "gram", "place", "rank")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -83,13 +83,14 @@ def candidates(names: DataFrame, least: Fraction) -> DataFrame:
     out once for each partner's length, so a gram's names meet only those of one length."""
     pairs = length_pairs(names, least)
     found = prefixes(names, pairs)
-    plan = _small(pairs.select(F.col("short").alias("n"), "q", "long", "shift"))
-    out = found.join(plan, ["n", "q"]).select("entity_type", "q", "gram", "long", "shift", F.col("id").alias("a"), F.col("place").alias("at"), F.col("n").alias("short"))
-    own = found.select("entity_type", "q", "gram", F.col("n").alias("long"), F.col("id").alias("b"), "place")
+    plan = _small(pairs.select(F.col("short").alias("n"), "q", "long", "shift", "shared"))
+    last = lambda n: F.col(n) - F.col("q") + 2 - F.col("shared")  # noqa: E731  of this pair of lengths
+    out = found.join(plan, ["n", "q"]).filter(F.col("rank") <= last("n")).select("entity_type", "q", "gram", "long", "shift", "shared", F.col("id").alias("a"), F.col("place").alias("at"), F.col("n").alias("short"))
+    own = found.select("entity_type", "q", "gram", F.col("n").alias("long"), F.col("id").alias("b"), "place", "rank")
     met = out.join(own, ["entity_type", "q", "gram", "long"])
     once = (F.col("short") < F.col("long")) | (F.col("a") < F.col("b"))
     near = F.abs(F.col("at") - F.col("place")) <= F.col("shift")
-    return met.filter(once & near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.filter((F.col("rank") <= last("long")) & once & near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
