@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ident
 from .knowledge import first_rejection
-from .reconcile import PROPOSAL_STEPS, replayed
+from .reconcile import accepted, follows, replayed
 
 #: Required fields of each known type; other types pass unchecked.
 REQUIRED = {
@@ -73,18 +73,24 @@ def event_breach(event: str = "event_type", proposal: str = "proposal_id", actor
 
 
 def appended(journal: DataFrame, events: DataFrame, order: str = "ordinal") -> DataFrame:
-    """events with outcome: appended, or why not. An id that the journal holds is a duplicate; an event with
-    another digest than its proposal's is changed; a step must follow the proposal's status. One new event a proposal."""
+    """events with outcome: appended, or why not, each judged by the state that it meets after those before it in the
+    batch. An id that the journal holds by then is a duplicate; an event with another digest than its proposal's is changed;
+    a step must follow the proposal's status. Equal orders go by event_id; a refused event changes nothing."""
     status = replayed(journal, "proposal_id", "event_type", order).select("proposal_id", "status")
-    digests = journal.groupBy("proposal_id").agg(F.min("payload_digest").alias("_digest"))
-    known = journal.select("event_id", F.lit(True).alias("_known")).distinct()
-    joined = events.join(status, "proposal_id", "left").join(digests, "proposal_id", "left").join(known, "event_id", "left")
-    now = F.coalesce("status", F.lit(""))
-    follows = F.lit(False)
-    for state, nexts in PROPOSAL_STEPS.items():
-        follows = follows | ((now == state) & F.col("event_type").isin(*nexts))
-    outcome = first_rejection([("duplicate", F.col("_known").isNull()), ("payload changed", F.col("_digest").isNull() | (F.col("_digest") == F.col("payload_digest"))), ("illegal step", follows)])
-    return joined.withColumn("outcome", F.coalesce(outcome, F.lit("appended"))).drop("status", "_digest", "_known")
+    digests = journal.groupBy("proposal_id").agg(F.min("payload_digest").alias("value"))
+    state = status.join(digests, "proposal_id")
+    known = journal.select("event_id", F.lit(True).alias("held_")).distinct()
+    marked = events.join(known, "event_id", "left").withColumn("known_", F.col("held_").isNotNull()).drop("held_")
+    place = F.struct(order, "event_id")
+    steps = accepted(marked, state, "proposal_id", "event_type", [order, "event_id"], "payload_digest", "event_id")
+    chains = steps.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("place", "step", "id", "value"))).alias("chain_"))  # three at most
+    joined = marked.join(state, "proposal_id", "left").join(chains, "proposal_id", "left").withColumn("place_", place)
+    before = F.filter(F.coalesce("chain_", F.array().cast(chains.schema["chain_"].dataType)), lambda x: x["place"] < F.col("place_"))
+    last = F.try_element_at(before, F.lit(-1))
+    now, value = F.coalesce(last["step"], F.col("status"), F.lit("")), F.coalesce(last["value"], F.col("value"))
+    taken = F.col("known_") | F.exists(before, lambda x: x["id"] == F.col("event_id"))
+    outcome = first_rejection([("duplicate", ~taken), ("payload changed", value.isNull() | (value == F.col("payload_digest"))), ("illegal step", follows(now, F.col("event_type")))])
+    return joined.withColumn("outcome", F.coalesce(outcome, F.lit("appended"))).drop("known_", "status", "value", "chain_", "place_")
 
 
 def sidecars(rows: DataFrame, column: str) -> DataFrame:

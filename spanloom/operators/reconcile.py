@@ -71,13 +71,42 @@ def checked_transitions(events: DataFrame, key: str, state: str, order: list[str
     return events.withColumns({"previous": before, "error": error})
 
 
+#: Fixed value: longest chain of legal steps of a proposal.
+LONGEST_CHAIN = 3
+
+
+def follows(status: Column, step: Column) -> Column:
+    """Whether a step may come after a status ('' before the first)."""
+    return _any([(status == state) & step.isin(*nexts) for state, nexts in PROPOSAL_STEPS.items()])
+
+
+def accepted(events: DataFrame, state: DataFrame, key: str, event: str, order: list[str], same: str | None = None, event_id: str | None = None) -> DataFrame:
+    """key, place (struct of `order`), step, id, value: the events that a fold in order accepts, each after the one before.
+
+    An accepted step is the first that may follow the status, so a round finds one for every key by a minimum with partial
+    sums, and there are as many rounds as the longest chain has steps; a key with any number of events is never gathered.
+    state: key, status, value. An event whose `same` differs from the value (the first accepted one's, where none
+    is known) is passed over, and so are rows with a true `known_`."""
+    rows = events.select(F.col(key), F.col(event).alias("step"), F.struct(*order).alias("place"), (F.col(event_id) if event_id else F.lit(None).cast("string")).alias("id"), (F.col(same) if same else F.lit(None).cast("string")).alias("same_"), (F.col("known_") if "known_" in events.columns else F.lit(False)).alias("known_"))
+    rows = rows.filter("not known_")
+    now, out = state.select(key, "status", F.col("value").alias("value_"), F.lit(None).cast(rows.schema["place"].dataType).alias("last")), None
+    for _ in range(LONGEST_CHAIN):
+        met = rows.join(now, key, "left")
+        later = F.col("last").isNull() | (F.col("place") > F.col("last"))
+        fits = F.col("value_").isNull() | (F.col("same_") == F.col("value_"))
+        first = met.filter(later & fits & follows(F.coalesce("status", F.lit("")), F.col("step"))).groupBy(key).agg(F.min(F.struct("place", "step", "id", F.coalesce("value_", "same_").alias("value"))).alias("x")).select(key, "x.*")
+        out = first if out is None else out.unionByName(first)
+        moved = first.select(key, F.col("step").alias("s"), F.col("value").alias("v"), "place")
+        now = now.join(moved, key, "full").select(key, F.coalesce("s", "status").alias("status"), F.coalesce("v", "value_").alias("value_"), F.coalesce("place", "last").alias("last"))
+    return out
+
+
 def replayed(journal: DataFrame, key: str, event: str, order: str) -> DataFrame:
     """key, status, events, illegal: each key's events folded in order; an illegal one is counted and changes nothing."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, event)))
-    legal = lambda s, e: _any([(s == state) & (e == step) for state, nexts in PROPOSAL_STEPS.items() for step in nexts])
-    start = F.struct(F.lit("").alias("status"), F.lit(0).alias("illegal"))
-    fold = F.aggregate("o_", start, lambda a, x: F.when(legal(a["status"], x[event]), F.struct(x[event].alias("status"), a["illegal"].alias("illegal"))).otherwise(F.struct(a["status"].alias("status"), (a["illegal"] + 1).alias("illegal"))))
-    return journal.groupBy(key).agg(ordered.alias("o_")).withColumn("f_", fold).select(key, "f_.status", F.size("o_").alias("events"), "f_.illegal")
+    none = journal.sparkSession.createDataFrame([], f"{key} {dict(journal.dtypes)[key]}, status string, value string")
+    steps = accepted(journal, none, key, event, [order]).groupBy(key).agg(F.max_by("step", "place").alias("status"), F.count(F.lit(1)).alias("legal"))
+    counts = journal.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("events"))
+    return counts.join(steps, key, "left").select(key, F.coalesce("status", F.lit("")).alias("status"), "events", (F.col("events") - F.coalesce("legal", F.lit(0))).cast("int").alias("illegal"))
 
 
 def _any(terms: list[Column]) -> Column:
@@ -103,3 +132,21 @@ def violations(rows: DataFrame, not_null: list[str] = (), unique: list[list[str]
     for f in found[1:]:
         out = out.unionByName(f)
     return out.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def processed(reports: DataFrame, key: str = "version_id") -> DataFrame:
+    """key, status, processed, events: every report (key, ordinal, failed, linked) of a version takes it one stage on, or to
+    failed; complete and failed are final, and one version's failure holds no other back. A version is completed only if
+    a report so far was linked (to nodes or evidence), else it fails at the gate. Only the first reports of a version
+    can move it, as many as there are stages; they are found before the rows are dealt, and the rest is counted."""
+    most = len(STAGES) - 1
+    w = Window.partitionBy(key).orderBy("ordinal")
+    first = reports.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= most)
+    ok = lambda c: F.coalesce(F.col(c), F.lit(False))
+    facts = first.groupBy(key).agg(F.max("n_").alias("seen_"), F.min(F.when(ok("failed"), F.col("n_"))).alias("broke_"), F.max(ok("linked").cast("int")).alias("linked_"))
+    gate = F.when((F.col("seen_") == most) & F.col("broke_").isNull() & (F.col("linked_") == 0), most)
+    broke = F.coalesce("broke_", gate)
+    done = F.coalesce(broke - 1, F.col("seen_")).cast("int")
+    status = F.when(broke.isNotNull(), "failed").otherwise(F.element_at(F.array(*(F.lit(s) for s in STAGES)), done + 1))
+    counts = reports.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("events"))
+    return facts.join(counts, key).select(key, status.alias("status"), done.alias("processed"), "events")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ident
 from ..operators import contracts
+from ..streaming import lifecycle as streaming
+from .lifecycle import drained
 from .model import SPANS_SQL, spans, table
 
 
@@ -28,22 +30,47 @@ FRONT_BREACHES_SQL = """SELECT CASE WHEN event_id % 19 = 0 THEN 'type:missing' W
  WHEN event_id % 7 = 0 THEN 'timestamp:time' WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'canonical_entity_id:id' ELSE 'none' END AS breach, count(*) AS n FROM events GROUP BY 1"""
 
 
-def journal_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' second events against a journal of their first ones."""
-    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+def _appends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users' events as one batch of journal events, a user a proposal; five of six users have a journal already."""
     proposal = ident.uuid5(F.col("user_id").cast("string"))
     digest = lambda c: F.sha2(c.cast("string"), 256)
-    at = F.lit("2024-01-02T03:04:05Z")
-    made = lambda kind, d: (proposal.alias("proposal_id"), kind.alias("event_type"), contracts.event_id(kind, proposal, F.lit("a"), at, "journal-v1").alias("event_id"), d.alias("payload_digest"))
-    journal = events.filter("user_id % 6 <> 0").select(*made(F.lit("created"), digest(F.col("user_id"))), F.lit(1).alias("ordinal"))
-    kind = F.when(F.col("user_id") % 4 == 0, "created").when(F.col("user_id") % 4 == 1, "approved").when(F.col("user_id") % 4 == 2, "merged").otherwise("rejected")
-    new = events.select("user_id", *made(kind, digest(F.when(F.col("user_id") % 5 == 0, F.col("b")).otherwise(F.col("user_id")))))
-    return contracts.appended(journal, new).select("user_id", "event_type", "outcome")
+    made = lambda kind, d: (proposal.alias("proposal_id"), kind.alias("event_type"), contracts.event_id(kind, proposal, F.lit("a"), F.lit("2024-01-02T03:04:05Z"), "journal-v1").alias("event_id"), d.alias("payload_digest"))
+    events = table(spark, sf_dir, "events")
+    journal = events.select("user_id").distinct().filter("user_id % 6 <> 0").select(*made(F.lit("created"), digest(F.col("user_id"))), F.lit(-1).cast("bigint").alias("ordinal"))
+    kind = F.element_at(F.array(*(F.lit(s) for s in ("approved", "merged", "created", "rejected", "discarded"))), (F.col("event_id") % 5 + 1).cast("int"))
+    payload = digest(F.when(F.col("event_id") % 7 == 0, F.col("event_id")).otherwise(F.col("user_id")))
+    return journal, events.select("user_id", F.col("event_id").alias("ordinal"), *made(kind, payload))
+
+
+def journal_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's outcome, by the state that the ones before it leave."""
+    return contracts.appended(*_appends(spark, sf_dir)).select("user_id", "ordinal", "event_type", "outcome")
+
+
+def journal_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fold over the events as a stream, for proposals without a journal."""
+    digest = lambda c: F.sha2(c.cast("string"), 256)
+    kind = lambda e: F.element_at(F.array(*(F.lit(s) for s in ("approved", "merged", "created", "rejected", "discarded"))), (e % 5 + 1).cast("int"))
+
+    def plan(events: DataFrame) -> DataFrame:
+        rows = events.select("user_id", F.col("event_id").alias("ordinal"), kind(F.col("event_id")).alias("event_type"), digest(F.when(F.col("event_id") % 7 == 0, F.col("event_id")).otherwise(F.col("user_id"))).alias("payload_digest"))
+        return streaming.judged(rows.withColumn("event_id", F.col("event_type")), "user_id")
+
+    return drained(spark, sf_dir, plan, "append", ["user_id", "ordinal"])
+
+
+def _appends_sql(journal: str) -> str:
+    """The fold as a recursion over each user's events; ids differ by kind alone, so a list of kinds is the journal's."""
+    legal = "(status = '' AND k = 'created') OR (status = 'created' AND k IN ('approved', 'rejected')) OR (status = 'approved' AND k IN ('merged', 'discarded'))"
+    outcome = f"CASE WHEN list_contains(held, k) THEN 'duplicate' WHEN digest IS NOT NULL AND digest <> d THEN 'payload changed' WHEN {legal} THEN 'appended' ELSE 'illegal step' END"
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ['approved', 'merged', 'created', 'rejected', 'discarded'][event_id % 5 + 1] AS k, CASE WHEN event_id % 7 = 0 THEN event_id ELSE user_id END AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS ordinal, NULL::VARCHAR AS event_type, NULL::VARCHAR AS outcome, CASE WHEN {journal} THEN 'created' ELSE '' END AS status, CASE WHEN {journal} THEN user_id END AS digest, CASE WHEN {journal} THEN ['created'] ELSE []::VARCHAR[] END AS held FROM (SELECT DISTINCT user_id FROM events)
+ UNION ALL SELECT user_id, i, event_id, k, o, CASE WHEN o = 'appended' THEN k ELSE status END, CASE WHEN o = 'appended' THEN coalesce(digest, d) ELSE digest END, CASE WHEN o = 'appended' THEN list_append(held, k) ELSE held END
+ FROM (SELECT f.user_id, e.i, e.event_id, e.k, e.d, f.status, f.digest, f.held, {outcome} AS o FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT user_id, ordinal, event_type, outcome FROM f WHERE i > 0"""
 
 
-JOURNAL_APPENDS_SQL = """SELECT user_id, event_type, CASE WHEN user_id % 6 <> 0 AND event_type = 'created' THEN 'duplicate' WHEN user_id % 6 <> 0 AND user_id % 5 = 0 AND b <> user_id THEN 'payload changed'
- WHEN (user_id % 6 = 0 AND event_type = 'created') OR (user_id % 6 <> 0 AND event_type IN ('approved', 'rejected')) THEN 'appended' ELSE 'illegal step' END AS outcome
-FROM (SELECT user_id, max(event_id) AS b, CASE user_id % 4 WHEN 0 THEN 'created' WHEN 1 THEN 'approved' WHEN 2 THEN 'merged' ELSE 'rejected' END AS event_type FROM events GROUP BY user_id)"""
+JOURNAL_APPENDS_SQL, JOURNAL_VERDICTS_SQL = _appends_sql("user_id % 6 <> 0"), _appends_sql("false")
 
 
 def sidecar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +102,7 @@ MISMATCHES_SQL = f"WITH {SPANS_SQL} SELECT doc_id, min(ordinal)::INTEGER AS firs
 QUERIES = {
     "front_breaches": (front_breaches, FRONT_BREACHES_SQL),
     "journal_appends": (journal_appends, JOURNAL_APPENDS_SQL),
+    "journal_verdicts": (journal_verdicts, JOURNAL_VERDICTS_SQL),
     "sidecar_round_trip": (sidecar_round_trip, SIDECAR_SQL),
     "list_mismatches": (list_mismatches, MISMATCHES_SQL),
 }

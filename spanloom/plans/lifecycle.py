@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reconcile
+from ..sources import store
 from ..streaming import lifecycle as streaming
 from .model import table
 
@@ -37,28 +35,25 @@ SELECT proposal_id, status, i::INTEGER AS events, illegal FROM f QUALIFY row_num
 
 def journal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same replay from a stream of the journal, to its end."""
-    return _drained(spark, sf_dir, lambda events: streaming.replayed(_journal(events), "proposal_id", "step", "event_id"), "update", ["proposal_id"])
+    return drained(spark, sf_dir, lambda events: streaming.replayed(_journal(events), "proposal_id", "step", "event_id"), "update", ["proposal_id"])
 
 
 def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of the event stream."""
-    out = _drained(spark, sf_dir, streaming.windowed_counts, "complete", ["window", "event_type"])
+    out = drained(spark, sf_dir, streaming.windowed_counts, "complete", ["window", "event_type"])
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("started"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 WINDOWED_STREAM_SQL = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
-def _drained(spark: SparkSession, sf_dir: str, plan, mode: str, keys: list[str]) -> DataFrame:
+def drained(spark: SparkSession, sf_dir: str, plan, mode: str, keys: list[str]) -> DataFrame:
     """Run a streaming plan over the events until all are read; the last row of each key.
 
     Each micro-batch is written to a table of its own number in the shared folder, so a batch
     that runs twice is written once."""
     schema = table(spark, sf_dir, "events").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = f"{shared or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    folder = store.new_folder(spark, "stream")
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
     def write(df: DataFrame, batch: int) -> None:
@@ -149,10 +144,41 @@ SELECT 'l_orderkey repeated', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_o
 SELECT 'l_partkey unknown', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 100 <> 0) UNION ALL SELECT 'l_suppkey unknown', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) WHERE n > 0"""
 
 
+def _reports(events: DataFrame) -> DataFrame:
+    """Events as reports of versions' stages: some fail, some bring links."""
+    return events.select((F.col("user_id") * 100 + F.col("event_id") % 17).alias("version_id"), F.col("event_id").alias("ordinal"), (F.col("event_id") % 29 == 3).alias("failed"), (F.col("event_type") == "purchase").alias("linked"))
+
+
+def stage_processing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.processed(_reports(table(spark, sf_dir, "events")))
+
+
+def stage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stages from a stream of reports, to its end."""
+    return drained(spark, sf_dir, lambda events: streaming.processed(_reports(events)), "update", ["version_id"])
+
+
+def stage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many versions stand at each stage, with their steps and reports."""
+    return stage_processing(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("versions"), F.sum("processed").cast("bigint").alias("processed"), F.sum("events").cast("bigint").alias("events"))
+
+
+_STAGES_SQL = f"""WITH RECURSIVE e AS (SELECT user_id * 100 + event_id % 17 AS version_id, event_id % 29 = 3 AS failed, event_type = 'purchase' AS linked, row_number() OVER (PARTITION BY user_id * 100 + event_id % 17 ORDER BY event_id) AS i FROM events),
+f AS (SELECT DISTINCT version_id, 0::BIGINT AS i, 1 AS lv, false AS linked, false AS broke, 0 AS processed FROM e UNION ALL
+ SELECT f.version_id, e.i, CASE WHEN broke OR lv = 7 OR bad THEN lv ELSE lv + 1 END, f.linked OR (e.linked AND NOT broke AND lv < 7), broke OR (lv < 7 AND bad), processed + CASE WHEN broke OR lv = 7 OR bad THEN 0 ELSE 1 END
+ FROM f JOIN e ON e.version_id = f.version_id AND e.i = f.i + 1, LATERAL (SELECT e.failed OR (lv = 6 AND NOT (f.linked OR e.linked)) AS bad) x),
+r AS (SELECT version_id, CASE WHEN broke THEN 'failed' ELSE {_PLACES}[lv] END AS status, processed::INTEGER AS processed, i::INTEGER AS events FROM f QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY i DESC) = 1)"""
+STAGES_SQL = f"{_STAGES_SQL} SELECT * FROM r"
+STAGE_COUNTERS_SQL = f"{_STAGES_SQL} SELECT status, count(*) AS versions, sum(processed)::BIGINT AS processed, sum(events)::BIGINT AS events FROM r GROUP BY 1"
+
+
 QUERIES = {
     "journal_replay": (journal_replay, JOURNAL_REPLAY_SQL),
     "journal_stream": (journal_stream, JOURNAL_REPLAY_SQL),
     "windowed_stream": (windowed_stream, WINDOWED_STREAM_SQL),
+    "stage_processing": (stage_processing, STAGES_SQL),
+    "stage_stream": (stage_stream, STAGES_SQL),
+    "stage_counters": (stage_counters, STAGE_COUNTERS_SQL),
     "checked_transitions": (transitions, TRANSITIONS_SQL),
     "table_difference": (table_difference, DIFFERENCE_SQL),
     "upserted_table": (upserted, UPSERTED_SQL),

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.reconcile import PROPOSAL_STEPS, STAGES
 
-from ..operators.reconcile import PROPOSAL_STEPS
+#: The state store that keyed state of several parts needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", every: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -33,3 +39,79 @@ def replayed(journal: DataFrame, key: str, event: str, order: str) -> DataFrame:
 
     kind = dict(journal.dtypes)[key]
     return journal.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, status string, events int, illegal int", "status string, events int, illegal int", "update", "NoTimeout")
+
+
+def _with_state(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return df.groupBy(key).transformWithStateInPandas(processor, schema, mode, "None")
+
+
+class _Journal(StatefulProcessor):
+    """Status, digest and held ids of a proposal; gives every event its outcome."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "status string, digest string")
+        self.held = handle.getMapState("held", "event_id string", "held boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        status, digest = self.now.get() if self.now.exists() else ("", None)
+        frame = pd.concat(list(rows)).sort_values(["ordinal", "event_id"])
+        out = []
+        for kind, event_id, payload in zip(frame["event_type"], frame["event_id"], frame["payload_digest"], strict=True):
+            if self.held.containsKey((event_id,)):
+                out.append("duplicate")
+            elif digest is not None and payload != digest:
+                out.append("payload changed")
+            elif kind not in PROPOSAL_STEPS.get(status, ()):
+                out.append("illegal step")
+            else:
+                status, digest = kind, digest or payload
+                self.held.updateValue((event_id,), (True,))
+                out.append("appended")
+        self.now.update((status, digest))
+        yield pd.DataFrame({self.key: key[0], "ordinal": frame["ordinal"], "event_type": frame["event_type"], "outcome": out})
+
+    def close(self) -> None:
+        pass
+
+
+def judged(events: DataFrame, key: str = "proposal_id") -> DataFrame:
+    """key, ordinal, event_type, outcome of a stream of journal events, as `contracts.appended` judges a batch."""
+    kind = dict(events.dtypes)[key]
+    return _with_state(events.select(key, "ordinal", "event_type", "event_id", "payload_digest"), key, _Journal(key), f"{key} {kind}, ordinal bigint, event_type string, outcome string", "append")
+
+
+class _Stages(StatefulProcessor):
+    """Stage, counts and links of a version."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "status string, processed int, events int, linked boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        status, processed, events, linked = self.now.get() if self.now.exists() else (STAGES[0], 0, 0, False)
+        frame = pd.concat(list(rows)).sort_values("ordinal")
+        for failed, link in zip(frame["failed"], frame["linked"], strict=True):
+            events += 1
+            if status in (STAGES[-1], "failed"):
+                continue
+            linked = linked or bool(link)
+            after = STAGES[STAGES.index(status) + 1]
+            status = "failed" if failed or (after == STAGES[-1] and not linked) else after
+            processed += status != "failed"
+        self.now.update((status, processed, events, linked))
+        yield pd.DataFrame({self.key: [key[0]], "status": [status], "processed": [processed], "events": [events]})
+
+    def close(self) -> None:
+        pass
+
+
+def processed(reports: DataFrame, key: str = "version_id") -> DataFrame:
+    """key, status, processed, events after each micro-batch, as `reconcile.processed` has them for a whole table."""
+    kind = dict(reports.dtypes)[key]
+    return _with_state(reports.select(key, "ordinal", "failed", "linked"), key, _Stages(key), f"{key} {kind}, status string, processed int, events int", "update")
