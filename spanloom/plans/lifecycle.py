@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reconcile
-from ..sources import store
+from ..sources import generations, store
 from ..streaming import lifecycle as streaming
 from .model import table
 
@@ -172,6 +172,29 @@ STAGES_SQL = f"{_STAGES_SQL} SELECT * FROM r"
 STAGE_COUNTERS_SQL = f"{_STAGES_SQL} SELECT status, count(*) AS versions, sum(processed)::BIGINT AS processed, sum(events)::BIGINT AS events FROM r GROUP BY 1"
 
 
+def reconciled_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and their orders reconciled three times: at first, after changes, and again without any."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    tables = [generations.Table("orders", ["o_orderkey"], {"o_custkey": ("customer", "c_custkey")}), generations.Table("customer", ["c_custkey"])]
+    changed = orders.filter("o_orderkey % 20 <> 3").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 13 == 0, "X").otherwise(F.col("o_orderstatus")))
+    later = {"customer": _twisted(customer), "orders": changed}
+    root, out = store.new_folder(spark, "generations"), None
+    for run, desired in enumerate(({"customer": customer.filter("c_custkey % 10 <> 0"), "orders": orders}, later, later), 1):
+        number, counts = generations.reconcile(spark, root, tables, desired)
+        part = counts.select(F.lit(run).alias("run"), F.lit(number).alias("generation"), "table_name", "outcome", "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+GENERATIONS_SQL = """WITH o AS (SELECT o_orderkey AS k, o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) AS ok, o_orderkey % 20 <> 3 AS wanted FROM orders),
+r AS (SELECT 1 AS run, 'customer' AS table_name, 'insert' AS outcome FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT 1, 'orders', CASE WHEN ok THEN 'insert' ELSE 'blocked' END FROM o
+UNION ALL SELECT 2, 'customer', CASE WHEN c_custkey % 7 = 0 THEN 'update' ELSE 'equal' END FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT 2, 'customer', 'insert' FROM customer WHERE c_custkey % 50 = 0
+UNION ALL SELECT 2, 'orders', CASE WHEN NOT ok THEN 'blocked' WHEN NOT wanted THEN 'delete' WHEN k % 13 = 0 THEN 'update' ELSE 'equal' END FROM o WHERE ok OR wanted
+UNION ALL SELECT 3, 'customer', 'equal' FROM customer WHERE c_custkey % 10 <> 0 OR c_custkey % 50 = 0 UNION ALL SELECT 3, 'customer', 'equal' FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 50 = 0
+UNION ALL SELECT 3, 'orders', CASE WHEN ok THEN 'equal' ELSE 'blocked' END FROM o WHERE wanted)
+SELECT run, least(run, 2) AS generation, table_name, outcome, count(*) AS rows FROM r GROUP BY ALL"""
+
+
 QUERIES = {
     "journal_replay": (journal_replay, JOURNAL_REPLAY_SQL),
     "journal_stream": (journal_stream, JOURNAL_REPLAY_SQL),
@@ -179,6 +202,7 @@ QUERIES = {
     "stage_processing": (stage_processing, STAGES_SQL),
     "stage_stream": (stage_stream, STAGES_SQL),
     "stage_counters": (stage_counters, STAGE_COUNTERS_SQL),
+    "reconciled_generations": (reconciled_generations, GENERATIONS_SQL),
     "checked_transitions": (transitions, TRANSITIONS_SQL),
     "table_difference": (table_difference, DIFFERENCE_SQL),
     "upserted_table": (upserted, UPSERTED_SQL),
