@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 
 def normalized(hits: DataFrame, clip: bool = True) -> DataFrame:
     """Adds norm: min-max of the score by path, to 10 digits. A single hit gets 1, equal
@@ -18,18 +20,18 @@ def normalized(hits: DataFrame, clip: bool = True) -> DataFrame:
     return hits.join(ends, "path").withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), norm)) if clip else norm).drop("_low", "_high", "_n")
 
 
-def ranked(hits: DataFrame, key: str, score: Column, order: list[Column], cells: int = 4096) -> DataFrame:
-    """Adds rank: the place within the key by `order`, which starts with the score, falling, null last. A list
-    may be long: its scores' range is cut into cells, rows are ranked within a cell and shifted by the
-    rows of the cells above, which are few numbers a key."""
-    marked = hits.withColumn("_s", score.cast("double"))
-    ends = marked.groupBy(key).agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"))
-    place = F.floor(F.coalesce((F.col("_high") - F.col("_s")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * cells, F.lit(0.0)))
-    in_cells = marked.join(ends, key).withColumn("_cell", F.when(F.col("_s").isNull(), cells + 1).otherwise(place))
-    sums = in_cells.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    above = sums.withColumn("_above", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(key, "_cell").orderBy(*order))
-    return in_cells.join(above, [key, "_cell"]).withColumn("rank", (F.col("_above") + within).cast("int")).drop("_s", "_low", "_high", "_cell", "_above")
+def ranked(hits: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Adds rank: the place within the key by `order`, whose last columns tell equal rows apart. Rows are dealt out by ranges
+    of key and whole order, so neither a long list nor one of few scores falls to one task; each range is sorted, numbered
+    and written once, and shifted by the rows of the key in the ranges before it, which are few numbers."""
+    parts = max(8, int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = hits.repartitionByRange(parts, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+    placed = store.staged(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumns({"_part": F.shiftrightunsigned("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sums = placed.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    above = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sums.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), (above - F.col("_first") + 1).alias("_shift"))
+    joined = placed.join(shifts, placed[key].eqNullSafe(shifts["_key"]) & (placed["_part"] == shifts["_of"]))
+    return joined.withColumn("rank", (F.col("_at") + F.col("_shift")).cast("int")).drop("_id", "_part", "_at", "_key", "_of", "_shift")
 
 
 def best_of_path(hits: DataFrame, key: str) -> DataFrame:
@@ -41,7 +43,7 @@ def best_of_path(hits: DataFrame, key: str) -> DataFrame:
 def fuse(hits: DataFrame, key: str = "text", k: int = 60, bonus: float = 0.1, limit: int | None = None) -> DataFrame:
     """key, fused, score, source_paths: reciprocal ranks (from 1) summed over paths, more for
     keys found by several paths; ordered by fused score, raw score and key."""
-    placed = ranked(best_of_path(normalized(hits), key), "path", F.col("norm"), [F.desc("norm"), F.asc("ordinal")])
+    placed = ranked(best_of_path(normalized(hits), key), "path", [F.desc("norm"), F.asc("ordinal")])
     merged = placed.groupBy(key).agg(
         F.sum(1.0 / (k + F.col("rank"))).alias("sum"), F.count(F.lit(1)).alias("paths"), F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("path")), ",").alias("source_paths")
     )

@@ -26,12 +26,12 @@ def first_per_chunk(hits: DataFrame, nil: str = "") -> DataFrame:
 def reranked(hits: DataFrame, k: int = 60, bonus: float = 0.1) -> DataFrame:
     """Hits (key, path, ordinal, score) scored anew: normalized by path, reciprocal ranks, bonus; with ranks."""
     fused = fuse.fuse(hits, "key", k, bonus).withColumn("_all", F.lit(0))
-    return fuse.ranked(fused, "_all", F.col("fused"), [F.desc("fused"), F.desc_nulls_last("score"), F.asc("key")]).drop("_all")
+    return fuse.ranked(fused, "_all", [F.desc("fused"), F.desc_nulls_last("score"), F.asc("key")]).drop("_all")
 
 
 def fused_by_span(hits: DataFrame, k: int = 60) -> DataFrame:
     """Merge by span: ranks are given before duplicates go, and of duplicates the last rank counts."""
-    ranked = fuse.ranked(hits, "path", F.col("score"), [F.desc_nulls_last("score"), F.asc("ordinal")])
+    ranked = fuse.ranked(hits, "path", [F.desc_nulls_last("score"), F.asc("ordinal")])
     last = ranked.groupBy("path", "span_id").agg(F.max("rank").alias("rank"), F.max("score").alias("score"))
     return last.groupBy("span_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 10).alias("fused"), F.max("score").alias("score"), F.count(F.lit(1)).alias("paths"))
 

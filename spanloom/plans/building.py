@@ -373,7 +373,7 @@ def ranked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by their evidence: score, support, id."""
     links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.col("l_returnflag").alias("source_kind"), (1 - F.col("l_discount")).alias("confidence_score"))
     scored = knowledge.evidence_scores(links, {"A": 1.0, "N": 0.5, "R": 0.25}, bonus=0.0001, most=1.0).withColumn("confidence", F.round("confidence", 3)).withColumn("_all", F.lit(0))
-    return fuse.ranked(scored, "_all", F.col("confidence"), [F.desc_nulls_last("confidence"), F.desc("support"), F.asc("entity_id")]).select("entity_id", "confidence", "support", "rank")
+    return fuse.ranked(scored, "_all", [F.desc_nulls_last("confidence"), F.desc("support"), F.asc("entity_id")]).select("entity_id", "confidence", "support", "rank")
 
 
 RANKED_EVIDENCE_SQL = """WITH l AS (SELECT l_suppkey AS e, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.5 ELSE 0.25 END::DOUBLE AS w, 1 - l_discount AS c FROM lineitem), s AS (SELECT e, round(least(1.0, sum(w * c) / sum(w) + 0.0001 * (count(*) - 1)), 3) AS confidence, count(*) AS support FROM l GROUP BY 1)

@@ -1,4 +1,4 @@
-"""Queries of policy-guided descent, with their SQL oracles."""
+"""Queries of policy-guided descent and of merges along links, with their SQL oracles."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import distribution, traverse
+from ..operators import distribution, merging, traverse
 from ..sources import store
 from .model import table
 
@@ -95,3 +95,35 @@ DESCENTS_SQL = _ALL + "\n" + " UNION ALL ".join(f"SELECT '{p[0]}' AS policy, que
 EVIDENCE_SQL = _ALL + "\n" + " UNION ALL ".join(f"SELECT '{p}' AS policy, query_id, vec_id AS chunk_id, node_id, round(1 - dist, 6) AS score, depth, trail FROM {p}_m JOIN (SELECT vec_id, node_id FROM v) USING (node_id) WHERE gives" for p in ("hiro", "every"))
 
 QUERIES = {"policy_descents": (policy_descents, DESCENTS_SQL), "descent_evidence": (descent_evidence, EVIDENCE_SQL)}
+
+
+def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as identities, every fifth with a code; orders as links between customers."""
+    identities = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identity_id"), F.col("c_mktsegment").alias("entity_type"), F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("c"), "c_nationkey")).alias("code"))
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 6 = 0")
+    return identities, orders.select(F.col("o_custkey").alias("left_id"), (F.col("o_custkey") + F.col("o_orderkey") % 97).alias("right_id"), (F.col("o_orderkey") % 10 / F.lit(10.0)).alias("score"))
+
+
+def merged_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.merged(*_people(spark, sf_dir))
+
+
+def merge_vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many links are allowed, and why others are not."""
+    return merging.judged_links(*_people(spark, sf_dir)).groupBy("veto").agg(F.count(F.lit(1)).alias("links"))
+
+
+_PEOPLE_SQL = """WITH RECURSIVE i AS (SELECT c_custkey AS id, c_mktsegment AS kind, CASE WHEN c_custkey % 5 = 0 THEN 'c' || c_nationkey END AS code FROM customer),
+l AS (SELECT o_custkey AS a, o_custkey + o_orderkey % 97 AS b, o_orderkey % 10 / 10.0 AS score FROM orders WHERE o_orderkey % 6 = 0),
+j AS (SELECT a, b, score, p.code AS pc, q.code AS qc, CASE WHEN p.id IS NULL OR q.id IS NULL THEN 'unknown' WHEN p.kind IS DISTINCT FROM q.kind THEN 'type' WHEN p.code <> q.code THEN 'code' END AS veto FROM l LEFT JOIN i p ON a = p.id LEFT JOIN i q ON b = q.id)"""
+VETOES_SQL = f"{_PEOPLE_SQL} SELECT veto, count(*) AS links FROM j GROUP BY 1"
+MERGED_SQL = f"""{_PEOPLE_SQL},
+e AS (SELECT a, b FROM j WHERE veto IS NULL AND pc IS NULL AND qc IS NULL UNION SELECT b, a FROM j WHERE veto IS NULL AND pc IS NULL AND qc IS NULL),
+r AS (SELECT id, id AS c FROM i WHERE code IS NULL UNION SELECT r.id, e.b FROM r JOIN e ON r.c = e.a), bare AS (SELECT id, min(c) AS c FROM r GROUP BY 1),
+t AS (SELECT a AS id, qc AS code, score FROM j WHERE veto IS NULL AND pc IS NULL AND qc IS NOT NULL UNION ALL SELECT b, pc, score FROM j WHERE veto IS NULL AND qc IS NULL AND pc IS NOT NULL),
+best AS (SELECT c, arg_min(t.code, (-score, t.code)) AS code FROM t JOIN bare USING (id) GROUP BY 1),
+g AS (SELECT i.id, kind, coalesce(i.code, best.code) AS code, bare.c AS c FROM i LEFT JOIN bare USING (id) LEFT JOIN best USING (c)),
+k AS (SELECT id, c, min(id) OVER w AS survivor, count(*) OVER w AS n FROM g WINDOW w AS (PARTITION BY CASE WHEN code IS NULL THEN c END, CASE WHEN code IS NOT NULL THEN kind END, code))
+SELECT id AS identity_id, survivor, CASE WHEN n = 1 THEN NULL WHEN c IS NULL THEN 'code' ELSE 'link' END AS reason FROM k"""
+
+QUERIES |= {"merged_identities": (merged_identities, MERGED_SQL), "merge_vetoes": (merge_vetoes, VETOES_SQL)}

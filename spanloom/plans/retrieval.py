@@ -61,7 +61,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("keyword"), F.round(F.avg("l_extendedprice"), 4).alias("vector"), F.max("l_discount").alias("tree"))
     parts = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     long = parts.select("p_type", "l_partkey", F.expr("stack(3, 'keyword', keyword, 'vector', vector, 'tree', tree) AS (path, score)"))
-    placed = fuse.ranked(long, "path", F.col("score"), [F.desc("score"), F.asc("l_partkey")])
+    placed = fuse.ranked(long, "path", [F.desc("score"), F.asc("l_partkey")])
     return placed.withColumnRenamed("rank", "ordinal").select("path", "ordinal", F.col("p_type").alias("text"), "score")
 
 

@@ -31,18 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return qualified(spark, context.getCheckpointDir()).rstrip("/")
 
 
+def remove_at_exit(spark: SparkSession, at: str) -> None:
+    """A folder that exists goes with all it holds when the driver's JVM ends."""
+    path, files = _path(spark, at)
+    files.deleteOnExit(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared one; removed with all it holds when the driver's JVM ends."""
+    """An empty folder of its own in the shared one, removed at the end."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     path, files = _path(spark, at)
-    files.deleteOnExit(path)
+    files.mkdirs(path)
+    remove_at_exit(spark, at)
     return at
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df in the shared folder and read it again."""
-    at = new_folder(df.sparkSession, name)
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    remove_at_exit(df.sparkSession, at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

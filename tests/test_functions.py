@@ -111,7 +111,7 @@ def test_merged_text(spark):
 def test_ranks_by_cells(spark):
     data = [(f"p{i % 2}", i, None if i % 9 == 0 else float(i * 7919 % 50)) for i in range(400)]
     df = spark.createDataFrame(data, "path string, ordinal int, score double")
-    got = {(r["path"], r["ordinal"]): r["rank"] for r in rows(fuse.ranked(df, "path", F.col("score"), [F.desc_nulls_last("score"), F.asc("ordinal")], cells=7))}
+    got = {(r["path"], r["ordinal"]): r["rank"] for r in rows(fuse.ranked(df, "path", [F.desc_nulls_last("score"), F.asc("ordinal")]))}
     for path in ("p0", "p1"):
         order = sorted((x for x in data if x[0] == path), key=lambda x: (x[2] is None, -(x[2] or 0), x[1]))
         assert [got[path, x[1]] for x in order] == list(range(1, len(order) + 1))
@@ -263,3 +263,13 @@ def test_engine(spark):
         with pytest.raises(ValueError):
             engine.query(*bad)
     assert Engine(spans).route("what does lie to the north") == "keyword"
+
+
+def test_ranks_of_few_scores_spread(spark):
+    """A list of two scores: no task gets it whole, and ranks have no gap."""
+    df = spark.range(4000).select((F.col("id") % 2).alias("score"), F.col("id").alias("ordinal"), F.lit("p").alias("path"))
+    got = fuse.ranked(df, "path", [F.desc("score"), F.asc("ordinal")])
+    assert [r["rank"] for r in got.orderBy(F.desc("score"), "ordinal").collect()] == list(range(1, 4001))
+    parts = df.repartitionByRange(8, "path", F.desc("score"), F.asc("ordinal")).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 1000
+    assert fuse.ranked(df.limit(0), "path", [F.desc("score"), F.asc("ordinal")]).count() == 0
