@@ -26,25 +26,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where
-    that is unset on a local master (tests) a new temporary folder, set on the session's context."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return context.getCheckpointDir().rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset on a local master (tests)
+    a new temporary folder, set on the session's context. Scheme and authority are those of the default file system
+    where the setting names none, so that readers, writers and tasks all mean one folder."""
+    at, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not at:
+        if context.getCheckpointDir() is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        at = context.getCheckpointDir()
+    path, files = _path(spark, at)
+    return files.makeQualified(path).toString().rstrip("/")
+
+
+def remove_at_exit(spark: SparkSession, at: str) -> None:
+    """A folder that exists goes with all it holds when the driver's JVM ends."""
+    path, files = _path(spark, at)
+    files.deleteOnExit(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An empty folder of its own in the shared one, removed at the end."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, files = _path(spark, at)
+    files.mkdirs(path)
+    remove_at_exit(spark, at)
+    return at
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    remove_at_exit(df.sparkSession, at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def by_place(docs: DataFrame) -> tuple[DataFrame, list[str], str]:

@@ -466,7 +466,7 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             sums = [np.bincount(at, b.times * x[b.pair], minlength=int(first[-1])) for x in (own, base, known)]
             for i, batch in enumerate(b.batches):
                 cut = slice(first[i], first[i + 1])
-                out.append((batch, False, pack(sums[0][cut].astype(np.float32), sums[1][cut], sums[2][cut].astype(np.int64), np.array([int(n)]))))
+                out.append((batch, False, pack(sums[0][cut], sums[1][cut], sums[2][cut].astype(np.int64), np.array([int(n)]))))
         out += [(batch, True, blob) for batch, header, blob in zip(left.column("batch").to_pylist(), left.column("header").to_pylist(), left.column("blob").to_pylist(), strict=True) if header]
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table({"batch": pa.array(columns[0], pa.int64()), "header": pa.array(columns[1], pa.bool_()), "blob": pa.array(columns[2], pa.binary())})

@@ -214,7 +214,7 @@ def write(pages: DataFrame, folder: str, level: int = 1) -> None:
     a task that runs again must cut the same archives."""
 
     def run(batches):
-        files, root = pa.fs.FileSystem.from_uri(folder)
+        files, root = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
         files.create_dir(root)
         part, number, members, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -286,10 +286,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages to archives in the shared folder, read them back, one row a record."""
     spark = pages.sparkSession
-    folder = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = "file://" + folder
-    folder = re.sub(r"^file:/+", "file:///", folder)
+    folder = common.new_folder(spark, "warc")
     kind = dict(pages.dtypes)["page_id"]
     write(pages, folder)
     number = lambda c: F.nullif(F.regexp_extract(F.col(c), r"^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
