@@ -31,6 +31,12 @@ def _path(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, at: str) -> str:
+    """The path with scheme and authority, by the default file system where it names none."""
+    path, files = _path(spark, at)
+    return files.makeQualified(path).toString().rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset on a local master (tests)
     a new temporary folder, set on the session's context. Scheme and authority are those of the default file system
@@ -42,8 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
         at = context.getCheckpointDir()
-    path, files = _path(spark, at)
-    return files.makeQualified(path).toString().rstrip("/")
+    return qualified(spark, at)
 
 
 def remove_at_exit(spark: SparkSession, at: str) -> None:
