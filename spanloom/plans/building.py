@@ -396,9 +396,16 @@ def page_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("page_id").alias("identity_id"), F.lower(cut("<title>([^<]*)</title>")).alias("name"), cut('<html lang="([^"]*)"').alias("entity_type")).filter("name <> ''")
 
 
+def misspelt_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of pages, and each again without its first letter and with another at its end."""
+    rows = page_identities(spark, sf_dir)
+    other = F.concat(F.substr(F.col("name"), F.lit(2)), F.lit("x"))
+    return rows.withColumn("identity_id", F.col("identity_id") * 2).unionByName(rows.withColumns({"identity_id": F.col("identity_id") * 2 + 1, "name": other}))
+
+
 def fuzzy_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages that may mean the same, at 0.8; no SQL has the ratio, so it is tested by brute force."""
-    return entity_suggestions(page_identities(spark, sf_dir))
+    return entity_suggestions(misspelt_identities(spark, sf_dir))
 
 
 def name_members(spark: SparkSession, sf_dir: str) -> DataFrame:

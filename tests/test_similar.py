@@ -68,6 +68,6 @@ def test_copies_and_nothing(spark, monkeypatch):
 
 def test_registered_query(spark):
     """fuzzy_suggestions at its own threshold, over its own table."""
-    data = [tuple(r) for r in building.page_identities(spark, SF).select("identity_id", "entity_type", "name").collect()]
+    data = [tuple(r) for r in building.misspelt_identities(spark, SF).select("identity_id", "entity_type", "name").collect()]
     got = {(r["left_id"], r["right_id"]): r["score"] for r in building.fuzzy_suggestions(spark, SF).collect()}
     assert got == {k: round(v, 6) for k, v in brute(data, 0.8).items()}
