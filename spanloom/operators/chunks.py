@@ -87,3 +87,18 @@ def resolved_nodes(chunks: DataFrame, links: DataFrame, span_nodes: DataFrame) -
     """A chunk's node: its own, else that of its first linked span that has one."""
     found = links.join(span_nodes, "span_id").groupBy("chunk_id").agg(F.min_by("node_id", "ordinal_no").alias("linked_node"))
     return chunks.join(found, "chunk_id", "left").withColumn("node_id", F.coalesce("node_id", "linked_node")).drop("linked_node")
+
+
+def exact_segments(docs: DataFrame, size: int, key: str, column: str = "text") -> DataFrame:
+    """key, segment, start, stop (letters), words, segment_text: windows of `size` words that cover the text exactly. White space
+    goes to the word before it, at the beginning to the first word, so that a text's segments in order are the text; a text
+    without words is one segment, a null text has none. Keys must be distinct: offsets are sums over a key's segments."""
+    word = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+    lead = F.regexp_extract(column, r"^[\x20\x09-\x0D]*", 0)
+    cut = docs.filter(F.col(column).isNotNull()).select(key, lead.alias("lead_"), F.regexp_extract_all(column, F.lit(word), F.lit(0)).alias("words_"))
+    count = F.greatest(F.ceil(F.size("words_") / size), F.lit(1)).cast("int")
+    own = lambda i: F.slice("words_", i * size + 1, F.lit(size))
+    part = lambda i: F.struct(F.size(own(i)).alias("words"), F.concat(F.when(i == 0, F.col("lead_")).otherwise(""), F.array_join(own(i), "")).alias("segment_text"))
+    each = cut.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), part)).alias("segment", "s")).select(key, "segment", "s.*")
+    stop = F.sum(F.length("segment_text")).over(Window.partitionBy(key).orderBy("segment").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("segment_text")).select(key, "segment", "start", "stop", "words", "segment_text")

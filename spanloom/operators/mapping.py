@@ -10,13 +10,6 @@ from .knowledge import first_rejection
 #: Raw labels and the types they mean.
 RAW_LABELS = {"PER": "Person", "LOC": "Location", "CORP": "Organization", "GRP": "Organization", "CW": "CreativeWork", "PROD": "Product"}
 EXTRACTOR_LABELS = {"人名": "Person", "地名": "Location", "公司名": "Organization", "产品名": "Product"}
-#: Reasons of a rejection.
-REASONS = (
-    "missing_text", "missing_offset", "out_of_range", "not_exact_slice", "unknown_entity_type", "duplicate_span", "missing_source_text",
-    "source_not_in_normalized_text", "relation_not_in_schema", "subject_type_not_allowed", "object_type_not_allowed", "subject_not_in_source",
-    "object_not_in_source", "subject_not_a_mention", "object_not_a_mention", "self_loop", "duplicate_relation", "too_short", "not_a_mapping",
-    "invalid_confidence", "invalid_candidate",
-)
 
 
 def canonical_type(label: Column, labels: dict[str, str] = RAW_LABELS) -> Column:

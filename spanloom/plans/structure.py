@@ -41,6 +41,17 @@ SEGMENTS_SQL = """WITH w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws
 SELECT doc_id, (i // 128)::INTEGER AS segment, count(*)::INTEGER AS words, sha256(string_agg(w, ' ' ORDER BY i)) AS text_sha256 FROM w GROUP BY doc_id, i // 128"""
 
 
+def exact_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.exact_segments(table(spark, sf_dir, "documents"), 128, "doc_id")
+    return out.select("doc_id", "segment", "start", "stop", "words", F.sha2("segment_text", 256).alias("text_sha256"))
+
+
+EXACT_SEGMENTS_SQL = r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ws FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, i AS segment, ws[i * 128 + 1:i * 128 + 128] AS own, CASE WHEN i = 0 THEN regexp_extract(text, '^[\x20\x09-\x0D]*') ELSE '' END AS lead FROM (SELECT *, unnest(range(greatest(ceil(len(ws) / 128)::BIGINT, 1))) AS i FROM p)),
+t AS (SELECT doc_id, segment::INTEGER AS segment, len(own)::INTEGER AS words, lead || array_to_string(own, '') AS t FROM s)
+SELECT doc_id, segment, (sum(length(t)) OVER w - length(t))::BIGINT AS start, (sum(length(t)) OVER w)::BIGINT AS stop, words, sha256(t) AS text_sha256 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
 def heading_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.tree_from_paths(spans(table(spark, sf_dir, "documents"))).select("node_id", "parent_node_id", "level_no", "title", "span_count", F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("last", F.lit(-1)).alias("last"))
 
@@ -159,6 +170,7 @@ SELECT scope, id AS mention_id, CASE WHEN id = y.id THEN 'selected' WHEN f = y.f
 
 
 QUERIES = {
+    "exact_segments": (exact_segments, EXACT_SEGMENTS_SQL),
     "heading_chunks": (heading_chunks, HEADING_CHUNKS_SQL),
     "turn_overlap": (turn_overlap, TURN_OVERLAP_SQL),
     "token_segments": (segments, SEGMENTS_SQL),

@@ -273,3 +273,18 @@ def test_ranks_of_few_scores_spread(spark):
     parts = df.repartitionByRange(8, "path", F.desc("score"), F.asc("ordinal")).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(parts) == 8 and max(r["count"] for r in parts) < 1000
     assert fuse.ranked(df.limit(0), "path", [F.desc("score"), F.asc("ordinal")]).count() == 0
+
+
+def test_segments_are_the_text(spark):
+    texts = ["", " ", " \n a  b\tc ", "one", None, "x" * 5000, "é 日本 😀  z\n" * 700, "a b c d", " a b c d e "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    for size in (1, 2, 128):
+        got = {}
+        for r in sorted(rows(chunks.exact_segments(df, size, "doc")), key=lambda r: (r["doc"], r["segment"])):
+            got.setdefault(r["doc"], []).append(r)
+        for i, t in enumerate(texts):
+            parts = got.get(i, [])
+            assert "".join(r["segment_text"] for r in parts) == (t or "") and bool(parts) == (t is not None)
+            assert all((t or "")[r["start"] : r["stop"]] == r["segment_text"] for r in parts)
+            assert [r["words"] for r in parts] == [min(size, len(t.split()) - a) for a in range(0, max(len(t.split()), 1), size)] if t is not None else True
+    assert chunks.exact_segments(df.limit(0), 3, "doc").count() == 0
