@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import fuse
+from ..sources import store
+from . import distribution, fuse
 
 
 def enriched(hits: DataFrame, chunks: DataFrame, links: DataFrame) -> DataFrame:
@@ -60,6 +61,40 @@ def expanded(hits: DataFrame, rolled: DataFrame, spans: DataFrame, top: int) ->
     return hits.select("span_id", "heading_path", "score").unionByName(more.join(hits.select("span_id"), "span_id", "left_anti"))
 
 
+#: How many of the best nodes a decision takes; a scattered spread takes all.
+TAKEN = {"high_concentration": 2, "moderate": 1}
+
+
+def suggested(rolled: DataFrame) -> DataFrame:
+    """node_id, rank, decision: the nodes that the spread of totals (node_id, total) says to expand, best first."""
+    spread = distribution.spread(rolled).withColumn("decision", distribution.decision())
+    many = F.when(F.col("decision") == "high_dispersion", F.col("nodes"))
+    for name, n in TAKEN.items():
+        many = many.when(F.col("decision") == name, n)
+    verdict = spread.filter("nodes > 0").select("decision", many.alias("many_"))
+    ranked = fuse.ranked(rolled.withColumns({"_all": F.lit(0), "total": F.round("total", 9)}), "_all", [F.desc("total"), F.asc("node_id")])
+    return ranked.join(F.broadcast(verdict), F.col("rank") <= F.col("many_")).select("node_id", "rank", "decision")  # one row
+
+
+def expansion(hits: DataFrame, ancestors: DataFrame, links: DataFrame, k: int = 60, bonus: float = 0.1) -> DataFrame:
+    """The whole loop: decide from the hits' spread over the tree, fetch the spans of the nodes that it names and of their parents, merge, rank anew.
+
+    hits: key (a span), path, ordinal, score, node_id (null for none); ancestors: node_id, ancestor_id, distance; links: node_id, key, ordinal_no.
+    Returns key, fused, score, source_paths, rank, decision, expanded. A span of several hits counts with its best one; fetched spans
+    are a list of their own at score 0, those of better nodes first, parents' last. Without a hit on a node the
+    decision is no_hits and nothing is fetched."""
+    best = hits.groupBy("key").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), "node_id")).alias("b")).select("key", "b.*")
+    rolled = store.staged(distribution.tree_roll_up(best.filter("node_id is not null"), ancestors), "rolled")
+    chosen = store.staged(suggested(rolled), "suggested")
+    up = chosen.join(ancestors.filter("distance = 1"), "node_id").select(F.col("ancestor_id").alias("node_id"), "rank", F.lit(1).alias("up"))
+    nodes = chosen.select("node_id", "rank", F.lit(0).alias("up")).unionByName(up).groupBy("node_id").agg(F.min(F.struct("up", "rank")).alias("at"))
+    found = links.join(nodes, "node_id").groupBy("key").agg(F.min(F.struct("at.up", "at.rank", "ordinal_no")).alias("place")).select("key", "place.up", F.col("place.rank").alias("of"), "place.ordinal_no", F.lit(0).alias("_all"))
+    fetched = fuse.ranked(found, "_all", [F.asc("up"), F.asc("of"), F.asc("ordinal_no"), F.asc("key")]).select("key", F.lit("tree_expansion").alias("path"), F.col("rank").alias("ordinal"), F.lit(0.0).alias("score"))
+    both = hits.select("key", "path", "ordinal", "score").unionByName(fetched)
+    decision = chosen.agg(F.coalesce(F.min("decision"), F.lit("no_hits")).alias("decision"))  # one row
+    return reranked(both, k, bonus).join(F.broadcast(decision), F.lit(True)).withColumn("expanded", F.col("source_paths") == "tree_expansion")
+
+
 def repaired(chunks: DataFrame, embed: Column, nodes: DataFrame) -> DataFrame:
     """Chunks with what they lack: embeddings computed, nodes looked up; complete ones are not touched."""
     whole = chunks.filter("embedding is not null and node_id is not null").withColumn("repaired", F.lit(False))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -16,16 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", LongType()), StructField("line", StringType())])))
-def lines_with_starts(texts: pd.Series) -> pd.Series:
-    """Lines of each text with their offsets: a running sum, which no built-in function of arrays gives in one pass."""
-
-    def of(text: str) -> list[dict]:
-        lines = text.split("\n")
-        starts = [0, *itertools.accumulate(len(x) + 1 for x in lines)]
-        return [{"start": a, "line": x} for a, x in zip(starts, lines, strict=False)]
-
-    return texts.map(of, na_action="ignore")
+@F.arrow_udf(ArrayType(StructType([StructField("start", LongType()), StructField("line", StringType())])))
+def lines_with_starts(texts: pa.Array) -> pa.Array:
+    """Lines of each text with their offsets (code points): running sums over a whole batch, less the sum at each text's first line."""
+    lists = pc.split_pattern(texts, "\n")
+    first, lines = lists.offsets.to_numpy(), lists.values
+    sizes = np.nan_to_num(pc.utf8_length(lines).to_numpy(zero_copy_only=False)).astype("int64") + 1
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    own = before[:-1].copy()
+    own[first[0] : first[-1]] -= np.repeat(before[first[:-1]], np.diff(first))
+    items = pa.StructArray.from_arrays([pa.array(own), lines], names=["start", "line"])
+    return pa.ListArray.from_arrays(lists.offsets, items, mask=pc.is_null(texts))
 
 
 def spans(docs: DataFrame) -> DataFrame:
