@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ident
+from . import fuse
+
 #: States of a version's processing, in order.
 STAGES = ("registered", "parsed", "chunks_created", "embedded", "tree_built", "entities_extracted", "complete")
 #: What may follow each state of a proposal ('' is before the first event).
@@ -48,6 +51,28 @@ def registered(versions: DataFrame, arriving: DataFrame) -> DataFrame:
     return retired.unionByName(added)
 
 
+def registered_documents(documents: DataFrame, versions: DataFrame, arriving: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, source_uri, title) and versions (doc_id, content_hash, contract, version_no, is_active) after arrivals
+    (ordinal, source_uri, title, content_hash, contract) came in their order, as many of one document as there are.
+
+    A document is known by its URI; a new one gets the URI's name-based id. Its title is that of the last arrival, or the file's name without
+    its ending where that has none. Content that a document holds under the same contract changes nothing, even where it is retired; each
+    other one becomes the next version, active until the one after it. Equal ordinals go by content. Numbers come from ranges of
+    the whole order, so a document with very many arrivals falls to no single task."""
+    stem = F.regexp_replace(F.element_at(F.split("source_uri", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    last = arriving.groupBy("source_uri").agg(F.max_by(F.struct("title"), F.struct("ordinal", "content_hash", "contract"))["title"].alias("arrived"))
+    joined = documents.join(last.withColumn("come", F.lit(True)), "source_uri", "full")
+    name = F.coalesce(F.nullif("arrived", F.lit("")), stem)
+    after = joined.select(F.coalesce("doc_id", ident.uuid5(F.col("source_uri"))).alias("doc_id"), "source_uri", F.when(F.col("come"), name).otherwise(F.col("title")).alias("title"))
+    own = arriving.join(after.select("doc_id", "source_uri"), "source_uri").groupBy("doc_id", "content_hash", "contract").agg(F.min("ordinal").alias("ordinal"))
+    new = fuse.ranked(own.join(versions.select("doc_id", "content_hash", "contract"), ["doc_id", "content_hash", "contract"], "left_anti"), "doc_id", [F.asc("ordinal"), F.asc("content_hash"), F.asc("contract")])
+    top = versions.groupBy("doc_id").agg(F.max("version_no").alias("top"))
+    newest = new.groupBy("doc_id").agg(F.max("rank").alias("newest"))
+    added = new.join(top, "doc_id", "left").join(newest, "doc_id").select("doc_id", "content_hash", "contract", (F.coalesce("top", F.lit(0)) + F.col("rank")).alias("version_no"), (F.col("rank") == F.col("newest")).alias("is_active"))
+    retired = versions.join(newest, "doc_id", "left").withColumn("is_active", F.col("is_active") & F.col("newest").isNull()).drop("newest")
+    return after, retired.unionByName(added)
+
+
 def activated(versions: DataFrame, version_id: str) -> DataFrame:
     """The named version becomes its document's only active one; other documents stay as they are."""
     docs = versions.filter(F.col("version_id") == version_id).select("doc_id", F.lit(True).alias("touched"))

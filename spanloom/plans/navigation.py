@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ident
-from ..operators import chunks, graph, hits, ingest, navigate, retrieve
-from ..sources import pairs
+from ..operators import chunks, graph, hits, ingest, navigate, reconcile, retrieve
+from ..sources import pairs, store, workspace
 from .building import uuid5_sql
 from .model import SPANS_SQL, lines_with_starts, spans, table
 from .retrieval import KEYWORD_SQL, QUERY
@@ -183,6 +183,54 @@ INGESTED_SPANS_SQL = f"""WITH {_BATCH_SQL} SELECT vid AS version_id, (row_number
 FROM n JOIN r USING (doc_id) WHERE outcome = 'ingested' AND n.text <> ''"""
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of orders as arrivals of files, in order of their numbers: contents repeat, two contracts, some titles; every third order is known."""
+    lines, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    uri = F.concat(F.lit("file:///o/"), k, F.lit(".v1.pdf"))
+    arriving = lines.select(F.col("l_linenumber").cast("int").alias("ordinal"), uri.alias("source_uri"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("t"), "l_linenumber")).alias("title"), F.concat(F.lit("h"), F.col("l_linenumber") % 3).alias("content_hash"), F.when(F.col("l_linenumber") == 5, "new").otherwise("c").alias("contract"))
+    known = lines.filter("l_orderkey % 3 = 0").select(uri.alias("source_uri")).distinct()
+    documents = known.select(ident.uuid5(F.col("source_uri")).alias("doc_id"), "source_uri", F.lit("old").alias("title"))
+    versions = documents.select("doc_id", F.lit("h1").alias("content_hash"), F.lit("c").alias("contract"), F.lit(4).alias("version_no"), F.lit(True).alias("is_active"))
+    return reconcile.registered_documents(documents, versions, arriving)
+
+
+def arrived_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, versions = arrivals(spark, sf_dir)
+    return versions.join(documents, "doc_id").select("doc_id", "source_uri", "title", "content_hash", "contract", "version_no", "is_active")
+
+
+ARRIVED_VERSIONS_SQL = f"""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS i, 'h' || l_linenumber % 3 AS h, CASE WHEN l_linenumber = 5 THEN 'new' ELSE 'c' END AS c FROM lineitem),
+d AS (SELECT k, 'file:///o/' || k || '.v1.pdf' AS source_uri, max(i) AS last FROM a GROUP BY 1), t AS (SELECT k, source_uri, {uuid5_sql("source_uri")} AS doc_id, CASE WHEN last % 2 = 0 THEN 't' || last ELSE k || '.v1' END AS title FROM d),
+f AS (SELECT k, h, c, min(i) AS i FROM a WHERE NOT (k % 3 = 0 AND h = 'h1' AND c = 'c') GROUP BY 1, 2, 3),
+n AS (SELECT k, h, c, row_number() OVER (PARTITION BY k ORDER BY i, h, c) + CASE WHEN k % 3 = 0 THEN 4 ELSE 0 END AS version_no, row_number() OVER (PARTITION BY k ORDER BY i DESC, h DESC, c DESC) = 1 AS is_active FROM f),
+v AS (SELECT * FROM n UNION ALL SELECT k, 'h1', 'c', 4, k NOT IN (SELECT k FROM n) FROM d WHERE k % 3 = 0)
+SELECT doc_id, source_uri, title, h AS content_hash, c AS contract, version_no::INTEGER AS version_no, is_active FROM v JOIN t USING (k)"""
+
+
+def workspace_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents indexed into a workspace, their outlines two levels deep; what the tools answer for each, and for each tenth one that it lacks."""
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    place = workspace.Workspace(spark, store.new_folder(spark, "workspace"))
+    listed = docs.select(k.alias("doc_id"), F.concat(F.lit("doc "), k).alias("doc_name"), "source", "lang").select("doc_id", "doc_name", F.col("source").alias("doc_description"), F.when(F.col("lang") == "en", "md").otherwise("pdf").alias("type"), F.lit(None).cast("string").alias("version_id"))
+    lines = docs.select(k.alias("doc_id"), F.posexplode(lines_with_starts(F.col("text"))).alias("number", "s")).select("doc_id", (F.col("number") + 1).alias("number"), F.col("s.line").alias("text"))
+    roots = docs.select(k.alias("doc_id"), F.lit("n0").alias("node_id"), F.lit(None).cast("string").alias("parent_node_id"), F.lit(0).alias("level_no"), F.col("source").alias("title"), F.lit(1).alias("start"))
+    inner = lines.filter("number % 4 = 1").select("doc_id", F.concat(F.lit("n"), "number").alias("node_id"), F.lit("n0").alias("parent_node_id"), F.lit(1).alias("level_no"), F.substr("text", F.lit(1), F.lit(12)).alias("title"), F.col("number").alias("start"))
+    place.index(listed, roots.unionByName(inner), lines)
+    wanted = docs.select(k.alias("doc_id")).unionByName(docs.filter("doc_id % 10 = 0").select(F.concat(F.lit("x"), k).alias("doc_id")))
+    requests = wanted.withColumn("pages", F.when(F.col("doc_id").endswith("7"), "3-1").otherwise("5, 1-2"))
+    answers = place.documents(wanted).withColumnRenamed("json", "document").join(place.structures(wanted).withColumnRenamed("json", "structure"), "doc_id").join(place.contents(requests).withColumnRenamed("json", "content"), "doc_id")
+    return answers.select("doc_id", "document", F.sha2("structure", 256).alias("structure"), F.sha2("content", 256).alias("content"))
+
+
+WORKSPACE_TOOLS_SQL = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) + 1 AS i FROM documents),
+n AS (SELECT doc_id, count(*) AS n, string_agg('{"title":' || to_json(substr(line, 1, 12))::VARCHAR || ',"node_id":"n' || i || '","start":' || i || ',"nodes":[]}', ',' ORDER BY i) FILTER (i % 4 = 1) AS kids FROM l GROUP BY 1),
+c AS (SELECT doc_id, string_agg('{"page":' || i || ',"content":' || to_json(line)::VARCHAR || '}', ',' ORDER BY i) AS pages FROM l JOIN documents USING (doc_id) WHERE i <= 5 AND (lang = 'en' OR i IN (1, 2, 5)) GROUP BY 1),
+a AS (SELECT doc_id::VARCHAR AS doc_id, '{"doc_id":"' || doc_id || '","doc_name":"doc ' || doc_id || '","doc_description":' || to_json(coalesce(source, ''))::VARCHAR || ',"type":"' || CASE WHEN lang = 'en' THEN 'md' ELSE 'pdf' END || '","status":"completed","' || CASE WHEN lang = 'en' THEN 'line' ELSE 'page' END || '_count":' || coalesce(n, 0) || '}' AS document,
+ '[{"title":' || to_json(coalesce(source, ''))::VARCHAR || ',"node_id":"n0","start":1,"nodes":[' || coalesce(kids, '') || ']}]' AS structure, CASE WHEN doc_id % 10 = 7 THEN '{"error":"Invalid pages: 3-1"}' ELSE '[' || coalesce(pages, '') || ']' END AS content FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)),
+m AS (SELECT 'x' || doc_id AS doc_id, '{"error":"Document x' || doc_id || ' not found"}' AS e FROM documents WHERE doc_id % 10 = 0)
+SELECT doc_id, document, sha256(structure) AS structure, sha256(content) AS content FROM a UNION ALL SELECT doc_id, e, sha256(e), sha256(e) FROM m"""
+
+
 QUERIES = {
     "span_provenance": (span_provenance, SPAN_PROVENANCE_SQL),
     "node_relatives": (node_relatives, NODE_RELATIVES_SQL),
@@ -192,4 +240,6 @@ QUERIES = {
     "raw_pair_files": (raw_pair_files, RAW_PAIR_FILES_SQL),
     "ingest_outcomes": (ingest_outcomes, INGEST_OUTCOMES_SQL),
     "ingested_spans": (ingested_spans, INGESTED_SPANS_SQL),
+    "arrived_versions": (arrived_versions, ARRIVED_VERSIONS_SQL),
+    "workspace_tools": (workspace_tools, WORKSPACE_TOOLS_SQL),
 }
