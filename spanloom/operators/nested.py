@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -38,8 +38,8 @@ def _pieces(text: str, sizes: Sequence[int]) -> list[tuple]:
 
 
 def nested_chunks(docs: DataFrame, sizes: Sequence[int] = (256, 96), key: str = "doc_id", column: str = "text") -> DataFrame:
-    """key, chunk_id, parent_id, level (0 is the widest), n (place among the text's chunks of the level), siblings (children of
-    its parent, itself included), start, stop (code points), words, chunk_text.
+    """key, chunk_id, parent_id, level (0 is the widest), n (place among the text's chunks of the level), up (n of the
+    parent), siblings (children of the parent, itself included), start, stop (code points), words, chunk_text.
 
     Each level cuts the chunks of the level above into windows of its own number of words, so that children cover their parent exactly, the last
     of them shorter where sizes do not divide. White space belongs to the word before it, at a text's beginning to the first. A
@@ -56,7 +56,7 @@ def nested_chunks(docs: DataFrame, sizes: Sequence[int] = (256, 96), key: str =
     cut = docs.select(F.col(key).alias("key_"), F.explode(pieces(F.col(column))).alias("c"))
     name = lambda level, n: F.concat_ws(":", F.col("key_").cast("string"), level, n)
     parent = F.when(F.col("c.up").isNotNull(), name(F.col("c.level") - 1, F.col("c.up")))
-    return cut.select(F.col("key_").alias(key), name(F.col("c.level"), F.col("c.n")).alias("chunk_id"), parent.alias("parent_id"), "c.level", "c.n", "c.siblings", "c.start", "c.stop", "c.words", "c.chunk_text")
+    return cut.select(F.col("key_").alias(key), name(F.col("c.level"), F.col("c.n")).alias("chunk_id"), parent.alias("parent_id"), "c.level", "c.n", "c.up", "c.siblings", "c.start", "c.stop", "c.words", "c.chunk_text")
 
 
 def leaves(chunks: DataFrame, sizes: Sequence[int]) -> DataFrame:
@@ -69,30 +69,31 @@ def merged_upwards(hits: DataFrame, chunks: DataFrame, levels: int, ratio: float
     joins them with their mean score (`fill`); then a parent of whose children more than `ratio` are hit stands for them with their
     mean score. Hits of one chunk and a hit that its children merge into count once, with the greatest score.
 
-    What merges at a level depends on that level's hits alone, and those on the levels below, so one pass from below is the fixed point. Each
-    pass reads the narrow columns of one level; groups are counts, no group of hits is gathered."""
+    What merges at a level depends on that level's hits alone, and those on the levels below, so one pass from below is the fixed point. The
+    plan is a chain: each pass takes its input once and reads the narrow columns of one level. Groups are a parent's children."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must lie between 0 and 1")
-    places = chunks.select("chunk_id", "parent_id", "level", F.col(key).alias("key_"), "n", "siblings")
-    given = hits.select(F.col(query).alias("query_"), "chunk_id", F.col("score").cast("double").alias("score")).groupBy("query_", "chunk_id").agg(F.max("score").alias("score"))
-    placed = given.join(places, "chunk_id")
-    names = ["query_", "chunk_id", "parent_id", "level", "key_", "n", "siblings", "score"]
-    here, done = placed.filter(F.col("level") == levels - 1).select(names), None
+    places = chunks.select("chunk_id", "level", F.col(key).alias("key_"), "n", "up", "siblings")
+    at = ["query_", "key_", "level", "n"]
+    rows = hits.select(F.col(query).alias("query_"), "chunk_id", F.col("score").cast("double").alias("score")).join(places.drop("up", "siblings"), "chunk_id")
+    rows = rows.groupBy(*at).agg(F.max("score").alias("score"))
+    nothing = F.lit(None).cast("double")
     for level in range(levels - 1, -1, -1):
-        own = places.filter(F.col("level") == level)
+        here = F.col("level") == level
         if fill:
-            ahead = here.select("query_", "key_", (F.col("n") - 2).alias("n"), F.col("score").alias("ahead_"))
-            gaps = here.join(ahead, ["query_", "key_", "n"]).select("query_", "key_", (F.col("n") + 1).alias("n"), ((F.col("score") + F.col("ahead_")) / 2).alias("score"))
-            new = gaps.join(here.select("query_", "key_", "n"), ["query_", "key_", "n"], "left_anti")
-            here = here.unionByName(new.join(own, ["key_", "n"]).select(names))
+            mark = lambda n, own, low, high: F.struct(n.alias("n"), own.alias("own"), low.alias("low"), high.alias("high"))
+            score, n = F.col("score"), F.col("n")
+            self_ = mark(n, score, nothing, nothing)
+            marks = F.when(here, F.array(self_, mark(n + 1, nothing, score, nothing), mark(n - 1, nothing, nothing, score))).otherwise(F.array(self_))
+            spread = rows.select("query_", "key_", "level", F.explode(marks).alias("m")).groupBy("query_", "key_", "level", F.col("m.n").alias("n"))
+            both = spread.agg(F.max("m.own").alias("own"), F.max("m.low").alias("low"), F.max("m.high").alias("high"))
+            rows = both.select(*at, F.coalesce("own", (F.col("low") + F.col("high")) / 2).alias("score")).filter("score is not null")
         if level:
-            full = here.groupBy("query_", "parent_id").agg(F.count(F.lit(1)).alias("hit_"), F.avg("score").alias("score"), F.max("siblings").alias("siblings")).filter(F.col("hit_") > ratio * F.col("siblings"))
-            stay = here.join(full.select("query_", "parent_id"), ["query_", "parent_id"], "left_anti")
-            risen = full.select("query_", F.col("parent_id").alias("chunk_id"), "score").join(places.filter(F.col("level") == level - 1), "chunk_id").select(names)
-            both = placed.filter(F.col("level") == level - 1).select(names).unionByName(risen)
-            above = both.groupBy("query_", "chunk_id", "parent_id", "level", "key_", "n", "siblings").agg(F.max("score").alias("score")).select(names)
-        else:
-            stay, above = here, None
-        part = stay.select(F.col("query_").alias(query), "chunk_id", "level", "score")
-        done, here = part if done is None else done.unionByName(part), above
-    return done
+            known = rows.join(places.filter(here).drop("chunk_id"), ["key_", "level", "n"], "left")
+            family = Window.partitionBy("query_", "key_", "level", F.coalesce("up", "n"))  # other levels: a group each
+            full = here & (F.count(F.lit(1)).over(family) > ratio * F.col("siblings"))
+            seen = known.select(*at, "up", "score", full.alias("full_"), F.avg("score").over(family).alias("mean_"))
+            rise = lambda up, stay: F.when(F.col("full_"), up).otherwise(stay)
+            rows = seen.select("query_", "key_", rise(F.col("level") - 1, F.col("level")).alias("level"), rise(F.col("up"), F.col("n")).alias("n"), rise(F.col("mean_"), F.col("score")).alias("score"))
+            rows = rows.groupBy(*at).agg(F.max("score").alias("score"))
+    return rows.join(places, ["key_", "level", "n"]).select(F.col("query_").alias(query), "chunk_id", "level", "score")
