@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import building, contracts, descents, levels, lifecycle, more, navigation, owners, registry, retrieval, sources, structure
+from .plans import building, contracts, descents, indexed, levels, lifecycle, more, navigation, owners, registry, retrieval, sources, structure
 
-ALL = {**retrieval.QUERIES, **structure.QUERIES, **lifecycle.QUERIES, **sources.QUERIES, **more.QUERIES, **contracts.QUERIES, **registry.QUERIES, **building.QUERIES, **descents.QUERIES, **navigation.QUERIES, **levels.QUERIES, **owners.QUERIES}
+ALL = {**retrieval.QUERIES, **structure.QUERIES, **lifecycle.QUERIES, **sources.QUERIES, **more.QUERIES, **contracts.QUERIES, **registry.QUERIES, **building.QUERIES, **descents.QUERIES, **navigation.QUERIES, **levels.QUERIES, **owners.QUERIES, **indexed.QUERIES}
 FLAGSHIP = retrieval.keyword_search
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import fuse, retrieve
+from .sources import postings
 
 MODES = ("auto", "keyword", "vector", "tree", "hybrid")
 HIT = ("path", "ordinal", "key", "text", "score", "heading_path")
@@ -18,10 +19,11 @@ class Engine:
     """Retrieval over DataFrames.
 
     spans: span_id, raw_text, heading_path, start_offset, doc_id, ordinal. nodes: node_id, level_no, heading_path,
-    summary_text. vectors: vec_id, embedding, text, heading_path; embed turns a query into a vector of their length."""
+    summary_text. vectors: vec_id, embedding, text, heading_path; embed turns a query into a vector of their length. index: a
+    reader of the spans' postings; keyword search then reads what its terms need instead of all spans."""
 
-    def __init__(self, spans: DataFrame, nodes: DataFrame | None = None, vectors: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None):
-        self.spans, self.nodes, self.vectors, self.embed = spans, nodes, vectors, embed
+    def __init__(self, spans: DataFrame, nodes: DataFrame | None = None, vectors: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None, index: postings.Reader | None = None):
+        self.spans, self.nodes, self.vectors, self.embed, self.index = spans, nodes, vectors, embed, index
 
     def route(self, query: str) -> str:
         """The mode that the query's form suggests; vector falls to keyword where there are no vectors, tree where there are no nodes."""
@@ -53,7 +55,8 @@ class Engine:
         return rows.select(F.lit(path).alias("path"), F.row_number().over(order).alias("ordinal"), F.col(key).cast("string").alias("key"), F.col(body).alias("text"), "score", "heading_path")
 
     def _keyword(self, query: str, top_k: int) -> DataFrame:
-        return self._placed("keyword", retrieve.keyword_search(self.spans, query, top_k), "span_id", "raw_text")
+        hits = self.index.search(query, top_k) if self.index is not None else retrieve.keyword_search(self.spans, query, top_k)
+        return self._placed("keyword", hits, "span_id", "raw_text")
 
     def _tree(self, query: str, top_k: int) -> DataFrame:
         if self.nodes is None:

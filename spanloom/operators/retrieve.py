@@ -2,48 +2,59 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 
 
-def all_terms(column: Column, query: str) -> Column:
-    """Every plain term of the query is a token of the text; -term must not be; "a b" stands in sequence; or starts another choice."""
-    import re
-
-    found, choices, current = text.tokens(column), [], []
+def choices(query: str) -> list[list[tuple[str, list[str]]]]:
+    """The query's choices, parted by or: pairs of kind (word, minus, phrase) and lower-case words."""
+    out, current = [], []
     for phrase, minus, word in re.findall(r'"([^"]*)"|(-?)(\S+)', query):
         if not phrase and word.lower() == "or":
-            choices, current = [*choices, current], []
-            continue
-        if phrase:
-            words = [w.lower() for w in re.findall(r"\w+", phrase)]
-            joined = F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
-            current.append(joined.contains(f" {' '.join(words)} "))
+            out, current = [*out, current], []
+        elif phrase:
+            current.append(("phrase", [w.lower() for w in re.findall(r"\w+", phrase)]))
         else:
-            for w in re.findall(r"\w+", word.lower()):
-                hit = F.array_contains(found, w)
-                current.append(~hit if minus else hit)
+            current += [("minus" if minus else "word", [w]) for w in re.findall(r"\w+", word.lower())]
+    return [*out, current]
+
+
+def all_terms(column: Column, query: str) -> Column:
+    """Every plain term of the query is a token of the text; -term must not be; "a b" stands in sequence; or starts another choice."""
+    found = text.tokens(column)
+    joined = F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
     out = F.lit(False)
-    for terms in [*choices, current]:
-        both = F.lit(True)
-        for t in terms:
-            both = both & t
-        out = out | (both if terms else F.lit(False))
+    for terms in choices(query):
+        both = F.lit(bool(terms))
+        for kind, words in terms:
+            hit = joined.contains(f" {' '.join(words)} ") if kind == "phrase" else F.array_contains(found, words[0])
+            both = both & (~hit if kind == "minus" else hit)
+        out = out | both
     return out
 
 
+def matches(column: Column, query: str) -> Column:
+    """The text holds the query as a substring, or all its terms."""
+    return column.ilike(f"%{query}%") | all_terms(column, query)
+
+
+def best(hits: DataFrame, query: str, limit: int, column: str = "raw_text") -> DataFrame:
+    """The best of the rows that match: a top-k of each partition, merged (no full sort)."""
+    scored = hits.withColumn("score", F.round(text.match_score(F.col(column), query), 6))
+    page = F.col("page_no") if "page_no" in hits.columns else F.lit(None).cast("int")
+    return scored.orderBy(F.desc("score"), page.asc_nulls_last(), F.asc("start_offset"), F.asc("doc_id"), F.asc("ordinal")).limit(limit)
+
+
 def keyword_search(spans: DataFrame, query: str, limit: int = 50, version_id: str | None = None) -> DataFrame:
     """Spans that hold the query as a substring or all its terms, best first.
 
-    The cheap predicate runs in the scan's stage; only what it lets through is scored, and
-    the order is a top-k of each partition, merged (no full sort)."""
+    The cheap predicate runs in the scan's stage; only what it lets through is scored."""
     rows = spans if version_id is None else spans.filter(F.col("version_id") == version_id)
-    hits = rows.filter(F.col("raw_text").ilike(f"%{query}%") | all_terms(F.col("raw_text"), query))
-    scored = hits.withColumn("score", F.round(text.match_score(F.col("raw_text"), query), 6))
-    page = F.col("page_no") if "page_no" in spans.columns else F.lit(None).cast("int")
-    return scored.orderBy(F.desc("score"), page.asc_nulls_last(), F.asc("start_offset"), F.asc("doc_id"), F.asc("ordinal")).limit(limit)
+    return best(rows.filter(matches(F.col("raw_text"), query)), query, limit)
 
 
 def summary_search(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
