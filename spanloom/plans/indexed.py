@@ -1,4 +1,4 @@
-"""Query of spans by an inverted index, with its SQL oracle (a scan)."""
+"""Queries of spans by an inverted index and of keywords by a lexicon, with their SQL oracles (scans)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import words
 from ..sources import postings, store
 from .model import SPANS_SQL, spans, table
 
@@ -34,4 +35,14 @@ hits AS (SELECT 'terms' AS query_id, * FROM u WHERE raw_text ILIKE '%ing that th
  UNION ALL SELECT 'pieces', * FROM u WHERE raw_text ILIKE '%e of th%' OR list_has_all(tokens, ['e', 'of', 'th']))
 SELECT query_id, doc_id, ordinal::INTEGER AS ordinal, start_offset, length(raw_text)::INTEGER AS letters FROM hits"""
 
-QUERIES = {"indexed_spans": (indexed_spans, INDEXED_SQL)}
+
+def item_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of all benchmark items, whole, by a lexicon counted over all documents."""
+    known = words.lexicon(table(spark, sf_dir, "documents"))
+    return words.keywords(table(spark, sf_dir, "benchmark"), known, "item_id", stop_words=("the", "of", "and"), letters=None)
+
+
+ITEM_KEYWORDS_SQL = r"""WITH w AS (SELECT item_id, unnest(ws) AS word, unnest(range(len(ws))) AS part FROM (SELECT item_id, regexp_extract_all(regexp_replace(nfc_normalize(text), '[\p{Cc}\p{Cf}\p{Co}]', '', 'g'), '[\p{L}\p{N}]+') AS ws FROM benchmark))
+SELECT item_id, word, min(part)::INTEGER AS part, 0 AS start FROM w WHERE length(word) >= 2 AND word NOT IN ('the', 'of', 'and') GROUP BY 1, 2"""
+
+QUERIES = {"indexed_spans": (indexed_spans, INDEXED_SQL), "item_keywords": (item_keywords, ITEM_KEYWORDS_SQL)}
