@@ -7,6 +7,11 @@ rarest T - a + 1 of a name's T grams (a: the fewest shared ones), one is then sh
 prefixes alone are joined, by kind, q, gram and partner's length. Each pair of lengths takes the largest q that
 leaves a shared gram; letters alone (q = 1) always do, so the bound is proven for any threshold above 0.
 
+Names of few letters share their grams with most others, and then that join meets more rows than there are pairs. Pairs are
+therefore compared in tiles where this costs less: names are dealt into blocks by length, and two blocks within reach are
+one task's work. There, letters in common and then the longest common subsequence (as bits of a word, for many pairs at a
+time) bound the matching blocks from above. Both ways are exact.
+
 Equal names of a kind are one class before the join: copies are members, never pairs."""
 
 from __future__ import annotations
@@ -14,13 +19,20 @@ from __future__ import annotations
 import difflib
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources import store
+from . import fuse
+
 #: Longest grams tried, longest pairs of lengths that are broadcast.
 LONGEST_GRAM, BROADCAST = 4, 200_000
+#: Names of a block, pairs that are compared in tiles without a look at grams, pairs whose subsequences are found at a time.
+BLOCK, CHEAP, AT_ONCE = 2000, 2_000_000_000, 100_000
 
 
 def classes(identities: DataFrame) -> DataFrame:
@@ -112,15 +124,134 @@ def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
     return of(a, b)
 
 
+def shared_letters(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Letters that each name of the left has in common with each of the right, at most. Counts of letters by bucket, a row a bucket."""
+    out = np.zeros((left.shape[1], right.shape[1]), left.dtype)
+    for a, b in zip(left, right, strict=True):
+        if a.any() and b.any():
+            out += np.minimum.outer(a, b)
+    return out
+
+
+def _common(a: str, b: str) -> int:
+    """Letters of the longest common subsequence, for names of any length."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(b):
+        masks[c] = masks.get(c, 0) | 1 << i
+    whole = (1 << len(b)) - 1
+    v = whole
+    for c in a:
+        m = masks.get(c, 0)
+        v = (v + (v & m) | v & ~m) & whole
+    return len(b) - v.bit_count()
+
+
+def _coded(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of names as numbers, a row a name, 0 after its end; their lengths."""
+    sizes = np.array([len(n) for n in names], dtype=np.int64)
+    codes = np.zeros((len(names), max(sizes, default=0)), dtype=np.int64)
+    codes[np.arange(codes.shape[1]) < sizes[:, None]] = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype="uint32").astype(np.int64) + 1
+    return codes, sizes
+
+
+def close_pairs(left: list[str], right: list[str], least: Fraction, same: bool) -> list[tuple[int, int]]:
+    """Places of pairs whose longest common subsequence reaches the bound; with `same` (both sides are one list) each pair once."""
+    codes, sizes = _coded(left + right)
+    letters, codes = np.unique(codes, return_inverse=True)
+    codes = codes.reshape(len(sizes), -1) + (0 if letters[0] == 0 else 1)  # 0 stays what follows an end
+    kinds, cut = int(codes.max()) + 1, len(left)
+    buckets = np.zeros((33, len(sizes)), "uint8" if codes.shape[1] < 256 else "uint16" if codes.shape[1] < 65536 else "uint32")
+    np.add.at(buckets, (np.where(codes > 0, (codes - 1) % 32 + 1, 0).ravel(), np.repeat(np.arange(len(sizes)), codes.shape[1])), 1)
+    need = -(-(sizes[:cut, None] + sizes[None, cut:]) * least.numerator // (2 * least.denominator))
+    good = shared_letters(buckets[1:, :cut], buckets[1:, cut:]) >= need
+    if same:
+        good &= np.arange(cut)[:, None] < np.arange(len(right))[None, :]
+    found = []
+    at, to = np.nonzero(good)
+    short = (sizes[cut:] <= 64)[to]
+    found += [(int(i), int(j)) for i, j in zip(at[~short], to[~short]) if _common(left[i], right[j]) >= need[i, j]]
+    at, to = at[short], to[short]
+    masks = np.zeros((len(right), kinds), dtype="uint64")
+    for k in range(min(codes.shape[1], 64)):
+        masks[np.arange(len(right)), codes[cut:, k]] |= np.uint64(1 << k)
+    masks[:, 0] = 0
+    masks, rows, columns = masks.ravel(), np.arange(len(right)) * kinds, np.ascontiguousarray(codes[:cut].T)
+    for n in range(0, len(at), AT_ONCE):
+        i, j = at[n : n + AT_ONCE], to[n : n + AT_ONCE]
+        v, base = np.full(len(i), 2**64 - 1, dtype="uint64"), rows[j]
+        for k in range(int(sizes[i].max())):
+            u = v & masks[base + columns[k][i]]
+            v = (v + u) | (v - u)
+        keep = np.bitwise_count(~v) >= need[i, j]
+        found += list(zip(i[keep].tolist(), j[keep].tolist()))
+    return found
+
+
+def tiles(names: DataFrame, least: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(names with their kind's block, pairs of blocks a, b with lengths within reach, a <= b). A block holds BLOCK names at most, in order of length."""
+    own = names.filter("entity_type is not null and name <> ''").select("entity_type", "name", "id", F.length("name").alias("n"))
+    placed = store.staged(fuse.ranked(own, "entity_type", [F.asc("n"), F.asc("id")]).withColumn("block", F.expr(f"(rank - 1) div {BLOCK}")).drop("rank"), "blocks")
+    ends = placed.groupBy("entity_type", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    side = lambda x: ends.select("entity_type", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high")))
+    p, q = least.numerator, least.denominator
+    meet = side("a").join(side("b"), "entity_type").filter(f"block_a <= block_b and low_b <= cast(high_a as bigint) * {2 * q - p} div {p}")
+    return placed, meet.select("entity_type", F.col("block_a").alias("a"), F.col("block_b").alias("b"))
+
+
+def by_tiles(names: DataFrame, least: Fraction, bound: float) -> DataFrame:
+    """left_id, right_id, left_name, right_name, entity_type, score: all pairs, tile by tile; a task holds two blocks of names."""
+    placed, pairs = tiles(names, least)
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))
+    calls = pairs.select("entity_type", "a", "b", F.explode(sides).alias("s")).select("entity_type", "a", "b", "s.block", "s.side")
+    kind = dict(names.dtypes)
+
+    def compare(tile: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(tile.column(c).to_pylist() for c in ("side", "id", "name")), strict=True), key=lambda r: r[:2])
+        left = [r for r in rows if r[0] == 0]
+        right = [r for r in rows if r[0] == 1] or left
+        matcher, out, second = difflib.SequenceMatcher(None), [], None
+        found = close_pairs([r[2] for r in left], [r[2] for r in right], least, right is left)
+        both = sorted(((left[i], right[j]) if left[i][1] < right[j][1] else (right[j], left[i]) for i, j in found), key=lambda x: x[1][1])
+        for (_, a, x), (_, b, y) in both:
+            if y != second:
+                matcher.set_seq2(y)  # what it keeps of the second serves every first
+                second = y
+            matcher.set_seq1(x)
+            if (score := matcher.ratio()) >= bound:
+                out.append((a, b, x, y, score))
+        columns = list(zip(*out)) if out else [[]] * 5
+        ids = tile.schema.field("id").type
+        kinds = pa.array([tile.column("entity_type")[0].as_py()] * len(out), tile.schema.field("entity_type").type)
+        typed = [pa.array(c, t) for c, t in zip(columns, (ids, ids, pa.string(), pa.string(), pa.float64()), strict=True)]
+        return pa.Table.from_arrays([*typed[:4], kinds, typed[4]], ["left_id", "right_id", "left_name", "right_name", "entity_type", "score"])
+
+    schema = f"left_id {kind['id']}, right_id {kind['id']}, left_name string, right_name string, entity_type {kind['entity_type']}, score double"
+    return calls.hint("shuffle_hash").join(placed, ["entity_type", "block"]).select("entity_type", "a", "b", "side", "id", "name").groupBy("entity_type", "a", "b").applyInArrow(compare, schema)
+
+
+def by_grams(names: DataFrame, least: Fraction, bound: float) -> DataFrame:
+    """The same by shared grams of prefixes."""
+    found = candidates(names, least)
+    side = lambda key, name: names.select(F.col("id").alias(key), F.col("name").alias(name), "entity_type")
+    named = found.join(side("a", "left_name"), "a").join(side("b", "right_name").drop("entity_type"), "b")
+    scored = named.sortWithinPartitions("b").withColumn("score", ratio(F.col("left_name"), F.col("right_name"), bound)).filter("score is not null")
+    return scored.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), "left_name", "right_name", "entity_type", "score")
+
+
+def _tiles_cost_less(names: DataFrame, least: Fraction) -> bool:
+    """Whether all pairs of a kind are few, or no more than the rows that meet by grams."""
+    pairs = names.groupBy("entity_type").count().agg(F.sum(F.expr("cast(count as double) * count / 2"))).first()[0] or 0.0
+    if pairs <= CHEAP:
+        return True
+    grams = prefixes(names, length_pairs(names, least)).groupBy("entity_type", "q", "gram").count()
+    return (grams.agg(F.sum(F.expr("cast(count as double) * count / 2"))).first()[0] or 0.0) >= pairs
+
+
 def suggestions(identities: DataFrame, least: float = 0.87) -> DataFrame:
     """left_id, right_id, left_name, right_name, entity_type, score: all pairs of different names of a kind whose
     likeness is `least` or more, between the representatives of the names (`members` has the rest). Pairs
     exactly at the bound count; an empty name is like no other."""
     if not 0 < least <= 1:
         raise ValueError("least must lie above 0 and not above 1")
-    names = classes(identities.select("identity_id", "entity_type", "name"))
-    found = candidates(names, Fraction(str(least)))
-    side = lambda key, name: names.select(F.col("id").alias(key), F.col("name").alias(name), "entity_type")
-    named = found.join(side("a", "left_name"), "a").join(side("b", "right_name").drop("entity_type"), "b")
-    scored = named.sortWithinPartitions("b").withColumn("score", ratio(F.col("left_name"), F.col("right_name"), least)).filter("score is not null")
-    return scored.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), "left_name", "right_name", "entity_type", "score")
+    names, exact = store.staged(classes(identities.select("identity_id", "entity_type", "name")), "names"), Fraction(str(least))
+    return by_tiles(names, exact, least) if _tiles_cost_less(names, exact) else by_grams(names, exact, least)

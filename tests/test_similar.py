@@ -3,6 +3,7 @@
 import difflib
 import itertools
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -57,6 +58,29 @@ def test_pairs_at_the_bound(spark):
         similar.suggestions(spark.createDataFrame(data, SCHEMA), 0.0)
 
 
+def test_tiles_and_grams(spark, monkeypatch):
+    """Both ways give all pairs, whatever the size of a block, also of names longer than a word has bits, of rare letters and of none."""
+    monkeypatch.setattr(similar, "BLOCK", 20)
+    monkeypatch.setattr(similar, "AT_ONCE", 7)
+    long = ["north river company " * 5, "north river company " * 4 + "morth river", "x" * 300, "x" * 310, "𝄞日é" * 30, "𝄞日é" * 31 + "a", "ab" * 32, "ab" * 33]
+    data = [(i * 7919 % 1009, "PQ"[i % 2], n) for i, n in enumerate(names(3) + long + long)] + [(2000, "P", None), (2001, None, "x" * 300)]
+    table = similar.classes(spark.createDataFrame(data, SCHEMA))
+    for way in (similar.by_tiles, similar.by_grams):
+        got = {(r["left_id"], r["right_id"]): r["score"] for r in way(table, Fraction("0.8"), 0.8).collect()}
+        assert got == {k: v for k, v in brute([d for d in data if d[1]], 0.8).items()}
+    assert len(got) > 10
+
+
+def test_few_rows_meet_where_all_names_share_grams(spark):
+    """Names of few syllables are compared in tiles: by grams more rows would meet than there are pairs."""
+    r = random.Random(5)
+    data = [(i, "x", "".join(r.choice(["the", "in", "an", "ti", "on", " "]) for _ in range(24))) for i in range(300)]
+    table = similar.classes(spark.createDataFrame(data, SCHEMA))
+    _, pairs = similar.tiles(table, Fraction("0.8"))
+    assert pairs.count() == 1 and similar._tiles_cost_less(table, Fraction("0.8"))
+    assert found(spark, data, 0.8) == brute(data, 0.8)
+
+
 def test_copies_and_nothing(spark, monkeypatch):
     monkeypatch.setattr(similar, "BROADCAST", 0)
     data = [(i, "x", "a hot name of many") for i in range(500)] + [(600, "x", "a hot name of man"), (601, "y", "a hot name of man"), (602, None, "a hot name of man")]
