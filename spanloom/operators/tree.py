@@ -10,9 +10,10 @@ from ..functions import text
 
 def most_specific(hits: DataFrame, nodes: DataFrame, key: str, scope: str = "version_id") -> DataFrame:
     """The deepest node of the hit's version whose pages hold its page: by level, length of path, length of
-    title. Nodes are dealt out by page, so the join is by equality."""
+    title. Nodes are dealt out by page, so the join is by equality; it is a merge, as a node's pages count for nothing
+    in Spark's estimate of its size, by which all of them would be sent to every executor."""
     by_page = nodes.filter("page_start <= page_end").withColumn("page_no", F.explode(F.sequence("page_start", "page_end")))
-    joined = hits.join(by_page, [scope, "page_no"])
+    joined = hits.join(by_page.hint("merge"), [scope, "page_no"])
     w = Window.partitionBy(key).orderBy(F.desc("level_no"), F.desc(F.length("heading_path")), F.desc(F.length("title")), "node_id")
     return joined.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 

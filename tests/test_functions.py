@@ -176,6 +176,14 @@ def test_tree(spark):
     assert [(r["hit"], r["node_id"]) for r in rows(tree.most_specific(hits, nodes, "hit"))] == [(1, "s")]
 
 
+def test_pages_of_nodes_are_not_broadcast(spark):
+    """A node of many pages is small before its pages are dealt out; the join must not go by that size."""
+    nodes = spark.range(1000).selectExpr("id as version_id", "'n' as node_id", "0 as level_no", "1 as page_start", "100 as page_end", "'x' as heading_path", "'x' as title")
+    found = tree.most_specific(spark.range(1000).selectExpr("id as hit", "id as version_id", "7 as page_no"), nodes, "hit")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1000
+
+
 def test_overlap(spark):
     df = spark.createDataFrame([(1, 1, "a b c"), (1, 2, "d"), (1, 3, "e f g")], "doc int, i int, text string")
     assert [r["widened"] for r in rows(chunks.overlapped(df, 2, ["doc"], ["i"]).orderBy("i"))] == ["a b c d", "b c d e f", "d e f g"]
