@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text
 
@@ -117,19 +119,36 @@ def trial_route(coverage: Column, similar: Column, samples: Column) -> Column:
     return F.when(samples < 3, None).when(~similar, ROUTES[2]).when(coverage >= 0.90, ROUTES[0]).otherwise(ROUTES[1])
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("name", StringType())])))
-def token_places(texts: pd.Series) -> pd.Series:
-    """Runs of letters and digits, lower-case, with their places; the engine has no function for the places of all matches."""
-    word = re.compile(r"[^\W_]+")
-    return texts.map(lambda t: [{"start": m.start(), "name": m[0].lower()} for m in word.finditer(t)], na_action="ignore")
+#: Texts whose tokens are held at a time; most names that are sent to every executor.
+TEXTS, BROADCAST = 64, 200_000
+
+
+def token_rows(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """key, name, start: runs of letters and digits, lower-case, with their places; the engine has no function for the places of
+    all matches. A few texts at a time become rows of Arrow columns, so a worker holds their tokens and no others."""
+    word, schema = re.compile(r"[^\W_]+"), StructType([texts.schema[key], StructField("name", StringType()), StructField("start", IntegerType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(n, TEXTS)
+                owners, names, starts = [], [], []
+                for i, text_ in enumerate(few.column(1)):
+                    for m in word.finditer(text_.as_py() or ""):
+                        owners.append(i)
+                        names.append(m[0].lower())
+                        starts.append(m.start())
+                if owners:
+                    yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(owners)), pa.array(names, pa.string()), pa.array(starts, pa.int32())], names=schema.names)
+
+    return texts.select(key, column).mapInArrow(cut, schema)
 
 
 def dictionary_candidates(texts: DataFrame, names: DataFrame, key: str, column: str) -> DataFrame:
     """key, name, entity_type, start: every place where a token of a text is a one-token name (in lower case).
-    Tokens are exploded with their places, without the text, and joined by equality; they are the large
-    side, so the join is by hash of the names or by merge, whatever their size."""
-    found = texts.select(key, F.explode(token_places(F.col(column))).alias("t")).select(key, "t.name", "t.start")
-    return found.hint("merge").join(names, "name")
+    Few names are sent to the tokens, so that a very common one falls to no single task; more are joined by merge."""
+    found = token_rows(texts, key, column)
+    return found.join(F.broadcast(names), "name") if names.count() <= BROADCAST else found.hint("merge").join(names, "name")
 
 
 def exact_slices(candidates: DataFrame, texts: DataFrame, key: str, column: str, mention: str = "mention") -> DataFrame:

@@ -117,6 +117,18 @@ def test_ranks_by_cells(spark):
         assert [got[path, x[1]] for x in order] == list(range(1, len(order) + 1))
 
 
+def test_tokens_of_few_texts_at_a_time(spark, monkeypatch):
+    """The same places by either join; a worker never holds a list of places for a whole batch of texts."""
+    texts = spark.createDataFrame([(i, "the x_y theZ " * (i % 4) + "The") for i in range(200)] + [(200, None)], "k int, t string").coalesce(1)
+    names = spark.createDataFrame([("the", "x"), ("y", "z"), ("none", "z")], "name string, entity_type string")
+    want = sorted((i, "the", n * 13, "x") for i in range(200) for n in range(i % 4 + 1)) + sorted((i, "y", n * 13 + 6, "z") for i in range(200) for n in range(i % 4))
+    few = entity.dictionary_candidates(texts, names, "k", "t")
+    monkeypatch.setattr(entity, "BROADCAST", 0)
+    for found in (few, entity.dictionary_candidates(texts, names, "k", "t")):
+        assert sorted((r["k"], r["name"], r["start"], r["entity_type"]) for r in rows(found)) == sorted(want)
+    assert "MapInArrow" in few._jdf.queryExecution().toString()
+
+
 def test_token_places(spark):
     texts = spark.createDataFrame([(1, "The other, the Théâtre"), (2, None), (3, "")], "k int, t string")
     names = spark.createDataFrame([("the", "x"), ("théâtre", "y")], "name string, entity_type string")
