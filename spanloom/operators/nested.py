@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 #: Space and the controls from tab to carriage return part words.
 SPACES = np.array([0x20, *range(0x09, 0x0E)], dtype="uint32")
+#: Texts whose chunks a worker holds at a time.
+TEXTS = 64
 PIECE = StructType([StructField("level", IntegerType()), StructField("n", LongType()), StructField("up", LongType()), StructField("siblings", LongType()),
                     StructField("start", LongType()), StructField("stop", LongType()), StructField("words", LongType()), StructField("chunk_text", StringType())])
 
@@ -43,17 +45,27 @@ def nested_chunks(docs: DataFrame, sizes: Sequence[int] = (256, 96), key: str =
 
     Each level cuts the chunks of the level above into windows of its own number of words, so that children cover their parent exactly, the last
     of them shorter where sizes do not divide. White space belongs to the word before it, at a text's beginning to the first. A
-    text without words is one chunk a level, a null text has none. Keys must be distinct. Texts are cut where they lie: no shuffle."""
+    text without words is one chunk a level, a null text has none. Keys must be distinct. Texts are cut where they lie, a few at a time: no shuffle."""
     if not sizes or any(s < 1 for s in sizes):
         raise ValueError("sizes must be whole numbers from 1")
     wanted = tuple(sizes)
-
-    @F.arrow_udf(ArrayType(PIECE))
-    def pieces(texts: pa.Array) -> pa.Array:
-        rows = [None if t is None else [dict(zip(PIECE.names, p)) for p in _pieces(t, wanted)] for t in texts.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("level", pa.int32()), *((c, pa.int64()) for c in PIECE.names[1:-1]), ("chunk_text", pa.string())])))
-
-    cut = docs.select(F.col(key).alias("key_"), F.explode(pieces(F.col(column))).alias("c"))
+    schema = StructType([StructField("key_", docs.schema[key].dataType), *PIECE])
+
+    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(n, TEXTS)
+                owners, rows = [], []
+                for i, t in enumerate(few.column(1)):
+                    if t.is_valid:
+                        own = _pieces(t.as_py(), wanted)
+                        owners += [i] * len(own)
+                        rows += own
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.int64()] * 6, pa.string()], strict=True)]
+                    yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(owners)), *columns], names=schema.names)
+
+    cut = docs.select(key, column).mapInArrow(cut_texts, schema).select("key_", F.struct(*PIECE.names).alias("c"))
     name = lambda level, n: F.concat_ws(":", F.col("key_").cast("string"), level, n)
     parent = F.when(F.col("c.up").isNotNull(), name(F.col("c.level") - 1, F.col("c.up")))
     return cut.select(F.col("key_").alias(key), name(F.col("c.level"), F.col("c.n")).alias("chunk_id"), parent.alias("parent_id"), "c.level", "c.n", "c.up", "c.siblings", "c.start", "c.stop", "c.words", "c.chunk_text")

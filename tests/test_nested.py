@@ -105,3 +105,12 @@ def test_bad_parameters(spark):
             nested.nested_chunks(docs, sizes)
     with pytest.raises(ValueError):
         nested.merged_upwards(docs.select(F.col("doc_id").alias("query_id"), F.lit("").alias("chunk_id"), F.lit(1.0).alias("score")), nested.nested_chunks(docs), 2, ratio=1.0)
+
+
+def test_chunks_of_few_texts_at_a_time(spark):
+    """Rows leave a worker in parts of TEXTS texts; more texts than that in one batch lose none."""
+    docs = spark.createDataFrame([(n, None if n % 50 == 7 else "w " * (n % 9)) for n in range(3 * nested.TEXTS + 5)], "doc_id int, text string").coalesce(1)
+    got = nested.nested_chunks(docs, (4, 2))
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sum((max(1, -(-(n % 9) // 4)) + max(1, -(-(n % 9) // 2))) for n in range(3 * nested.TEXTS + 5) if n % 50 != 7)
+    assert got.count() == want
