@@ -115,3 +115,14 @@ def test_verdicts_stop_and_start(spark):
     events = spark.createDataFrame(rows, "proposal_id string, ordinal bigint, event_type string, event_id string, payload_digest string")
     batch = sorted((r["proposal_id"], r["ordinal"], r["event_type"], r["outcome"]) for r in contracts.appended(events.limit(0), events).collect())
     assert batch == streamed(spark, events, lifecycle.judged, ["proposal_id", "ordinal"], ["ordinal < 4", "ordinal >= 4"], "append")
+
+
+def test_keys_share_a_group(spark, monkeypatch):
+    """Python is called for a group of keys; each key keeps a state of its own, a null key too."""
+    monkeypatch.setattr(lifecycle, "GROUPS", 2)
+    rows = [(None if v == 9 else v, n, v == 3 and n == 4, n == 1) for v in range(10) for n in range(v)]
+    reports = spark.createDataFrame(rows, "version_id bigint, ordinal bigint, failed boolean, linked boolean")
+    frames = streamed(spark, reports.filter("version_id is not null"), lifecycle.processed, ["version_id"], ["ordinal < 3", "ordinal >= 3 and ordinal < 5", "ordinal >= 5"], "update")
+    assert frames == sorted(map(tuple, reconcile.processed(reports.filter("version_id is not null")).collect()))
+    alone = streamed(spark, reports.filter("version_id is null"), lifecycle.processed, ["version_id"], ["ordinal < 3", "ordinal >= 3"], "update")
+    assert alone == [(None, "complete", 6, 9)]
