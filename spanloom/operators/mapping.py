@@ -49,19 +49,20 @@ def mapped_relations(raw: DataFrame, mentions: DataFrame, schema: DataFrame, lab
 
     raw: doc_id, position, is_mapping, source_text, normalized_text, subject_text, object_text, subject_label,
     object_label, relation. mentions: doc_id, text of accepted entities. schema: relation, subjects, objects
-    (types that it allows), a few rows."""
+    (types that it allows), a few rows. The whole text is searched before any row is dealt out, so it moves only where
+    the caller reads it on."""
     known = lambda side: mentions.select("doc_id", F.col("text").alias(f"{side}_text"), F.lit(True).alias(f"_{side}")).distinct()
-    rows = raw.withColumns({"subject_type": canonical_type(F.col("subject_label"), labels), "object_type": canonical_type(F.col("object_label"), labels)})
+    rows = raw.withColumns({"subject_type": canonical_type(F.col("subject_label"), labels), "object_type": canonical_type(F.col("object_label"), labels), "_found": F.contains("normalized_text", "source_text")})
     rows = rows.join(known("subject"), ["doc_id", "subject_text"], "left").join(known("object"), ["doc_id", "object_text"], "left").join(schema, "relation", "left")
     checks = [
-        ("not_a_mapping", F.col("is_mapping")), ("missing_source_text", _present("source_text")), ("source_not_in_normalized_text", F.contains("normalized_text", "source_text")),
+        ("not_a_mapping", F.col("is_mapping")), ("missing_source_text", _present("source_text")), ("source_not_in_normalized_text", F.col("_found")),
         ("missing_text", _present("subject_text")), ("too_short", _long_enough("subject_text")), ("missing_text", _present("object_text")), ("too_short", _long_enough("object_text")),
         ("unknown_entity_type", F.col("subject_type").isNotNull() & F.col("object_type").isNotNull()), ("relation_not_in_schema", F.col("subjects").isNotNull()),
         ("subject_type_not_allowed", F.expr("array_contains(subjects, subject_type)")), ("object_type_not_allowed", F.expr("array_contains(objects, object_type)")),
         ("subject_not_in_source", F.contains("source_text", "subject_text")), ("object_not_in_source", F.contains("source_text", "object_text")),
         ("subject_not_a_mention", F.col("_subject")), ("object_not_a_mention", F.col("_object")), ("self_loop", F.col("subject_text") != F.col("object_text")),
     ]
-    rows = rows.withColumn("rejection", first_rejection(checks)).drop("_subject", "_object", "subjects", "objects")
+    rows = rows.withColumn("rejection", first_rejection(checks)).drop("_found", "_subject", "_object", "subjects", "objects")
     place = F.row_number().over(Window.partitionBy("doc_id", "subject_text", "relation", "object_text", "source_text", F.col("rejection").isNull()).orderBy("position"))
     return rows.withColumn("rejection", F.coalesce("rejection", F.when(place > 1, "duplicate_relation")))
 
