@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ident, text
+from . import fuse
 
 #: Words that mark a domain, first domain first.
 DOMAINS = {
@@ -85,14 +86,14 @@ def generated(spans: DataFrame, domains: dict[str, tuple[str, ...]] = DOMAINS, d
 
 def desired_state(spans: DataFrame, domains: dict[str, tuple[str, ...]] = DOMAINS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, node_spans, chunks): a tree, and a chunk for each span under its node. A span that the
-    tree does not cover is an error."""
+    tree does not cover is an error. Chunks are numbered by ranges of the order, so no version falls to one task."""
     nodes, node_spans = generated(spans, domains)
     joined = spans.join(node_spans.select("span_id", "version_id", "node_id"), ["span_id", "version_id"], "left")
     covered = F.when(F.col("node_id").isNull(), F.raise_error(F.concat(F.lit("no node covers span "), F.col("span_id"))).cast("string")).otherwise(F.col("node_id"))
-    order = F.row_number().over(Window.partitionBy("version_id").orderBy("start_offset", "span_id")) - 1
     seed = F.concat(F.lit('{"span_id":"'), F.col("span_id"), F.lit('","version_id":"'), F.col("version_id"), F.lit('"}'))
-    chunks = joined.select(ident.uuid5(seed).alias("chunk_id"), "version_id", "span_id", order.alias("chunk_order"), text.word_count(F.col("raw_text")).alias("token_count"), "page_no", "heading_path", covered.alias("node_id"), F.col("raw_text").alias("text_preview"))
-    return nodes, node_spans, chunks
+    rows = joined.select(ident.uuid5(seed).alias("chunk_id"), "version_id", "span_id", "start_offset", text.word_count(F.col("raw_text")).alias("token_count"), "page_no", "heading_path", covered.alias("node_id"), F.col("raw_text").alias("text_preview"))
+    placed = fuse.ranked(rows, "version_id", [F.asc("start_offset"), F.asc("span_id")]).withColumn("chunk_order", F.col("rank") - 1)
+    return nodes, node_spans, placed.select("chunk_id", "version_id", "span_id", "chunk_order", "token_count", "page_no", "heading_path", "node_id", "text_preview")
 
 
 def entity_name(title: Column, heading_path: Column, summary: Column) -> Column:
