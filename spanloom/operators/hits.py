@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,15 +106,32 @@ def repaired(chunks: DataFrame, embed: Column, nodes: DataFrame) -> DataFrame:
     return whole.unionByName(fixed)
 
 
-def manifest_digest(files: DataFrame, keys: list[str], fan_out: int = 256) -> DataFrame:
+def manifest_digest(files: DataFrame, keys: list[str], fan_out: int = 256, digits: int | None = None) -> DataFrame:
     """files, digest: one digest of a table of files, by a tree. Files fall to groups by the first digits of
     the digest of their keys, so many that a group has about `fan_out`; a group's rows as JSON, in order,
-    give its digest, and each level up hashes the sixteen digests below, down to one."""
+    give its digest, and each level up hashes the sixteen digests below, down to one. `digits` fixes the levels. A group's rows
+    are sorted by Spark and hashed one after another, so none is held whole."""
     count = files.count()
-    digits = max(1, math.ceil(math.log(max(count, 1) / fan_out, 16))) if count > fan_out else 1
+    digits = digits or (max(1, math.ceil(math.log(max(count, 1) / fan_out, 16))) if count > fan_out else 1)
     own = lambda values: F.sha2(F.array_join(values, "\n"), 256)
     group = F.substr(F.sha2(F.concat_ws("|", *keys), 256), F.lit(1), F.lit(digits))
-    level = files.withColumn("_g", group).groupBy("_g").agg(own(F.array_sort(F.collect_list(F.to_json(F.struct(*sorted(files.columns)))))).alias("d"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, hashlib.sha256()
+        for batch in batches:
+            for g, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if g == now:
+                    digest.update(b"\n")
+                elif now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([digest.hexdigest()])], names=["_g", "d"])
+                if g != now:
+                    now, digest = g, hashlib.sha256()
+                digest.update(line.encode())
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([digest.hexdigest()])], names=["_g", "d"])
+
+    lines = files.select(group.alias("_g"), F.to_json(F.struct(*sorted(files.columns))).alias("line"))
+    level = lines.repartition("_g").sortWithinPartitions("_g", "line").mapInArrow(hashed, "_g string, d string")
     for n in reversed(range(digits)):
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("_g", "d"))), lambda x: x["d"])
         level = level.groupBy(F.substr("_g", F.lit(1), F.lit(n)).alias("_up")).agg(own(ordered).alias("d")).withColumnRenamed("_up", "_g")

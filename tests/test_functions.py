@@ -308,3 +308,45 @@ def test_segments_are_the_text(spark):
             assert all((t or "")[r["start"] : r["stop"]] == r["segment_text"] for r in parts)
             assert [r["words"] for r in parts] == [min(size, len(t.split()) - a) for a in range(0, max(len(t.split()), 1), size)] if t is not None else True
     assert chunks.exact_segments(df.limit(0), 3, "doc").count() == 0
+
+
+def test_texts_stay_where_they_lie(spark):
+    """Relations are judged with the whole text before rows are dealt out: no exchange carries it."""
+    from spanloom.operators import mapping
+
+    raw = spark.createDataFrame([(1, 0, True, "a knows b", "x a knows b", "a1", "b1", "人名", "人名", "knows"), (1, 1, True, "nowhere", "x", "a1", "b1", "人名", "人名", "knows")], "doc_id int, position int, is_mapping boolean, source_text string, normalized_text string, subject_text string, object_text string, subject_label string, object_label string, relation string")
+    mentions = spark.createDataFrame([(1, "a1"), (1, "b1")], "doc_id int, text string")
+    schema = spark.createDataFrame([("knows", ["Person"], ["Person"])], "relation string, subjects array<string>, objects array<string>")
+    judged = mapping.mapped_relations(raw, mentions, schema)
+    assert "normalized_text" in judged.columns and not any(c.startswith("_") for c in judged.columns)
+    found = judged.select("position", "rejection")
+    assert sorted((r["position"], r["rejection"]) for r in rows(found)) == [(0, "subject_not_in_source"), (1, "source_not_in_normalized_text")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert min(i for i, line in enumerate(plan) if "contains(normalized_text" in line.lower()) > max(i for i, line in enumerate(plan) if "Join " in line)
+
+
+def test_chunk_order_of_a_version_is_dealt_out(spark):
+    """Chunks of one version are numbered in order though no task has them all."""
+    from spanloom.operators import trees
+
+    spans = spark.range(300).selectExpr("'v' as version_id", "concat('s', id) as span_id", "'h' as heading_path", "id * 7919 % 101 as start_offset", "1 as page_no", "'text' as raw_text")
+    chunks = trees.desired_state(spans)[2]
+    assert "/ranked-" in str(chunks.inputFiles())
+    order = [r["span_id"] for r in sorted(rows(chunks), key=lambda r: r["chunk_order"])]
+    assert order == [f"s{i}" for i in sorted(range(300), key=lambda i: (i * 7919 % 101, f"s{i}"))]
+
+
+def test_manifest_of_one_level(spark):
+    """Sixteen groups whatever the number of files, as the query's SQL has them."""
+    import hashlib
+
+    from spanloom.operators import hits
+
+    files = spark.range(6000).selectExpr("concat('doc-', id) as path", "sha2(cast(id as string), 256) as sha256")
+    sha, groups = lambda t: hashlib.sha256(t.encode()).hexdigest(), {}
+    for i in range(6000):
+        groups.setdefault(sha(f"doc-{i}")[0], []).append('{"path":"doc-%d","sha256":"%s"}' % (i, sha(str(i))))
+    want = sha("\n".join(sha("\n".join(sorted(groups[g]))) for g in sorted(groups)))
+    assert rows(hits.manifest_digest(files, ["path"], digits=1)) == [{"files": 6000, "digest": want}]
+    assert rows(hits.manifest_digest(files, ["path"]))[0]["digest"] != want
+    assert rows(hits.manifest_digest(files.limit(0), ["path"], digits=1)) == rows(hits.manifest_digest(files.limit(0), ["path"]))
