@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import ident
 
@@ -16,9 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@F.arrow_udf(ArrayType(StructType([StructField("start", LongType()), StructField("line", StringType())])))
-def lines_with_starts(texts: pa.Array) -> pa.Array:
-    """Lines of each text with their offsets (code points): running sums over a whole batch, less the sum at each text's first line."""
+def _lines(texts: pa.Array) -> pa.Array:
     lists = pc.split_pattern(texts, "\n")
     first, lines = lists.offsets.to_numpy(), lists.values
     sizes = np.nan_to_num(pc.utf8_length(lines).to_numpy(zero_copy_only=False)).astype("int64") + 1
@@ -29,15 +29,44 @@ def lines_with_starts(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(lists.offsets, items, mask=pc.is_null(texts))
 
 
+@F.arrow_udf(ArrayType(StructType([StructField("start", LongType()), StructField("line", StringType())])))
+def lines_with_starts(texts: pa.Array) -> pa.Array:
+    """Lines of each text with their offsets (code points): running sums over a whole batch, less the sum at each text's first line."""
+    return _lines(texts)
+
+
+#: Texts whose lines a worker holds at a time.
+TEXTS = 256
+
+
+def line_rows(docs: DataFrame, *keys: str) -> DataFrame:
+    """keys, ordinal, start, line: a row a line of each text, with its offset (code points). A worker sends on the lines of a few texts at
+    a time, so it never holds those of a whole batch beside the batch."""
+    schema = StructType([*(docs.schema[k] for k in keys), StructField("ordinal", IntegerType()), StructField("start", LongType()), StructField("line", StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(n, TEXTS)
+                texts = pc.fill_null(few.column(len(keys)), "")
+                lists = _lines(texts)
+                owner, items = lists.value_parent_indices().to_numpy(), lists.flatten()
+                ordinal = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                rows = [*(few.column(i).take(pa.array(owner)) for i in range(len(keys))), pa.array(ordinal, pa.int32()), items.field(0), items.field(1)]
+                known = pc.is_valid(few.column(len(keys))).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays(rows, names=schema.names).filter(known)
+
+    return docs.select(*keys, "text").mapInArrow(cut, schema)
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """Lines of documents as spans, with running offsets; blank lines are dropped but count.
 
-    Explodes within a row: no shuffle. A window over the document would need one."""
-    exploded = docs.select("doc_id", "lang", "source", F.posexplode(lines_with_starts(F.col("text"))).alias("ordinal", "s"))
+    Cuts texts where they lie: no shuffle. A window over the document would need one."""
     return (
-        exploded.filter(F.trim("s.line") != "")
-        .select("doc_id", F.concat_ws(":", F.col("doc_id"), F.lit("v1")).alias("version_id"), "ordinal", F.col("s.start").alias("start_offset"), (F.col("s.start") + F.length("s.line")).alias("end_offset"),
-                F.concat_ws(" > ", "lang", "source").alias("heading_path"), F.col("s.line").alias("raw_text"))
+        line_rows(docs, "doc_id", "lang", "source").filter(F.trim("line") != "")
+        .select("doc_id", F.concat_ws(":", F.col("doc_id"), F.lit("v1")).alias("version_id"), "ordinal", F.col("start").alias("start_offset"), (F.col("start") + F.length("line")).alias("end_offset"),
+                F.concat_ws(" > ", "lang", "source").alias("heading_path"), F.col("line").alias("raw_text"))
     )
 
 

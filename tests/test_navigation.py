@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import ident
 from spanloom.operators import contracts, graph, hits, ingest, navigate, reconcile
-from spanloom.plans.model import lines_with_starts
+from spanloom.plans.model import line_rows, lines_with_starts
 from spanloom.sources import bundle, pairs
 
 #: A root with a long line below it, a pair that is each other's parent, a node of a missing parent, a node that is its own parent.
@@ -219,3 +219,11 @@ def test_lines(spark):
         if t is not None:
             assert [x.line for x in r.l] == t.split("\n")
             assert all(t[x.start : x.start + len(x.line)] == x.line for x in r.l)
+
+
+def test_lines_of_few_texts_at_a_time(spark):
+    """The rows are those of whole batches, whatever falls to one slice; a null text has no line, an empty one has one."""
+    texts = [None if n % 11 == 0 else "\n".join("aé𝄞 "[: (n + k) % 5] for k in range(n % 7)) for n in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    want = [(n, i, sum(len(x) + 1 for x in t.split("\n")[:i]), line) for n, t in enumerate(texts) if t is not None for i, line in enumerate(t.split("\n"))]
+    assert sorted(map(tuple, line_rows(docs, "doc_id").collect())) == want
