@@ -20,8 +20,28 @@ def normalized(hits: DataFrame, clip: bool = True) -> DataFrame:
     return hits.join(ends, "path").withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), norm)) if clip else norm).drop("_low", "_high", "_n")
 
 
+#: Buckets of keys; a bucket of more rows than HEAVY times the mean, and more than FEW, may hold a key of very many.
+KEY_BUCKETS, HEAVY, FEW = 4096, 4, 100_000
+
+
 def ranked(hits: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Adds rank: the place within the key by `order`, whose last columns tell equal rows apart. Rows are dealt out by ranges
+    """Adds rank: the place within the key by `order`, whose last columns tell equal rows apart. Rows are counted by buckets of
+    the key; those of buckets with a common share are numbered key by key, the others, among them every key of very many rows,
+    by ranges (`ranked_by_ranges`), so a long list never falls to one task."""
+    held = store.staged(hits, "hits")
+    bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS))
+    sizes = {r["_bucket"]: r["n"] for r in held.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a bucket
+    most = max(FEW, HEAVY * sum(sizes.values()) / KEY_BUCKETS)
+    heavy = [b for b, n in sizes.items() if n > most]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    if not heavy:
+        return held.withColumn("rank", place)
+    long = ranked_by_ranges(held.filter(bucket.isin(heavy)), key, order)
+    return long if len(heavy) == len(sizes) else held.filter(~bucket.isin(heavy)).withColumn("rank", place).unionByName(long)
+
+
+def ranked_by_ranges(hits: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The same for keys of any number of rows. Rows are dealt out by ranges
     of key and whole order, so neither a long list nor one of few scores falls to one task; each range is sorted, numbered
     and written once, and shifted by the rows of the key in the ranges before it, which are few numbers."""
     parts = max(8, int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")))

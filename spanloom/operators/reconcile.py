@@ -57,14 +57,15 @@ def registered_documents(documents: DataFrame, versions: DataFrame, arriving: Da
 
     A document is known by its URI; a new one gets the URI's name-based id. Its title is that of the last arrival, or the file's name without
     its ending where that has none. Content that a document holds under the same contract changes nothing, even where it is retired; each
-    other one becomes the next version, active until the one after it. Equal ordinals go by content. Numbers come from ranges of
-    the whole order, so a document with very many arrivals falls to no single task."""
+    other one becomes the next version, active until the one after it. Equal ordinals go by content. Arrivals shrink to contents before
+    they meet documents, and `fuse.ranked` numbers them, so a document with very many arrivals falls to no single task."""
     stem = F.regexp_replace(F.element_at(F.split("source_uri", "/"), -1), r"(?<=.)\.[^.]*$", "")
     last = arriving.groupBy("source_uri").agg(F.max_by(F.struct("title"), F.struct("ordinal", "content_hash", "contract"))["title"].alias("arrived"))
     joined = documents.join(last.withColumn("come", F.lit(True)), "source_uri", "full")
     name = F.coalesce(F.nullif("arrived", F.lit("")), stem)
     after = joined.select(F.coalesce("doc_id", ident.uuid5(F.col("source_uri"))).alias("doc_id"), "source_uri", F.when(F.col("come"), name).otherwise(F.col("title")).alias("title"))
-    own = arriving.join(after.select("doc_id", "source_uri"), "source_uri").groupBy("doc_id", "content_hash", "contract").agg(F.min("ordinal").alias("ordinal"))
+    contents = arriving.groupBy("source_uri", "content_hash", "contract").agg(F.min("ordinal").alias("ordinal"))
+    own = contents.join(after.select("doc_id", "source_uri"), "source_uri").select("doc_id", "content_hash", "contract", "ordinal")
     new = fuse.ranked(own.join(versions.select("doc_id", "content_hash", "contract"), ["doc_id", "content_hash", "contract"], "left_anti"), "doc_id", [F.asc("ordinal"), F.asc("content_hash"), F.asc("contract")])
     top = versions.groupBy("doc_id").agg(F.max("version_no").alias("top"))
     newest = new.groupBy("doc_id").agg(F.max("rank").alias("newest"))

@@ -188,7 +188,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
     uri = F.concat(F.lit("file:///o/"), k, F.lit(".v1.pdf"))
     arriving = lines.select(F.col("l_linenumber").cast("int").alias("ordinal"), uri.alias("source_uri"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("t"), "l_linenumber")).alias("title"), F.concat(F.lit("h"), F.col("l_linenumber") % 3).alias("content_hash"), F.when(F.col("l_linenumber") == 5, "new").otherwise("c").alias("contract"))
-    known = lines.filter("l_orderkey % 3 = 0").select(uri.alias("source_uri")).distinct()
+    known = lines.filter("l_orderkey % 3 = 0").select("l_orderkey").distinct().select(uri.alias("source_uri"))
     documents = known.select(ident.uuid5(F.col("source_uri")).alias("doc_id"), "source_uri", F.lit("old").alias("title"))
     versions = documents.select("doc_id", F.lit("h1").alias("content_hash"), F.lit("c").alias("contract"), F.lit(4).alias("version_no"), F.lit(True).alias("is_active"))
     return reconcile.registered_documents(documents, versions, arriving)
