@@ -17,10 +17,11 @@ ASKED = {"terms": "ing that the", "choices": 'enc or "of the" -and', "piece": "h
 
 def indexed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans that match each of the queries, over an index of two segments."""
-    rows = spans(table(spark, sf_dir, "documents")).select(F.concat_ws(":", "doc_id", "ordinal").alias("span_id"), "doc_id", "ordinal", "start_offset", "raw_text")
+    docs = table(spark, sf_dir, "documents")
     index = postings.Index(spark, store.new_folder(spark, "postings"), buckets=32, slices=16)
     for half in (0, 1):
-        index.add(rows.filter(F.pmod(F.col("doc_id"), F.lit(2)) == half), f"half{half}")
+        rows = spans(docs.filter(F.pmod(F.col("doc_id"), F.lit(2)) == half)).select(F.concat_ws(":", "doc_id", "ordinal").alias("span_id"), "doc_id", "ordinal", "start_offset", "raw_text")
+        index.add(rows, f"half{half}")
     reader = index.opened()
     found = [reader.matches(query).select(F.lit(name).alias("query_id"), "doc_id", "ordinal", "start_offset", F.length("raw_text").alias("letters")) for name, query in ASKED.items()]
     return reduce(DataFrame.unionByName, found)

@@ -1,8 +1,8 @@
 """An inverted index of rows with texts: segments written once, terms in buckets, rows in slices; a search reads what its terms need.
 
 A segment holds postings (term, key, slice) by buckets of the term, sorted by term and key; terms with the number of their rows; and
-the rows by slices of the key. A small file commits it, so that a lost writer leaves nothing that searches see. Ranges by bucket, term and
-key are dealt to tasks, so a term that stands in most rows is spread over many of them."""
+the rows by slices of the key. A small file commits it, so that a lost writer leaves nothing that searches see. Buckets are dealt to tasks in
+parts by the key's hash, so a term that stands in most rows is spread over many of them, and rows are cut into terms once: ranges would do so twice."""
 
 from __future__ import annotations
 
@@ -38,6 +38,11 @@ class Index:
     def bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("integer")
 
+    def _part(self, column: str, groups: int) -> Column:
+        """Part of a bucket or slice, by another hash than theirs: four for each partition that it would fill alone."""
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return F.pmod(F.hash(column), F.lit(4 * -(-partitions // groups)))
+
     def segments(self) -> dict[str, dict]:
         """Committed segments: folder and schema of each."""
         if not store.names(self.spark, f"{self.root}/commits"):
@@ -57,12 +62,12 @@ class Index:
         schema = sliced.schema.json()
         if any(c["schema"] != schema for c in known.values()):
             raise ValueError("rows have other columns than the index")
-        sliced.repartitionByRange("slice", self.key).sortWithinPartitions("slice", self.key).write.partitionBy("slice").parquet(f"{self.root}/rows/{folder}")
+        sliced.repartition("slice", self._part(self.key, self.slices)).sortWithinPartitions("slice", self.key).write.partitionBy("slice").parquet(f"{self.root}/rows/{folder}")
         kept = self.spark.read.schema(sliced.schema).parquet(f"{self.root}/rows/{folder}")
         words = kept.select(F.explode(F.array_distinct(text.tokens(F.col(self.column)))).alias("term"), F.col(self.key).alias("key"), "slice").withColumn("bucket", self.bucket(F.col("term")))
-        words.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{self.root}/postings/{folder}")
+        words.repartition("bucket", self._part("key", self.buckets)).sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{self.root}/postings/{folder}")
         counts = self.spark.read.schema(words.schema).parquet(f"{self.root}/postings/{folder}").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("rows"))
-        counts.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/terms/{folder}")
+        counts.repartition("bucket", self._part("term", self.buckets)).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/terms/{folder}")
         return store.put(self.spark, f"{self.root}/commits/{segment}.json", json.dumps({"segment": segment, "folder": folder, "schema": schema}))
 
     def opened(self) -> "Reader":
@@ -153,8 +158,10 @@ class Reader:
         found, most = self.candidates(query)
         if found is not None:
             few = most is not None and most <= BROADCAST_ROWS
-            found = found.withColumnRenamed("key", key)
-            rows = rows.join(F.broadcast(found) if few else found, [key, "slice"], "left_semi")
+            found = found.withColumnRenamed("key", key).groupBy(key, "slice").agg(F.count(F.lit(1)).alias("named_"))
+            rows = rows.join(F.broadcast(found) if few else found, [key, "slice"])
+            # the texts are held against the query after the join: a filter on them alone would sink below it, to all rows
+            return rows.filter(F.when(F.col("named_") > 0, retrieve.matches(F.col(self.index.column), query))).drop("slice", "named_")
         return rows.filter(retrieve.matches(F.col(self.index.column), query)).drop("slice")
 
     def search(self, query: str, limit: int = 50) -> DataFrame:
