@@ -9,7 +9,7 @@ from ..functions import ident
 from ..operators import chunks, graph, hits, ingest, navigate, reconcile, retrieve
 from ..sources import pairs, store, workspace
 from .building import uuid5_sql
-from .model import SPANS_SQL, lines_with_starts, spans, table
+from .model import SPANS_SQL, line_rows, lines_with_starts, spans, table
 from .retrieval import KEYWORD_SQL, QUERY
 
 
@@ -212,7 +212,7 @@ def workspace_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, k = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
     place = workspace.Workspace(spark, store.new_folder(spark, "workspace"))
     listed = docs.select(k.alias("doc_id"), F.concat(F.lit("doc "), k).alias("doc_name"), "source", "lang").select("doc_id", "doc_name", F.col("source").alias("doc_description"), F.when(F.col("lang") == "en", "md").otherwise("pdf").alias("type"), F.lit(None).cast("string").alias("version_id"))
-    lines = docs.select(k.alias("doc_id"), F.posexplode(lines_with_starts(F.col("text"))).alias("number", "s")).select("doc_id", (F.col("number") + 1).alias("number"), F.col("s.line").alias("text"))
+    lines = line_rows(docs.select(k.alias("doc_id"), "text"), "doc_id").select("doc_id", (F.col("ordinal") + 1).alias("number"), F.col("line").alias("text"))
     roots = docs.select(k.alias("doc_id"), F.lit("n0").alias("node_id"), F.lit(None).cast("string").alias("parent_node_id"), F.lit(0).alias("level_no"), F.col("source").alias("title"), F.lit(1).alias("start"))
     inner = lines.filter("number % 4 = 1").select("doc_id", F.concat(F.lit("n"), "number").alias("node_id"), F.lit("n0").alias("parent_node_id"), F.lit(1).alias("level_no"), F.substr("text", F.lit(1), F.lit(12)).alias("title"), F.col("number").alias("start"))
     place.index(listed, roots.unionByName(inner), lines)

@@ -59,7 +59,7 @@ def read(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
 
 
 def _of(spark: SparkSession, folders: dict, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(*sorted(folders.values())) if folders else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*sorted(folders.values())) if folders else spark.createDataFrame([], schema).limit(0)  # known to be empty before it runs, so joins with it go
 
 
 def _digest(columns: list[str]) -> Column:
@@ -90,14 +90,10 @@ def outcomes(existing: DataFrame, desired: DataFrame, table: Table, parents: dic
     stays = F.when(F.col("old_ok"), F.col("old"))
     bucket = F.pmod(F.xxhash64(*table.keys), F.lit(table.buckets)).cast("int")
     now = F.when(blocked, stays).otherwise(F.col("new"))
-    moved = ~(now.isNull() & F.col("old").isNull()) & ~F.coalesce(_digest_of(now, columns) == F.col("old_digest"), F.lit(False))
+    moved = F.when(blocked, F.col("old").isNotNull() & ~F.col("old_ok")).otherwise(~same)
     return rows.select(*table.keys, outcome.alias("outcome"), now.alias("now"), moved.alias("moved"), bucket.alias("bucket"))
 
 
-def _digest_of(row: Column, columns: list[str]) -> Column:
-    return F.when(row.isNotNull(), F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256))
-
-
 def reconcile(spark: SparkSession, root: str, tables: list[Table], desired: dict[str, DataFrame], held: dict[str, DataFrame] | None = None, before_commit=None) -> tuple[int, DataFrame]:
     """Bring all tables to their desired rows: the generation that then stands, and table_name, outcome, rows.
 
@@ -107,11 +103,11 @@ def reconcile(spark: SparkSession, root: str, tables: list[Table], desired: dict
     parents, found, counts = {}, {}, None
     for table in in_order(tables):
         want = desired[table.name]
-        repeated = want.groupBy(*table.keys).count().filter("count > 1" + "".join(f" or {k} is null" for k in table.keys))
-        if not repeated.isEmpty():
-            raise ValueError(f"{table.name}: keys are null or repeated")
         rows = outcomes(_of(spark, commit.get(table.name, {}), want.schema), want, table, parents, (held or {}).get(table.name))
         found[table.name] = store.staged(rows, "outcomes")
+        repeated = found[table.name].groupBy(*table.keys).count().filter("count > 1" + "".join(f" or {k} is null" for k in table.keys))
+        if not repeated.isEmpty():
+            raise ValueError(f"{table.name}: keys are null or repeated")
         parents[table.name] = found[table.name].filter("now is not null").select("now.*")
         part = found[table.name].groupBy("outcome").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(table.name).alias("table_name"), "outcome", "rows")
         counts = part if counts is None else counts.unionByName(part)

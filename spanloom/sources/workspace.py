@@ -66,7 +66,7 @@ class Workspace:
 
     def documents(self, requests: DataFrame) -> DataFrame:
         """doc_id, json: name, description, type, status and the count of pages or lines of each requested document, or an error."""
-        counts = self.read("content").join(requests.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        counts = self.read("content").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
         rows = self.read("documents").join(requests.select("doc_id").distinct(), "doc_id", "left_semi").join(counts, "doc_id", "left")
         fields = {"doc_id": json_text(F.col("doc_id")), "doc_name": _named("doc_name"), "doc_description": _named("doc_description"), "type": json_text(F.col("type")), "status": F.lit('"completed"')}
         count = F.coalesce("n", F.lit(0)).cast("string")
@@ -103,7 +103,8 @@ class Workspace:
         good, refused = known.filter(legal), known.filter(~legal)
         whole = F.array(F.struct(F.array_min(F.transform("ranges", lambda r: r["low"])).alias("low"), F.array_max(F.transform("ranges", lambda r: r["high"])).alias("high")))
         each = good.select("doc_id", "pages", F.explode(F.when(F.col("type") == PAGED, F.col("ranges")).otherwise(whole)).alias("r"))
-        own = self.read("content").withColumnRenamed("doc_id", "of")
+        low, high = each.agg(F.min("r.low"), F.max("r.high")).first()  # no text beyond these is read
+        own = self.read("content").filter(F.col("number").between(F.lit(low), F.lit(high))).withColumnRenamed("doc_id", "of")
         lines = each.join(own, (F.col("doc_id") == F.col("of")) & F.col("number").between(F.col("r.low"), F.col("r.high"))).select("doc_id", "pages", "number", "text").distinct()
         ordered = F.array_sort(F.collect_list(F.struct("number", _object(page=F.col("number").cast("string"), content=_named("text")).alias("json"))))
         found = lines.groupBy("doc_id", "pages").agg(F.array_join(F.transform(ordered, lambda x: x["json"]), ",").alias("found"))
