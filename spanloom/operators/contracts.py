@@ -96,14 +96,21 @@ def appended(journal: DataFrame, events: DataFrame, order: str = "ordinal") -> D
 def sidecars(rows: DataFrame, column: str) -> DataFrame:
     """Adds sidecar (parsed) and breach: fields must be exactly those of the schema, version 1, ids UUIDs."""
     keys = F.array_sort(F.json_object_keys(column))
-    parsed = F.from_json(column, SIDECAR_TYPE)
+    parsed = F.col("parsed_")  # a column, not an expression, which every check would compute anew
     raw_spans = F.from_json(F.get_json_object(column, "$.spans"), "array<string>")
     exact = F.forall(F.coalesce(raw_spans, F.array().cast("array<string>")), lambda s: F.array_sort(F.json_object_keys(s)) == F.array(*(F.lit(f) for f in SPAN_FIELDS)))
     breach = first_rejection([
         ("not an object with the fields of a sidecar", keys == F.array(*(F.lit(f) for f in SIDECAR_FIELDS))), ("schema_version must be 1", parsed["schema_version"] == 1),
         ("doc_id must be a UUID", parsed["doc_id"].rlike(UUID)), ("version_id must be a UUID", parsed["version_id"].rlike(UUID)), ("a span has other fields", exact),
     ])
-    return rows.withColumns({"sidecar": parsed, "breach": breach})
+    return rows.withColumn("parsed_", F.from_json(column, SIDECAR_TYPE)).withColumn("breach", breach).drop("sidecar").withColumnRenamed("parsed_", "sidecar")
+
+
+def ids_fit(sidecar: str) -> Column:
+    """Whether a parsed sidecar has spans and the id of each is what its seed gives; rows stay where they lie."""
+    doc_id, version_id, spans = (F.col(f"{sidecar}.{c}") for c in ("doc_id", "version_id", "spans"))
+    digests = F.transform(spans, lambda s: ident.uuid5_digest(ident.span_seed(doc_id, version_id, s["page_no"], s["heading_path"], s["offset"], s["text"])))
+    return (F.size(spans) > 0) & F.forall(F.zip_with(spans, digests, lambda s, h: ident.uuid5_of(h) == s["span_id"]), lambda fits: fits)
 
 
 def sidecar_spans(rows: DataFrame, key: str) -> DataFrame:

@@ -43,15 +43,12 @@ def ingest(sources: DataFrame, parsed: DataFrame | None, nodes: DataFrame | None
     early = first_rejection([("source not found", F.col("content_hash").isNotNull()), ("not parsed", F.col("source_sha256").isNotNull()), ("content hash mismatch", F.col("source_sha256") == F.col("content_hash"))])
     seen = store.staged(seen.withColumn("early", early), "sources")
     ready = seen.filter("early is null").select("source_uri", F.col("version_id").alias("name"), "doc_id", "version_id", F.col("content_hash").alias("source_checksum"), "docling_version")
-    own = nodes.join(ready.select("source_uri", "name"), "source_uri").select("name", "ordinal", "page_no", "headings", "start_offset", "text")
-    files = store.staged(pairs.raw_pairs(ready.drop("source_uri"), own, generated_by), "pairs")
-    read = contracts.sidecars(files.filter("error is null").select("version_id", F.col("sidecar").alias("json")), "json")
-    back = store.staged(contracts.sidecar_spans(read.filter("breach is null").select(F.col("version_id").alias("key"), "sidecar"), "key"), "spans")
-    fits = back.groupBy(F.col("key").alias("version_id")).agg(F.min("id_fits").alias("ids_fit"))
-    late = files.join(read.select("version_id", "breach"), "version_id", "left").join(fits, "version_id", "left")
-    outcome = F.coalesce("error", "breach", F.when(~F.coalesce("ids_fit", F.lit(False)), "ids do not fit"), F.lit("ingested"))
-    judged = store.staged(late.select("version_id", outcome.alias("late"), "span_count", "dropped_nodes"), "judged")
-    results = seen.join(judged, "version_id", "left").select("source_uri", "doc_id", "version_id", F.coalesce("early", "late").alias("outcome"), F.when(F.col("late") == "ingested", F.col("span_count")).otherwise(0).alias("spans"), F.coalesce("dropped_nodes", F.lit(0)).alias("dropped_nodes"))
-    whole = back.join(judged.filter("late = 'ingested'").select(F.col("version_id").alias("key")), "key", "left_semi")
-    spans = whole.join(files.select(F.col("version_id").alias("key"), "doc_id"), "key").select("doc_id", F.col("key").alias("version_id"), "span_id", "index", "page_no", F.col("heading_path").alias("headings"), F.col("offset").alias("start_offset"), text.collapsed(F.col("text")).alias("text"))
+    files = store.staged(pairs.raw_pairs(ready, nodes, generated_by, "source_uri"), "pairs")
+    read = contracts.sidecars(files.select("doc_id", "version_id", "error", "span_count", "dropped_nodes", F.col("sidecar").alias("json")), "json")
+    outcome = F.coalesce("error", "breach", F.when(~F.coalesce(contracts.ids_fit("sidecar"), F.lit(False)), "ids do not fit"), F.lit("ingested"))
+    judged = read.withColumn("late", outcome)  # each file by itself: texts stay where they lie
+    results = seen.join(judged.select("version_id", "late", "span_count", "dropped_nodes"), "version_id", "left").select("source_uri", "doc_id", "version_id", F.coalesce("early", "late").alias("outcome"), F.when(F.col("late") == "ingested", F.col("span_count")).otherwise(0).alias("spans"), F.coalesce("dropped_nodes", F.lit(0)).alias("dropped_nodes"))
+    # no filter, which would sink below the parsing and repeat it
+    back = judged.select("doc_id", "version_id", F.posexplode(F.when(F.col("late") == "ingested", F.col("sidecar.spans"))).alias("index", "s"))
+    spans = back.select("doc_id", "version_id", "s.span_id", "index", "s.page_no", F.col("s.heading_path").alias("headings"), F.col("s.offset").alias("start_offset"), text.collapsed(F.col("s.text")).alias("text"))
     return Ingested(after, files, spans, results)

@@ -9,7 +9,7 @@ from ..functions import ident
 from ..operators import chunks, graph, hits, ingest, navigate, reconcile, retrieve
 from ..sources import pairs, store, workspace
 from .building import uuid5_sql
-from .model import SPANS_SQL, line_rows, lines_with_starts, spans, table
+from .model import SPANS_SQL, line_rows, spans, table
 from .retrieval import KEYWORD_SQL, QUERY
 
 
@@ -113,9 +113,9 @@ UNION ALL {_context_sql("chunk", "doc_id || '#' || ordinal", "spans", "raw_text"
 
 def nodes_of_documents(docs: DataFrame, key: str) -> DataFrame:
     """Lines, blank ones too, as parser output: every fifth stands under the language alone, others under the source as well."""
-    lines = docs.select(key, "lang", "source", F.posexplode(lines_with_starts(F.col("text"))).alias("ordinal", "s"))
+    lines = line_rows(docs, key, "lang", "source")
     heads = F.when(F.col("ordinal") % 5 == 0, F.array("lang")).otherwise(F.array("lang", "source"))
-    return lines.select(key, "ordinal", F.when(F.col("ordinal") % 3 != 0, F.floor(F.col("ordinal") / 10).cast("int") + 1).alias("page_no"), heads.alias("headings"), F.col("s.start").alias("start_offset"), F.col("s.line").alias("text"))
+    return lines.select(key, "ordinal", F.when(F.col("ordinal") % 3 != 0, F.floor(F.col("ordinal") / 10).cast("int") + 1).alias("page_no"), heads.alias("headings"), F.col("start").alias("start_offset"), F.col("line").alias("text"))
 
 
 def _nodes_sql(key: str) -> str:

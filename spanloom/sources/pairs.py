@@ -45,24 +45,25 @@ def _span_json(indent: bool) -> Column:
     return F.concat(F.lit("    {\n"), F.concat_ws(",\n", *(F.concat(F.lit(f'      "{k}": '), v) for k, v in lines)), F.lit("\n    }"))
 
 
-def raw_pairs(documents: DataFrame, nodes: DataFrame, generated_by: str) -> DataFrame:
+def raw_pairs(documents: DataFrame, nodes: DataFrame, generated_by: str, key: str = "name") -> DataFrame:
     """name, doc_id, version_id, markdown, sidecar, manifest, canonical_hash, span_count, dropped_nodes, error: the three files of each document.
 
     documents: name (distinct), doc_id, version_id, source_checksum, docling_version. nodes: name, ordinal, text, and page_no, headings
     (array), start_offset, each of which may be null (no page, no heading, the ordinal). Texts and headings lose surplus white space; blank nodes
     are dropped and counted. The body names a heading's whole path where it changes. Ids that are no UUIDs, a name that is no slug, no
     node with text and a repeated span id are errors: the files are null then, and other documents go on. A document's files are one
-    row; its nodes meet in one group, which is the size of its text."""
+    row; its nodes meet in one group, which is the size of its text. key: the column by which nodes name their document, where
+    that is not its name; nodes of other documents are left out, and all meet in one exchange."""
     heads = F.filter(F.transform(F.coalesce("headings", F.array().cast("array<string>")), lambda h: F.trim(h)), lambda h: h != "")
-    clean = nodes.select("name", "ordinal", "page_no", heads.alias("headings"), F.coalesce("start_offset", "ordinal").alias("start_offset"), text.collapsed(F.col("text")).alias("text"))
-    rows = documents.select("name", "doc_id", "version_id").join(clean, "name").withColumn("span_id", ident.span_id(F.col("doc_id"), F.col("version_id"), F.col("page_no"), F.col("headings"), F.col("start_offset"), F.col("text")))
+    clean = nodes.select(key, "ordinal", "page_no", heads.alias("headings"), F.coalesce("start_offset", "ordinal").alias("start_offset"), text.collapsed(F.col("text")).alias("text"))
+    rows = documents.select(key, "doc_id", "version_id").join(clean, key).withColumn("span_id", ident.span_id(F.col("doc_id"), F.col("version_id"), F.col("page_no"), F.col("headings"), F.col("start_offset"), F.col("text")))
     full = F.col("text") != ""
-    above = F.last(F.when(full, F.col("headings")), ignorenulls=True).over(Window.partitionBy("name").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    above = F.last(F.when(full, F.col("headings")), ignorenulls=True).over(Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("above_", F.coalesce(above, F.array().cast("array<string>")))
     marks = F.when(F.col("headings") != F.col("above_"), F.transform("headings", lambda h, i: F.concat(F.repeat(F.lit("#"), i + 1), F.lit(" "), h))).otherwise(F.array().cast("array<string>"))
     piece = F.struct("ordinal", F.array_join(F.concat(marks, F.array("text")), "\n\n").alias("body"), _span_json(True).alias("side"), _span_json(False).alias("plain"), F.get("headings", 0).alias("head"), "span_id")
-    grouped = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.when(full, piece))).alias("p"), F.count_if(~full).alias("dropped_nodes"))
-    joined = documents.join(grouped, "name", "left").withColumn("p", F.coalesce("p", F.array().cast(grouped.schema["p"].dataType)))
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(full, piece))).alias("p"), F.count_if(~full).alias("dropped_nodes"))
+    joined = documents.join(grouped, key, "left").withColumn("p", F.coalesce("p", F.array().cast(grouped.schema["p"].dataType)))
     of = lambda field: F.transform("p", lambda x: x[field])
     title = F.coalesce(F.get(F.filter(of("head"), lambda h: h.isNotNull()), 0), titled(F.col("name")))
     front = {"type": F.lit("raw"), "doc_id": F.col("doc_id"), "version_id": F.col("version_id"), "source_checksum": F.col("source_checksum"), "docling_version": F.col("docling_version"), "generated_by": F.lit(generated_by), "title": title}
