@@ -95,7 +95,12 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source_id"), F.concat(F.lit("p"), "l_partkey").alias("target_id"), F.col("l_returnflag").alias("relation_type")).distinct()
+    """Distinct relations of lines. Rows are dealt out by numbers first, to parts that are not put together again: a task then holds
+    its part's distinct rows only, where a map over a file's split would hold nearly all of the split, as few of them repeat."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag")
+    parts = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept = lines.repartition(parts, *lines.columns).distinct()
+    return kept.select(F.concat(F.lit("s"), "l_suppkey").alias("source_id"), F.concat(F.lit("p"), "l_partkey").alias("target_id"), F.col("l_returnflag").alias("relation_type"))
 
 
 ENTITIES_SQL = """entities AS (SELECT 'p' || p_partkey AS entity_id, p_type AS entity_type FROM part UNION ALL SELECT 's' || s_suppkey, 'nation' || s_nationkey % 5 FROM supplier),
