@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import public_tokenizers
@@ -409,6 +410,57 @@ def test_pitman_yor_large_items_and_thinning(monkeypatch):
     assert of(tables, sizes) == [1, 1, 3, 200, 1, 1, 705]
 
 
+def test_pitman_yor_words():
+    """Words, their hashes and lengths as Python cuts bytes, in slices and texts that are no UTF-8 too."""
+    rng = np.random.default_rng(6)
+    letters = list(" \t\n\x0b\x0c\rabAZ\x00\x1c\x85\u00a0\u3000\u00c9\u0130\u8a9e")
+    texts = pa.array([*("".join(letters[i] for i in rng.integers(0, len(letters), n)) for n in rng.integers(0, 12, 500)), "", None, " ", "a", "  B  "])
+    broken = pa.Array.from_buffers(pa.string(), 2, [None, pa.py_buffer(np.array([0, 4, 6], np.int32)), pa.py_buffer(b"A\xff B\xc3 ")])
+    for part in (texts, texts.slice(7, 90), texts.cast(pa.large_string()), broken, texts.slice(0, 0)):
+        h, flat, lengths = pitman_yor.words_of(part)
+        words = [x.lower().split() for x in (b"" if not v.is_valid else v.as_buffer().to_pybytes() for v in part)]
+        assert h[flat].tolist() == [y for x in words for y in (pitman_yor.END, *map(xxhash.xxh3_64_intdigest, x))] + [pitman_yor.END]
+        assert lengths.tolist() == [len(x) + 1 for x in words] and (h[1:] > h[:-1]).all()
+
+
+def test_pitman_yor_pairs_without_packing(monkeypatch):
+    """Pairs that don't fit one number with their document are sorted apart, to the same blobs."""
+    h, flat, lengths = pitman_yor.words_of(pa.array([None, *("a b a b c " * (i % 5) for i in range(40))]))
+    train = np.ones(len(lengths), np.int64)
+    want = list(pitman_yor.pairs_of(h, flat, lengths, train, (2, 3)))
+    assert sum(int((x[3].astype(int)).sum()) for x in (pitman_yor.unpack(b) for _, b in want)) == len({(d, *p) for d, n in enumerate(np.split(flat[:-1], np.cumsum(lengths)[:-1])) for p in itertools.pairwise([*n.tolist(), 10**9])})
+    monkeypatch.setattr(pitman_yor, "PACKED", 1)
+    assert list(pitman_yor.pairs_of(h, flat, lengths, train, (2, 3))) == want
+
+
+def test_pitman_yor_sweep_draws_little(monkeypatch):
+    """A sweep hashes under five numbers a customer, though a large item lies among many small ones (before: seven)."""
+    seen, mix = [0], pitman_yor.common.mix64
+    monkeypatch.setattr(pitman_yor.common, "mix64", lambda x: seen.append(np.size(x)) or mix(x))
+    rng = np.random.default_rng(2)
+    customers = np.concatenate([rng.integers(2, 6, 20_000), [3000]])
+    n, key = len(customers), rng.integers(0, 2**63, len(customers)).astype(np.uint64)
+    tables, sizes = np.ones(n, np.int64), customers
+    for sweep in range(3):
+        tables, sizes = pitman_yor.reseated(tables, sizes, 0 * customers, np.full(n, 3), 1.0, 0.8, np.full(n, 0.05), key, sweep)
+        assert sizes.sum() == customers.sum() and tables.sum() == len(sizes)
+    assert sum(seen) < 3 * 5 * customers.sum()
+
+
+def test_pitman_yor_fresh_customers_of_empty_items():
+    tables, sizes = pitman_yor.reseated(np.array([0, 1, 0]), np.array([4]), np.array([1, 0, 0]), np.zeros(3), 1.0, 0.5, np.full(3, 0.1), np.arange(3, dtype=np.uint64), 0)
+    assert tables[0] == 1 and tables[2] == 0 and sizes[0] == 1 and sizes.sum() == 5
+
+
+def test_pitman_yor_works_once(spark):
+    """Services answer the next sweep and the judges by one run: five seatings, five services, one judgement."""
+    docs = spark.createDataFrame([(i, "a b c a b c d " * (i % 4)) for i in range(60)], "doc_id bigint, text string")
+    df = pitman_yor.score(docs, 4)
+    assert len(df.collect()) == 60
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert (plan.count("FlatMapCoGroupsInArrow"), plan.count("FlatMapGroupsInArrow")) == (11, 3)
+
+
 def test_packing():
     arrays = [np.arange(5), np.array([2**63], np.uint64), np.zeros(0, np.int64), np.array([0.5, -2.25]), np.array([1.5], np.float32)]
     for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True):
