@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Space and the controls from tab to carriage return part words.
 SPACES = np.array([0x20, *range(0x09, 0x0E)], dtype="uint32")
@@ -18,8 +18,9 @@ PIECE = StructType([StructField("level", IntegerType()), StructField("n", LongTy
                     StructField("start", LongType()), StructField("stop", LongType()), StructField("words", LongType()), StructField("chunk_text", StringType())])
 
 
-def _pieces(text: str, sizes: Sequence[int]) -> list[tuple]:
-    """Chunks of all levels of one text. A word ends where the next begins, the first begins at 0."""
+def _windows(text: str, sizes: Sequence[int]) -> tuple[np.ndarray, int, list[tuple[np.ndarray, np.ndarray | None]]]:
+    """Where words begin, and the text ends; how many they are; for each level the first word of each chunk and the place of the
+    chunk above it. A word ends where the next begins, the first begins at 0."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="uint32")
     space = np.isin(codes, SPACES)
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(codes) else np.array([], dtype=np.int64)
@@ -27,15 +28,23 @@ def _pieces(text: str, sizes: Sequence[int]) -> list[tuple]:
     at = np.concatenate([[0], begins[1:], [len(codes)]]) if count else np.array([0, len(codes)])
     left = np.arange(max(count, 1))  # place of a word in its chunk of the level before
     above, out = None, []
-    for level, size in enumerate(sizes):
-        left = left % size if level else np.arange(len(left)) % size
+    for size in sizes:
+        left = left % size
         first = np.flatnonzero(left == 0)
+        out.append((first, None if above is None else above[first]))
+        above = np.cumsum(left == 0) - 1
+    return at, count, out
+
+
+def _pieces(text: str, sizes: Sequence[int]) -> list[tuple]:
+    """Chunks of all levels of one text."""
+    at, count, levels = _windows(text, sizes)
+    out = []
+    for level, (first, up) in enumerate(levels):
         after = np.append(first[1:], len(at) - 1)
-        up = above[first] if level else np.full(len(first), -1)
-        siblings = np.bincount(up)[up] if level else np.full(len(first), len(first))
+        siblings = np.full(len(first), len(first)) if up is None else np.bincount(up)[up]
         for n, (a, b) in enumerate(zip(first, after)):
-            out.append((level, n, None if up[n] < 0 else int(up[n]), int(siblings[n]), int(at[a]), int(at[b]), int(b - a) if count else 0, text[at[a] : at[b]]))
-        above = np.cumsum(left == 0) - 1
+            out.append((level, n, None if up is None else int(up[n]), int(siblings[n]), int(at[a]), int(at[b]), int(b - a) if count else 0, text[at[a] : at[b]]))
     return out
 
 
@@ -109,3 +118,74 @@ def merged_upwards(hits: DataFrame, chunks: DataFrame, levels: int, ratio: float
             rows = seen.select("query_", "key_", rise(F.col("level") - 1, F.col("level")).alias("level"), rise(F.col("up"), F.col("n")).alias("n"), rise(F.col("mean_"), F.col("score")).alias("score"))
             rows = rows.groupBy(*at).agg(F.max("score").alias("score"))
     return rows.join(places, ["key_", "level", "n"]).select(F.col("query_").alias(query), "chunk_id", "level", "score")
+
+
+def _risen(scores: np.ndarray, owners: Sequence[np.ndarray], ups: Sequence[np.ndarray | None], ratio: float, fill: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """level, queries, places, scores: what `merged_upwards` leaves of hits on the narrowest level of whole texts. `scores` has a row a query, a column
+    a chunk, nan where it is no hit; `owners` the text of each chunk of a level, in order; `ups` the place of the chunk above it."""
+    for level in range(len(owners) - 1, -1, -1):
+        if fill and len(owners[level]) > 2:
+            low, high, own = scores[:, :-2], scores[:, 2:], owners[level]
+            mean = np.where(own[:-2] == own[2:], (low + high) / 2, np.nan)
+            scores = np.concatenate([scores[:, :1], np.where(np.isnan(scores[:, 1:-1]), mean, scores[:, 1:-1]), scores[:, -1:]], axis=1)
+        hit = ~np.isnan(scores)
+        stay = hit
+        if level:
+            up, shape = ups[level], (len(scores), len(owners[level - 1]))
+            family = (np.arange(shape[0])[:, None] * shape[1] + up)[hit]
+            count, total = (np.bincount(family, w, minlength=shape[0] * shape[1]).reshape(shape) for w in (None, scores[hit]))
+            full = count > ratio * np.bincount(up, minlength=shape[1])
+            stay = hit & ~full[:, up]
+        queries, places = np.nonzero(stay)
+        yield level, queries, places, scores[queries, places]
+        if level:
+            scores = np.where(full, total / np.maximum(count, 1), np.nan)
+
+
+def risen_terms(docs: DataFrame, terms: Sequence[str], sizes: Sequence[int] = (256, 96), ratio: float = 0.5, fill: bool = True, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """query_id (a term), chunk_id, level, score: for each term the narrowest chunks that hold it, in either case, by how often they do, merged upwards.
+
+    The same as `merged_upwards` over `nested_chunks` and these hits. A text's hits merge among its own chunks alone, so this is done where
+    the text lies, a few texts at a time: nothing is written, no shuffle. Letters are lowered one by one (İ is i), as SQL does."""
+    if not sizes or any(s < 1 for s in sizes):
+        raise ValueError("sizes must be whole numbers from 1")
+    if not 0 < ratio < 1:
+        raise ValueError("ratio must lie between 0 and 1")
+    if not all(terms):
+        raise ValueError("terms must have letters")
+    wanted, asked = tuple(sizes), tuple(terms)
+    schema = StructType([StructField("key_", docs.schema[key].dataType), StructField("query", StringType()), StructField("level", IntegerType()), StructField("n", LongType()), StructField("score", DoubleType())])
+
+    def merge_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(asked, pa.string())
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(begin, TEXTS)
+                counts, owners, ups = [[] for _ in asked], [[] for _ in wanted], [[] for _ in wanted]
+                held = [0] * len(wanted)  # chunks of each level so far
+                for i, t in enumerate(few.column(1)):
+                    if not t.is_valid:
+                        continue
+                    low = t.as_py().replace("İ", "i").lower()
+                    at, _, levels = _windows(low, wanted)
+                    for level, (first, up) in enumerate(levels):
+                        owners[level].append(np.full(len(first), i))
+                        if level:
+                            ups[level].append(up + held[level - 1] - len(levels[level - 1][0]))
+                        held[level] += len(first)
+                    cuts = at[np.append(levels[-1][0], len(at) - 1)].tolist()
+                    pieces = [low[a:b] for a, b in zip(cuts, cuts[1:])]
+                    for own, term in zip(counts, asked, strict=True):
+                        own += [p.count(term) for p in pieces]
+                if not held[-1] or not asked:
+                    continue
+                scores = np.array(counts, dtype="float64")
+                scores[scores == 0] = np.nan
+                own = [np.concatenate(o) for o in owners]
+                for level, queries, places, found in _risen(scores, own, [np.concatenate(u) if u else None for u in ups], ratio, fill):
+                    of = own[level][places]
+                    n = places - np.searchsorted(own[level], of)
+                    yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(of)), names.take(pa.array(queries)), pa.array(np.full(len(n), level), pa.int32()), pa.array(n, pa.int64()), pa.array(found, pa.float64())], names=schema.names)
+
+    found = docs.select(key, column).mapInArrow(merge_texts, schema)
+    return found.select(F.col("query").alias("query_id"), F.concat_ws(":", F.col("key_").cast("string"), "level", "n").alias("chunk_id"), "level", "score")

@@ -114,3 +114,38 @@ def test_chunks_of_few_texts_at_a_time(spark):
     assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
     want = sum((max(1, -(-(n % 9) // 4)) + max(1, -(-(n % 9) // 2))) for n in range(3 * nested.TEXTS + 5) if n % 50 != 7)
     assert got.count() == want
+
+
+TERM_TEXTS = ["", None, " ", "the", "The Theatre ENding İng ing", "en the x enen the\n", "  x y", "thethe en ing then "]
+
+
+@pytest.mark.parametrize("fill", [True, False])
+@pytest.mark.parametrize("ratio", [0.5, 0.34])
+def test_terms_rise_where_texts_lie(spark, fill, ratio):
+    """Equal to the merge of plain Python; texts next to each other in a batch neither fill nor count for one another."""
+    r, sizes, terms = random.Random(11), (8, 4, 1), ("the", "en", "ing")
+    texts = TERM_TEXTS + [" ".join(r.choice(["the", "en", "Ending", "x", "y\t", "thethe"]) for _ in range(r.randint(1, 40))) for _ in range(2 * nested.TEXTS + 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).coalesce(1)
+    known = {c["chunk_id"]: c for c in nested.nested_chunks(docs, sizes).collect()}
+    low = lambda t: t.replace("İ", "i").lower()
+    hits = [(q, c, float(low(k["chunk_text"]).count(q))) for q in terms for c, k in known.items() if k["level"] == 2 and q in low(k["chunk_text"])]
+    got = nested.risen_terms(docs, terms, sizes, ratio, fill).collect()
+    assert {(g["query_id"], g["chunk_id"]): round(g["score"], 9) for g in got} == brute_merge(hits, known, 3, ratio, fill)
+    assert len({(g["query_id"], g["chunk_id"]) for g in got}) == len(got) and all(known[g["chunk_id"]]["level"] == g["level"] for g in got)
+
+
+def test_risen_hits_write_and_deal_nothing(spark):
+    """The query held all texts three times over in the shared folder, and dealt its hits out at each level."""
+    from spanloom.plans import levels
+
+    found = levels.risen_hits(spark, "/root/testdata/sf0.001")
+    assert [f for f in found.inputFiles() if not f.endswith("/documents.parquet")] == []
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bad_terms(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert nested.risen_terms(docs, ("a",)).count() == 0 and nested.risen_terms(docs, ()).count() == 0
+    for bad in ({"terms": ("",)}, {"terms": ("a",), "sizes": ()}, {"terms": ("a",), "ratio": 1.0}):
+        with pytest.raises(ValueError):
+            nested.risen_terms(docs, **bad)
