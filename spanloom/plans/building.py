@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ident
 from ..operators import admission, chunks, distribution, entity, fuse, hits, hotspots, knowledge, mapping, similar, tree, trees
+from ..sources import store
 from .model import HIERARCHY_SQL, SPANS_SQL, hierarchy, spans, table
 
 DOMAINS = {"a": ("ing the", "tion"), "b": ("ción",)}
@@ -400,7 +401,8 @@ def misspelt_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages, and each again without its first letter and with another at its end."""
     rows = page_identities(spark, sf_dir)
     other = F.concat(F.substr(F.col("name"), F.lit(2)), F.lit("x"))
-    return rows.withColumn("identity_id", F.col("identity_id") * 2).unionByName(rows.withColumns({"identity_id": F.col("identity_id") * 2 + 1, "name": other}))
+    both = F.array(F.struct((F.col("identity_id") * 2).alias("identity_id"), "name"), F.struct((F.col("identity_id") * 2 + 1).alias("identity_id"), other.alias("name")))
+    return rows.select("entity_type", F.explode(both).alias("r")).select("r.identity_id", "r.name", "entity_type")
 
 
 def fuzzy_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,8 +419,8 @@ SELECT identity_id, min(identity_id) OVER (PARTITION BY kind, name) AS represent
 
 
 def entity_suggestions(identities: DataFrame) -> DataFrame:
-    """Suggestions with their triage, best first."""
-    found = similar.suggestions(identities, 0.8).withColumn("triage", entity.triage(F.col("score")))
+    """Suggestions with their triage, best first. They are written once, as an order by ranges reads its rows twice."""
+    found = store.staged(similar.suggestions(identities, 0.8), "suggestions").withColumn("triage", entity.triage(F.col("score")))
     return found.select("left_id", "right_id", F.round("score", 6).alias("score"), "triage").orderBy(F.desc("score"), "left_id", "right_id")
 
 
